@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracelake.functions.text import strip
+
 # The reserved authorities, the known ones with their labels, and
 # the shapes checked.
 LOCAL_AUTHORITY = "local"
@@ -27,7 +29,7 @@ USER_FORBIDDEN = r"[\s/|]"
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    return strip(F.coalesce(text, F.lit("")))
 
 
 def explicit(name: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracelake.functions.text import strip
+
 # Fixed values of the id notation.
 RUN_ID = r"^([SI])-(\d{2})-(\d{4,})$"
 ASSET_ID = r"^AF-(\d{2})-(\d{4,})$"
@@ -47,7 +49,7 @@ def is_provisional(run_id: Column) -> Column:
 
 def expand_run_id(text: Column, this_year: int, prefix: str = "S-") -> Column:
     """Canonical id for what a person typed; null when it is not an id."""
-    raw = F.upper(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    raw = F.upper(strip(text))
     dated = r"^([SI]-)?(\d{2})-(\d+)$"
     own = F.regexp_extract(raw, dated, 1)
     return (
@@ -63,15 +65,15 @@ def expand_run_id(text: Column, this_year: int, prefix: str = "S-") -> Column:
 
 
 def asset_year(asset_id: Column) -> Column:
-    return _group(F.trim(asset_id), ASSET_ID, 1).cast("int")
+    return _group(strip(asset_id), ASSET_ID, 1).cast("int")
 
 
 def asset_number(asset_id: Column) -> Column:
-    return _group(F.trim(asset_id), ASSET_ID, 2).cast("bigint")
+    return _group(strip(asset_id), ASSET_ID, 2).cast("bigint")
 
 
 def is_asset_id(text: Column) -> Column:
-    return F.coalesce(F.trim(text).rlike(ASSET_ID), F.lit(False))
+    return F.coalesce(strip(text).rlike(ASSET_ID), F.lit(False))
 
 
 def asset_bucket(asset_id: Column) -> Column:

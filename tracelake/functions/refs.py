@@ -7,9 +7,13 @@ and a full URI (``scheme user/archive/session/file``).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions.text import WHITESPACE, WHITESPACE_CHARACTERS, strip
+
 PARTS = ("user", "archive", "session", "file", "collection", "asset")
 
 # Fixed values of the reference notation.
@@ -21,16 +25,51 @@ ASSETS_SEGMENT = "assets"
 SESSION_TOKEN = r"^[SI]-\d{2}-\d+$"
 ASSET_TOKEN = r"^AF-\d{2}-\d+$"
 
-
-def strip(text: Column) -> Column:
-    """Remove outer whitespace of every kind, not only blanks."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+#: A character no text may hold (a Unicode noncharacter), used as a delimiter.
+MARK = "\uffff"
+TEXT_END = 2 ** 31 - 1
 
 
 def _blank_to_null(text: Column) -> Column:
     return F.when(text != "", text)
 
 
+def _patterns(scheme: str) -> dict[str, str]:
+    """Whole-text patterns of the three well-formed spellings."""
+    w = WHITESPACE + "*"
+
+    def token(forbidden: str) -> str:
+        edge = f"[^{forbidden}{WHITESPACE_CHARACTERS}]"
+        return f"({edge}(?:[^{forbidden}]*{edge})?)"
+
+    uri_token, name, archive = token("/"), token("/|"), token("|")
+    head = f"(?si)^{w}{re.escape(scheme)}"
+    compact = f"(?s)^(?!{MARK})(?!(?i){w}{re.escape(scheme)}){w}(?:{archive}{w}\\|)?{w}"
+    more = f"(?:/+{w}{uri_token}{w})?"
+    return {
+        "starts_uri": head,
+        "uri": f"{head}{w}{uri_token}{w}/{w}{uri_token}{w}{more}{more}/*{w}$",
+        "pair": f"{compact}{name}{w}/{w}{name}{w}$",
+        "bare": f"{compact}{name}{w}$",
+    }
+
+
+def _blank(text: Column) -> Column:
+    return F.coalesce(strip(text), F.lit("")) == ""
+
+
+def _fields(raw: Column, pattern: dict[str, str]) -> Column:
+    """A well-formed text as "mark, shape, user, archive, segment, rest".
+
+    One rewrite per spelling, so that each part later is one array item of a
+    short expression. A malformed text stays as it is, without a mark.
+    """
+    for kind, order in (("uri", "U{m}$1{m}$2{m}$3{m}$4"), ("pair", "P{m}{m}$1{m}$2{m}$3"),
+                        ("bare", "B{m}{m}$1{m}$2{m}")):
+        raw = F.regexp_replace(raw, pattern[kind], MARK + order.format(m=MARK))
+    return raw
+
+
 def parse_refs(df: DataFrame, text: str, prefix: str = "ref_",
                scheme: str = DEFAULT_SCHEME) -> DataFrame:
     """Add the six parts of the reference in column ``text`` plus ``<prefix>error``.
@@ -38,70 +77,52 @@ def parse_refs(df: DataFrame, text: str, prefix: str = "ref_",
     A malformed reference gives a null in every part and the class of the
     mistake in the error column; a good one gives a null error.
     """
-    keep = df.columns
-    raw = strip(F.col(text))
-    staged = (
-        df.withColumn("_t", F.coalesce(raw, F.lit("")))
-        .withColumn("_uri", F.lower(F.col("_t")).startswith(scheme.lower()))
-        .withColumn("_bars", F.split(F.col("_t"), r"\|", -1))
-        .withColumn("_nbar", F.when(F.col("_uri"), F.lit(1)).otherwise(F.size("_bars")))
-        .withColumn("_arc", F.when(F.col("_nbar") == 2, strip(F.col("_bars")[0])))
-        .withColumn("_body", F.when(F.col("_nbar") == 2, strip(F.get("_bars", F.lit(1))))
-                    .otherwise(F.col("_t")))
-        .withColumn("_cut", F.instr(F.col("_body"), PATH_SEPARATOR))
-        .withColumn("_head", strip(F.expr("substring(_body, 1, _cut - 1)")))
-        .withColumn("_tail", strip(F.expr("substring(_body, _cut + 1)")))
-        # URI pieces: owner, archive, then the path segments that are not empty
-        .withColumn("_seg", F.when(F.col("_uri"), F.split(
-            F.expr(f"substring(_t, {len(scheme) + 1})"), PATH_SEPARATOR, -1)))
-        .withColumn("_own", strip(F.get("_seg", F.lit(0))))
-        .withColumn("_uarc", strip(F.get("_seg", F.lit(1))))
-        .withColumn("_rest", F.filter(F.slice("_seg", 3, 1000000), lambda p: p != ""))
-        .withColumn("_r0", F.get("_rest", F.lit(0)))
-        .withColumn("_r1", F.get("_rest", F.lit(1)))
-        .withColumn("_nrest", F.coalesce(F.size("_rest"), F.lit(0)))
-    )
-    c = F.col
-    sibling = c("_r0").isin(COLLECTIONS_SEGMENT, ASSETS_SEGMENT)
-    uri_error = (
-        F.when((F.size("_seg") < 2) | (c("_own") == "") | (c("_uarc") == ""), "bad_uri")
-        .when(sibling & (c("_nrest") != 2), "bad_sibling_uri")
-        .when(~F.coalesce(sibling, F.lit(False)) & (c("_nrest") > 2), "too_many_segments")
-        .when((c("_nrest") >= 1) & (strip(c("_r0")) == ""), "empty_segment")
-        .when((c("_nrest") >= 2) & (strip(c("_r1")) == ""), "empty_segment")
-    )
-    named = c("_head").isin(COLLECTIONS_SEGMENT, ASSETS_SEGMENT)
-    compact_error = (
-        F.when(c("_nbar") > 2, "multiple_archive_separators")
-        .when((c("_nbar") == 2) & (c("_arc") == ""), "empty_archive")
-        .when((c("_nbar") == 2) & (c("_body") == ""), "nothing_after_archive")
-        .when((c("_cut") > 0) & ((c("_head") == "") | (c("_tail") == "")), "empty_segment")
-        .when((c("_cut") > 0) & c("_tail").contains(PATH_SEPARATOR),
-              F.when(named, "separator_in_segment").otherwise("too_many_segments"))
-    )
-    error = F.when(c("_t") == "", "empty").when(c("_uri"), uri_error).otherwise(compact_error)
-    staged = staged.withColumn("_err", error)
-
-    bare_session = (c("_cut") == 0) & c("_body").rlike(SESSION_TOKEN)
-    bare_asset = (c("_cut") == 0) & c("_body").rlike(ASSET_TOKEN)
-    plain_uri = c("_uri") & ~F.coalesce(sibling, F.lit(False))
-    value = {
-        "user": F.when(c("_uri"), c("_own")),
-        "archive": F.when(c("_uri"), c("_uarc")).otherwise(c("_arc")),
-        "session": F.when(c("_uri"), F.when(plain_uri, strip(c("_r0"))))
-        .when((c("_cut") > 0) & ~named, c("_head"))
-        .when(bare_session, c("_body")),
-        "file": F.when(c("_uri"), F.when(plain_uri, strip(c("_r1"))))
-        .when((c("_cut") > 0) & ~named, c("_tail"))
-        .when((c("_cut") == 0) & ~bare_session & ~bare_asset, c("_body")),
-        "collection": F.when(c("_uri"), F.when(c("_r0") == COLLECTIONS_SEGMENT, strip(c("_r1"))))
-        .when((c("_cut") > 0) & (c("_head") == COLLECTIONS_SEGMENT), c("_tail")),
-        "asset": F.when(c("_uri"), F.when(c("_r0") == ASSETS_SEGMENT, strip(c("_r1"))))
-        .when((c("_cut") > 0) & (c("_head") == ASSETS_SEGMENT), c("_tail"))
-        .when(bare_asset, c("_body")),
+    raw, pattern = F.col(text), _patterns(scheme)
+    siblings = (COLLECTIONS_SEGMENT, ASSETS_SEGMENT)
+    fields = _fields(raw, pattern)
+    item = F.split(fields, MARK, -1)
+    bare = F.get(item, F.lit(1)) == "B"
+    segment, rest = F.get(item, F.lit(4)), _blank_to_null(F.get(item, F.lit(5)))
+    is_sibling = segment.isin(*siblings)
+    good = fields.startswith(MARK) & (bare | ~is_sibling | rest.isNotNull())
+    parts = {
+        "user": _blank_to_null(F.get(item, F.lit(2))),
+        "archive": _blank_to_null(F.get(item, F.lit(3))),
+        "session": F.when(bare, F.when(segment.rlike(SESSION_TOKEN), segment))
+        .when(~is_sibling, _blank_to_null(segment)),
+        "file": F.when(bare, F.when(~segment.rlike(f"{SESSION_TOKEN}|{ASSET_TOKEN}"), segment))
+        .when(~is_sibling, rest),
+        "collection": F.when(~bare & (segment == COLLECTIONS_SEGMENT), rest),
+        "asset": F.when(bare, F.when(segment.rlike(ASSET_TOKEN), segment))
+        .when(segment == ASSETS_SEGMENT, rest),
     }
-    parts = [F.when(c("_err").isNull(), value[p]).alias(prefix + p) for p in PARTS]
-    return staged.select(*keep, *parts, c("_err").alias(prefix + "error"))
+    parts = {name: F.when(good, part) for name, part in parts.items()}
+    # What is wrong with the rest, looked at only when no spelling fits.
+    segments = F.split(F.regexp_replace(raw, pattern["starts_uri"], ""), PATH_SEPARATOR, -1)
+    following = F.filter(F.slice(segments, F.lit(3), F.size(segments)), lambda p: ~_blank(p))
+    named = F.get(following, F.lit(0)).isin(*siblings)
+    bars = F.split(raw, r"\|", -1)
+    body = F.element_at(bars, -1)
+    tail = F.regexp_replace(body, "(?s)^[^/]*/", "")
+    mistake = (
+        F.when(_blank(raw), "empty")
+        .when(raw.rlike(pattern["starts_uri"]),
+              F.when((F.size(segments) < 2) | _blank(F.get(segments, F.lit(0)))
+                     | _blank(F.get(segments, F.lit(1))), "bad_uri")
+              .when(named, "bad_sibling_uri")
+              .when(F.size(following) > 2, "too_many_segments").otherwise("empty_segment"))
+        .when(F.size(bars) > 2, "multiple_archive_separators")
+        .when((F.size(bars) == 2) & _blank(F.get(bars, F.lit(0))), "empty_archive")
+        .when((F.size(bars) == 2) & _blank(body), "nothing_after_archive")
+        .when(_blank(F.substring_index(body, PATH_SEPARATOR, 1)) | _blank(tail), "empty_segment")
+        .when(strip(F.substring_index(body, PATH_SEPARATOR, 1)).isin(*siblings),
+              "separator_in_segment")
+        .otherwise("too_many_segments")
+    )
+    return df.withColumns({
+        **{prefix + name: part for name, part in parts.items()},
+        prefix + "error": F.when(~F.coalesce(good, F.lit(False)), mistake),
+    })
 
 
 def _part(prefix: str, name: str) -> Column:
@@ -189,8 +210,22 @@ def resolve_in_context(df: DataFrame, archive: Column, session: Column,
 
 def canonical_refs(df: DataFrame, text: str, out: str = "canonical",
                    scheme: str = DEFAULT_SCHEME) -> DataFrame:
-    """Parse then format: one spelling per target, null when malformed."""
-    parsed = parse_refs(df, text, "_c_", scheme)
-    return parsed.withColumn(
-        out, F.when(F.col("_c_error").isNull(), format_ref("_c_", scheme))
-    ).drop(*[f"_c_{p}" for p in (*PARTS, "error")])
+    """The shortest spelling of what ``text`` names, null when malformed.
+
+    Equals parsing and formatting again, but only rewrites the text.
+    """
+    m = MARK
+    full, short = f"^{m}U{m}([^{m}]*){m}([^{m}]*)", f"^{m}[PB]{m}{m}([^{m}]*)"
+    fields = _fields(F.col(text), _patterns(scheme))
+    for pattern, order in (
+        (f"^{m}U.*{m}({COLLECTIONS_SEGMENT}|{ASSETS_SEGMENT}){m}$", ""),
+        (f"{full}{m}{m}$", f"{m}{scheme}$1/$2"),
+        (f"{full}{m}([^{m}]*){m}$", f"{m}{scheme}$1/$2/$3"),
+        (f"{full}{m}([^{m}]*){m}([^{m}]*)$", f"{m}{scheme}$1/$2/$3/$4"),
+        (f"{short}{m}([^{m}]*){m}([^{m}]+)$", f"{m}$1{ARCHIVE_SEPARATOR}$2/$3"),
+        (f"{short}{m}({ASSET_TOKEN[1:-1]}){m}$", f"{m}$1{ARCHIVE_SEPARATOR}{ASSETS_SEGMENT}/$2"),
+        (f"{short}{m}([^{m}]*){m}$", f"{m}$1{ARCHIVE_SEPARATOR}$2"),
+        (f"^{m}\\|", m),
+    ):
+        fields = F.regexp_replace(fields, "(?s)" + pattern, order)
+    return df.withColumn(out, F.when(fields.startswith(MARK), F.substring(fields, 2, TEXT_END)))

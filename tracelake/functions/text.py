@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters a tag may not hold; characters a collection name may
+# What counts as white space; characters a tag may not hold; characters a collection name may
 # not hold; device names it may not take; the length it may not pass; the shape
 # of a saved-search name; the suffix of a sidecar; the size units; the file
 # types shown inline and their size ceiling.
+WHITESPACE_CHARACTERS = (r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+                         r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+WHITESPACE = f"[{WHITESPACE_CHARACTERS}]"
 TAG_FORBIDDEN = r"[,\n\r\t]"
 COLLECTION_ILLEGAL = r'/\|:*?"<>'
 COLLECTION_RESERVED = (
@@ -27,11 +30,16 @@ STATUS_LABELS = {"paired": "OK", "orphan": "no metadata",
 SOURCE_FACETS = ("script", "external", "unrecorded")
 
 
+def strip(text: Column) -> Column:
+    """Remove outer white space of every kind."""
+    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+
+
 # -- tags -----------------------------------------------------------------
 
 def clean_tag(tag: Column) -> Column:
     """One tag with whitespace collapsed; null when it cannot be a tag."""
-    text = F.regexp_replace(F.regexp_replace(tag, r"\s+", " "), r"^ | $", "")
+    text = F.regexp_replace(F.regexp_replace(tag, f"{WHITESPACE}+", " "), r"^ | $", "")
     return F.when(~tag.rlike(TAG_FORBIDDEN) & (text != ""), text)
 
 
@@ -47,7 +55,7 @@ def bad_tags(tags: Column) -> Column:
 
 def split_tags(text: Column) -> Column:
     """Tags of a comma-separated field; blank pieces are skipped, not errors."""
-    return clean_tags(F.filter(F.split(text, ","), lambda t: ~t.rlike(r"^\s*$")))
+    return clean_tags(F.filter(F.split(text, ","), lambda t: ~t.rlike(f"^{WHITESPACE}*$")))
 
 
 # -- names ----------------------------------------------------------------
@@ -58,11 +66,11 @@ def _reserved(name: Column) -> Column:
 
 def slugify(display: Column) -> Column:
     """A usable collection name made from any text."""
-    swapped = F.translate(F.regexp_replace(display, r"^\s+|\s+$", ""),
+    swapped = F.translate(strip(display),
                           COLLECTION_ILLEGAL, "-" * len(COLLECTION_ILLEGAL))
     visible = F.regexp_replace(swapped, r"[\x00-\x1f]", "")
-    trimmed = F.regexp_replace(F.regexp_replace(visible, r"^\s+|\s+$", ""), r"\.+$", "")
-    squeezed = F.regexp_replace(trimmed, r"\s{2,}", " ")
+    trimmed = F.regexp_replace(strip(visible), r"\.+$", "")
+    squeezed = F.regexp_replace(trimmed, WHITESPACE + "{2,}", " ")
     named = (
         F.when(squeezed == "", F.lit("collection"))
         .when(_reserved(squeezed),
@@ -74,7 +82,7 @@ def slugify(display: Column) -> Column:
 
 def collection_name_problem(name: Column) -> Column:
     """Why a collection name is refused; null when it is fine."""
-    value = F.regexp_replace(name, r"^\s+|\s+$", "")
+    value = strip(name)
     return (
         F.when(F.coalesce(value, F.lit("")) == "", "empty")
         .when(value.rlike(r'[/\\|:*?"<>]'), "illegal_character")
@@ -86,7 +94,7 @@ def collection_name_problem(name: Column) -> Column:
 
 
 def search_name_ok(name: Column) -> Column:
-    return F.coalesce(F.regexp_replace(name, r"^\s+|\s+$", "").rlike(SEARCH_NAME), F.lit(False))
+    return F.coalesce(strip(name).rlike(SEARCH_NAME), F.lit(False))
 
 
 def rename_problem(old: Column, new: Column) -> Column:

@@ -54,7 +54,7 @@ def with_tables(body: str) -> str:
             raise KeyError(name)
         return name
 
-    body = re.sub(r"@([a-z_]+)\b", mention, body.strip())
+    body = re.sub(r"(?<=[\s(,])@([a-z_]+)\b", mention, body.strip())
     if not needed:
         return body
     ctes = [f"{n} as materialized ({duckdb_sql(n).strip()})" for n in needed]
