@@ -62,6 +62,31 @@ def running_sum(df: DataFrame, keys: list[str], slice_by: Column, order: list[Co
     )
 
 
+def previous_in_groups(df: DataFrame, keys: list[str], slice_by: Column, order: list[str],
+                       value: str, out: str) -> DataFrame:
+    """``lag`` along a descending order within each group, split over its slices.
+
+    The first row of a slice looks at the last row of the slice before it, which
+    is one aggregated row per slice.
+    """
+    sliced = df.withColumn("_slice", slice_by)
+    walk = Window.partitionBy(*keys, "_slice").orderBy(*[F.desc(c) for c in order])
+    local = sliced.withColumn("_lag", F.lag(value).over(walk)).withColumn(
+        "_first", F.row_number().over(walk) == 1)
+    last = (
+        sliced.groupBy(*keys, "_slice")
+        .agg(F.min_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+        .withColumn("_before", F.lag("_last").over(
+            Window.partitionBy(*keys).orderBy(F.desc("_slice"))))
+        .drop("_last")
+    )
+    return (
+        local.join(last, [*keys, "_slice"])
+        .withColumn(out, F.when(F.col("_first"), F.col("_before.v")).otherwise(F.col("_lag")))
+        .drop("_slice", "_lag", "_first", "_before")
+    )
+
+
 def attach(df: DataFrame, per_key: DataFrame, keys: list[str], weight: str,
            spread: list[str], how: str = "left") -> DataFrame:
     """Join one aggregated row per key to all rows of that key.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bindings", "columns")
+MODULES = ("bindings", "columns", "items")
 
 
 def load_all() -> None:
