@@ -25,9 +25,9 @@ ASSETS_SEGMENT = "assets"
 SESSION_TOKEN = r"^[SI]-\d{2}-\d+$"
 ASSET_TOKEN = r"^AF-\d{2}-\d+$"
 
-#: A character no text may hold (a Unicode noncharacter), used as a delimiter.
+#: Characters no text may hold (Unicode noncharacters), used as delimiters.
 MARK = "\uffff"
-TEXT_END = 2 ** 31 - 1
+VALUE_MARK = "\ufffe"
 
 
 def _blank_to_null(text: Column) -> Column:
@@ -58,15 +58,30 @@ def _blank(text: Column) -> Column:
     return F.coalesce(strip(text), F.lit("")) == ""
 
 
-def _fields(raw: Column, pattern: dict[str, str]) -> Column:
-    """A well-formed text as "mark, shape, user, archive, segment, rest".
+def _fields(raw: Column, scheme: str) -> Column:
+    """A well-formed text rewritten as named fields, a malformed one left alone.
 
-    One rewrite per spelling, so that each part later is one array item of a
-    short expression. A malformed text stays as it is, without a mark.
+    Each field is a mark, its name, a second mark and its value. Every part of a
+    reference is then one map lookup in one expression, which stays small when a
+    predicate on it is pushed to the scan.
     """
-    for kind, order in (("uri", "U{m}$1{m}$2{m}$3{m}$4"), ("pair", "P{m}{m}$1{m}$2{m}$3"),
-                        ("bare", "B{m}{m}$1{m}$2{m}")):
-        raw = F.regexp_replace(raw, pattern[kind], MARK + order.format(m=MARK))
+    m, k = MARK, VALUE_MARK
+    pattern = _patterns(scheme)
+    either = f"{COLLECTIONS_SEGMENT}|{ASSETS_SEGMENT}"
+    rewrites = (
+        (pattern["uri"], f"{m}user{k}$1{m}archive{k}$2{m}session{k}$3{m}file{k}$4"),
+        (pattern["pair"], f"{m}archive{k}$1{m}session{k}$2{m}file{k}$3"),
+        (pattern["bare"], f"{m}archive{k}$1{m}bare{k}$2"),
+        (f"(?s)^{m}.*{m}session{k}(?:{either}){m}file{k}$", ""),
+        (f"{m}session{k}{COLLECTIONS_SEGMENT}{m}file{k}", f"{m}collection{k}"),
+        (f"{m}session{k}{ASSETS_SEGMENT}{m}file{k}", f"{m}asset{k}"),
+        (f"{m}bare{k}({SESSION_TOKEN[1:]})", f"{m}session{k}$1"),
+        (f"{m}bare{k}({ASSET_TOKEN[1:]})", f"{m}asset{k}$1"),
+        (f"{m}bare{k}", f"{m}file{k}"),
+        (f"{m}[a-z]+{k}(?={m}|$)", ""),
+    )
+    for found, written in rewrites:
+        raw = F.regexp_replace(raw, found, written)
     return raw
 
 
@@ -79,24 +94,9 @@ def parse_refs(df: DataFrame, text: str, prefix: str = "ref_",
     """
     raw, pattern = F.col(text), _patterns(scheme)
     siblings = (COLLECTIONS_SEGMENT, ASSETS_SEGMENT)
-    fields = _fields(raw, pattern)
-    item = F.split(fields, MARK, -1)
-    bare = F.get(item, F.lit(1)) == "B"
-    segment, rest = F.get(item, F.lit(4)), _blank_to_null(F.get(item, F.lit(5)))
-    is_sibling = segment.isin(*siblings)
-    good = fields.startswith(MARK) & (bare | ~is_sibling | rest.isNotNull())
-    parts = {
-        "user": _blank_to_null(F.get(item, F.lit(2))),
-        "archive": _blank_to_null(F.get(item, F.lit(3))),
-        "session": F.when(bare, F.when(segment.rlike(SESSION_TOKEN), segment))
-        .when(~is_sibling, _blank_to_null(segment)),
-        "file": F.when(bare, F.when(~segment.rlike(f"{SESSION_TOKEN}|{ASSET_TOKEN}"), segment))
-        .when(~is_sibling, rest),
-        "collection": F.when(~bare & (segment == COLLECTIONS_SEGMENT), rest),
-        "asset": F.when(bare, F.when(segment.rlike(ASSET_TOKEN), segment))
-        .when(segment == ASSETS_SEGMENT, rest),
-    }
-    parts = {name: F.when(good, part) for name, part in parts.items()}
+    fields = _fields(raw, scheme)
+    values = F.str_to_map(fields, F.lit(MARK), F.lit(VALUE_MARK))
+    parts = {name: F.try_element_at(values, F.lit(name)) for name in PARTS}
     # What is wrong with the rest, looked at only when no spelling fits.
     segments = F.split(F.regexp_replace(raw, pattern["starts_uri"], ""), PATH_SEPARATOR, -1)
     following = F.filter(F.slice(segments, F.lit(3), F.size(segments)), lambda p: ~_blank(p))
@@ -121,7 +121,7 @@ def parse_refs(df: DataFrame, text: str, prefix: str = "ref_",
     )
     return df.withColumns({
         **{prefix + name: part for name, part in parts.items()},
-        prefix + "error": F.when(~F.coalesce(good, F.lit(False)), mistake),
+        prefix + "error": F.when(~F.coalesce(fields.startswith(MARK), F.lit(False)), mistake),
     })
 
 
@@ -214,18 +214,18 @@ def canonical_refs(df: DataFrame, text: str, out: str = "canonical",
 
     Equals parsing and formatting again, but only rewrites the text.
     """
-    m = MARK
-    full, short = f"^{m}U{m}([^{m}]*){m}([^{m}]*)", f"^{m}[PB]{m}{m}([^{m}]*)"
-    fields = _fields(F.col(text), _patterns(scheme))
-    for pattern, order in (
-        (f"^{m}U.*{m}({COLLECTIONS_SEGMENT}|{ASSETS_SEGMENT}){m}$", ""),
-        (f"{full}{m}{m}$", f"{m}{scheme}$1/$2"),
-        (f"{full}{m}([^{m}]*){m}$", f"{m}{scheme}$1/$2/$3"),
-        (f"{full}{m}([^{m}]*){m}([^{m}]*)$", f"{m}{scheme}$1/$2/$3/$4"),
-        (f"{short}{m}([^{m}]*){m}([^{m}]+)$", f"{m}$1{ARCHIVE_SEPARATOR}$2/$3"),
-        (f"{short}{m}({ASSET_TOKEN[1:-1]}){m}$", f"{m}$1{ARCHIVE_SEPARATOR}{ASSETS_SEGMENT}/$2"),
-        (f"{short}{m}([^{m}]*){m}$", f"{m}$1{ARCHIVE_SEPARATOR}$2"),
-        (f"^{m}\\|", m),
+    m, k = MARK, VALUE_MARK
+    any_value = f"([^{m}{k}]*)"
+    fields = _fields(F.col(text), scheme)
+    for found, written in (
+        (f"^{m}user{k}{any_value}{m}archive{k}{any_value}", f"{m}{scheme}$1/$2"),
+        (f"^{m}archive{k}{any_value}", f"{m}$1{ARCHIVE_SEPARATOR}"),
+        (f"(?<=[^{m}{ARCHIVE_SEPARATOR}]){m}", f"/{m}"),
+        (f"{m}collection{k}", f"{COLLECTIONS_SEGMENT}/"),
+        (f"{m}asset{k}", f"{ASSETS_SEGMENT}/"),
+        (f"{m}(?:session|file){k}", ""),
     ):
-        fields = F.regexp_replace(fields, "(?s)" + pattern, order)
-    return df.withColumn(out, F.when(fields.startswith(MARK), F.substring(fields, 2, TEXT_END)))
+        fields = F.regexp_replace(fields, found, written)
+    # Whatever is still as written was malformed; the first mark tells.
+    kept = F.regexp_replace(fields, f"^{m}", "")
+    return df.withColumn(out, F.when(_fields(F.col(text), scheme).startswith(m), kept))

@@ -207,8 +207,7 @@ def walk(seeds: DataFrame, edges: DataFrame, seed: list[str], node: list[str], s
     frontier = stage(seeds.select(*seed, *node).distinct(), "walk-seeds")
     seen, found = frontier, None
     for depth in range(1, max_depth + 1):
-        on = [F.col(n).eqNullSafe(F.col("_s" + n)) if n in () else F.col(n) == F.col("_s" + n)
-              for n in node]
+        on = [F.col(n) == F.col("_s" + n) for n in node]
         start = frontier if expand is None else frontier.where(expand)
         step = start.join(renamed, on).select(*seed, *[F.col("_t" + n).alias(n) for n in node])
         fresh = step.distinct().join(seen, [*seed, *node], "left_anti")

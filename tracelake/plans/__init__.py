@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bindings", "columns", "items")
+MODULES = ("bindings", "columns", "items", "lineage")
 
 
 def load_all() -> None:
