@@ -301,5 +301,5 @@ def bucket_headers(sessions: DataFrame, today: str) -> DataFrame:
         "archive", "run_id", "created",
         day_bucket(F.col("created"), F.lit(today).cast("date")).alias("bucket"))
     walked = previous_in_groups(named, ["archive"], F.substring("created", 1, 10),
-                                ["created", "run_id"], "bucket", "before")
+                                ["created", "run_id"], "bucket", "before", descending=True)
     return walked.where(~F.col("before").eqNullSafe(F.col("bucket"))).drop("before")

@@ -135,16 +135,24 @@ def apply_changes(table: DataFrame, changes: DataFrame, fresh: DataFrame) -> Dat
 def write_changed_years(table: DataFrame, changes: DataFrame, path: str) -> None:
     """Rewrite only the (archive, year) partitions a sweep touched.
 
-    Dynamic partition overwrite leaves every other partition alone. Rows are
-    spread by session, so that a large year is written by many tasks.
+    Dynamic partition overwrite leaves every other partition alone; a partition
+    left without rows is dropped. Output is rebalanced, so a large year is
+    written by many tasks and small ones share a file each.
     """
-    years = changes.select("archive", "year").distinct()
     spark: SparkSession = table.sparkSession
+    years = changes.select("archive", "year").distinct()
+    kept = table.join(years, ["archive", "year"], "left_semi")
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        (table.join(years, ["archive", "year"], "left_semi")
-         .repartition("archive", "year", "run_id")
+        (kept.hint("rebalance", "archive", "year")
          .write.mode("overwrite").partitionBy("archive", "year").parquet(path))
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    # At most one row per partition directory, whatever the table holds.
+    emptied = years.join(table.select("archive", "year"), ["archive", "year"], "left_anti").collect()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in emptied:
+        files.delete(hadoop.Path(root, f"archive={row.archive}/year={row.year}"), True)

@@ -63,21 +63,23 @@ def running_sum(df: DataFrame, keys: list[str], slice_by: Column, order: list[Co
 
 
 def previous_in_groups(df: DataFrame, keys: list[str], slice_by: Column, order: list[str],
-                       value: str, out: str) -> DataFrame:
-    """``lag`` along a descending order within each group, split over its slices.
+                       value: str, out: str, descending: bool = False) -> DataFrame:
+    """``lag`` within each group, split over its slices.
 
     The first row of a slice looks at the last row of the slice before it, which
     is one aggregated row per slice.
     """
+    turn = F.desc if descending else F.asc
     sliced = df.withColumn("_slice", slice_by)
-    walk = Window.partitionBy(*keys, "_slice").orderBy(*[F.desc(c) for c in order])
+    walk = Window.partitionBy(*keys, "_slice").orderBy(*[turn(c) for c in order])
     local = sliced.withColumn("_lag", F.lag(value).over(walk)).withColumn(
         "_first", F.row_number().over(walk) == 1)
+    boxed, at = F.struct(F.col(value).alias("v")), F.struct(*order)
     last = (
         sliced.groupBy(*keys, "_slice")
-        .agg(F.min_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+        .agg((F.min_by(boxed, at) if descending else F.max_by(boxed, at)).alias("_last"))
         .withColumn("_before", F.lag("_last").over(
-            Window.partitionBy(*keys).orderBy(F.desc("_slice"))))
+            Window.partitionBy(*keys).orderBy(turn("_slice"))))
         .drop("_last")
     )
     return (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bindings", "columns", "items", "lineage")
+MODULES = ("bindings", "columns", "items", "lineage", "store", "audit")
 
 
 def load_all() -> None:
