@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.operators.items import SESSION
+from tracelake.functions import ids
+from tracelake.functions.refs import format_ref
+from tracelake.functions.text import slugify
+from tracelake.operators.items import ITEM, SESSION
+from tracelake.operators.lineage import MAX_DEPTH, NODE, walk
+from tracelake.operators.skew import attach, rank_in_groups, running_sum
+from tracelake.session import stage
 
 HISTORY_ENTRY = "struct<action:string,at:string,by:string,file:string,note:string>"
 
@@ -34,3 +41,596 @@ def merged_note(history: Column) -> Column:
     """Where a session was merged to, from the last entry that says so."""
     said = F.filter(history, lambda h: (h["action"] == "merged") & (h["note"] != ""))
     return F.get(said, F.size(said) - 1)["note"]
+
+
+# -- W2, W3: names and ids for a batch ------------------------------------------
+
+def resolve_names(requests: DataFrame, existing: DataFrame, order: list[str], slice_by: Column,
+                  policy: str = "duplicate") -> DataFrame:
+    """File names for a batch of writes that may clash.
+
+    ``requests`` has archive, run_id and requested; ``existing`` has archive,
+    run_id and name. Adds ``filename`` (null when refused), ``original_name`` and
+    ``duplicate_index`` (null unless renamed), and ``refused``. Under
+    ``duplicate`` a clash takes the next free ``-NNN``; a number is also taken
+    when the batch itself asks for a file of that name. ``overwrite`` keeps the
+    last request per name, ``cancel`` refuses all but a first one on a free name.
+    """
+    keys = [*SESSION, "requested"]
+    taken = existing.select(*SESSION, F.col("name").alias("requested"), F.lit(1).alias("_taken")).distinct()
+    ranked = rank_in_groups(requests, keys, slice_by, [F.col(c) for c in order], "_nth")
+    ranked = ranked.join(taken, keys, "left").withColumn("_taken", F.coalesce("_taken", F.lit(0)))
+    none = F.lit(None).cast("string")
+    if policy == "overwrite":
+        size = requests.groupBy(*keys).agg(F.count("*").alias("_size"))
+        last = attach(ranked, size, keys, "_size", order, "inner")
+        return last.where(F.col("_nth") == F.col("_size")).withColumns({
+            "filename": F.col("requested"), "original_name": none,
+            "duplicate_index": none.cast("int"), "refused": none}).drop("_nth", "_size", "_taken")
+    if policy == "cancel":
+        free = (F.col("_nth") == 1) & (F.col("_taken") == 0)
+        return ranked.withColumns({
+            "filename": F.when(free, F.col("requested")), "original_name": none,
+            "duplicate_index": none.cast("int"),
+            "refused": F.when(~free, "name already taken")}).drop("_nth", "_taken")
+
+    # The nth clash takes the nth number that is free. Numbers in use are ranked,
+    # and number u of rank i is passed by every n with u - i < n.
+    stem, suffix = ids.split_suffix(F.col("requested"))
+    shape = r"^(.+)-(\d{3,})$"
+    numbered = (
+        existing.select(*SESSION, F.col("name").alias("requested"))
+        .unionByName(requests.select(*keys)).distinct()
+        .select(*SESSION, stem.alias("_stem"), suffix.alias("_suffix"))
+        .where(F.col("_stem").rlike(shape))
+        .select(*SESSION, F.concat(F.regexp_extract("_stem", shape, 1), F.col("_suffix")).alias("requested"),
+                F.regexp_extract("_stem", shape, 2).try_cast("bigint").alias("_used"))
+        .where("_used >= 1").distinct().join(requests.select(*keys), keys, "left_semi")
+    )
+    passed = rank_in_groups(numbered, keys, F.floor(F.col("_used") / 1000), [F.col("_used")], "_i").select(
+        *keys, (F.col("_used") - F.col("_i")).alias("_at"), F.lit(1).alias("_step"))
+    asked = ranked.withColumn("_n", F.col("_nth") - 1 + F.col("_taken"))
+    line = asked.select(*keys, (F.col("_n") - 1).alias("_at"), F.lit(0).alias("_step")).unionByName(passed)
+    steps = running_sum(line, keys, F.floor(F.col("_at") / 1000), [F.col("_at"), F.desc("_step")],
+                        F.col("_step").cast("bigint"), "_skip").where("_step = 0").select(
+        *keys, (F.col("_at") + 1).alias("_n"), "_skip")
+    number = F.col("_n") + F.col("_skip")
+    named = asked.join(steps, [*keys, "_n"], "left").withColumn(
+        "_number", F.when(F.col("_n") > 0, number))
+    renamed = F.col("_number").isNotNull()
+    return named.withColumns({
+        "filename": F.when(renamed, ids.duplicate_name(F.col("requested"), F.col("_number")))
+        .otherwise(F.col("requested")),
+        "original_name": F.when(renamed, F.col("requested")),
+        "duplicate_index": F.col("_number").cast("int"),
+        "refused": none,
+    }).drop("_nth", "_taken", "_n", "_skip", "_number")
+
+
+def next_ids(incoming: DataFrame, existing: DataFrame, prefix: str = "S-",
+             this_year: int | None = None) -> DataFrame:
+    """A new id for every incoming session: its own year, the next free numbers.
+
+    ``incoming`` and ``existing`` have run_id. Which prefix an existing id has
+    does not matter for its number. Ids that do not parse count as this year's.
+    """
+    year = F.coalesce(ids.id_year(F.col("run_id")), F.lit(this_year).cast("int"))
+    used = (existing.select(ids.id_year(F.col("run_id")).alias("id_year"), ids.id_number(F.col("run_id")).alias("n"))
+            .where("id_year is not null").groupBy("id_year").agg(F.max("n").alias("_top")))
+    number = F.coalesce(ids.id_number(F.col("run_id")), F.lit(0))
+    ranked = rank_in_groups(incoming.withColumn("id_year", year), ["id_year"],
+                            F.floor(number / 4096), [number, F.col("run_id")], "_nth")
+    return ranked.join(used, "id_year", "left").withColumn("new_run_id", ids.format_id(
+        prefix, F.pmod("id_year", F.lit(100)), F.coalesce("_top", F.lit(0)) + F.col("_nth"))).drop("_nth", "_top")
+
+
+# -- J11, J16, F15, T14 ------------------------------------------------------------
+
+def compare_copies(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Same and differing files of two copies of each session.
+
+    A file the right side lacks differs; files only there do not count.
+    """
+    other = right.select(*ITEM, F.col("sha256").alias("_other"))
+    same = F.coalesce(F.col("sha256") == F.col("_other"), F.lit(False))
+    return left.select(*ITEM, "sha256").join(other, ITEM, "left").groupBy(*SESSION).agg(
+        F.count_if(same).alias("same"), F.count_if(~same).alias("differing"))
+
+
+def already_adopted(sessions: DataFrame) -> DataFrame:
+    """Origins recorded when sessions were adopted.
+
+    The origin is the address in the note, so one equality join finds it.
+    """
+    entry = F.explode(F.filter("history", lambda h: h["action"] == "adopted"))
+    return sessions.select(F.col("run_id").alias("adopted_as"), entry.alias("h")).select(
+        "adopted_as", F.regexp_extract("h.note", r"([a-z]+://.*)$", 1).alias("origin"))
+
+
+def unmerged(sessions: DataFrame) -> DataFrame:
+    return sessions.where(merged_note(F.col("history")).isNull())
+
+
+def safe_to_delete(sessions: DataFrame, archives: DataFrame) -> DataFrame:
+    """Intake archives and how many of their sessions exist nowhere else."""
+    left = unmerged(sessions).groupBy("archive").agg(F.count("*").alias("unmerged"))
+    return archives.where("kind = 'intake'").select("archive").join(left, "archive", "left").select(
+        "archive", F.coalesce("unmerged", F.lit(0)).alias("unmerged"),
+        (F.coalesce("unmerged", F.lit(0)) == 0).alias("safe"))
+
+
+# -- T5, T9, T12: plans ----------------------------------------------------------
+
+def session_bytes(files: DataFrame) -> DataFrame:
+    return files.groupBy(*SESSION).agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"))
+
+
+def plan_merge(source: DataFrame, unreadable: DataFrame, files: DataFrame, dest_ids: DataFrame,
+               this_year: int) -> tuple[DataFrame, DataFrame]:
+    """What merging an intake archive would move, and what it leaves (T5).
+
+    Sessions already merged or still open stay, as do unreadable ones. The rest
+    get ids of the year their work happened in.
+    """
+    note = merged_note(F.col("history"))
+    reason = F.when(note.isNotNull(), F.concat(F.lit("already merged as "), note)).when(
+        F.col("status") == "open", "still open")
+    judged = source.withColumn("note", reason)
+    skipped = judged.where("note is not null").select(*SESSION, "note").unionByName(
+        unreadable.select(*SESSION, F.lit("unreadable record").alias("note")))
+    moving = next_ids(judged.where("note is null").select(*SESSION), dest_ids, "S-", this_year)
+    zero = F.lit(0).cast("bigint")
+    plan = moving.join(session_bytes(files), SESSION, "left").withColumns(
+        {n: F.coalesce(n, zero) for n in ("n_files", "bytes")})
+    return plan, skipped
+
+
+def plan_adopt(source: DataFrame, owner: str, scheme: str, files: DataFrame, dest: DataFrame,
+               this_year: int, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What copying sessions out of a fragment would take.
+
+    A session whose address is already recorded in the destination is skipped.
+    """
+    chosen = source if wanted is None else source.join(wanted.select("run_id"), "run_id", "left_semi")
+    origin = F.concat(F.lit(f"{scheme}{owner or 'unknown'}/"), F.col("archive"), F.lit("/"), F.col("run_id"))
+    known = already_adopted(dest).groupBy("origin").agg(F.min("adopted_as").alias("adopted_as"))
+    judged = chosen.withColumn("origin", origin).join(known, "origin", "left")
+    skipped = judged.where("adopted_as is not null").select(
+        *SESSION, F.concat(F.lit("already adopted as "), F.col("adopted_as")).alias("note"))
+    moving = next_ids(judged.where("adopted_as is null").select(*SESSION, "origin"), dest.select("run_id"),
+                      "S-", this_year)
+    zero = F.lit(0).cast("bigint")
+    plan = moving.join(session_bytes(files), SESSION, "left").withColumns(
+        {n: F.coalesce(n, zero) for n in ("n_files", "bytes")})
+    return plan, skipped
+
+
+def sealed_conflicts(plan: DataFrame, seals: DataFrame) -> DataFrame:
+    """Sealed years a plan would add sessions to."""
+    return (plan.groupBy(F.col("id_year").alias("year")).agg(F.count("*").alias("n_sessions"))
+            .join(seals.select("year"), "year", "left_semi"))
+
+
+def plan_totals(plan: DataFrame) -> DataFrame:
+    """Sessions, files and bytes of a plan, foreign bytes and new ids apart."""
+    foreign = F.col("foreign") if "foreign" in plan.columns else F.lit(False)
+    new = F.col("new_run_id") if "new_run_id" in plan.columns else F.col("run_id")
+    return plan.agg(
+        F.count("*").alias("n_sessions"), F.sum("n_files").alias("n_files"), F.sum("bytes").alias("bytes"),
+        F.coalesce(F.sum(F.when(foreign, F.col("bytes"))), F.lit(0)).alias("foreign_bytes"),
+        F.count_if(new != F.col("run_id")).alias("n_renamed"))
+
+
+# -- T6, T7, T10: rewriting --------------------------------------------------------
+
+def rewrite_refs(refs: DataFrame, id_map: DataFrame, dest: str,
+                 repairs: DataFrame | None = None) -> DataFrame:
+    """References of moved sessions, as they read at the destination.
+
+    A chosen repair comes first, since it is spelled in source terms. A reference
+    to the destination archive becomes local, then a renamed session gets its new
+    id. Every other part, pins included, is carried along. ``refs`` has the ref_*
+    columns, a run_id and a filename; ``id_map`` has run_id and new_run_id.
+    """
+    out = refs
+    if repairs is not None:
+        at = ["run_id", "filename", "ref_session", "ref_file"]
+        fix = repairs.select(*[F.col(c).alias("_" + c) for c in at],
+                             "fixed_session", "fixed_file", F.lit(True).alias("_fix"))
+        same = [F.col(c).eqNullSafe(F.col("_" + c)) if c != "run_id" else F.col(c) == F.col("_" + c) for c in at]
+        condition = F.col("ref_archive").isNull()
+        for s in same:
+            condition = condition & s
+        out = (out.join(fix, condition, "left")
+               .withColumn("ref_session", F.when(F.col("_fix"), F.col("fixed_session")).otherwise(F.col("ref_session")))
+               .withColumn("ref_file", F.when(F.col("_fix"), F.col("fixed_file")).otherwise(F.col("ref_file")))
+               .drop(*["_" + c for c in at], "fixed_session", "fixed_file", "_fix"))
+    out = out.withColumn("ref_archive", F.when(F.col("ref_archive") != dest, F.col("ref_archive")))
+    target = id_map.select(F.col("run_id").alias("ref_session"), F.col("new_run_id").alias("_new_ref"))
+    home = id_map.select("run_id", F.col("new_run_id").alias("_new_home"))
+    return (
+        out.join(target, "ref_session", "left").join(home, "run_id")
+        .withColumn("ref_session", F.when(F.col("ref_archive").isNull() & F.col("_new_ref").isNotNull(), F.col("_new_ref"))
+                    .otherwise(F.col("ref_session")))
+        .withColumn("old_run_id", F.col("run_id")).withColumn("run_id", F.col("_new_home"))
+        .withColumn("archive", F.lit(dest)).drop("_new_ref", "_new_home")
+    )
+
+
+def carry_collections(incoming: DataFrame, existing: DataFrame, source: str) -> DataFrame:
+    """New names for incoming collections: a clash never merges into a set.
+
+    A taken name gets the source's name behind it, then 2, 3, ... until free.
+    """
+    names = incoming.select("collection").distinct()
+    taken = existing.select(F.col("collection").alias("new_name")).distinct()
+    first = names.withColumn("new_name", F.col("collection"))
+    done = first.join(taken, "new_name", "left_anti")
+    waiting = first.join(taken, "new_name", "left_semi").select("collection")
+    attempt = 1
+    while not waiting.isEmpty():
+        tail = f"-{source}" if attempt == 1 else f"-{source}-{attempt}"
+        tried = waiting.withColumn("new_name", slugify(F.concat(F.col("collection"), F.lit(tail))))
+        # Two incoming names may shorten to one slug; the first of them gets it.
+        mine = tried.groupBy("new_name").agg(F.min("collection").alias("collection"))
+        free = mine.join(taken, "new_name", "left_anti").join(done.select("new_name"), "new_name", "left_anti")
+        free = stage(free.select("collection", "new_name"), "collection-names")
+        done = done.select("collection", "new_name").unionByName(free)
+        waiting = stage(waiting.join(free.select("collection"), "collection", "left_anti"), "collection-waiting")
+        attempt += 1
+    return done.select("collection", "new_name", (F.col("collection") != F.col("new_name")).alias("renamed"))
+
+
+def remap_entries(entries: DataFrame, id_map: DataFrame, names: DataFrame, dest: str) -> DataFrame:
+    """Collection entries moved to the destination's ids and names.
+
+    ``entries`` is parsed; malformed ones are left behind. Returns the entries
+    with their new reference text.
+    """
+    good = entries.where("ref_error is null").withColumn(
+        "ref_archive", F.when(F.col("ref_archive") != dest, F.col("ref_archive")))
+    target = id_map.select(F.col("run_id").alias("ref_session"), F.col("new_run_id").alias("_new"))
+    child = names.select(F.col("collection").alias("ref_collection"), F.col("new_name").alias("_child"))
+    own = names.select("collection", "new_name")
+    local = F.col("ref_archive").isNull() & F.col("_new").isNotNull()
+    return (
+        good.join(target, "ref_session", "left").join(child, "ref_collection", "left").join(own, "collection")
+        .withColumn("ref_session", F.when(local, F.col("_new")).otherwise(F.col("ref_session")))
+        .withColumn("ref_collection", F.coalesce("_child", "ref_collection"))
+        .withColumn("new_ref", format_ref("ref_"))
+        .select("collection", "new_name", "ord", "ref", "new_ref", "note")
+    )
+
+
+def stamp_history(sessions: DataFrame, notes: DataFrame, action: str, at: str, by: str | None = None) -> DataFrame:
+    """Append one history entry per noted session."""
+    entry = history_entry(action, F.lit(at), F.col("_note"), F.lit(by).cast("string"))
+    said = notes.select(*SESSION, F.col("note").alias("_note"))
+    return sessions.join(said, SESSION, "left").withColumn(
+        "history", F.when(F.col("_note").isNotNull(), F.array_append("history", entry))
+        .otherwise(F.col("history"))).drop("_note")
+
+
+# -- J14, T8: repairs -----------------------------------------------------------------
+
+# How close a suggestion must be, and how many are made.
+CUTOFF = 0.6
+SUGGESTIONS = 3
+
+
+def _closeness(a: Column, b: Column) -> Column:
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+
+
+def _shortened(df: DataFrame, column: str, deletions: int) -> DataFrame:
+    """``df`` with one row per variant of ``column`` with up to that many letters out."""
+    out = df.withColumn("_variant", F.col(column))
+    for _ in range(deletions):
+        text = F.col("_variant")
+        dropped = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.concat(
+            F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
+        out = out.withColumn("_variant", F.explode(F.array_append(dropped, text))).distinct()
+    return out
+
+
+def closest(broken: DataFrame, known: DataFrame, block: list[str], wanted: str, candidate: str,
+            deletions: int = 2) -> DataFrame:
+    """The nearest candidates of each wanted text in its block, best first.
+
+    Similarity is 1 - edit distance / longer length, at least ``CUTOFF``; ties go
+    by name; at most ``SUGGESTIONS`` are kept. Texts within ``deletions`` edits
+    meet on a shared shortened form, an equality join whose size follows the
+    number of near pairs. Where that already gives enough suggestions no farther
+    text can matter. Only the others are compared by length band.
+    """
+    near_left = _shortened(broken.select(*block, wanted).distinct(), wanted, deletions)
+    near_right = _shortened(known.select(*block, candidate).distinct().join(
+        broken.select(*block), block, "left_semi"), candidate, deletions)
+    near = near_left.join(near_right, [*block, "_variant"]).select(*block, wanted, candidate).distinct()
+    near = near.where(F.levenshtein(wanted, candidate) <= deletions).where(
+        _closeness(F.col(wanted), F.col(candidate)) >= CUTOFF)
+    near = stage(near, "near")
+    enough = near.groupBy(*block, wanted).agg(F.count("*").alias("n")).where(F.col("n") >= SUGGESTIONS)
+    # A near text scores at least 1 - k/w and a farther one at most w/(w+k+1),
+    # for k deletions and w letters wanted; the former wins once w > k(k+1).
+    enough = enough.where(F.length(wanted) > deletions * (deletions + 1))
+    rest = broken.select(*block, wanted).distinct().join(enough, [*block, wanted], "left_anti")
+    shortest = F.ceil(F.length(wanted) * CUTOFF).cast("int")
+    longest = F.floor(F.length(wanted) / CUTOFF).cast("int")
+    banded = rest.withColumn("_len", F.explode(F.sequence(shortest, longest)))
+    far = banded.join(known.select(*block, candidate, F.length(candidate).alias("_len")), [*block, "_len"]).select(
+        *block, wanted, candidate).where(_closeness(F.col(wanted), F.col(candidate)) >= CUTOFF)
+    settled = near.join(enough, [*block, wanted], "left_semi")
+    scored = settled.unionByName(far.distinct()).withColumn("score", _closeness(F.col(wanted), F.col(candidate)))
+    best = Window.partitionBy(*block, wanted).orderBy(F.desc("score"), candidate)
+    return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= SUGGESTIONS)
+
+
+@F.pandas_udf("double")
+def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Matching-blocks ratio of each pair, the measure the reference results use."""
+    import difflib
+
+    def ratio(x: str, y: str) -> float:
+        return difflib.SequenceMatcher(None, y, x).ratio()
+    return pd.Series([ratio(x, y) for x, y in zip(a, b)])
+
+
+def closest_by_matching(broken: DataFrame, known: DataFrame, block: list[str], wanted: str,
+                        candidate: str) -> DataFrame:
+    """As :func:`closest`, scored by matching blocks, for exact agreement.
+
+    Compares within a length band per block, so it suits reviews of one archive.
+    """
+    low = F.ceil(F.length(wanted) * (CUTOFF / (2 - CUTOFF))).cast("int")
+    high = F.floor(F.length(wanted) * ((2 - CUTOFF) / CUTOFF)).cast("int")
+    banded = broken.select(*block, wanted).distinct().withColumn("_len", F.explode(F.sequence(low, high)))
+    pairs = banded.join(known.select(*block, candidate, F.length(candidate).alias("_len")), [*block, "_len"])
+    scored = pairs.withColumn("score", matching_ratio(F.col(wanted), F.col(candidate))).where(F.col("score") >= CUTOFF)
+    best = Window.partitionBy(*block, wanted).orderBy(F.desc("score"), F.desc(candidate))
+    return scored.drop("_len").withColumn("place", F.row_number().over(best)).where(F.col("place") <= SUGGESTIONS)
+
+
+def plan_repairs(refs: DataFrame, sessions: DataFrame, files: DataFrame, match=closest) -> DataFrame:
+    """Suggestions for local references that name nothing.
+
+    ``refs``: archive, run_id, filename, ref_session, ref_file, all local. An
+    unknown session gets near session ids, those holding the file first choice; a
+    known session without the file gets near file names. Only references that
+    fail are offered.
+    """
+    named = refs.withColumn("to_session", F.coalesce("ref_session", "run_id"))
+    known = sessions.select("archive", F.col("run_id").alias("to_session"))
+    lost = stage(named.join(known, ["archive", "to_session"], "left_anti"), "lost-sessions")
+    have = files.select("archive", F.col("run_id").alias("to_session"), F.col("name").alias("ref_file"))
+    missing = named.where("ref_file is not null").join(known, ["archive", "to_session"], "left_semi").join(
+        have, ["archive", "to_session", "ref_file"], "left_anti")
+    missing = stage(missing, "lost-files")
+
+    ids_near = match(lost.select("archive", "to_session"), sessions.select("archive", F.col("run_id").alias("near_id")),
+                     ["archive"], "to_session", "near_id").select("archive", "to_session", "near_id", "score", "place")
+    offered = lost.join(ids_near, ["archive", "to_session"], "left")
+    holds = files.select("archive", F.col("run_id").alias("near_id"), F.col("name").alias("ref_file"),
+                         F.lit(True).alias("_holds"))
+    offered = offered.join(holds, ["archive", "near_id", "ref_file"], "left")
+    key = ["archive", "run_id", "filename", "ref_session", "ref_file"]
+    some = offered.groupBy(*key).agg(F.bool_or("_holds").alias("_some"))
+    on = [F.col("o." + k).eqNullSafe(F.col("s." + k)) for k in key]
+    offered = (offered.alias("o").join(some.alias("s"), on).where(
+        F.col("o._holds") | ~F.coalesce("s._some", F.lit(False)))
+        .select(*["o." + k for k in key], F.lit("no such session").alias("problem"),
+                F.col("o.near_id").alias("fixed_session"), F.col("o.ref_file").alias("fixed_file"), F.col("o.place")))
+
+    names_near = match(missing.select("archive", "to_session", "ref_file"),
+                       files.select("archive", F.col("run_id").alias("to_session"), F.col("name").alias("near_file")),
+                       ["archive", "to_session"], "ref_file", "near_file")
+    near = missing.join(names_near.select("archive", "to_session", "ref_file", "near_file", "place"),
+                        ["archive", "to_session", "ref_file"], "left").select(
+        *key, F.lit("no such file in that session").alias("problem"),
+        F.col("ref_session").alias("fixed_session"), F.col("near_file").alias("fixed_file"), "place")
+    return offered.unionByName(near)
+
+
+def accept_unambiguous(repairs: DataFrame) -> DataFrame:
+    """Repairs with exactly one suggestion (T8); any other needs a person."""
+    key = ["run_id", "filename", "ref_session", "ref_file"]
+    return repairs.where("place is not null").groupBy("archive", *key).agg(
+        F.count("*").alias("n"), F.min("fixed_session").alias("fixed_session"), F.min("fixed_file").alias("fixed_file")
+    ).where("n = 1").drop("n")
+
+
+# -- U5, G5, T1-T4: exports ---------------------------------------------------------------
+
+def expand_selection(sessions: DataFrame | None, refs: DataFrame | None) -> DataFrame:
+    """A selection as (archive, run_id, filename); a null name is the whole session.
+
+    ``refs`` may come from people or from collection entries; those without a
+    session are dropped. A whole session takes in any of its files (U5).
+    """
+    rows = None
+    if sessions is not None:
+        rows = sessions.select(*SESSION, F.lit(None).cast("string").alias("filename"))
+    if refs is not None:
+        named = refs.where("ref_session is not null").select(
+            "archive", F.col("ref_session").alias("run_id"), F.col("ref_file").alias("filename"))
+        rows = named if rows is None else rows.unionByName(named)
+    rows = rows.distinct()
+    whole = rows.where("filename is null").select(*SESSION)
+    return rows.where("filename is not null").join(whole, SESSION, "left_anti").unionByName(
+        whole.withColumn("filename", F.lit(None).cast("string")))
+
+
+def selection_closure(picked: DataFrame, files: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A selection with everything it was derived from, and references elsewhere.
+
+    The walk keeps one set for the whole selection, linear in what it reaches. A
+    whole-session reference brings in a session not yet selected, is not followed
+    further, and never widens a subset somebody chose.
+    """
+    whole = picked.where("filename is null").select(*SESSION)
+    chosen = picked.where("filename is not null")
+    start = chosen.unionByName(files.join(whole, SESSION, "left_semi").select(
+        *SESSION, F.col("name").alias("filename")))
+    local = edges.where("ref_asset is null and ref_collection is null").withColumn(
+        "to_session", F.coalesce("ref_session", "run_id"))
+    home = F.col("ref_archive").isNull() | (F.col("ref_archive") == F.col("archive"))
+    inner = local.where(home)
+    links = inner.where("ref_file is not null").select(*NODE, F.col("to_session").alias("p_run_id"),
+                                                     F.col("ref_file").alias("p_filename"))
+    reached = walk(start, links, [], NODE, NODE, ["archive", "p_run_id", "p_filename"], MAX_DEPTH)
+    nodes = stage(start.unionByName(reached.select(*NODE)).distinct(), "closure")
+    named_whole = (inner.where("ref_file is null").join(nodes, NODE, "left_semi")
+                   .select("archive", F.col("to_session").alias("run_id")).distinct()
+                   .join(chosen.select(*SESSION), SESSION, "left_anti"))
+    all_whole = whole.unionByName(named_whole).distinct()
+    closed = nodes.join(all_whole, SESSION, "left_anti").unionByName(
+        all_whole.withColumn("filename", F.lit(None).cast("string")))
+    foreign = local.where(~home).join(nodes, NODE, "left_semi").select(
+        *NODE, "ref_user", "ref_archive", F.col("ref_session"), "ref_file")
+    return closed, foreign
+
+
+def wanted_files(closed: DataFrame, files: DataFrame) -> DataFrame:
+    """Every file a closed selection names, there or not (``size`` null if not)."""
+    whole = closed.where("filename is null").select(*SESSION)
+    everything = files.join(whole, SESSION, "left_semi").select(*ITEM, "size", "sha256")
+    listed = closed.where("filename is not null").withColumnRenamed("filename", "name").join(
+        files.select(*ITEM, "size", "sha256"), ITEM, "left")
+    return everything.unionByName(listed.select(*ITEM, "size", "sha256"))
+
+
+def plan_export(closed: DataFrame, sessions: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per session what an export takes, and what it cannot find."""
+    named = closed.select(*SESSION).distinct()
+    there = named.join(sessions.select(*SESSION), SESSION, "left_semi")
+    gone = named.join(sessions.select(*SESSION), SESSION, "left_anti").select(
+        *SESSION, F.lit(None).cast("string").alias("name"), F.lit("session not found").alias("note"))
+    want = wanted_files(closed, files).join(sessions.select(*SESSION), SESSION, "left_semi")
+    missing = want.where("size is null").select(*ITEM, F.lit("file is missing").alias("note"))
+    taken = session_bytes(want.where("size is not null"))
+    whole = files.groupBy(*SESSION).agg(F.count("*").alias("all_files"))
+    zero = F.lit(0).cast("bigint")
+    plan = there.join(taken, SESSION, "left").join(whole, SESSION, "left").select(
+        *SESSION, F.coalesce("n_files", zero).alias("n_files"), F.coalesce("bytes", zero).alias("bytes"),
+        (F.coalesce("n_files", zero) < F.coalesce("all_files", zero)).alias("partial"),
+        (F.coalesce("all_files", zero) - F.coalesce("n_files", zero)).alias("omitted"), F.lit(False).alias("foreign"))
+    return plan, gone.unionByName(missing)
+
+
+def plan_foreign(foreign: DataFrame, archives: DataFrame, sessions: DataFrame,
+                 files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions of other archives an export embeds, and references it cannot."""
+    asked = foreign.select(F.col("ref_archive").alias("archive"), F.col("ref_session").alias("run_id"),
+                           F.col("ref_file").alias("filename")).distinct()
+    held = sessions.join(archives.where("reachable").select("archive"), "archive", "left_semi").select(*SESSION)
+    plan, _missing = plan_export(expand_selection(None, asked.select(
+        "archive", F.col("run_id").alias("ref_session"), F.col("filename").alias("ref_file"))).join(
+        held, SESSION, "left_semi"), sessions, files)
+    lost = foreign.join(held.select(F.col("archive").alias("ref_archive"), F.col("run_id").alias("ref_session")),
+                        ["ref_archive", "ref_session"], "left_anti")
+    return plan.withColumn("foreign", F.lit(True)), lost
+
+
+def manifests_for(want: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Code manifests behind the wanted files."""
+    return (sidecars.where("code is not null and not trashed").withColumnRenamed("filename", "name")
+            .join(want.select(*ITEM), ITEM, "left_semi").select(F.col("code").alias("manifest")).distinct())
+
+
+def export_collections(entries: DataFrame, plan: DataFrame, want: DataFrame) -> DataFrame:
+    """Entries of collections that still point at something exported (T4).
+
+    ``entries`` is parsed. Nested collections stay; an entry of another archive
+    or of something left out goes. Adds how many entries were dropped; a
+    collection nothing is left of does not appear.
+    """
+    local = entries.where("ref_error is null").withColumn(
+        "_home", F.coalesce("ref_archive", "archive") == F.col("archive"))
+    by_session = plan.select("archive", F.col("run_id").alias("ref_session"), F.lit(True).alias("_s"))
+    by_file = want.where("size is not null").select(
+        "archive", F.col("run_id").alias("ref_session"), F.col("name").alias("ref_file"), F.lit(True).alias("_f"))
+    judged = local.join(by_session, ["archive", "ref_session"], "left").join(
+        by_file, ["archive", "ref_session", "ref_file"], "left")
+    keep = F.col("ref_collection").isNotNull() | (F.col("_home") & F.when(
+        F.col("ref_file").isNull(), F.col("_s")).otherwise(F.col("_f")))
+    judged = judged.withColumn("_keep", F.coalesce(keep, F.lit(False)))
+    dropped = judged.groupBy("archive", "collection").agg(F.count_if(~F.col("_keep")).alias("dropped"))
+    return judged.where("_keep").select("archive", "collection", "ord", "ref").join(
+        dropped, ["archive", "collection"])
+
+
+# -- T11, T15, U4, T16 ------------------------------------------------------------------
+
+def blob_transfer(manifests: DataFrame, manifest_files: DataFrame, source: DataFrame,
+                  dest: DataFrame) -> DataFrame:
+    """Blobs a move needs: present already, to copy, or missing."""
+    needed = manifest_files.join(manifests, "manifest", "left_semi").select(F.col("blob").alias("digest")).distinct()
+    here = dest.select("digest", F.lit(True).alias("_here")).distinct()
+    there = source.select("digest", "bytes", F.lit(True).alias("_there")).dropDuplicates(["digest"])
+    return needed.join(here, "digest", "left").join(there, "digest", "left").select(
+        "digest", F.when(F.col("_here"), "present").when(F.col("_there"), "copy").otherwise("missing").alias("action"),
+        "bytes")
+
+
+def receive_routing(rows: DataFrame, archives: DataFrame) -> DataFrame:
+    """Where incoming rows are filed: by owner and archive, not by sender."""
+    owned = archives.select("archive", "kind", F.when(F.coalesce("owner", F.lit("")) == "", "unknown")
+                            .otherwise(F.col("owner")).alias("owner"))
+    return rows.join(owned, "archive").withColumn(
+        "refused", F.when(F.col("kind") != "fragment", F.concat(F.lit("not a fragment but "), F.col("kind")))
+    ).withColumn("destination", F.concat_ws("/", "owner", "archive"))
+
+
+def receive(incoming: DataFrame, incoming_files: DataFrame, existing: DataFrame, existing_files: DataFrame,
+            overwrite: bool = False) -> DataFrame:
+    """What happens to each incoming session: added, skipped or in conflict (U4).
+
+    Identical copies are skipped. A differing one is kept as it is and reported,
+    unless told to overwrite. A session without files counts as new.
+    """
+    known = existing.select(*SESSION, F.lit(True).alias("_known"))
+    compared = compare_copies(incoming_files, existing_files)
+    zero = F.lit(0).cast("bigint")
+    got = incoming.select(*SESSION).join(known, SESSION, "left").join(compared, SESSION, "left").withColumns(
+        {"same": F.coalesce("same", zero), "differing": F.coalesce("differing", zero)})
+    action = (F.when(F.col("_known").isNull(), "add")
+              .when(F.col("differing") > 0, "overwrite" if overwrite else "conflict")
+              .when(F.col("same") > 0, "skip").otherwise("add"))
+    return got.select(*SESSION, "same", "differing", action.alias("action"))
+
+
+def union_tables(existing: DataFrame, incoming: DataFrame, actions: DataFrame) -> DataFrame:
+    """The table after receiving: winners of both sides."""
+    taken = actions.where("action in ('add', 'overwrite')").select(*SESSION)
+    kept = existing.join(taken, SESSION, "left_anti")
+    return kept.unionByName(incoming.join(taken, SESSION, "left_semi"), allowMissingColumns=True)
+
+
+def apply_merge(plan: DataFrame, source_sessions: DataFrame, dest_sessions: DataFrame, source: str, dest: str,
+                at: str, op: str = "merge") -> tuple[DataFrame, DataFrame]:
+    """Both session tables after a merge or an adoption.
+
+    Moved sessions appear at the destination under their new ids with a note of
+    where they came from. A merge also marks the source, which is what makes
+    running it again change nothing; an adoption leaves the source as it is.
+    """
+    ids_of = plan.select(*SESSION, "new_run_id", *(["origin"] if op == "adopt" else []))
+    action = "merged" if op == "merge" else "adopted"
+    note = (F.concat(F.lit(f"{op} from {source}/"), F.col("run_id")) if op == "merge"
+            else F.concat(F.lit("adopted from "), F.col("origin")))
+    moved = source_sessions.join(ids_of, SESSION).withColumn(
+        "history", F.array_append("history", history_entry(action, F.lit(at), note))
+    ).withColumns({"archive": F.lit(dest), "run_id": F.col("new_run_id")}).drop("new_run_id", "origin")
+    arrived = dest_sessions.unionByName(moved.select(*dest_sessions.columns))
+    if op != "merge":
+        return arrived, source_sessions
+    marks = plan.select(*SESSION, F.concat(F.lit(f"{dest}|"), F.col("new_run_id")).alias("note"))
+    return arrived, stamp_history(source_sessions, marks, "merged", at)
+
+
+def lock_archive(archives: DataFrame, source: str, dest: str, at: str) -> DataFrame:
+    """Refuse further writes to a merged archive."""
+    mine = F.col("archive") == source
+    out = archives.withColumn("merged_at", F.when(mine, at).otherwise(F.col("merged_at")))
+    return out.withColumn("merged_to", F.when(mine, dest).otherwise(
+        F.col("merged_to") if "merged_to" in archives.columns else F.lit(None).cast("string")))

@@ -174,7 +174,7 @@ for _row in CHECKED:
     _register(*_row)
 
 
-@query("c21_asset_edges_apart", BASE + """ select 0 as n""" if False else f"with {REFS} select count(*) as n from refs where filename is not null and ref_file = 'figure.svg'")
+@query("c21_asset_edges_apart", f"with {REFS} select count(*) as n from refs where filename is not null and ref_file = 'figure.svg'")
 def asset_edges_apart(cat):
     """Edges to assets that were judged as file references: there must be none."""
     as_files = checked_edges(cat).where("ref_asset is null and ref_file = 'figure.svg'")
