@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import identity
 from tracelake.functions.times import hold_garbled
 from tracelake.operators.items import ITEM, SESSION, orphan_files
-from tracelake.operators.lineage import NODE, current_names, resolve_edges
+from tracelake.operators.lineage import NODE
 
 # States a session may have, and what to do about each finding.
 STATUSES = ("open", "closed", "crashed")
@@ -118,12 +118,12 @@ def artifact_issues(files: DataFrame, sidecars: DataFrame, sessions: DataFrame)
 # -- references (C11-C15, C21) --------------------------------------------------
 
 def reference_issues(edges: DataFrame, related: DataFrame, archives: DataFrame, sessions: DataFrame,
-                     files: DataFrame, renames: DataFrame) -> DataFrame:
+                     files: DataFrame, names: DataFrame) -> DataFrame:
     """Dangling, renamed, self and unreachable references.
 
     Asset edges are judged elsewhere, and only by their own rules. A reference
     into another archive is never verified, only reported when that archive is
-    out of reach.
+    out of reach. ``names`` is the rename log followed to the end.
     """
     derived = edges.where("ref_asset is null").select(
         *SESSION, "filename", "ref_archive", "ref_session", "ref_file", F.lit("dangling_derived_from").alias("_kind"))
@@ -144,7 +144,7 @@ def reference_issues(edges: DataFrame, related: DataFrame, archives: DataFrame,
     gone = local.where(~itself & F.col("ref_file").isNotNull()).join(
         known_file, ["archive", "to_session", "ref_file"], "left_anti")
     moved = (
-        current_names(renames).join(files.select(*SESSION, F.col("name").alias("current_name")),
+        names.join(files.select(*SESSION, F.col("name").alias("current_name")),
                                     [*SESSION, "current_name"], "left_semi")
         .select("archive", F.col("run_id").alias("to_session"), F.col("old_name").alias("ref_file"), "current_name")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.operators.items import SESSION
-from tracelake.session import stage
+from tracelake.session import stage, stage_counted
 
 NODE = ["archive", "run_id", "filename"]
 
@@ -211,8 +211,8 @@ def walk(seeds: DataFrame, edges: DataFrame, seed: list[str], node: list[str], s
         start = frontier if expand is None else frontier.where(expand)
         step = start.join(renamed, on).select(*seed, *[F.col("_t" + n).alias(n) for n in node])
         fresh = step.distinct().join(seen, [*seed, *node], "left_anti")
-        fresh = stage(fresh, f"walk-{depth}")
-        if fresh.isEmpty():
+        fresh, rows = stage_counted(fresh, f"walk-{depth}")
+        if rows == 0:
             break
         seen = seen.unionByName(fresh)
         level = fresh.withColumn("depth", F.lit(depth))
@@ -332,10 +332,11 @@ def collection_tree(links: DataFrame, collections: DataFrame, roots: DataFrame,
             "archive", "root", F.col("name").alias("parent"), F.col("child").alias("name"),
             F.concat("path", F.array("child")).alias("path"), F.lit(depth).alias("depth"),
             F.array_contains("path", F.col("child")).alias("cycle"))
-        shown = stage(shown.withColumn("truncated", ~F.col("cycle") & F.lit(depth == max_depth)), f"coll-{depth}")
+        shown, rows = stage_counted(
+            shown.withColumn("truncated", ~F.col("cycle") & F.lit(depth == max_depth)), f"coll-{depth}")
         out = shown if out is None else out.unionByName(shown)
         level = shown.where("not cycle").select("archive", "root", "name", "path")
-        if level.isEmpty():
+        if rows == 0:
             break
     return out
 

@@ -316,6 +316,8 @@ def stamp_history(sessions: DataFrame, notes: DataFrame, action: str, at: str, b
 # How close a suggestion must be, and how many are made.
 CUTOFF = 0.6
 SUGGESTIONS = 3
+#: Into how many parts the candidates of one block are split for comparison.
+SHARES = 32
 
 
 def _closeness(a: Column, b: Column) -> Column:
@@ -343,24 +345,33 @@ def closest(broken: DataFrame, known: DataFrame, block: list[str], wanted: str,
     number of near pairs. Where that already gives enough suggestions no farther
     text can matter. Only the others are compared by length band.
     """
-    near_left = _shortened(broken.select(*block, wanted).distinct(), wanted, deletions)
-    near_right = _shortened(known.select(*block, candidate).distinct().join(
-        broken.select(*block), block, "left_semi"), candidate, deletions)
-    near = near_left.join(near_right, [*block, "_variant"]).select(*block, wanted, candidate).distinct()
-    near = near.where(F.levenshtein(wanted, candidate) <= deletions).where(
-        _closeness(F.col(wanted), F.col(candidate)) >= CUTOFF)
-    near = stage(near, "near")
-    enough = near.groupBy(*block, wanted).agg(F.count("*").alias("n")).where(F.col("n") >= SUGGESTIONS)
-    # A near text scores at least 1 - k/w and a farther one at most w/(w+k+1),
-    # for k deletions and w letters wanted; the former wins once w > k(k+1).
-    enough = enough.where(F.length(wanted) > deletions * (deletions + 1))
-    rest = broken.select(*block, wanted).distinct().join(enough, [*block, wanted], "left_anti")
+    rest = stage(broken.select(*block, wanted).distinct(), "wanted")
+    settled = None
+    for edits in range(1, deletions + 1):
+        left = _shortened(rest, wanted, edits)
+        right = _shortened(known.select(*block, candidate).distinct().join(
+            rest.select(*block), block, "left_semi"), candidate, edits)
+        near = left.join(right, [*block, "_variant"]).select(*block, wanted, candidate).where(
+            F.levenshtein(wanted, candidate) <= edits).where(
+            _closeness(F.col(wanted), F.col(candidate)) >= CUTOFF).distinct()
+        near = stage(near, f"near-{edits}")
+        # A text within k edits scores at least 1 - k/w and any other at most
+        # w/(w+k+1), for w letters wanted; the former wins once w > k(k+1).
+        enough = near.groupBy(*block, wanted).agg(F.count("*").alias("n")).where(
+            (F.col("n") >= SUGGESTIONS) & (F.length(wanted) > edits * (edits + 1)))
+        found = near.join(enough, [*block, wanted], "left_semi")
+        settled = found if settled is None else settled.unionByName(found)
+        rest = stage(rest.join(enough, [*block, wanted], "left_anti"), f"rest-{edits}")
     shortest = F.ceil(F.length(wanted) * CUTOFF).cast("int")
     longest = F.floor(F.length(wanted) / CUTOFF).cast("int")
-    banded = rest.withColumn("_len", F.explode(F.sequence(shortest, longest)))
-    far = banded.join(known.select(*block, candidate, F.length(candidate).alias("_len")), [*block, "_len"]).select(
+    # The texts left over are few; each is compared by every share of its band,
+    # so a block holding most of the candidates is scanned by many tasks.
+    share = F.pmod(F.xxhash64(candidate), F.lit(SHARES)).cast("int")
+    banded = rest.withColumn("_len", F.explode(F.sequence(shortest, longest))).withColumn(
+        "_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    shared = known.select(*block, candidate, F.length(candidate).alias("_len"), share.alias("_share"))
+    far = banded.join(shared, [*block, "_len", "_share"]).select(
         *block, wanted, candidate).where(_closeness(F.col(wanted), F.col(candidate)) >= CUTOFF)
-    settled = near.join(enough, [*block, wanted], "left_semi")
     scored = settled.unionByName(far.distinct()).withColumn("score", _closeness(F.col(wanted), F.col(candidate)))
     best = Window.partitionBy(*block, wanted).orderBy(F.desc("score"), candidate)
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= SUGGESTIONS)
@@ -467,6 +478,7 @@ def selection_closure(picked: DataFrame, files: DataFrame, edges: DataFrame) ->
     whole-session reference brings in a session not yet selected, is not followed
     further, and never widens a subset somebody chose.
     """
+    picked = stage(picked, "picked")
     whole = picked.where("filename is null").select(*SESSION)
     chosen = picked.where("filename is not null")
     start = chosen.unionByName(files.join(whole, SESSION, "left_semi").select(

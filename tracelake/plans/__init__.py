@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bindings", "columns", "items", "lineage", "store", "audit", "transfer")
+MODULES = ("bindings", "columns", "items", "lineage", "store", "audit", "transfer", "changes", "documents")
 
 
 def load_all() -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import refs
 from tracelake.operators import audit as au
 from tracelake.operators import refresh as rf
+from tracelake.operators.lineage import current_names
 from tracelake.plans.lineage import NAMES
 from tracelake.plans.registry import query
 from tracelake.plans.store import LIVE, SEALS, live_of, seals_of
@@ -45,7 +46,8 @@ def _artifacts(cat):
 
 
 def _references(cat):
-    return au.reference_issues(checked_edges(cat), cat.related_runs, cat.archives, existing(cat), cat.files, cat.renames)
+    return au.reference_issues(checked_edges(cat), cat.related_runs, cat.archives, existing(cat), cat.files,
+                               cat.shared("current-names", lambda: current_names(cat.renames)))
 
 
 def _code(cat):

@@ -79,7 +79,7 @@ resolved as (select archive, run_id, filename, ord, to_archive, to_session, case
 def _statuses(cat):
     plain = li.resolve_edges(cat.edges.where("ref_asset is null")).select(
         *NODE, "ord", "to_archive", "to_session", "to_file")
-    return li.ref_status(plain, cat.archives, cat.sessions, cat.files, li.current_names(cat.renames))
+    return li.ref_status(plain, cat.archives, cat.sessions, cat.files, cat.shared("current-names", lambda: li.current_names(cat.renames)))
 
 
 @query("j05_ref_status", f"with {STATUS} select * from resolved")

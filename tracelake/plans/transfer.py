@@ -88,7 +88,8 @@ def merge_of(cat):
     source = tr.history_of(cat).where(f"archive = '{SRC}'")
     unreadable = cat.session_rows.where(f"archive = '{SRC}' and record_state = 'unreadable'").select(*SESSION)
     dest = cat.session_rows.where(f"archive = '{DEST}'").select("run_id")
-    return tr.plan_merge(source, unreadable, cat.files, dest, THIS_YEAR)
+    plan, skipped = tr.plan_merge(source, unreadable, cat.files, dest, THIS_YEAR)
+    return cat.shared("merge-plan", lambda: plan), skipped
 
 
 @query("t05_merge_plan", f"with {MERGE} select * from plan")
@@ -129,7 +130,7 @@ def local_refs(cat):
 def repairs_of(cat):
     known = cat.sessions.where(f"archive = '{SRC}'")
     files = cat.files.join(known.select(*SESSION), SESSION, "left_semi")
-    return tr.plan_repairs(local_refs(cat), known, files)
+    return cat.shared("repairs", lambda: tr.plan_repairs(local_refs(cat), known, files))
 
 
 REPAIRS = MERGE + f""", lrefs as (select e.archive, e.run_id, e.filename, e.ref_session, e.ref_file, coalesce(ref_session, e.run_id) as ts from @edges e semi join plan p on e.archive = p.archive and e.run_id = p.run_id
@@ -305,7 +306,13 @@ plan as (select c.archive, c.run_id, coalesce(z.n_files, 0) as n_files, coalesce
 
 
 def closure_of(cat):
-    return tr.selection_closure(selection_of(cat), cat.files, cat.edges)
+    def foreign():
+        closed, elsewhere = tr.selection_closure(selection_of(cat), cat.files, cat.edges)
+        cat.shared("closure", lambda: closed)
+        return elsewhere
+
+    elsewhere = cat.shared("closure-foreign", foreign)
+    return cat.shared("closure", lambda: None), elsewhere
 
 
 def wanted_of(cat, closed):

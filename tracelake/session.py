@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Runtime settings every plan here relies on. All can be set on a running
 #: session, so they also apply to a session somebody else built.
@@ -77,3 +78,10 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     writer.parquet(path)
     # The schema read back is the one written, so no inference job runs.
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """As :func:`stage`, with the number of rows, counted while they are written."""
+    seen = Observation()
+    out = stage(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return out, seen.get["rows"]

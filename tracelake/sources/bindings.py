@@ -406,6 +406,12 @@ class Catalog:
             self._frames[name] = stage(frame, name) if name in self.STAGED else frame
         return self._frames[name]
 
+    def shared(self, name: str, build) -> DataFrame:
+        """A derived table several queries start from, built and written once."""
+        if name not in self._frames:
+            self._frames[name] = stage(build(), name)
+        return self._frames[name]
+
     def _build(self, name: str) -> DataFrame:
         if name in DRIVER_TABLES:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
