@@ -168,7 +168,8 @@ def yaml_to_json(documents: DataFrame) -> DataFrame:
         try:
             import yaml
 
-            load, failure = yaml.safe_load, yaml.YAMLError
+            loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+            load, failure = lambda text: yaml.load(text, Loader=loader), yaml.YAMLError
         except ImportError:            # JSON is YAML, so such documents still read
             load, failure = json.loads, ValueError
 
@@ -204,12 +205,13 @@ def parse_sessions(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parse_annotations(documents: DataFrame) -> DataFrame:
     """Notes on sessions and files; junk is passed over, unreadable files are empty."""
-    entry = "struct<tags:string,comment:string>"
+    # Entries are taken as text first, so that one bad entry spoils only itself.
     got = yaml_to_json(documents).select(
-        "archive", "run_id", F.from_json("json", f"session {entry}, artifacts map<string,{entry}>").alias("d"))
-    session = got.select("archive", "run_id", F.lit(None).cast("string").alias("filename"), F.col("d.session").alias("e"))
-    files = got.select("archive", "run_id", F.explode("d.artifacts").alias("filename", "e"))
-    rows = session.unionByName(files).where("e is not null")
+        "archive", "run_id", F.from_json("json", "session string, artifacts map<string,string>").alias("d"))
+    session = got.select("archive", "run_id", F.lit(None).cast("string").alias("filename"), F.col("d.session").alias("t"))
+    files = got.select("archive", "run_id", F.explode("d.artifacts").alias("filename", "t"))
+    rows = session.unionByName(files).where("t is not null").withColumn(
+        "e", F.from_json("t", "tags string, comment string"))
     tags = F.coalesce(clean_tags(F.from_json("e.tags", "array<string>")), F.array().cast("array<string>"))
     return rows.select("archive", "run_id", "filename", tags.alias("tags"),
                        F.coalesce(strip(F.col("e.comment")), F.lit("")).alias("comment")).where(
