@@ -21,7 +21,8 @@ from tracelake.operators.lineage import (
 from tracelake.operators.skew import rank_in_groups
 from tracelake.operators.transfer import resolve_names
 
-TEXT = F.lit(None).cast("string")
+def no_text() -> Column:
+    return F.lit(None).cast("string")
 
 
 def split_writable(changes: DataFrame, archives: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -149,7 +150,7 @@ def adopt_orphans(files: DataFrame, sidecars: DataFrame, at: str, by: str) -> Da
     """Stub records for files nobody recorded; they count as external (M4)."""
     found = orphan_files(files, sidecars)
     return found.select(*SESSION, F.col("name").alias("filename"), F.lit(at).alias("created"),
-                        F.lit("external").alias("source"), TEXT.alias("origin"), F.lit(by).alias("imported_by"),
+                        F.lit("external").alias("source"), no_text().alias("origin"), F.lit(by).alias("imported_by"),
                         "sha256", F.lit(True).alias("reconciled"))
 
 
@@ -216,7 +217,7 @@ def hold_sessions(sessions: DataFrame, changes: DataFrame, now: Column) -> tuple
     Null seconds hold for ever. Changes to unknown sessions are refused.
     """
     known = sessions.select(*SESSION)
-    until = F.when(F.col("release"), TEXT).when(F.col("seconds").isNull(), HOLD_FOREVER).otherwise(
+    until = F.when(F.col("release"), no_text()).when(F.col("seconds").isNull(), HOLD_FOREVER).otherwise(
         as_iso(F.timestamp_seconds(F.unix_timestamp(now) + F.col("seconds").cast("bigint"))))
     asked = changes.select(*SESSION, until.alias("_until"), F.lit(True).alias("_asked"))
     out = sessions.join(asked, SESSION, "left").withColumn(

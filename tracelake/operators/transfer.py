@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelake.functions import ids
 from tracelake.functions.refs import format_ref
@@ -318,6 +319,8 @@ CUTOFF = 0.6
 SUGGESTIONS = 3
 #: Into how many parts the candidates of one block are split for comparison.
 SHARES = 32
+#: A block of at most this many candidates is compared without an index.
+FEW = 500
 
 
 def _closeness(a: Column, b: Column) -> Column:
@@ -336,7 +339,7 @@ def _shortened(df: DataFrame, column: str, deletions: int) -> DataFrame:
 
 
 def closest(broken: DataFrame, known: DataFrame, block: list[str], wanted: str, candidate: str,
-            deletions: int = 2) -> DataFrame:
+            deletions: int = 3) -> DataFrame:
     """The nearest candidates of each wanted text in its block, best first.
 
     Similarity is 1 - edit distance / longer length, at least ``CUTOFF``; ties go
@@ -345,8 +348,14 @@ def closest(broken: DataFrame, known: DataFrame, block: list[str], wanted: str,
     number of near pairs. Where that already gives enough suggestions no farther
     text can matter. Only the others are compared by length band.
     """
-    rest = stage(broken.select(*block, wanted).distinct(), "wanted")
-    settled = None
+    # A block of few candidates is compared outright: a bounded number of pairs
+    # per wanted text. Only larger blocks go through the shortened forms.
+    small = known.groupBy(*block).agg(F.count("*").alias("_n")).where(F.col("_n") <= FEW).select(*block)
+    asked = stage(broken.select(*block, wanted).distinct(), "wanted")
+    few = asked.join(small, block, "left_semi")
+    settled = few.join(known.select(*block, candidate), block).where(
+        _closeness(F.col(wanted), F.col(candidate)) >= CUTOFF).select(*block, wanted, candidate).distinct()
+    rest = stage(asked.join(small, block, "left_anti"), "rest-0")
     for edits in range(1, deletions + 1):
         left = _shortened(rest, wanted, edits)
         right = _shortened(known.select(*block, candidate).distinct().join(
@@ -360,7 +369,7 @@ def closest(broken: DataFrame, known: DataFrame, block: list[str], wanted: str,
         enough = near.groupBy(*block, wanted).agg(F.count("*").alias("n")).where(
             (F.col("n") >= SUGGESTIONS) & (F.length(wanted) > edits * (edits + 1)))
         found = near.join(enough, [*block, wanted], "left_semi")
-        settled = found if settled is None else settled.unionByName(found)
+        settled = settled.unionByName(found)
         rest = stage(rest.join(enough, [*block, wanted], "left_anti"), f"rest-{edits}")
     shortest = F.ceil(F.length(wanted) * CUTOFF).cast("int")
     longest = F.floor(F.length(wanted) / CUTOFF).cast("int")
@@ -377,7 +386,7 @@ def closest(broken: DataFrame, known: DataFrame, block: list[str], wanted: str,
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= SUGGESTIONS)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio of each pair, the measure the reference results use."""
     import difflib
