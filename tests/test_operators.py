@@ -111,7 +111,7 @@ def test_search_grammar():
     assert not se.asks_nothing("", None, None, ["external"])
 
 
-def test_repairs_match_brute_force(spark):
+def test_repairs_match_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     known = sorted({"".join(rng.choice("abc1") for _ in range(rng.randrange(5, 9))) for _ in range(60)})
     wanted = ["".join(rng.choice("abc1") for _ in range(7)) for _ in range(15)]
@@ -119,15 +119,11 @@ def test_repairs_match_brute_force(spark):
     def distance(a, b):
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
-            row = [i] + [0] * len(b) if False else _next(row, i, x, b)
+            above, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
         return row[-1]
 
-    def _next(row, i, x, b):
-        out = [i]
-        for j, y in enumerate(b, 1):
-            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
-        return out
-
     broken = spark.createDataFrame([("A", w) for w in wanted], "archive string, w string")
     have = spark.createDataFrame([("A", k) for k in known], "archive string, c string")
     want = set()
@@ -135,10 +131,9 @@ def test_repairs_match_brute_force(spark):
         scored = [(-(1 - distance(w, k) / max(len(w), len(k))), k) for k in known]
         want |= {(w, k) for s, k in sorted(scored)[:3] if -s >= 0.6}
     for few in (1000, 1):
-        tr.FEW = few
+        monkeypatch.setattr(tr, "FEW", few)
         got = {(r.w, r.c) for r in tr.closest(broken, have, ["archive"], "w", "c").collect()}
         assert got == want
-    tr.FEW = 500
     exact = {(r.w, r.c) for r in tr.closest_by_matching(broken, have, ["archive"], "w", "c").collect()}
     assert exact == {(w, k) for w in wanted for k in difflib.get_close_matches(w, known, 3, 0.6)}
 

@@ -221,11 +221,11 @@ def canonical_refs(df: DataFrame, text: str, out: str = "canonical",
         (f"^{m}user{k}{any_value}{m}archive{k}{any_value}", f"{m}{scheme}$1/$2"),
         (f"^{m}archive{k}{any_value}", f"{m}$1{ARCHIVE_SEPARATOR}"),
         (f"(?<=[^{m}{ARCHIVE_SEPARATOR}]){m}", f"/{m}"),
-        (f"{m}collection{k}", f"{COLLECTIONS_SEGMENT}/"),
-        (f"{m}asset{k}", f"{ASSETS_SEGMENT}/"),
-        (f"{m}(?:session|file){k}", ""),
+        (f"{m}collection{k}", f"{m}{COLLECTIONS_SEGMENT}/"),
+        (f"{m}asset{k}", f"{m}{ASSETS_SEGMENT}/"),
+        (f"{m}(?:session|file){k}", m),
+        (f"(?s)(?<=.){m}", ""),
     ):
         fields = F.regexp_replace(fields, found, written)
-    # Whatever is still as written was malformed; the first mark tells.
-    kept = F.regexp_replace(fields, f"^{m}", "")
-    return df.withColumn(out, F.when(_fields(F.col(text), scheme).startswith(m), kept))
+    # A leading mark says well-formed; splitting there gives null otherwise.
+    return df.withColumn(out, F.get(F.split(fields, f"^{m}", 2), F.lit(1)))

@@ -15,7 +15,7 @@ from tracelake.functions import policy as pol
 from tracelake.functions.refs import canonical_refs, parse_refs
 from tracelake.functions.text import bad_tags, clean_tags, rename_problem, strip
 from tracelake.functions.times import HOLD_FOREVER, as_iso
-from tracelake.operators.items import ITEM, SESSION, appendable, orphan_files
+from tracelake.operators.items import SESSION, appendable, orphan_files
 from tracelake.operators.lineage import (
     NODE, collections_reached, direct_dependents, inbound_references, rename_referrers)
 from tracelake.operators.skew import rank_in_groups

@@ -184,10 +184,7 @@ def asset_edges_apart(cat):
 
 
 def _all_kinds() -> str:
-    parts, ctes = [], []
-    for _code_, kind, _g, sql in CHECKED:
-        parts.append(f"select * from ({sql})")
-    return " union all ".join(parts)
+    return " union all ".join(f"select * from ({sql})" for _code, _kind, _group, sql in CHECKED)
 
 
 @query("a08_issue_summary", f"select severity, count(*) as n from ({_all_kinds()}) t group by 1")

@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.functions import refs as rf
 from tracelake.operators import changes as ch
 from tracelake.operators import people as pe
-from tracelake.operators import transfer as tr
 from tracelake.operators.lineage import NODE
 from tracelake.plans.items import HELD, annotations_of, now, sessions_of
 from tracelake.plans.registry import NOW, TODAY, query
-from tracelake.plans.transfer import entries_of
 
 NO = "cast(null as string)"
 SESSION = ["archive", "run_id"]
