@@ -307,7 +307,7 @@ def asset_order(cat):
     return cat.assets.orderBy(*it.asset_order()).select("archive", "asset_id", "scanned_at", "created")
 
 
-@query("o05_limit_with_flag", f"""with {ITEMS} select archive, run_id, name, true as truncated from items
+@query("o05_limit_with_flag", f"""with {ITEMS} select archive, run_id, name, count(*) over () > 500 as truncated from items
 order by cast(timestamp as timestamptz) desc nulls last, display_name, position, archive, run_id, name limit 500""")
 def limit_with_flag(cat):
     order = [*it.item_order(), F.asc("archive"), F.asc("run_id"), F.asc("name")]
@@ -346,7 +346,7 @@ def search_clauses(cat):
     return found.where(F.col("name").rlike("^line-[1-3]")).select("archive", "run_id", "name")
 
 
-@query("f09_search", f"""with {CORPUS} select archive, run_id, name, true as truncated from corpus
+@query("f09_search", f"""with {CORPUS} select archive, run_id, name, count(*) over () > 1000 as truncated from corpus
 where (source = 'external' and source_recorded) and substr(timestamp, 1, 10) between '1996-01-01' and '1998-12-31'
   and (contains(lower(user_comment), 'shipped') or contains(lower(session_comment), 'shipped')) and (lower(ut_a) like 'disc%' or lower(ut_b) like 'disc%'
     or lower(nt_a) like 'disc%' or lower(nt_b) like 'disc%')
@@ -356,7 +356,7 @@ def search(cat):
                    sources=["external"]).select("archive", "run_id", "name", "truncated")
 
 
-@query("v01_saved_search", f"""with {CORPUS} select archive, run_id, name, true as truncated from corpus
+@query("v01_saved_search", f"""with {CORPUS} select archive, run_id, name, count(*) over () > 250 as truncated from corpus
 where (contains(lower(name), 'svg') or contains(lower(st_a), 'svg') or contains(lower(st_b), 'svg'))
 order by session_created desc, run_id desc, archive, cast(timestamp as timestamptz) desc nulls last, display_name, position, name limit 250""")
 def saved_search(cat):
