@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, language, lines, packing, quality, token_counts, warc
+from tracelake.llm import decontaminate, language, lines, near_dups, packing, quality, token_counts, warc
 from tracelake.llm.common import benchmark, documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,29 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, from its text, its declaration and its host."""
     return language.language_id(documents(spark, folder)).drop("text_key")
+
+
+@query
+def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose sets of two-word shingles are similar to 0.8 or more, by components."""
+    return near_dups.near_duplicates(documents(spark, folder), words=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+SQL["op3_near_duplicates"] = r"""
+with recursive w as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (
+    select distinct doc_id, array_to_string(w[i:i + 1], ' ') as x
+    from (select doc_id, w, unnest(range(1, greatest(len(w), 2))) as i from w where len(w) > 0)),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.x = b.x and a.doc_id < b.doc_id
+           group by a.doc_id, b.doc_id),
+links as materialized (
+    select a, b from common join n p on p.doc_id = a join n q on q.doc_id = b where 100 * c >= 80 * (p.n + q.n - c)),
+edges as materialized (select a, b from links union all select b, a from links),
+reach(v, u) as (select doc_id, doc_id from documents union select reach.v, edges.b from reach join edges on reach.u = edges.a),
+comp as (select v, min(u) as component_id from reach group by v)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d left join n on n.doc_id = d.doc_id join comp on comp.v = d.doc_id
+"""
