@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +34,29 @@ def text_key(name: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(name), F.lit("")))
 
 
+#: Bytes of text that a task works on at a time; a longer text comes alone.
+BATCH_BYTES = 4 << 20
+
+
+def parts(batch: pa.RecordBatch, *names: str) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with at most ``BATCH_BYTES`` in the named columns, or one row."""
+    held = np.zeros(batch.num_rows, np.int64)
+    for n in names:
+        held += pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(n))), 0).to_numpy(zero_copy_only=False)
+    ends, begin = np.cumsum(held), 0
+    while begin < batch.num_rows:
+        limit = (ends[begin - 1] if begin else 0) + BATCH_BYTES
+        end = max(begin + 1, int(np.searchsorted(ends, limit, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``fn`` to every Arrow batch of ``df``."""
+    """Apply ``fn`` to all rows of ``df``, which has a column ``text``, a few at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield fn(batch)
+            for part in parts(batch, "text"):
+                yield fn(part)
     return df.mapInArrow(run, schema)
 
 

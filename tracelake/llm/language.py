@@ -23,7 +23,7 @@ from tracelake.session import stage
 
 GRAMS = 1 << 16
 TEMPER = 1 / 3            # a byte takes part in three trigrams
-CHUNK = 2_000_000         # bytes scored at once
+CHUNK = 1_000_000         # bytes scored at once
 MAX_LANGUAGES = 64
 PER_LANGUAGE = 400        # labelled documents of a language that the trigram model is fitted to
 STRENGTH = 10.0           # documents' worth of the higher level's prior

@@ -25,9 +25,9 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
 class MergeCounter(dict):
-    """Tokens of a chunk, remembered for up to ``remember`` chunks (some 300 MB)."""
+    """Tokens of a chunk, remembered for up to ``remember`` chunks (some 200 MB)."""
 
-    def __init__(self, ranks: dict[str, int], remember: int = 1_500_000):
+    def __init__(self, ranks: dict[str, int], remember: int = 1_000_000):
         super().__init__()
         self.ranks, self.remember = ranks, remember
         self.single = {p for p in ranks if len(p) == 1}

@@ -23,7 +23,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import utf8
+from tracelake.llm.common import parts, utf8
 from tracelake.session import stage, staging_root
 
 MAGIC = b"\x1f\x8b\x08"
@@ -94,7 +94,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, max_bytes: i
             done.append((f"{folder}/{name}", n, size))
             out, number, size, n = None, number + 1, 0, 0
 
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, "payload")):
             for row in batch.to_pylist():
                 data = record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"], row["size"])
                 if out is None:
