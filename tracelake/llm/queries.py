@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, language, lines, near_dups, packing, quality, token_counts, warc
+from tracelake.llm import decontaminate, language, lines, near_dups, packing, quality, repeats, token_counts, warc
 from tracelake.llm.common import benchmark, documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,33 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the 100-byte strings that stand earlier in the corpus."""
+    return repeats.remove_repeats(documents(spark, folder))
+
+
+SQL["op1_suffix_dedup"] = """
+with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+s as materialized (select doc_id, i, substr(x, (2 * i + 1)::bigint, 200) as t
+      from (select doc_id, x, unnest(range(0, length(x) // 2 - 99)) as i from d)),
+ranked as (select doc_id, i, row_number() over (partition by t order by doc_id, i) as k from s),
+again as materialized (select doc_id, i from ranked where k > 1),
+runs as (select doc_id, i, sum(new) over (partition by doc_id order by i) as run
+         from (select *, case when i - lag(i) over (partition by doc_id order by i) <= 100 then 0 else 1 end as new from again)),
+spans as materialized (select doc_id, run, min(i) as b, max(i) + 100 as e from runs group by doc_id, run),
+gaps as (
+    select doc_id, e as f, coalesce(lead(b) over (partition by doc_id order by b), 1000000000) as u from spans
+    union all select d.doc_id, 0, coalesce(m.b, 1000000000) from d left join (select doc_id, min(b) as b from spans group by doc_id) m using (doc_id)),
+kept as (select d.doc_id, sha256(unhex(string_agg(substr(x, (2 * f + 1)::bigint, (2 * (u - f))::bigint), '' order by f))) as kept_sha256
+         from gaps join d using (doc_id) group by d.doc_id),
+n as (select doc_id, sum(e - b)::bigint as n_removed, count(*)::bigint as n_spans from spans group by doc_id)
+select d.doc_id, (length(x) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       kept_sha256
+from d join kept using (doc_id) left join n using (doc_id)
+"""
+
+
 @query
 def op2_warc_splittable(spark: SparkSession, folder: str) -> DataFrame:
     """Pages written as archives and read back by byte ranges."""
