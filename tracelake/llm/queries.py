@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, language, lines, near_dups, packing, quality, repeats, token_counts, warc
+from tracelake.llm import decontaminate, language, lines, mixing, near_dups, packing, quality, repeats, token_counts, warc
 from tracelake.llm.common import benchmark, documents, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,9 @@ comp as (select v, min(u) as component_id from reach group by v)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
 from documents d left join n on n.doc_id = d.doc_id join comp on comp.v = d.doc_id
 """
+
+
+@query
+def op5_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Unigram and context-mixing scores of every document, learnt from six sevenths of them."""
+    return mixing.lm_scores(documents(spark, folder))
