@@ -151,3 +151,48 @@ def test_item_order_keeps_undated_last(spark):
     df = spark.createDataFrame([("a", 1, None), ("b", 2, "2024-01-01T00:00:00+00:00"), ("b", 1, "2024-01-01T01:00:00+01:00"),
                                 ("c", 1, "2024-01-02T00:00:00+00:00")], "display_name string, position int, timestamp string")
     assert [(r.display_name, r.position) for r in df.orderBy(*it.item_order()).collect()] == [("c", 1), ("b", 1), ("b", 2), ("a", 1)]
+
+
+CHAIN = 61
+
+
+def test_walks_have_no_hidden_depth(spark):
+    rows = [("A", "S", i, f"n{i}", f"n{i + 1}") for i in range(CHAIN)]
+    log = spark.createDataFrame(rows, "archive string, run_id string, ord int, old_name string, new_name string")
+    got = {r.old_name: r.current_name for r in li.current_names(log).collect()}
+    assert got == {f"n{i}": f"n{CHAIN}" for i in range(CHAIN)}
+
+    links = spark.createDataFrame([("A", f"c{i:02}", f"c{i + 1:02}") for i in range(CHAIN)], "archive string, parent string, child string")
+    names = spark.createDataFrame([("A", f"c{i:02}") for i in range(CHAIN + 1)], "archive string, collection string")
+    assert [tuple(r) for r in li.hierarchy_roots(links, names).collect()] == [("A", "c00", False)]
+    ends = spark.createDataFrame([("A", f"c{CHAIN:02}", "c00")], links.schema)
+    reach = li.collections_reached(links.unionByName(ends)).where("start = target").count()
+    assert reach == CHAIN + 1, "a cycle longer than any fixed depth is met"
+
+
+def test_a_limited_walk_says_where_it_stopped(spark):
+    links = spark.createDataFrame([("s", f"{i}", f"{i + 1}") for i in range(5)] + [("s", "1", "x")], "k string, a string, b string")
+    seeds = spark.createDataFrame([("s", "0")], "seed string, n string")
+    got = li.walk(seeds, links, ["seed"], ["n"], ["a"], ["b"], max_depth=2)
+    assert sorted((r.n, r.depth, r.truncated) for r in got.collect()) == [("1", 1, False), ("2", 2, True), ("x", 2, False)]
+
+
+def test_two_changes_of_one_target_never_double_it(spark):
+    from tracelake.operators import changes as ch
+
+    sessions = spark.createDataFrame([("A", "S", None), ("A", "T", None)], "archive string, run_id string, hold_until string")
+    holds = [("A", "S", False, 60, 1), ("A", "S", True, None, 2), ("A", "T", False, None, 1)]
+    schema = "archive string, run_id string, release boolean, seconds int, ord int"
+    now = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    out, refused = ch.hold_sessions(sessions, spark.createDataFrame(holds, schema), now)
+    assert {r.run_id: r.hold_until is None for r in out.collect()} == {"S": True, "T": False} and out.count() == 2
+    assert refused.count() == 0
+    out, refused = ch.hold_sessions(sessions, spark.createDataFrame(holds, schema).drop("ord"), now)
+    assert out.count() == 2 and [r.refused for r in refused.collect()] == ["changed twice"] * 2
+
+
+def test_a_name_of_full_length_gets_a_free_one(spark):
+    long = "x" * 120
+    new = spark.createDataFrame([(long,)], "collection string")
+    got = tr.carry_collections(new, spark.createDataFrame([(long,), ("x" * 113 + "-intake",)], "collection string"), "intake").collect()
+    assert [r.new_name for r in got] == ["x" * 111 + "-intake-2"]

@@ -7,7 +7,7 @@ where the change itself is.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import ids
@@ -33,6 +33,26 @@ def split_writable(changes: DataFrame, archives: DataFrame) -> tuple[DataFrame,
     return judged.where("refused is null").drop("refused"), judged.where("refused is not null")
 
 
+def once_each(changes: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One change per target, and those refused.
+
+    With a column ``ord`` the last change of a target counts; without it, nobody
+    can say which does, and all changes of the target are refused.
+    """
+    if "ord" in changes.columns:
+        whole = F.struct("ord", *[c for c in changes.columns if c != "ord"])
+        last = changes.groupBy(*key).agg(F.max(whole).alias("_last"))
+        return (last.select(*[F.col("_last")[c].alias(c) for c in changes.columns]),
+                changes.limit(0).withColumn("refused", no_text()))
+    count = changes.groupBy(*key).agg(F.count("*").alias("_n"))
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col("_c." + k).eqNullSafe(F.col("_k." + k))
+    counted = changes.alias("_c").join(count.alias("_k"), same).select("_c.*", "_n")
+    return (counted.where("_n = 1").drop("_n"),
+            counted.where("_n > 1").drop("_n").withColumn("refused", F.lit("changed twice")))
+
+
 # -- M1 ---------------------------------------------------------------------------
 
 def annotate(annotations: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,6 +63,7 @@ def annotate(annotations: DataFrame, changes: DataFrame) -> tuple[DataFrame, Dat
     alone, empty clears it. A target with an unusable tag is refused whole.
     """
     empty = F.array().cast("array<string>")
+    changes, twice = once_each(changes, [*SESSION, "filename"])
     wrong = F.concat(bad_tags(F.coalesce("add_tags", empty)), bad_tags(F.coalesce("set_tags", empty)))
     judged = changes.withColumn("refused", F.when(F.size(wrong) > 0, F.concat(
         F.lit("unusable tag: "), F.get(wrong, F.lit(0)))))
@@ -59,7 +80,8 @@ def annotate(annotations: DataFrame, changes: DataFrame) -> tuple[DataFrame, Dat
     comment = F.concat_ws("\n", F.when(said != "", said), F.when(line != "", line))
     out = both.select(*SESSION, F.when(F.col("_file") != "", F.col("_file")).alias("filename"),
                       tags.alias("tags"), comment.alias("comment"))
-    return out.where((F.size("tags") > 0) | (F.col("comment") != "")), judged.where("refused is not null")
+    return (out.where((F.size("tags") > 0) | (F.col("comment") != "")),
+            judged.where("refused is not null").unionByName(twice))
 
 
 # -- M2, M7: content --------------------------------------------------------------
@@ -91,8 +113,9 @@ def replace_content(sidecars: DataFrame, files: DataFrame, changes: DataFrame,
     sidecars, with the hash replaced noted, and the refused changes.
     """
     there = files.select(*SESSION, F.col("name").alias("filename"), F.col("sha256").alias("_bytes"))
+    changes, twice = once_each(changes, NODE)
     good = changes.join(there, NODE)
-    refused = changes.join(there, NODE, "left_anti").withColumn("refused", F.lit("no such artifact"))
+    refused = changes.join(there, NODE, "left_anti").withColumn("refused", F.lit("no such artifact")).unionByName(twice)
     new = good.select(*NODE, F.col("new_sha256").alias("_sha"), F.col("origin").alias("_origin"), "_bytes")
     out = sidecars.join(new, NODE, "left")
     hit = F.col("_sha").isNotNull()
@@ -134,7 +157,10 @@ def rename_files(files: DataFrame, sidecars: DataFrame, edges: DataFrame, rename
     hits = rename_referrers(edges, done, mode).select(*NODE, "ord", F.col("new_name").alias("_ref"))
     pointed = edges.join(hits, [*NODE, "ord"], "left").withColumn(
         "ref_file", F.coalesce("_ref", "ref_file")).select(*edges.columns)
-    entries = done.select(*SESSION, F.lit(10 ** 6).alias("ord"), "old_name", "new_name")
+    # New entries follow the session's last one, in the order of the old names.
+    last = renames.groupBy(*SESSION).agg(F.max("ord").alias("_last"))
+    entries = done.join(last, SESSION, "left").select(*SESSION, (F.coalesce("_last", F.lit(-1)) + F.row_number().over(
+        Window.partitionBy(*SESSION).orderBy("old_name"))).cast(renames.schema["ord"].dataType).alias("ord"), "old_name", "new_name")
     return {
         "files": renamed(files, "name"), "sidecars": renamed(sidecars, "filename"),
         "edges": renamed(pointed, "filename"),
@@ -217,12 +243,14 @@ def hold_sessions(sessions: DataFrame, changes: DataFrame, now: Column) -> tuple
     Null seconds hold for ever. Changes to unknown sessions are refused.
     """
     known = sessions.select(*SESSION)
+    changes, twice = once_each(changes, SESSION)
     until = F.when(F.col("release"), no_text()).when(F.col("seconds").isNull(), HOLD_FOREVER).otherwise(
         as_iso(F.timestamp_seconds(F.unix_timestamp(now) + F.col("seconds").cast("bigint"))))
     asked = changes.select(*SESSION, until.alias("_until"), F.lit(True).alias("_asked"))
     out = sessions.join(asked, SESSION, "left").withColumn(
         "hold_until", F.when(F.col("_asked"), F.col("_until")).otherwise(F.col("hold_until"))).drop("_until", "_asked")
-    return out, changes.join(known, SESSION, "left_anti").withColumn("refused", F.lit("no such session"))
+    return out, changes.join(known, SESSION, "left_anti").withColumn(
+        "refused", F.lit("no such session")).unionByName(twice)
 
 
 # -- M9, M12 --------------------------------------------------------------------------
@@ -267,12 +295,14 @@ def set_policies(assets: DataFrame, changes: DataFrame) -> tuple[DataFrame, Data
     bad = F.col("new_policy").isNotNull() & ~F.col("new_policy").isin(*pol.POLICIES)
     numbers = ("period_days", "max_snapshots", "max_snapshot_bytes")
     key = ["archive", "asset_id"]
+    changes, twice = once_each(changes, key)
     good = changes.where(~bad).select(*key, "new_policy", *[F.col("new_" + n) for n in numbers])
     out = assets.join(good, key, "left").withColumn("policy", F.coalesce("new_policy", "policy"))
     for n in numbers:
         new = F.col("new_" + n)
         out = out.withColumn(n, F.when(new < 0, F.lit(None)).otherwise(F.coalesce(new, F.col(n))))
-    return out.select(*assets.columns), changes.where(bad).withColumn("refused", F.lit("unknown policy"))
+    return out.select(*assets.columns), changes.where(bad).withColumn(
+        "refused", F.lit("unknown policy")).unionByName(twice)
 
 
 def register_assets(incoming: DataFrame, existing: DataFrame, archives: DataFrame, year2: int,

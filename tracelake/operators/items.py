@@ -211,7 +211,7 @@ def session_gates(query: str = "", fields: tuple[str, ...] = ("description", "ru
     if day_from:
         day = F.to_date(instant(F.col("created"))).cast("string")
         cond = cond & day.between(day_from, day_to or day_from)
-    parts = [F.array_join("tags", " ") if f == "tags" else F.coalesce(F.col(f), F.lit(""))
+    parts = [F.array_join(f, " ") if f in ("tags", "user_tags") else F.coalesce(F.col(f), F.lit(""))
              for f in fields]
     blob = F.lower(F.concat_ws(" ", *parts))
     for word in query.lower().split():

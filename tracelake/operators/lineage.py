@@ -15,6 +15,9 @@ MAX_DEPTH = 50
 TREE_DEPTH = 3
 COLLECTION_DEPTH = 8
 
+#: Levels of a walk after which the set of nodes met is written as one table.
+COMPACT = 8
+
 
 # -- edges -------------------------------------------------------------------
 
@@ -36,7 +39,7 @@ def file_edges(edges: DataFrame) -> DataFrame:
         F.col("to_file").alias("p_filename"))
 
 
-def current_names(renames: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def current_names(renames: DataFrame) -> DataFrame:
     """What each logged name is called now.
 
     Follows old -> new, the last entry per old name counting, until a name no
@@ -52,7 +55,7 @@ def current_names(renames: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         F.array("old_name", "new_name").alias("path"))
     following = step.select(*SESSION, F.col("old_name").alias("now"), F.col("new_name").alias("after"))
     done = None
-    for _ in range(max_depth):
+    while True:
         reached = walk.join(following, [*SESSION, "now"], "left")
         goes_on = F.col("after").isNotNull() & ~F.array_contains("path", F.col("after"))
         reached = stage(reached.withColumn("more", F.coalesce(goes_on, F.lit(False))), "renames")
@@ -189,7 +192,7 @@ def session_detail(sessions: DataFrame, related: DataFrame, sidecars: DataFrame,
 # -- the walk ------------------------------------------------------------------
 
 def walk(seeds: DataFrame, edges: DataFrame, seed: list[str], node: list[str], source: list[str],
-         target: list[str], max_depth: int = MAX_DEPTH, expand: Column | None = None) -> DataFrame:
+         target: list[str], max_depth: int | None = None, expand: Column | None = None) -> DataFrame:
     """Breadth-first reach of every seed, all seeds at once.
 
     ``seeds`` holds the seed columns and the node columns it starts from; an
@@ -198,6 +201,9 @@ def walk(seeds: DataFrame, edges: DataFrame, seed: list[str], node: list[str], s
     lost executors. Returns (seed, node, depth) with the least depth, without
     the starting nodes. ``expand`` says which nodes to go on from.
 
+    Without ``max_depth`` the walk ends when nothing new is met. With it, nodes
+    of the last level that lead on to nodes not met are marked ``truncated``.
+
     With no seed columns the result is the set of reached nodes, linear in the
     graph; with seeds it has one row per pair reached.
     """
@@ -205,21 +211,36 @@ def walk(seeds: DataFrame, edges: DataFrame, seed: list[str], node: list[str], s
                            *[F.col(t).alias("_t" + n) for t, n in zip(target, node)])
     renamed = stage(renamed.distinct(), "walk-edges")
     frontier = stage(seeds.select(*seed, *node).distinct(), "walk-seeds")
-    seen, found = frontier, None
-    for depth in range(1, max_depth + 1):
+    seen, found, depth = frontier, None, 0
+
+    def onward() -> DataFrame:
+        """Nodes one edge on, met or not, with the node they are reached from."""
         on = [F.col(n) == F.col("_s" + n) for n in node]
         start = frontier if expand is None else frontier.where(expand)
-        step = start.join(renamed, on).select(*seed, *[F.col("_t" + n).alias(n) for n in node])
-        fresh = step.distinct().join(seen, [*seed, *node], "left_anti")
-        fresh, rows = stage_counted(fresh, f"walk-{depth}")
+        return start.join(renamed, on).select(*seed, *[F.col("_t" + n).alias(n) for n in node], *["_s" + n for n in node])
+
+    while max_depth is None or depth < max_depth:
+        step = onward().select(*seed, *node).distinct()
+        fresh, rows = stage_counted(step.join(seen, [*seed, *node], "left_anti"), "walk")
         if rows == 0:
             break
+        depth += 1
         seen = seen.unionByName(fresh)
+        if depth % COMPACT == 0:
+            seen = stage(seen, "walk-seen")
         level = fresh.withColumn("depth", F.lit(depth))
         found = level if found is None else found.unionByName(level)
         frontier = fresh
     if found is None:
         found = seeds.select(*seed, *node, F.lit(0).alias("depth")).limit(0)
+    if max_depth is None:
+        return found
+    found = found.withColumn("truncated", F.lit(False))
+    if depth == max_depth:
+        more = onward().join(seen, [*seed, *node], "left_anti").select(
+            *seed, *[F.col("_s" + n).alias(n) for n in node], F.lit(depth).alias("depth"), F.lit(True).alias("_more")).distinct()
+        found = found.drop("truncated").join(more, [*seed, *node, "depth"], "left").withColumn(
+            "truncated", F.coalesce("_more", F.lit(False))).drop("_more")
     return found
 
 
@@ -228,7 +249,8 @@ def upstream(seeds: DataFrame, edges: DataFrame, archives: DataFrame,
     """Everything each seed file was derived from, across archives (G1).
 
     ``seeds`` holds archive, run_id and filename. Nodes of an archive that cannot
-    be reached are listed as unresolved and not followed.
+    be reached are listed as unresolved and not followed. Where ``max_depth`` ends
+    a walk that could go on, the last nodes are ``truncated``.
     """
     start = seeds.select(*[F.col(c).alias("seed_" + c) for c in NODE], *NODE)
     own = file_edges(edges).join(
@@ -341,11 +363,11 @@ def collection_tree(links: DataFrame, collections: DataFrame, roots: DataFrame,
     return out
 
 
-def collections_reached(links: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def collections_reached(links: DataFrame) -> DataFrame:
     """Every (start, target) where start contains target at any depth."""
     starts = links.select("archive", F.col("parent").alias("start"), F.col("parent").alias("name")).distinct()
     got = walk(starts, links.select("archive", "parent", "child"), ["start"], ["archive", "name"],
-               ["archive", "parent"], ["archive", "child"], max_depth)
+               ["archive", "parent"], ["archive", "child"])
     # A start met again on a cycle is its own target.
     again = (links.select("archive", F.col("parent").alias("name"), F.col("child").alias("start"))
              .join(got.select("archive", "start", "name"), ["archive", "start", "name"], "left_semi")

@@ -12,7 +12,7 @@ from tracelake.operators.skew import attach
 def current_identities(trail: DataFrame) -> DataFrame:
     """The id each contact uses now: the last listed, not the latest dated."""
     return trail.groupBy("petname").agg(
-        F.max_by("id", "ord").alias("current"), F.first("display", ignorenulls=True).alias("display"),
+        F.max_by("id", "ord").alias("current"), F.min_by("display", F.when(F.col("display").isNotNull(), F.col("ord"))).alias("display"),
         F.count("*").alias("n_ids"))
 
 

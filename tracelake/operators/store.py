@@ -247,15 +247,15 @@ def asset_detail(snapshots: DataFrame, blobs: DataFrame) -> DataFrame:
 
 # -- N2 ------------------------------------------------------------------------
 
-def rate_limited(events: DataFrame, days: Column, rounds: int = 24) -> DataFrame:
+def rate_limited(events: DataFrame, days: Column) -> DataFrame:
     """Looks at an asset that take a snapshot, at most one per period.
 
     ``events``: archive, asset_id, ts, event_id. A look is taken when none was
     before it, or the last taken one is at least ``days`` old. Each look's
     successor is the first look a period later; the taken looks are the chain of
     successors from the first. Chains are followed by doubling the stride, so
-    2**rounds looks of one asset need ``rounds`` joins, and no asset is ever
-    walked by one task.
+    the longest chain of n looks needs log2(n) joins, and no asset is ever walked
+    by one task.
     """
     from tracelake.session import stage
 
@@ -278,7 +278,9 @@ def rate_limited(events: DataFrame, days: Column, rounds: int = 24) -> DataFrame
     )
     jump = stage(succeeding, "jump-0")
     taken = stage(looks.groupBy(*ASSET).agg(F.min(at).alias("look")), "taken-0")
-    for i in range(1, rounds + 1):
+    i = 0
+    while True:
+        i += 1
         reached = taken.join(jump, [*ASSET, "look"]).select(*ASSET, F.col("after").alias("look"))
         fresh = stage(reached.join(taken, [*ASSET, "look"], "left_anti"), f"taken-{i}")
         if fresh.isEmpty():

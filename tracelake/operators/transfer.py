@@ -9,9 +9,9 @@ from pyspark.sql import types as T
 
 from tracelake.functions import ids
 from tracelake.functions.refs import format_ref
-from tracelake.functions.text import slugify
+from tracelake.functions.text import COLLECTION_MAX_LENGTH, slugify
 from tracelake.operators.items import ITEM, SESSION
-from tracelake.operators.lineage import MAX_DEPTH, NODE, walk
+from tracelake.operators.lineage import NODE, walk
 from tracelake.operators.skew import attach, rank_in_groups, running_sum
 from tracelake.session import stage
 
@@ -271,7 +271,9 @@ def carry_collections(incoming: DataFrame, existing: DataFrame, source: str) ->
     attempt = 1
     while not waiting.isEmpty():
         tail = f"-{source}" if attempt == 1 else f"-{source}-{attempt}"
-        tried = waiting.withColumn("new_name", slugify(F.concat(F.col("collection"), F.lit(tail))))
+        # The tail stays whole where the name would be too long: the base is cut for it.
+        base = F.rtrim(F.substring("collection", 1, max(COLLECTION_MAX_LENGTH - len(tail), 1)))
+        tried = waiting.withColumn("new_name", slugify(F.concat(base, F.lit(tail))))
         # Two incoming names may shorten to one slug; the first of them gets it.
         mine = tried.groupBy("new_name").agg(F.min("collection").alias("collection"))
         free = mine.join(taken, "new_name", "left_anti").join(done.select("new_name"), "new_name", "left_anti")
@@ -498,7 +500,7 @@ def selection_closure(picked: DataFrame, files: DataFrame, edges: DataFrame) ->
     inner = local.where(home)
     links = inner.where("ref_file is not null").select(*NODE, F.col("to_session").alias("p_run_id"),
                                                      F.col("ref_file").alias("p_filename"))
-    reached = walk(start, links, [], NODE, NODE, ["archive", "p_run_id", "p_filename"], MAX_DEPTH)
+    reached = walk(start, links, [], NODE, NODE, ["archive", "p_run_id", "p_filename"])
     nodes = stage(start.unionByName(reached.select(*NODE)).distinct(), "closure")
     named_whole = (inner.where("ref_file is null").join(nodes, NODE, "left_semi")
                    .select("archive", F.col("to_session").alias("run_id")).distinct()

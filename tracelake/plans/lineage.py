@@ -131,7 +131,8 @@ links as (select archive, run_id, filename, coalesce(ref_archive, archive) as pa
 up as (select run_id as seed, filename as seed_file, pa, pr, pf, 1 as depth from links
   union select u.seed, u.seed_file, l.pa, l.pr, l.pf, u.depth + 1 from up u join links l on u.pa = l.archive and u.pr = l.run_id and u.pf = l.filename)
 select 'EUROPE' as seed_archive, seed as seed_run_id, seed_file as seed_filename, pa as archive, pr as run_id, pf as filename,
-  min(depth) as depth, pa = 'ATLANTIS' as unresolved from up group by all""")
+  min(depth) as depth, min(depth) = 50 as truncated,
+  pa = 'ATLANTIS' as unresolved from up group by all""")
 def upstream_turns(cat):
     """Every turn's full history, all turns at once."""
     return li.upstream(turn_nodes(cat), turn_edges(cat), cat.archives)
@@ -142,7 +143,7 @@ up as (select s.archive as sa, s.run_id as sr, s.filename as sf, l.pa, l.pr, l.p
     on s.archive = l.archive and s.run_id = l.run_id and s.filename = l.filename where readable and not trashed and s.filename like '%.svg'
   union select u.sa, u.sr, u.sf, l.pa, l.pr, l.pf from up u join open_links l on u.pa = l.archive and u.pr = l.run_id and u.pf = l.filename)
 select sa as seed_archive, sr as seed_run_id, sf as seed_filename, pa as archive, pr as run_id, pf as filename,
-  not coalesce(reachable, false) as unresolved from up left join @archives a on up.pa = a.archive where (sa, sr, sf) <> (pa, pr, pf)""")
+  false as truncated, not coalesce(reachable, false) as unresolved from up left join @archives a on up.pa = a.archive where (sa, sr, sf) <> (pa, pr, pf)""")
 def upstream_figures(cat):
     """Everything every figure was derived from, across archives."""
     return li.upstream(figures(cat), cat.edges, cat.archives).drop("depth")
@@ -151,8 +152,8 @@ def upstream_figures(cat):
 @query("g02_downstream_turns", f"""with recursive {TURNS_SQL}, links as (select run_id, filename, ref_file as pf from turns where ref_archive is null),
 down as (select run_id as seed, pf as seed_file, filename, 1 as depth from links
   union select d.seed, d.seed_file, l.filename, d.depth + 1 from down d join links l on l.run_id = d.seed and l.pf = d.filename)
-select 'EUROPE' as seed_archive, seed as seed_run_id, seed_file as seed_filename, 'EUROPE' as archive, seed as run_id, filename, min(depth) as depth
-from down group by all""")
+select 'EUROPE' as seed_archive, seed as seed_run_id, seed_file as seed_filename, 'EUROPE' as archive, seed as run_id, filename, min(depth) as depth,
+  min(depth) = 50 as truncated from down group by all""")
 def downstream_turns(cat):
     return li.downstream(turn_nodes(cat), turn_edges(cat))
 
@@ -161,7 +162,7 @@ def downstream_turns(cat):
 down as (select s.archive as sa, s.run_id as sr, s.filename as sf, l.archive, l.run_id, l.filename from @sidecars s join scanned l
     on s.archive = l.pa and s.run_id = l.pr and s.filename = l.pf where readable and not trashed and s.archive = 'EUROPE' and s.filename = 'line-1.csv'
   union select d.sa, d.sr, d.sf, l.archive, l.run_id, l.filename from down d join scanned l on d.archive = l.pa and d.run_id = l.pr and d.filename = l.pf)
-select sa as seed_archive, sr as seed_run_id, sf as seed_filename, archive, run_id, filename from down where (sa, sr, sf) <> (archive, run_id, filename)""")
+select sa as seed_archive, sr as seed_run_id, sf as seed_filename, archive, run_id, filename, false as truncated from down where (sa, sr, sf) <> (archive, run_id, filename)""")
 def downstream_files(cat):
     """What came of every first file of one archive, also in another."""
     seeds = cat.sidecars.where("readable and not trashed and archive = 'EUROPE' and filename = 'line-1.csv'").select(*NODE)
@@ -253,7 +254,7 @@ def flagship(cat):
     from tracelake.plans.items import annotations_of
 
     items = items_of(cat, True)
-    hits = search_items(items, sessions_of(cat), annotations_of(cat), "file:'*.svg'", limit=1000).select(
+    hits = search_items(items, sessions_of(cat), annotations_of(cat), "file:'*.svg'", limit=None).select(
         "archive", "run_id", F.col("name").alias("filename"), "status", "timestamp")
     origins = li.upstream(hits.select(*NODE), cat.edges, cat.archives).groupBy(
         *[F.col("seed_" + c).alias(c) for c in NODE]).agg(

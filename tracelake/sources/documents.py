@@ -165,18 +165,14 @@ def yaml_to_json(documents: DataFrame) -> DataFrame:
     schema = schema.add("json", "string").add("error", "string")
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        try:
-            import yaml
+        import yaml
 
-            loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
-            load, failure = lambda text: yaml.load(text, Loader=loader), yaml.YAMLError
-        except ImportError:            # JSON is YAML, so such documents still read
-            load, failure = json.loads, ValueError
+        loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 
         def one(text: str) -> tuple[str | None, str | None]:
             try:
-                return json.dumps(load(text), default=lambda v: v.isoformat()), None
-            except (failure, ValueError, AttributeError, TypeError) as e:
+                return json.dumps(yaml.load(text, Loader=loader), default=lambda v: v.isoformat()), None
+            except (yaml.YAMLError, ValueError, AttributeError, TypeError) as e:
                 return None, str(e).splitlines()[0]
 
         for batch in batches:
