@@ -337,13 +337,12 @@ def _search(cat, query_text, **kw):
 
 
 @query("f08_search_clauses", f"""with {CORPUS} select archive, run_id, name from corpus
-where regexp_matches(name, '^line-[1-3].*$') and (lower(st_a) = '2-high' or lower(st_b) = '2-high')
+where name like 'line-_%' and (lower(st_a) = '2-high' or lower(st_b) = '2-high')
   and contains(lower(name || '~' || st_a || '~' || st_b || '~' || coalesce(origin, '') || '~' || coalesce(source, '') || '~' || run_id || '~' || description
   || '~' || coalesce(ut_a || '~' || ut_b, '') || '~' || coalesce(nt_a || '~' || nt_b, '') || '~' || user_comment || '~' || session_comment), 'lab-1')""")
 def search_clauses(cat):
     """Quoted, scoped and bare clauses together, over the whole corpus."""
-    found = _search(cat, "file:\"line-?*\" LAB-1 tag:'2-h*'", limit=None)
-    return found.where(F.col("name").rlike("^line-[1-3]")).select("archive", "run_id", "name")
+    return _search(cat, "file:\"line-?*\" LAB-1 tag:'2-h*'", limit=None).select("archive", "run_id", "name")
 
 
 @query("f09_search", f"""with {CORPUS} select archive, run_id, name, count(*) over () > 1000 as truncated from corpus

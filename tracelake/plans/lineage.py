@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import refs
 from tracelake.operators import lineage as li
-from tracelake.plans.items import items_of, sessions_of
+from tracelake.plans.items import CORPUS, items_of, sessions_of
 from tracelake.plans.registry import query
 
 NODE = li.NODE
@@ -246,7 +246,21 @@ def rename_log(cat):
     return li.current_names(cat.renames)
 
 
-@query("flagship_search_with_lineage", None)
+@query("flagship_search_with_lineage", f"""with recursive {CORPUS}, {LINKS},
+open_links as (select l.* from links l semi join (select * from @archives where reachable) a on l.archive = a.archive),
+hits as (select archive, run_id, name as filename, verified_status as status, timestamp from corpus where lower(name) like '%.svg'),
+up as (select h.archive as sa, h.run_id as sr, h.filename as sf, l.pa, l.pr, l.pf, 1 as depth from hits h join open_links l
+    on h.archive = l.archive and h.run_id = l.run_id and h.filename = l.filename
+  union select u.sa, u.sr, u.sf, l.pa, l.pr, l.pf, u.depth + 1 from up u join open_links l
+    on u.pa = l.archive and u.pr = l.run_id and u.pf = l.filename where u.depth < 50),
+nearest as (select sa, sr, sf, pa, pr, pf, min(depth) as depth from up where (sa, sr, sf) <> (pa, pr, pf) group by all),
+origins as (select sa, sr, sf, count(*) as n, max(depth) as deepest, count(*) filter (not coalesce(reachable, false)) as lost
+  from nearest left join @archives a on pa = a.archive group by all),
+counted as (select archive, run_id, count(*) filter (verified_status <> 'paired') as n_problems from corpus group by all)
+select h.archive, h.run_id, h.filename, h.status, h.timestamp, n_problems, coalesce(n, 0) as n_origins,
+  coalesce(deepest, 0) as deepest, coalesce(lost, 0) as n_unresolved
+from hits h join counted c on h.archive = c.archive and h.run_id = c.run_id
+  left join origins o on h.archive = sa and h.run_id = sr and h.filename = sf""")
 def flagship(cat):
     """Search hits, their session's problem count and how deep their origins go."""
     from tracelake.operators.items import session_counts
