@@ -41,10 +41,9 @@ def streaming_sweep(cat):
     """Listings as a stream: an empty index, then all that changed since."""
     out, checkpoint = _places(cat, "sweep")
     sweep.refresh(cat.indexed_stats, out)
-    listings, _ = _places(cat, "listings")
-    stage(cat.live_stats, "listings").write.parquet(listings)
-    stream = cat.spark.readStream.schema(cat.live_stats.schema).option("maxFilesPerTrigger", 1000000).parquet(listings)
-    sweep.start(stream, out, checkpoint).awaitTermination()
-    gone = cat.session_rows.where("status = 'paused'").select("archive", "run_id")
-    return cat.spark.read.parquet(out).join(gone, ["archive", "run_id"], "left_anti").select(
-        "archive", F.col("year").cast("int").alias("year"), "run_id", "sig")
+    listings, gathered = _places(cat, "listings")
+    # Many small files, so that the sessions' files come in several batches.
+    stage(cat.live_stats, "listings").repartition(6).write.parquet(listings)
+    stream = cat.spark.readStream.schema(cat.live_stats.schema).option("maxFilesPerTrigger", 2).parquet(listings)
+    sweep.sweep(stream, out, gathered, checkpoint)
+    return cat.spark.read.parquet(out).select("archive", F.col("year").cast("int").alias("year"), "run_id", "sig")

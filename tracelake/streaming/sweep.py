@@ -1,4 +1,4 @@
-"""The freshness sweep as a stream: refresh what arrives, batch by batch."""
+"""The freshness sweep as a stream: gather listings as they arrive, then bring the index up to date."""
 
 from __future__ import annotations
 
@@ -13,22 +13,21 @@ from tracelake.session import stage
 KEY = ["archive", "year", "run_id"]
 
 
-def refresh(batch: DataFrame, index: str) -> None:
-    """Bring the index at ``index`` up to date with the sessions of one batch.
+def refresh(listing: DataFrame, index: str) -> None:
+    """Bring the index at ``index`` up to date with one whole listing.
 
-    ``batch`` holds complete listings (archive, year, run_id, name, size, mtime)
-    of some sessions. Only partitions with a changed session are rewritten, so
-    running a batch again after a failure changes nothing.
+    ``listing`` (archive, year, run_id, name, size, mtime) holds every session
+    there is: sessions of the index that it lacks are forgotten. Only partitions
+    with a changed session are rewritten, so doing it again changes nothing.
     """
-    spark = batch.sparkSession
-    live = stage(session_signatures(batch), "sweep-live")
+    spark = listing.sparkSession
+    live = stage(session_signatures(listing), "sweep-live")
     try:
         table = spark.read.parquet(index).select(*KEY, "sig")
     except AnalysisException:                       # no index yet
         live.hint("rebalance", "archive", "year").write.partitionBy("archive", "year").parquet(index)
         return
-    known = table.join(live.select(*KEY), KEY, "left_semi")
-    changes = stage(diff(known, live, KEY).where("change <> 'unchanged'"), "sweep-changes")
+    changes = stage(diff(table, live, KEY).where("change <> 'unchanged'"), "sweep-changes")
     if changes.isEmpty():
         return
     years = changes.select("archive", "year").distinct()
@@ -38,7 +37,24 @@ def refresh(batch: DataFrame, index: str) -> None:
     write_changed_years(after.select("run_id", "sig", "archive", F.col("year").cast("int")), changes, index)
 
 
-def start(stats: DataFrame, index: str, checkpoint: str) -> StreamingQuery:
-    """Sweep a stream of listings into the index, as far as there is data now."""
-    return (stats.writeStream.foreachBatch(lambda batch, _id: refresh(batch, index))
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def gather(stats: DataFrame, gathered: str, checkpoint: str) -> StreamingQuery:
+    """Store a stream of listing rows, as far as there is data now.
+
+    A batch that is run again replaces what it wrote before. Where batches end
+    means nothing: a session's files may come in several of them.
+    """
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{gathered}/batch={number}")
+
+    return (stats.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def sweep(stats: DataFrame, index: str, gathered: str, checkpoint: str) -> None:
+    """One sweep: gather all listings that are there, then compare them with the index as one."""
+    gather(stats, gathered, checkpoint).awaitTermination()
+    try:
+        listing = stats.sparkSession.read.parquet(gathered)
+    except AnalysisException:                       # nothing came
+        return
+    refresh(listing.select(*stats.columns), index)
