@@ -77,8 +77,8 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("alphabet, block", [("ab", 4096), ("abcdé ", 7)])
-def test_repeats(spark, monkeypatch, alphabet, block):
+@pytest.mark.parametrize("alphabet, block, crowd", [("ab", 4096, 10 ** 6), ("abcdé ", 7, 10 ** 6), ("abcd", 4096, 3)])
+def test_repeats(spark, monkeypatch, alphabet, block, crowd):
     rng = random.Random(len(alphabet))
     base = ["".join(rng.choice(alphabet) for _ in range(rng.randint(200, 600))) for _ in range(4)]
     rows = []
@@ -87,6 +87,7 @@ def test_repeats(spark, monkeypatch, alphabet, block):
         rows.append((3 * i - 50, "".join(rng.choice(base)[a:b] + rng.choice(["", "-", "xyz"]) for a, b in cuts)))
     rows += [(500, None), (501, ""), (502, "a" * 700), (503, "ab" * 300), (504, "a" * 99)]
     monkeypatch.setattr(repeats, "BLOCK", block)
+    monkeypatch.setattr(repeats, "CROWD", crowd)
     got = repeats.remove_repeats(with_clashes(spark.createDataFrame(rows, "doc_id long, text string")))
     assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == brute_repeats(rows)
 

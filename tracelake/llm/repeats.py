@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import parts, per_batch, text_key, utf8, values
-from tracelake.session import stage
+from tracelake.session import stage, stage_counted
 
 LENGTH = 100
 GRAM = 32
@@ -36,6 +36,7 @@ BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 TIE, POSITION, FIRST, LAST = 47, 15, 8, 1
 PAD = 255                 # never a byte of UTF-8
 BLOCK = 4_096             # contexts sorted at once; more than that only for a single anchor
+CROWD = 50_000            # contexts of one anchor that a task may sort; the strings of others are dealt out one by one
 ANCHORS = "h long, c long, node long, at long"
 FOUND = "node long, tie int, begin long, end long"
 
@@ -361,8 +362,29 @@ def covered(docs: DataFrame) -> DataFrame:
     wanted = wanted.groupBy("_node", "_tie").agg(F.collect_list("p").alias("wanted"))
     around = (docs.join(wanted, (F.col("node") == F.col("_node")) & (F.col("tie") == F.col("_tie")))
               .select("node", "text", "wanted").mapInArrow(contexts, "h long, node long, at long, context binary"))
-    repeats = around.repartition("h").sortWithinPartitions("h", "node", "at").mapInArrow(sort_blocks, FOUND)
-    return copies.unionByName(repeats)
+    crowded, n = stage_counted(found.where("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+                               .where(F.col("n") > CROWD).select("h"), "crowded")
+    out = copies
+    if n:
+        around = stage(around, "around")
+        out = out.unionByName(by_string(around.join(crowded, "h", "left_semi")))
+        around = around.join(crowded, "h", "left_anti")
+    return out.unionByName(around.repartition("h").sortWithinPartitions("h", "node", "at").mapInArrow(sort_blocks, FOUND))
+
+
+def by_string(around: DataFrame) -> DataFrame:
+    """Covered stretches of anchors with too many contexts for one task: each string is dealt out by its own digest.
+
+    The first occurrence of each string is found with partial sums, so no task holds what one string or anchor has.
+    """
+    at = around.select("node", F.shiftright("at", TIE).cast("int").alias("tie"), "context",
+                       (F.shiftright("at", POSITION).bitwiseAND(0xFFFFFFFF) - F.shiftright("at", FIRST).bitwiseAND(127)).alias("first"),
+                       F.explode(F.sequence(F.lit(0), F.octet_length("context") - LENGTH)).alias("i"))
+    at = at.select(F.sha2(F.substring("context", F.col("i") + 1, F.lit(LENGTH)), 256).alias("string"),
+                   F.struct("node", "tie", (F.col("first") + F.col("i")).alias("begin")).alias("place"))
+    earliest = at.groupBy("string").agg(F.min("place").alias("earliest"))
+    return at.join(earliest, "string").where("place > earliest").select(
+        "place.*", (F.col("place.begin") + LENGTH).alias("end"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
