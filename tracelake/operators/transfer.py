@@ -651,6 +651,41 @@ def apply_merge(plan: DataFrame, source_sessions: DataFrame, dest_sessions: Data
     return arrived, stamp_history(source_sessions, marks, "merged", at)
 
 
+def unsealed(plan: DataFrame, seals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sessions of a plan that sealed years do not refuse, and those they do.
+
+    ``seals`` holds the destination's sealed years, read as the ids' years are.
+    """
+    years = seals.select(F.col("year").alias("id_year")).distinct()
+    return (plan.join(years, "id_year", "left_anti"),
+            plan.join(years, "id_year", "left_semi").withColumn("refused", F.lit("sealed year")))
+
+
+#: Tables of references: rows change their own session and what they refer to.
+REFERRING = ("edges", "related_runs")
+
+
+def merge_tables(plan: DataFrame, tables: dict[str, DataFrame], dest: str,
+                 repairs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The destination's tables after the planned sessions have moved in.
+
+    ``tables`` holds, by name, tables of all archives whose rows belong to a
+    session: files, sidecars, annotations, renames, edges, related_runs. Rows of
+    the destination stay, rows of planned sessions follow under the new ids.
+    """
+    ids_of = plan.select(*SESSION, "new_run_id")
+    out = {}
+    for name, table in tables.items():
+        mine = table.join(ids_of, SESSION)
+        if name in REFERRING:
+            moved = rewrite_refs(mine.drop("new_run_id"), plan.select("run_id", "new_run_id"), dest,
+                                 repairs if name == "edges" else None)
+        else:
+            moved = mine.withColumns({"archive": F.lit(dest), "run_id": F.col("new_run_id")})
+        out[name] = table.where(F.col("archive") == dest).unionByName(moved.select(*table.columns))
+    return out
+
+
 def lock_archive(archives: DataFrame, source: str, dest: str, at: str) -> DataFrame:
     """Refuse further writes to a merged archive."""
     mine = F.col("archive") == source

@@ -222,13 +222,80 @@ def merged_sessions(cat):
     return arrived.select(*SESSION, "created", "status", F.get("history", F.size("history") - 1)["note"].alias("note"))
 
 
-@query("t16_merge_again", f"with {MERGE} select archive, run_id from plan where false")
+@query("t16_merge_again", f"""with {MERGE} select j.archive, j.run_id, coalesce('already merged as {DEST}|' || p.new_run_id, j.note) as note
+from judged j left join plan p on j.archive = p.archive and j.run_id = p.run_id""")
 def merge_again(cat):
-    """What a second merge would still move: nothing."""
+    """A second merge moves nothing and says why, session by session."""
     every = tr.history_of(cat)
     arrived, source = tr.apply_merge(merge_of(cat)[0], every.where(f"archive = '{SRC}'"), every.where(f"archive = '{DEST}'"), SRC, DEST, NOW)
-    plan, _ = tr.plan_merge(source, source.limit(0).select(*SESSION), cat.files, arrived.select("run_id"), THIS_YEAR)
-    return plan.select(*SESSION)
+    plan, skipped = tr.plan_merge(source, source.limit(0).select(*SESSION), cat.files, arrived.select("run_id"), THIS_YEAR)
+    return skipped.unionByName(plan.select(*SESSION, F.lit("would move").alias("note")))
+
+
+def merged(cat, name):
+    """One of the destination's tables after the merge."""
+    tables = {name: getattr(cat, name)}
+    repairs = tr.accept_unambiguous(repairs_of(cat)) if name == "edges" else None
+    return tr.merge_tables(merge_of(cat)[0], tables, DEST, repairs)[name]
+
+
+@query("t16_merged_files", f"""with {MERGE} select '{DEST}' as archive, p.new_run_id as run_id, t.name, t.size, t.sha256 from @files t join plan p on t.archive = p.archive and t.run_id = p.run_id
+union all select archive, run_id, t.name, t.size, t.sha256 from @files t where archive = '{DEST}'""")
+def merged_files(cat):
+    return merged(cat, "files").select(*SESSION, "name", "size", "sha256")
+
+
+@query("t16_merged_sidecars", f"""with {MERGE} select '{DEST}' as archive, p.new_run_id as run_id, t.filename, t.source, t.origin, t.sha256 from @sidecars t join plan p on t.archive = p.archive and t.run_id = p.run_id
+union all select archive, run_id, t.filename, t.source, t.origin, t.sha256 from @sidecars t where archive = '{DEST}'""")
+def merged_sidecars(cat):
+    return merged(cat, "sidecars").select(*SESSION, "filename", "source", "origin", "sha256")
+
+
+@query("t16_merged_annotations", f"""with {MERGE} select '{DEST}' as archive, p.new_run_id as run_id, t.filename, t.comment from @annotations t join plan p on t.archive = p.archive and t.run_id = p.run_id
+union all select archive, run_id, t.filename, t.comment from @annotations t where archive = '{DEST}'""")
+def merged_annotations(cat):
+    return merged(cat, "annotations").select(*SESSION, "filename", "comment")
+
+
+@query("t16_merged_renames", f"""with {MERGE} select '{DEST}' as archive, p.new_run_id as run_id, t.ord, t.old_name, t.new_name from @renames t join plan p on t.archive = p.archive and t.run_id = p.run_id
+union all select archive, run_id, t.ord, t.old_name, t.new_name from @renames t where archive = '{DEST}'""")
+def merged_renames(cat):
+    return merged(cat, "renames").select(*SESSION, "ord", "old_name", "new_name")
+
+
+@query("t16_merged_edges", f"""with {REPAIRS},
+fixed as (select e.run_id, e.filename, e.ord, e.ref_archive, e.ref_asset, case when a.run_id is not null then a.fixed_session else e.ref_session end as s,
+    case when a.run_id is not null then a.fixed_file else e.ref_file end as f
+  from @edges e left join accepted a on e.ref_archive is null and e.run_id = a.run_id and e.filename is not distinct from a.filename and e.ref_session is not distinct from a.ref_session
+    and e.ref_file is not distinct from a.ref_file where e.archive = '{SRC}')
+select '{DEST}' as archive, h.new_run_id as run_id, x.filename, x.ord, case when ref_archive <> '{DEST}' then ref_archive end as ref_archive,
+  case when coalesce(ref_archive, '{DEST}') = '{DEST}' then coalesce(t.new_run_id, s) else s end as ref_session, f as ref_file, ref_asset
+from fixed x join plan h on x.run_id = h.run_id left join plan t on x.s = t.run_id
+union all select archive, run_id, filename, ord, ref_archive, ref_session, ref_file, ref_asset from @edges where archive = '{DEST}'""")
+def merged_edges(cat):
+    return merged(cat, "edges").select(*SESSION, "filename", "ord", "ref_archive", "ref_session", "ref_file", "ref_asset")
+
+
+@query("t16_merged_related_runs", f"""with {MERGE} select '{DEST}' as archive, h.new_run_id as run_id, case when ref_archive <> '{DEST}' then ref_archive end as ref_archive,
+  case when coalesce(ref_archive, '{DEST}') = '{DEST}' then coalesce(t.new_run_id, ref_session) else ref_session end as ref_session, ref_file
+from @related_runs r join plan h on r.archive = h.archive and r.run_id = h.run_id left join plan t on r.ref_session = t.run_id
+union all select archive, run_id, ref_archive, ref_session, ref_file from @related_runs where archive = '{DEST}'""")
+def merged_related_runs(cat):
+    return merged(cat, "related_runs").select(*SESSION, "ref_archive", "ref_session", "ref_file")
+
+
+@query("t16_sealed_refusals", f"""with {MERGE} select archive, run_id, new_run_id, id_year - 100 in (select year from @session_rows where archive = '{DEST}' and year <= 1997) as refused from plan""")
+def sealed_refusals(cat):
+    """Planned sessions whose year is sealed at the destination stay where they are."""
+    seals = seals_of(cat).where(f"archive = '{DEST}'").select((F.col("year") + 100).alias("year"))
+    free, refused = tr.unsealed(merge_of(cat)[0], seals)
+    columns = [*SESSION, "new_run_id"]
+    return free.select(*columns, F.lit(False).alias("refused")).unionByName(refused.select(*columns, F.lit(True).alias("refused")))
+
+
+@query("t16_locked_archives", f"select archive, case when archive = '{SRC}' then '{NOW}' else merged_at end as merged_at, case when archive = '{SRC}' then '{DEST}' end as merged_to from @archives")
+def locked_archives(cat):
+    return tr.lock_archive(cat.archives, SRC, DEST, NOW).select("archive", "merged_at", "merged_to")
 
 
 @query("t14_safe_to_delete", f"select archive, count(*) filter (where merged_note is null) as unmerged, count(*) filter (where merged_note is null) = 0 as safe from @sessions where archive = '{SRC}' group by 1")
