@@ -53,6 +53,30 @@ def once_each(changes: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]
             counted.where("_n > 1").drop("_n").withColumn("refused", F.lit("changed twice")))
 
 
+def history_rows(done: DataFrame, action: str, file: str, note: Column, at: str, by: str | None = None) -> DataFrame:
+    """Entries that changed rows add to their sessions' histories, one per row."""
+    return done.select(*SESSION, F.lit(action).alias("action"), F.lit(at).alias("at"), F.lit(by).cast("string").alias("by"),
+                       F.col(file).alias("file"), note.cast("string").alias("note"))
+
+
+def adoption_history(adopted: DataFrame, at: str, by: str | None = None) -> DataFrame:
+    return history_rows(adopted, "reconcile", "filename", F.col("origin"), at, by)
+
+
+def import_history(placed: DataFrame, at: str, by: str | None = None) -> DataFrame:
+    return history_rows(placed, "import", "filename", F.col("origin"), at, by)
+
+
+def replace_history(sidecars: DataFrame, at: str, by: str | None = None) -> DataFrame:
+    """``sidecars`` as :func:`replace_content` returns them."""
+    return history_rows(sidecars.where("replaced_sha256 is not null"), "replace", "filename",
+                        F.concat_ws(" -> ", "replaced_sha256", "sha256"), at, by)
+
+
+def rename_history(done: DataFrame, at: str, by: str | None = None) -> DataFrame:
+    return history_rows(done, "renamed", "new_name", F.concat_ws(" -> ", "old_name", "new_name"), at, by)
+
+
 # -- M1 ---------------------------------------------------------------------------
 
 def annotate(annotations: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -166,7 +190,7 @@ def rename_files(files: DataFrame, sidecars: DataFrame, edges: DataFrame, rename
         "edges": renamed(pointed, "filename"),
         "renames": renames.unionByName(entries.select(*renames.columns)) if log else renames,
         "refused": judged.where("refused is not null").select(*changes.columns, "refused"),
-        "referrers": hits,
+        "referrers": hits, "done": done,
     }
 
 

@@ -95,6 +95,27 @@ def renamed_edges(cat):
     return renamed_of(cat)["edges"].select(*NODE, "ord", "ref_archive", "ref_session", "ref_file")
 
 
+@query("m03_rename_log", f"""with {RENAMING}, last as (select archive, run_id, max(ord) as top from @renames group by 1, 2)
+select archive, run_id, ord, old_name, new_name from @renames
+union all select j.archive, j.run_id, cast(coalesce(top, -1) + row_number() over (partition by j.archive, j.run_id order by old_name) as int), old_name, new_name
+from judged j left join last l on j.archive = l.archive and j.run_id = l.run_id where refused is null""")
+def rename_log(cat):
+    """The log afterwards: new entries follow each session's last one."""
+    return renamed_of(cat)["renames"].select(*SESSION, F.col("ord").cast("int").alias("ord"), "old_name", "new_name")
+
+
+@query("m03_rename_history", f"""with {RENAMING} select archive, run_id, 'renamed' as action, '{NOW}' as at, 'me@example.org' as by, new_name as file, old_name || ' -> ' || new_name as note
+from judged where refused is null""")
+def rename_history(cat):
+    return ch.rename_history(renamed_of(cat)["done"], NOW, "me@example.org")
+
+
+@query("m04_adoption_history", f"""select f.archive, f.run_id, 'reconcile' as action, '{NOW}' as at, 'me@example.org' as by, f.name as file, cast(null as string) as note from @files f
+anti join (select * from @sidecars where not trashed) c on f.archive = c.archive and f.run_id = c.run_id and f.name = c.filename""")
+def adoption_history(cat):
+    return ch.adoption_history(ch.adopt_orphans(cat.files, cat.sidecars, NOW, "me@example.org"), NOW, "me@example.org")
+
+
 @query("m03_refused_renames", f"with {RENAMING} select archive, run_id, old_name, new_name, refused from judged where refused is not null")
 def refused_renames(cat):
     return renamed_of(cat)["refused"]
@@ -128,6 +149,13 @@ def imported_rows(cat):
     return imported_of(cat)[0].select("archive", "run_id", "filename", "size", "sha256", "source")
 
 
+@query("m05_import_history", f"""with {OPENED} select archive, run_id, 'import' as action, '{NOW}' as at, cast(null as string) as by, requested as file, 'scan ' || cast(size as string) as note
+from placed where refused is null""")
+def import_history(cat):
+    placed = imported_of(cat)[0].withColumn("origin", F.concat(F.lit("scan "), F.col("size").cast("string")))
+    return ch.import_history(placed, NOW)
+
+
 @query("m05_refused_imports", f"with {OPENED} select archive, run_id, requested, refused, count(*) as n from placed where refused is not null group by 1, 2, 3, 4")
 def refused_imports(cat):
     return imported_of(cat)[1].groupBy("archive", "run_id", "requested", "refused").agg(F.count("*").alias("n"))
@@ -169,6 +197,15 @@ def replaced_content(cat):
     return ch.replace_content(cars, cat.files, changes, NOW)[0].select(*NODE, "source", "origin", "sha256", "replaced_sha256")
 
 
+@query("m07_replace_history", f"""select c.archive, c.run_id, 'replace' as action, '{NOW}' as at, cast(null as string) as by, c.filename as file,
+  coalesce(c.sha256, f.sha256) || ' -> ' || sha256(c.filename) as note
+from @sidecars c join @files f on c.archive = f.archive and c.run_id = f.run_id and c.filename = f.name where readable and not trashed and source = 'script'""")
+def replace_history(cat):
+    cars = cat.sidecars.where("readable and not trashed")
+    changes = cars.where("source = 'script'").select(*NODE, F.sha2("filename", 256).alias("new_sha256"), F.lit("rerun").alias("origin"))
+    return ch.replace_history(ch.replace_content(cars, cat.files, changes, NOW)[0], NOW)
+
+
 @query("m08_holds", """select archive, run_id, case when status = 'open' then null when tag_a = '1-URGENT' then '1999-06-15T14:00:00+00:00' when tag_a = '2-HIGH' then 'forever' else hold_until end as hold_until from @sessions""")
 def holds(cat):
     """Open sessions released, urgent ones held for two hours, high ones for good."""
