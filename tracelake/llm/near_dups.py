@@ -5,9 +5,9 @@ only one. Documents of equal sets are one class, and only classes are compared.
 each minimum the low bits are kept, packed into bit planes, and the share of equal ones, corrected for chance
 collisions, estimates the similarity. What may be similar is compared on the full sets.
 
-In a bucket every class is compared with the bucket's first. What these links leave in different components is then
-compared with the bucket's other components, so every two classes of a bucket are either joined or compared; no bucket
-is capped. A pair as similar as the threshold of 0.8 shares no bucket with probability (1 - 0.8^5)^38 = 3e-7.
+Each class is first compared with the first one that it shares a bucket with, then, as long as that joins many, with a
+few members of its buckets' largest components. What is left outside a bucket's largest component is compared with all of
+the bucket's other components, so every two classes of a bucket are either joined or compared; no bucket is capped. A pair as similar as the threshold of 0.8 shares no bucket with probability (1 - 0.8^5)^38 = 3e-7.
 
 Null and empty texts, and those without words, have no shingles and are linked with nothing. A null id is replaced by a
 negative number made from the text. Rows that share an id are one document. Other columns are not looked at.
@@ -30,7 +30,8 @@ from tracelake.session import stage, stage_counted
 BANDS, ROWS = 38, 5
 HASHES = 192              # the first BANDS * ROWS make the bands, all of them the estimate
 BITS = 4
-MARGIN = 0.2              # over six standard deviations of the estimate
+MARGIN = 0.14             # over four and a half standard deviations of the estimate
+TRIES = 8                 # members of the largest component that a class outside it is compared with in a round
 REMEMBER = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SIGNED = "doc_id long, node long, n_shingles long, s1 long, s2 long, bands array<long>, planes array<long>"
@@ -187,36 +188,64 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     key = ["n_shingles", "s1", "s2"]
     classes = rows.where("n_shingles > 0").groupBy(*key).agg(F.min("node").alias("rep"))
     own = rows.where("n_shingles > 0").join(classes, key).where("node = rep")
-    own = own.select("rep", F.struct(F.col("n_shingles").alias("n"), "planes").alias("class"), "bands")
+    short = F.transform("bands", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
+    own = own.select("rep", F.struct(F.col("n_shingles").alias("n"), "planes", short.alias("bands")).alias("class"), "bands")
 
-    # Buckets that two classes or more share.
-    banded = own.select("rep", F.explode("bands").alias("band"))
+    # Buckets that two classes or more share, and all that is needed of those classes.
+    banded = own.select("rep", F.posexplode("bands").alias("place", "band"))
     leaders = banded.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
     shared = stage(banded.join(leaders.select("band", "first"), "band"), "buckets")
-    signs = stage(own.select("rep", "class").join(shared.select("rep").distinct(), "rep", "left_semi"), "classes")
+    members = shared.select("rep").distinct()
+    signs = stage(own.select("rep", "class").join(members, "rep", "left_semi"), "classes")
+    texts = docs.select(node(id_col, text_col).alias("node"), utf8(text_col).alias("text"))
+    texts = stage(texts.join(members.withColumnRenamed("rep", "node"), "node", "left_semi").dropDuplicates(["node", "text"]), "texts")
 
     def sign(c: str) -> DataFrame:
         return signs.select(F.col("rep").alias(c), F.col("class").alias(f"class_{c}"))
 
-    texts = docs.select(node(id_col, text_col).alias("node"), utf8(text_col).alias("text"))
-    stars = shared.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stage(stars.join(sign("a"), "a").join(sign("b"), "b").where(may_link("class_a", "class_b", percent)).select("a", "b"), "pairs")
-    links, n = stage_counted(confirmed(stars, needed(texts, stars), words, percent), "links")
-    labels = components(links) if n else links.select(F.col("a").alias("v"), F.col("b").alias("to"))
+    def linked(pairs: DataFrame) -> tuple[DataFrame, int]:
+        likely = pairs.join(sign("a"), "a").join(sign("b"), "b").where(may_link("class_a", "class_b", percent)).select("a", "b")
+        return stage_counted(confirmed(stage(likely, "pairs"), texts, words, percent), "links")
 
-    # Buckets that still hold several components: what is outside a bucket's largest one against all others.
-    places = shared.join(labels.select(F.col("v").alias("rep"), "to"), "rep", "left").select(
-        "band", "rep", F.coalesce("to", "rep").alias("part"))
-    sizes = places.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
-    open_ = sizes.groupBy("band").agg(F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    rest = stage(places.join(open_.select("band", F.col("top.part").alias("largest")), "band"), "rest")
-    left = rest.where("part <> largest").select("band", F.col("rep").alias("a"), F.col("part").alias("part_a")).join(sign("a"), "a")
-    right = rest.select("band", F.col("rep").alias("b"), F.col("part").alias("part_b"), "largest").join(sign("b"), "b")
-    apart = (F.col("part_a") < F.col("part_b")) | ((F.col("part_a") > F.col("part_b")) & (F.col("part_b") == F.col("largest")))
-    others = stage(left.join(right, "band").where(apart & may_link("class_a", "class_b", percent)).select("a", "b").distinct(), "pairs")
-    more, m = stage_counted(confirmed(others, needed(texts, others), words, percent), "links")
-    if m:
-        labels = components(links.unionByName(more))
+    # Each class with the first of the classes it shares a bucket with.
+    links, n = linked(shared.groupBy("rep").agg(F.min("first").alias("a")).where("a <> rep").select("a", F.col("rep").alias("b")))
+    labels = components(links) if n else links.select(F.col("a").alias("v"), F.col("b").alias("to"))
+    # As long as it joins many: what is outside the largest component of a bucket with a few members of that one.
+    turn = 0
+    while True:
+        places = shared.join(labels.select(F.col("v").alias("rep"), "to"), "rep", "left").select(
+            "band", "place", "rep", F.coalesce("to", "rep").alias("part"))
+        any_of = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep"))["rep"].alias("one")
+        sizes = places.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"), any_of)
+        top = sizes.groupBy("band").agg(F.max(F.struct("n", "part", "one")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        rest = stage(places.join(top.select("band", F.col("top.part").alias("largest"), F.col("top.one").alias("one")), "band"), "rest")
+        outside = rest.where("part <> largest").groupBy("rep").agg(F.array_sort(F.collect_set("one")).alias("ones"))
+        outside, left = stage_counted(outside.select(F.explode(F.slice("ones", 1, TRIES)).alias("a"), F.col("rep").alias("b")), "outside")
+        if not left:
+            break
+        new, m = linked(outside)
+        if m:
+            links = links.unionByName(new)
+            labels = components(links)
+        turn += 1
+        if m * 10 < left:
+            break
+    # Every class that is still outside, with all of the bucket's other components, once for each pair.
+    if left:
+        places = rest.select("band", "place", "rep").join(labels.select(F.col("v").alias("rep"), "to"), "rep", "left").select(
+            "band", "place", "rep", F.coalesce("to", "rep").alias("part"))
+        sizes = places.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
+        top = sizes.groupBy("band").agg(F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        rest = stage(places.join(top.select("band", F.col("top.part").alias("largest")), "band"), "rest")
+        one = rest.where("part <> largest").select("band", "place", F.col("rep").alias("a"), F.col("part").alias("part_a")).join(sign("a"), "a")
+        two = rest.select("band", F.col("rep").alias("b"), F.col("part").alias("part_b"), "largest").join(sign("b"), "b")
+        apart = (F.col("part_a") < F.col("part_b")) | ((F.col("part_a") > F.col("part_b")) & (F.col("part_b") == F.col("largest")))
+        same = F.zip_with("class_a.bands", "class_b.bands", lambda x, y: x == y)
+        pairs = one.join(two, "band").where(apart & may_link("class_a", "class_b", percent)
+                                            & (F.array_position(same, F.lit(True)) == F.col("place") + 1)).select("a", "b")
+        new, m = stage_counted(confirmed(stage(pairs.distinct(), "pairs"), texts, words, percent), "links")
+        if m:
+            labels = components(links.unionByName(new))
 
     # From classes back to rows, each component named by its smallest node.
     named = classes.join(labels.select(F.col("v").alias("rep"), "to"), "rep", "left").withColumn("part", F.coalesce("to", "rep"))
@@ -225,9 +254,3 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     out = rows.select("doc_id", "node", *key).join(named, [F.col(k) == F.col(f"_{k}") for k in key], "left")
     component = F.coalesce("component_id", "node")
     return out.select("doc_id", "node", "n_shingles", component.alias("component_id"), (F.col("node") == component).alias("kept"))
-
-
-def needed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts of the classes in ``pairs``; pairs are stored, so a few of them are sent to the texts."""
-    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    return texts.join(ids, "node", "left_semi").dropDuplicates(["node", "text"])
