@@ -196,3 +196,16 @@ def test_a_name_of_full_length_gets_a_free_one(spark):
     new = spark.createDataFrame([(long,)], "collection string")
     got = tr.carry_collections(new, spark.createDataFrame([(long,), ("x" * 113 + "-intake",)], "collection string"), "intake").collect()
     assert [r.new_name for r in got] == ["x" * 111 + "-intake-2"]
+
+
+def test_entries_move_between_collections(spark):
+    from tracelake.operators import changes as ch
+
+    entries = spark.createDataFrame([("A", "one", 0, "S-24-0001/a.csv", "kept note"), ("A", "one", 1, "collections/two", ""), ("A", "two", 4, "S-24-0002", "")],
+                                    "archive string, collection string, ord int, ref string, note string")
+    moves = spark.createDataFrame([("A", "one", "two", "S-24-0001/a.csv"), ("A", "one", "two", "collections/two"), ("A", "two", "two", "S-24-0002")],
+                                  "archive string, collection string, target string, ref string")
+    after, refused = ch.move_entries(entries, moves)
+    assert sorted((r.collection, r.ord, r.ref, r.note) for r in after.collect()) == [
+        ("one", 1, "collections/two", ""), ("two", 4, "S-24-0002", ""), ("two", 5, "S-24-0001/a.csv", "kept note")]
+    assert [r.refused for r in refused.collect()] == ["contains itself"]

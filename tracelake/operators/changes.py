@@ -20,6 +20,7 @@ from tracelake.operators.lineage import (
     NODE, collections_reached, direct_dependents, inbound_references, rename_referrers)
 from tracelake.operators.skew import rank_in_groups
 from tracelake.operators.transfer import resolve_names
+from tracelake.session import stage
 
 def no_text() -> Column:
     return F.lit(None).cast("string")
@@ -394,6 +395,32 @@ def remove_entries(entries: DataFrame, removals: DataFrame) -> DataFrame:
     return named.join(gone, ["archive", "collection", "_c"], "left_anti").select(*entries.columns)
 
 
+def move_entries(entries: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries after moving some to other collections, and the moves refused.
+
+    ``moves``: archive, collection, target, ref. What the target cannot take
+    stays where it is; what it takes follows its last entry and keeps its note.
+    Moves within one collection change nothing.
+    """
+    wanted = canonical_refs(moves.where("collection <> target"), "ref")
+    good, refused = add_entries(entries, wanted.select("archive", F.col("target").alias("collection"), "ref"))
+    taken = good.select("archive", F.col("collection").alias("target"), F.col("ref").alias("canonical"))
+    done = stage(wanted.join(taken, ["archive", "target", "canonical"]).select(
+        "archive", "collection", "target", "canonical"), "moves")
+    # One row per place taken, whatever number of collections it comes from.
+    notes = canonical_refs(entries, "ref").select("archive", "collection", "canonical", "note")
+    arriving = done.join(notes, ["archive", "collection", "canonical"], "left").groupBy("archive", "target", "canonical").agg(
+        F.min_by("note", "collection").alias("note"))
+    last = entries.groupBy("archive", F.col("collection").alias("target")).agg(F.max("ord").alias("_last"))
+    place = F.row_number().over(Window.partitionBy("archive", "target").orderBy("canonical"))
+    added = arriving.join(last, ["archive", "target"], "left").select(
+        "archive", F.col("target").alias("collection"),
+        (F.coalesce("_last", F.lit(-1)) + place).cast(entries.schema["ord"].dataType).alias("ord"),
+        F.col("canonical").alias("ref"), "note")
+    left = remove_entries(entries, done.select("archive", "collection", F.col("canonical").alias("ref")))
+    return left.unionByName(added.select(*entries.columns)), refused
+
+
 def rename_collections(entries: DataFrame, changes: DataFrame) -> DataFrame:
     """Entries after renaming collections: own name, and parents' references.
 
