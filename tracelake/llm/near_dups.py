@@ -177,8 +177,8 @@ def components(edges: DataFrame) -> DataFrame:
     out = moves[-1]
     for move in reversed(moves[:-1]):
         further = out.select(F.col("v").alias("to"), F.col("to").alias("end"))
-        out = stage(move.join(further, "to", "left").select("v", F.coalesce("end", "to").alias("to")), "moves")
-    return out
+        out = move.join(further, "to", "left").select("v", F.coalesce("end", "to").alias("to"))
+    return stage(out, "components")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
