@@ -12,6 +12,7 @@ nothing. Other columns are not looked at.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import defaultdict, deque
 from functools import lru_cache
@@ -25,7 +26,7 @@ from tracelake.session import stage
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, first long, last long, sequence long, each long, at long"
-REMEMBER = 400_000
+REMEMBER = 1_200_000      # words whose ids a worker keeps, some 250 MB
 SLICE = 2_000
 
 
@@ -47,8 +48,8 @@ class WordIds(dict):
         new = [w for w in words if w not in self]
         for at in range(0, len(new), 10_000):
             some = new[at:at + 10_000]
-            for w, e in zip(some, self.model.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                self[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+            for w, e in zip(some, self.model.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                self[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
 
 @lru_cache(maxsize=2)
