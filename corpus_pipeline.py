@@ -24,8 +24,14 @@ def in_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that their source repeats."""
-    done = lines.site_line_dedup(docs)
+    """Documents without the lines that their source repeats.
+
+    The near duplicates of the next stage count as one document here: what only they share is their content, which is
+    left for that stage to compare.
+    """
+    copies = near_dups.near_duplicates(docs, words=5, percent=80).groupBy(F.col("node").alias("_n")).agg(F.min("component_id").alias("_copy"))
+    named = docs.join(copies, near_dups.node("doc_id", "text") == F.col("_n"))
+    done = lines.site_line_dedup(stage(named, "copies"), copy_col="_copy", may_empty=False)
     return done.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -376,3 +376,21 @@ def test_pipeline(spark, docs, tmp_path):
     for _, stage in corpus_pipeline.STAGES[1:]:
         none = stage(spark, none, str(tmp_path))
     assert none.count() == 0
+
+
+def test_copies_are_left_to_near_dedup(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    line = lambda n=12: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    copied = [line() for _ in range(8)]
+    rows = [(i, "\n".join(["menu of the site", *copied]), "en", "s") for i in range(20)]
+    rows += [(20 + i, "\n".join(["menu of the site", *copied[:7], copied[7] + f" x{i}"]), "en", "s") for i in range(10)]
+    rows += [(100 + i, "\n".join(["menu of the site", line(), line()]), "en", "s") for i in range(60)]
+    rows += [(200 + i, "menu of the site", "en", "s") for i in range(3)]
+    made = spark.createDataFrame(rows, SCHEMA).withColumn("n_chars", F.length("text").cast("long"))
+    clean = corpus_pipeline.without_boilerplate(spark, made, str(tmp_path))
+    got = {r.doc_id: r.text for r in clean.collect()}
+    assert all(got[i] == t.removeprefix("menu of the site\n") for i, t, _, _ in rows)
+    kept = {r.doc_id: r.text for r in corpus_pipeline.without_near_duplicates(spark, clean, str(tmp_path)).collect()}
+    assert set(kept) == {0, *range(100, 160), 200} and kept[0] == "\n".join(copied)
