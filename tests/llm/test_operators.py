@@ -394,3 +394,29 @@ def test_copies_are_left_to_near_dedup(spark, tmp_path):
     assert all(got[i] == t.removeprefix("menu of the site\n") for i, t, _, _ in rows)
     kept = {r.doc_id: r.text for r in corpus_pipeline.without_near_duplicates(spark, clean, str(tmp_path)).collect()}
     assert set(kept) == {0, *range(100, 160), 200} and kept[0] == "\n".join(copied)
+
+
+def test_mixing_carries_weights_through_the_whole_text(spark, docs, monkeypatch):
+    import numpy as np
+
+    code = mixing.huffman(np.arange(256))
+    rng = np.random.default_rng(2)
+    model = [rng.integers(-4000, 4000, 1 << s).astype(np.int16) for s in mixing.SIZES]
+    start = np.full((mixing.GATES, mixing.TABLES), 0.3)
+    texts = [b"one two three four " * 40 + b"\n", b"x" * 300 + b" y\n", b"\n", b"short text\n"]
+
+    def one_by_one(text):
+        bits = mixing.Bits([text], code)
+        x, gate = mixing.gated(model, bits, bits.byte, bits.node)
+        weights, total = start.astype(np.float32), 0.0
+        for xi, g, bit in zip(x, gate, bits.bit.tolist()):
+            p = 1 / (1 + math.exp(-min(max(float(xi @ weights[g]), -mixing.MAX_LOGIT), mixing.MAX_LOGIT)))
+            total += math.log10(p if bit else 1 - p)
+            weights[g] += np.float32(mixing.RATE * (bit - p)) * xi
+        return total
+
+    for piece in (50, 10 ** 6):
+        monkeypatch.setattr(mixing, "PIECE", piece)
+        assert np.allclose(mixing.whole_scores(texts, code, model, start), [one_by_one(t) for t in texts], rtol=1e-4)
+    for r in mixing.lm_scores(docs).collect():
+        assert abs(r.bits_per_byte * r.n_bytes * math.log10(2) + r.score) < 1e-6
