@@ -420,3 +420,26 @@ def test_mixing_carries_weights_through_the_whole_text(spark, docs, monkeypatch)
         assert np.allclose(mixing.whole_scores(texts, code, model, start), [one_by_one(t) for t in texts], rtol=1e-4)
     for r in mixing.lm_scores(docs).collect():
         assert abs(r.bits_per_byte * r.n_bytes * math.log10(2) + r.score) < 1e-6
+
+
+def test_texts_in_no_known_language_are_rejected(spark):
+    rng = random.Random(8)
+    vocabulary = {x: ["".join(rng.choice(a) for _ in range(rng.randint(2, 8))) for _ in range(150)]
+                  for x, a in (("en", "etaoinshr"), ("fr", "eaisunlré"), ("xx", "kwzyqjvgx"))}
+    text = lambda x, n=60: " ".join(rng.choice(vocabulary[x]) for _ in range(n))
+    rows = [(i, text("fr" if i % 3 else "en"), "fr" if i % 3 else "en", "s") for i in range(300)]
+    rows += [(1000 + i, text("xx"), "xx" if i < 5 else None, "s") for i in range(20)]
+    rows += [(2000, "x#$%&*|<> 9q" * 9, None, "s"), (2001, "qzxv jkwq " * 9, None, "s")]
+    got = {r.doc_id: r for r in language.language_id(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i].kept and got[i].language == ("fr" if i % 3 else "en") for i in range(300))
+    assert not any(r.kept or r.language for i, r in got.items() if i >= 1000)
+
+
+def test_every_language_with_enough_labelled_rows_has_a_model(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(70):
+        vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 7))) for _ in range(25)]
+        rows += [(100 * k + i, " ".join(rng.choice(vocabulary) for _ in range(60)), f"l{k:02}", "s") for i in range(12)]
+    got = language.language_id(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == len(rows) and all(r.kept and r.language == r.declared for r in got)

@@ -5,6 +5,11 @@ host, which is smoothed towards hosts of the same address suffix and those towar
 reliability of declarations are sums of text posteriors over all documents, gathered by grouping; a document's own
 share is taken out of its host's sum.
 
+Beside the languages there is a class of all other texts. It is as likely as a text whose trigrams are, for their number,
+``FAR`` deviations less usual than those of labelled documents of the nearest language, and at least as likely as
+trigrams at random. Where it is the likeliest class, the language is null. Languages declared by fewer than ``ENOUGH``
+labelled documents have no model, and their texts are among the others.
+
 A document is rejected when its text has no letter or no language reaches the wanted posterior, or when its language is
 not among those wanted. Null and empty texts have no letter. A null declaration is no evidence; null hosts are one
 host without suffix. Repeated rows are judged each. Without labelled rows, or in an empty table, nothing can be told
@@ -13,6 +18,8 @@ and every row is rejected with language null. Other columns are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,10 +31,16 @@ from tracelake.session import stage
 GRAMS = 1 << 16
 TEMPER = 1 / 3            # a byte takes part in three trigrams
 CHUNK = 1_000_000         # bytes scored at once
-MAX_LANGUAGES = 64
+ENOUGH = 10               # labelled documents that a language needs to have a model
+FAR = 4.0                 # deviations from its nearest language at which a text is as likely one of another
+RARE = 0.01               # share of labelled documents that are less usual than that
+OTHERS = 0.05             # prior share of texts in none of the languages
+DECLARATIONS = 64         # smoothing of how often a language declares what
+USUAL = 50                # trigrams of a labelled document that tells what is usual
 PER_LANGUAGE = 400        # labelled documents of a language that the trigram model is fitted to
 STRENGTH = 10.0           # documents' worth of the higher level's prior
-SCORED = "doc_id long, text_key long, host string, declared string, n_letters long, likelihood array<double>"
+SCORED = "doc_id long, text_key long, host string, declared string, n_letters long, likelihood array<double>, share array<double>"
+FUSED = "doc_id long, text_key long, host string, declared string, text_lang string, language string, posterior double, kept boolean"
 
 
 def grams(text: np.ndarray) -> np.ndarray:
@@ -37,48 +50,79 @@ def grams(text: np.ndarray) -> np.ndarray:
     return ((((b[:-2] << 16) | (b[1:-1] << 8) | b[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int32)
 
 
-def trained(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
-    """Languages and the log-probability of each trigram in each of them.
+def trained(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, the log-probability of each trigram in each of them, and what is usual in each: the median over labelled
+    documents of the mean log-ratio to trigrams at random, its deviation (so that ``FAR`` of it leave out the share ``RARE`` of
+    the documents, but not more than three quarters of the median), and the variance for a single trigram.
 
-    Fitted to at most ``per_language`` labelled documents of each of the ``MAX_LANGUAGES`` commonest languages, those
-    with the least hash of their id.
+    Fitted to at most ``per_language`` labelled documents of each language that has ``ENOUGH``, those with the least hash of
+    their id. What is usual is told by models of the half of them that a document is not in.
     """
     rows = labelled.where("lang is not null")
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    languages = sorted(r.lang for r in common.collect())
+    languages = sorted(r.lang for r in rows.groupBy("lang").count().where(F.col("count") >= ENOUGH).collect())
     if not languages:
-        return [], np.zeros((0, GRAMS))
+        return [], np.zeros((0, GRAMS)), np.zeros((3, 0))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text_key")
-    chosen = (rows.where(F.col("lang").isin(languages)).select("lang", "doc_id", "text_key")
+    known = rows.sparkSession.createDataFrame([(x,) for x in languages], "lang string")
+    chosen = (rows.join(F.broadcast(known), "lang", "left_semi").select("lang", "doc_id", "text_key")
               .withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_language).drop("_r"))
-    # Bounded by MAX_LANGUAGES times per_language ids.
-    sample = rows.join(F.broadcast(chosen.dropDuplicates(["doc_id", "text_key"]).drop("lang")), ["doc_id", "text_key"],
-                       "left_semi")
+    # Bounded by the number of languages times per_language ids.
+    sample = rows.join(F.broadcast(chosen.distinct()), ["lang", "doc_id", "text_key"], "left_semi")
+    sample = stage(sample.select("lang", F.pmod("text_key", F.lit(2)).cast("int").alias("half"), "text"), "labelled")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         total = {}
-        for lang, text in zip(values(batch, "lang"), values(batch, "text")):
+        for key, text in zip(zip(values(batch, "lang"), values(batch, "half")), values(batch, "text")):
             if len(text) > 2:
                 n = np.bincount(grams(np.frombuffer(text, np.uint8)), minlength=GRAMS)
-                total[lang] = total.get(lang, 0) + n
+                total[key] = total.get(key, 0) + n
         keys = {k: np.flatnonzero(n) for k, n in total.items()}
         return pa.RecordBatch.from_arrays(
-            [pa.array([k for k, g in keys.items() for _ in g], pa.string()),
+            [pa.array([k[0] for k, g in keys.items() for _ in g], pa.string()),
+             pa.array([k[1] for k, g in keys.items() for _ in g], pa.int32()),
              pa.array(np.concatenate([*keys.values(), np.zeros(0, np.int64)]), pa.int32()),
              pa.array(np.concatenate([*(total[k][g] for k, g in keys.items()), np.zeros(0, np.int64)]), pa.int64())],
-            names=["lang", "gram", "n"])
+            names=["lang", "half", "gram", "n"])
 
-    seen = np.full((len(languages), GRAMS), 0.5)
+    seen = np.zeros((2, len(languages), GRAMS))
     place = {k: i for i, k in enumerate(languages)}
-    # Bounded by MAX_LANGUAGES times GRAMS rows.
-    for r in per_batch(sample.select("lang", "text"), count, "lang string, gram int, n long").groupBy("lang", "gram").agg(
-            F.sum("n").alias("n")).collect():
-        seen[place[r.lang], r.gram] += r.n
-    return languages, np.log(seen / seen.sum(axis=1, keepdims=True))
-
-
-def scored(rows: DataFrame, model: np.ndarray) -> DataFrame:
-    """Tempered log-likelihood of every whole text under each language."""
+    # Bounded by the number of languages times GRAMS rows, twice.
+    found = per_batch(sample, count, "lang string, half int, gram int, n long").groupBy("lang", "half", "gram").agg(
+        F.sum("n").alias("n")).toArrow()
+    lang = np.array([place[x] for x in found.column("lang").to_pylist()], np.int64)
+    seen[found.column("half").to_numpy(), lang, found.column("gram").to_numpy()] = found.column("n").to_numpy()
+    model = logs(seen.sum(axis=0))
+    halves = logs(seen).astype(np.float32)
+
+    def ratio(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [(k, float(halves[1 - h, place[k]][grams(np.frombuffer(t, np.uint8))].mean()) + np.log(GRAMS))
+               for k, h, t in zip(*(values(batch, c) for c in ("lang", "half", "text"))) if len(t) > USUAL + 1]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([r for _, r in out], pa.float64())],
+                                          names=["lang", "ratio"])
+
+    ratios: dict[str, list[float]] = {k: [] for k in languages}
+    for r in per_batch(sample, ratio, "lang string, ratio double").collect():  # as many as documents are chosen, at most
+        ratios[r.lang].append(r.ratio)
+    share, x = np.exp(model), model + np.log(GRAMS)
+    mean = (share * x).sum(axis=1)
+    middle = np.array([np.median(ratios[k]) if ratios[k] else m for k, m in zip(languages, mean)])
+    apart = [(m - max(np.quantile(ratios[k], RARE), m / 4)) / FAR if ratios[k] else 0.0 for k, m in zip(languages, middle)]
+    return languages, model, np.array([middle, apart, (share * x * x).sum(axis=1) - mean ** 2])
+
+
+def logs(seen: np.ndarray) -> np.ndarray:
+    return np.log((seen + 0.5) / (seen + 0.5).sum(axis=-1, keepdims=True))
+
+
+def other(likelihood: np.ndarray, n: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """Tempered log-likelihood of texts of ``n`` trigrams as texts of none of the languages."""
+    middle, apart, single = usual[:, likelihood.argmax(axis=1)]
+    least = middle - FAR * np.sqrt(apart ** 2 + single / TEMPER / np.maximum(n, 1))
+    return TEMPER * n * (np.maximum(least, 0.0) - np.log(GRAMS))
+
+
+def scored(rows: DataFrame, model: np.ndarray, usual: np.ndarray) -> DataFrame:
+    """Tempered log-likelihood of every whole text under each language and, last, as one of none of them."""
     table = model.astype(np.float32)
     letter = np.zeros(256, bool)
     letter[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -103,19 +147,20 @@ def scored(rows: DataFrame, model: np.ndarray) -> DataFrame:
                 out[at:end, i] = np.add.reduceat(row[ids] * inside, starts, dtype=np.float64) * TEMPER
             letters[at:end] = np.add.reduceat(letter[flat].astype(np.int64), starts)
             at = end
-        k = len(table)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * k, pa.int32()), pa.array(out.ravel()))
+        n = np.maximum(np.array([len(t) for t in texts], np.int64) - 2, 0)
+        out = np.column_stack([out, other(out, n, usual)])
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+                 for x in (out, softmax(out))]
         names = ["doc_id", "text_key", "host", "declared"]
-        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(letters), lists],
-                                          names=[*names, "n_letters", "likelihood"])
+        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(letters), *lists],
+                                          names=[*names, "n_letters", "likelihood", "share"])
 
     return per_batch(rows.select("doc_id", "text_key", "host", F.col("lang").alias("declared"), "text"), score, SCORED)
 
 
-def softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    powers = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+def softmax(logs: np.ndarray) -> np.ndarray:
+    powers = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return powers / powers.sum(axis=1, keepdims=True)
 
 
 def suffix(host: Column) -> Column:
@@ -149,15 +194,14 @@ def language_id(docs: DataFrame, labelled: DataFrame | None = None, wanted: list
                          F.col(host_col).cast("string").alias("host"), F.col(declared_col).cast("string").alias("lang"),
                          utf8(text_col).alias("text"))
 
-    languages, model = trained(rows(docs if labelled is None else labelled))
+    languages, model, usual = trained(rows(docs if labelled is None else labelled))
     if not languages:
         return rows(docs).select("doc_id", "text_key", "host", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("text_lang"),
                                  F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"),
                                  F.lit(False).alias("kept"))
     n = len(languages)
-    docs = (stage(scored(rows(docs), model), "language")
-            .withColumn("suffix", suffix(F.col("host"))).withColumn("share", softmax(F.col("likelihood"))))
-    names = F.array(*map(F.lit, languages))
+    docs = (stage(scored(rows(docs), model, usual), "language")
+            .withColumn("suffix", suffix(F.col("host"))))
 
     # Sums of text posteriors: over all documents (one row), suffixes, hosts and declarations.
     total = docs.agg(*sums(n)).first()
@@ -167,22 +211,37 @@ def language_id(docs: DataFrame, labelled: DataFrame | None = None, wanted: list
     by_host = docs.groupBy("host", "suffix").agg(*sums(n)).join(by_suffix, "suffix").select(
         F.col("host").alias("_h"), F.col("sums").alias("host_sums"), F.col("docs").alias("host_docs"), "above")
     # How often each language declares what: rows are documents of a language, found by text.
-    weight = [total.sums[i] + MAX_LANGUAGES for i in range(n)] if total.docs else [1.0] * n
+    weight = [total.sums[i] + DECLARATIONS for i in range(n)] if total.docs else [1.0] * n
     by_declared = docs.where("declared is not null").groupBy("declared").agg(*sums(n)).select(
         F.col("declared").alias("_d"),
-        F.zip_with("sums", F.array(*map(F.lit, weight)), lambda s, w: F.log((s + 1) / w)).alias("declares"))
+        F.concat(F.zip_with("sums", F.array(*map(F.lit, weight)), lambda s, w: F.log((s + 1) / w)),
+                 F.array(F.log(F.col("docs") / F.lit(max(total.docs, 1.0))))).alias("declares"))
 
     joined = (docs.join(by_host, docs.host.eqNullSafe(by_host._h))
               .join(by_declared, F.col("declared") == F.col("_d"), "left"))
-    others = F.zip_with(F.col("host_sums"), F.col("share"), lambda s, own: F.greatest(s - own, F.lit(0.0)))
-    prior = F.zip_with(others, F.col("above"), lambda s, p: (s + STRENGTH * p) / (F.col("host_docs") - 1 + STRENGTH))
-    fused = F.zip_with(F.zip_with("likelihood", prior, lambda a, p: a + F.log(p)),
-                       F.coalesce("declares", F.array_repeat(F.lit(0.0), n)), lambda a, d: a + d)
-    best = lambda c: names[F.array_position(c, F.array_max(c)).cast("int") - 1]
-    out = (joined.withColumn("fused", softmax(fused))
-           .select("doc_id", "text_key", "host", "declared", "n_letters", best(F.col("share")).alias("text_lang"),
-                   best(F.col("fused")).alias("language"), F.array_max("fused").alias("posterior")))
-    good = (F.col("n_letters") > 0) & (F.col("posterior") >= least_posterior)
-    if wanted is not None:
-        good &= F.col("language").isin(wanted)
-    return out.withColumn("kept", good).drop("n_letters")
+    names = np.array([*languages, None], object)
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+
+            def matrix(c: str, batch=batch) -> np.ndarray:
+                column = batch.column(batch.schema.get_field_index(c))
+                return column.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+            share, likelihood = matrix("share"), matrix("likelihood")
+            documents = np.array(values(batch, "host_docs"))[:, None]
+            others = np.maximum(matrix("host_sums") - share[:, :n], 0.0)
+            prior = (others + STRENGTH * matrix("above")) / (documents - 1 + STRENGTH)
+            prior = np.column_stack([prior * (1 - OTHERS), np.full(len(prior), OTHERS)])
+            fused = softmax(likelihood + np.log(prior) + matrix("declares"))
+            best, posterior = names[fused.argmax(axis=1)], fused.max(axis=1)
+            good = np.array([x is not None and (wanted is None or x in wanted) for x in best])
+            good &= (np.array(values(batch, "n_letters")) > 0) & (posterior >= least_posterior)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(4)), pa.array(names[share.argmax(axis=1)], pa.string()), pa.array(best, pa.string()),
+                 pa.array(posterior), pa.array(good)], names=[x.split()[0] for x in FUSED.split(", ")])
+
+    return joined.select("doc_id", "text_key", "host", "declared", "n_letters", "likelihood", "share", "host_sums", "host_docs", "above",
+                         F.coalesce("declares", F.array_repeat(F.lit(0.0), n + 1)).alias("declares")).mapInArrow(fuse, FUSED)
