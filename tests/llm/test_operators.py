@@ -443,3 +443,22 @@ def test_every_language_with_enough_labelled_rows_has_a_model(spark):
         rows += [(100 * k + i, " ".join(rng.choice(vocabulary) for _ in range(60)), f"l{k:02}", "s") for i in range(12)]
     got = language.language_id(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == len(rows) and all(r.kept and r.language == r.declared for r in got)
+
+
+def test_packing_and_repeats_return_contents(spark):
+    import struct
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    passage = "".join(f"passage {k} " for k in range(20))
+    rows = [(1, "a " + passage + "z"), (2, passage + "é end"), (3, None)]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = {}
+    for r in sorted(packing.best_fit_packing(made, capacity=16).collect(), key=lambda r: r.piece):
+        assert r.length == len(r.ids) // 4 and r.ids_crc32 == zlib.crc32(r.ids)
+        ids[r.doc_id] = ids.get(r.doc_id, ()) + struct.unpack(f"<{r.length}I", r.ids)
+    assert ids == {i: (*library.encode(t or "", add_special_tokens=False).ids, 1) for i, t in rows}
+    got = {r.doc_id: (bytes(r.kept).decode(), [tuple(s) for s in r.spans]) for r in repeats.kept_texts(made).collect()}
+    assert got == {1: (rows[0][1], []), 2: ("é end", [(0, len(passage))]), 3: ("", [])}

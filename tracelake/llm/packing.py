@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import per_batch, utf8, values
 from tracelake.session import stage
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long"
 PLAN = "length long, first long, last long, sequence long, each long, at long"
 REMEMBER = 1_200_000      # words whose ids a worker keeps, some 250 MB
 SLICE = 2_000
@@ -62,7 +62,7 @@ def word_ids(tokenizer: str) -> WordIds:
 
 def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096, end_id: int = 1,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of every row with their place in the document and a checksum of their ids.
+    """The pieces of every row: place in the document, ids (little-endian, four bytes each) and a checksum of them.
 
     The tokenizer drops white space and never joins over it, so ids are kept per word.
     """
@@ -70,18 +70,18 @@ def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = word_ids(tokenizer)
-        out: list[list] = [[], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         docs_words = [t.split() for t in values(batch, "text")]
         known.learn(set().union(*docs_words))
         for doc, words in zip(values(batch, "doc_id"), docs_words):
             ids = b"".join(map(known.__getitem__, words)) + end
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at:at + 4 * capacity]
-                for column, v in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part))):
+                for column, v in zip(out, (doc, k, at // 4, len(part) // 4, part, zlib.crc32(part))):
                     column.append(v)
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
-            names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))],
+            names=["doc_id", "piece", "start", "length", "ids", "ids_crc32"])
 
     return per_batch(docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")), cut, PIECES)
 
@@ -160,7 +160,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 
 def placed(cut: DataFrame, capacity: int) -> DataFrame:
-    """Every piece with its sequence and offset. ``cut`` is a stored table."""
+    """Every piece with its ids, sequence and offset. ``cut`` is a stored table."""
     spark = cut.sparkSession
     # At most ``capacity`` rows, whatever the input.
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -182,10 +182,10 @@ def placed(cut: DataFrame, capacity: int) -> DataFrame:
     nth = F.col("rank") - F.col("first")
     return found.select("doc_id", "piece", "start", "length", "ids_crc32",
                         (F.col("sequence") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"),
-                        (F.col("at") + F.pmod(nth, "each") * F.col("length")).cast("long").alias("offset"))
+                        (F.col("at") + F.pmod(nth, "each") * F.col("length")).cast("long").alias("offset"), "ids")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096, end_id: int = 1,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pack all rows of ``docs`` into sequences of at most ``capacity`` tokens."""
+    """Pack all rows of ``docs`` into sequences of at most ``capacity`` tokens; each piece has its ids."""
     return placed(stage(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces"), capacity)

@@ -15,7 +15,6 @@ empty result. Other columns are not looked at.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -321,25 +320,22 @@ def sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_out(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Measures of what is left of each text without its covered stretches."""
+    """What is left of each text without its covered stretches, and the runs of these."""
     rows = []
     for text, spans in zip(values(batch, "text"), values(batch, "spans")):
-        kept, removed, runs, past = hashlib.sha256(), 0, 0, 0
-        upto = -1  # end of the run of covered bytes that is being gathered
+        runs: list[dict[str, int]] = []
         for begin, end in sorted((s["begin"], s["end"]) for s in spans or ()):
-            if begin > upto:
-                if upto >= 0:
-                    past = upto
-                kept.update(text[past:begin])
-                removed, runs, upto = removed + end - begin, runs + 1, end
-            elif end > upto:
-                removed, upto = removed + end - upto, end
-        kept.update(text[max(upto, 0):])
-        rows.append((len(text), removed, runs, kept.hexdigest()))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            if runs and begin <= runs[-1]["end"]:
+                runs[-1]["end"] = max(runs[-1]["end"], end)
+            else:
+                runs.append({"begin": begin, "end": end})
+        past = [0, *(r["end"] for r in runs)]
+        upto = [*(r["begin"] for r in runs), len(text)]
+        rows.append((len(text), b"".join(text[b:e] for b, e in zip(past, upto)), runs))
+    kinds = (pa.int64(), pa.binary(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
     return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("node")),
                                        *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))],
-                                      names=["node", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                                      names=["node", "n_bytes", "kept", "spans"])
 
 
 def node(id_col: str, text_col: str) -> Column:
@@ -387,14 +383,20 @@ def by_string(around: DataFrame) -> DataFrame:
         "place.*", (F.col("place.begin") + LENGTH).alias("end"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For every row: its bytes, how many are removed in how many runs, and the SHA-256 of the rest."""
+def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For every row: its bytes, those that are kept (a cut may divide a character), and the runs that are removed."""
     texts = docs.select(node(id_col, text_col).alias("node"), text_key(text_col).bitwiseAND(0xFFFF).cast("int").alias("tie"),
                         utf8(text_col).alias("text"))
     spans = covered(texts).groupBy(F.col("node").alias("_node"), F.col("tie").alias("_tie")).agg(
         F.collect_list(F.struct("begin", "end")).alias("spans"))
     joined = texts.join(spans, (F.col("node") == F.col("_node")) & (F.col("tie") == F.col("_tie")), "left")
     out = per_batch(joined.select("node", "text", "spans"), cut_out,
-                    "node long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(F.when(F.col("node") < F.lit(1 << 62), F.col("node")).alias("doc_id"),
-                      "n_bytes", "n_removed", "n_spans", "kept_sha256")
+                    "node long, n_bytes long, kept binary, spans array<struct<begin:long,end:long>>")
+    return out.select(F.when(F.col("node") < F.lit(1 << 62), F.col("node")).alias("doc_id"), "n_bytes", "kept", "spans")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For every row: its bytes, how many are removed in how many runs, and the SHA-256 of the rest."""
+    return kept_texts(docs, id_col, text_col).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
