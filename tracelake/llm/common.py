@@ -8,6 +8,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,20 @@ def benchmark(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/benchmark.parquet")
 
 
+def embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/embeddings.parquet")
+
+
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
+def filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """A file system for tasks and the path in it; Hadoop's names of object stores are translated."""
+    scheme, sign, rest = path.partition("://")
+    return pa.fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + sign + rest)
+
+
 def utf8(name: str) -> Column:
     """A text column as its UTF-8 bytes, null as none."""
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"").cast("binary"))

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, language, lines, mixing, near_dups, packing, quality, repeats, token_counts, warc
-from tracelake.llm.common import benchmark, documents, pages
+from tracelake.llm import (
+    decontaminate, filter_audit, hard_negatives, language, lines, mixing, near_dups, packing, quality, repeats, token_counts,
+    token_files, warc,
+)
+from tracelake.llm.common import benchmark, documents, embeddings, labels, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -206,3 +209,78 @@ from documents d left join n on n.doc_id = d.doc_id join comp on comp.v = d.doc_
 def op5_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Unigram and context-mixing scores of every document, learnt from six sevenths of them."""
     return mixing.lm_scores(documents(spark, folder))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of five filters removes at each place of each order, by language."""
+    return filter_audit.filter_interactions(documents(spark, folder), labels(spark, folder))
+
+
+SQL["op11_filter_audit"] = r"""
+with w as (select doc_id, coalesce(text, '') as t, coalesce(lang, '') as part,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+m as (select doc_id, part,
+             case when len(w) < 100 then 1 else 0 end
+             + case when 100 * len(list_distinct(w)) < 80 * len(w) then 2 else 0 end
+             + case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) then 4 else 0 end
+             + case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end
+             + case when doc_id > min(doc_id) over (partition by t) then 16 else 0 end as mask
+      from w),
+told as (select doc_id, max(quality) filter (quality = 1) as good, max(toxic) filter (toxic = 1) as toxic from labels group by doc_id),
+cells as materialized (
+    select part, mask, count(*) as n, count(*) filter (good = 1) as good, count(*) filter (toxic = 1) as toxic
+    from m left join told using (doc_id) group by part, mask),
+letters(f, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders as (select a.f || b.f || c.f || d.f || e.f as filter_order from letters a, letters b, letters c, letters d, letters e
+           where a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps as (select filter_order, s.step, f, bit,
+                 (select coalesce(sum(l.bit), 0) from letters l where strpos(substr(filter_order, 1, s.step - 1), l.f) > 0)::integer as earlier
+          from orders, (select unnest(range(1, 6)) as step) s, letters where substr(filter_order, s.step, 1) = f),
+figures as (
+    select part, filter_order, step, f,
+           coalesce(sum(n) filter (mask & (earlier | bit) = 0), 0)::bigint as kept,
+           coalesce(sum(n) filter (mask & bit <> 0 and mask & earlier = 0), 0)::bigint as removed,
+           coalesce(sum(n) filter (mask & bit <> 0 and mask & earlier <> 0), 0)::bigint as redundant,
+           coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails,
+           coalesce(sum(good) filter (mask & bit <> 0 and mask & earlier = 0), 0)::bigint as good_lost,
+           coalesce(sum(toxic) filter (mask & bit <> 0 and mask & earlier = 0), 0)::bigint as toxic_lost
+    from cells, steps group by part, filter_order, step, f)
+select part, filter_order, step::integer as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) over (partition by part, f))::bigint as shapley
+from figures
+"""
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of other labels that score a little below an anchor's positives; a seventh of the labels are made wrong."""
+    rows = embeddings(spark, folder)
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.select("vec_id", "embedding", wrong.alias("label")), F.col("vec_id") % 100 == 0)
+
+
+SQL["op12_hard_negatives"] = """
+with v as materialized (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+           list_transform(embedding, lambda x: floor(256 * x::double)) as e
+    from embeddings
+    where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as materialized (
+    select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same, list_inner_product(a.e, r.e)::bigint as score
+    from v a join v r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+      qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id,
+       (row_number() over (partition by anchor_id, positive_id order by s.score desc, s.vec_id))::integer as rank,
+       s.vec_id as negative_id, positive_score, s.score as negative_score
+from p join s using (anchor_id)
+where not same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by s.score desc, s.vec_id) <= 10
+"""
+
+
+@query
+def op13_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of all documents, written to files by ascending id and read back."""
+    return token_files.token_files(documents(spark, folder)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
