@@ -362,8 +362,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                      pa.array([plain[4 * (e - k):4 * e] for e, k in zip(ends.tolist(), lens.tolist())], pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids"])
 
-    # Blocks are little to send and much to read: a task for each, or for a few of very many.
-    tasks = max(1, min(n, max(1000, n // 16)))
+    # Blocks are little to send and much to read: a few of them to a task, and enough tasks for all cores.
+    tasks = max(1, min(n, max(4 * spark.sparkContext.defaultParallelism, n // 256)))
     return blocks.join(starts, "number").drop("tokens").repartition(tasks, "path", "offset").mapInArrow(read, READ)
 
 
