@@ -12,78 +12,40 @@ nothing. Other columns are not looked at.
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections import defaultdict, deque
-from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import per_batch, utf8, values
+from tracelake.llm.common import per_batch
+from tracelake.llm.token_ids import token_ids
 from tracelake.session import stage
 
-PIECES = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids binary"
 PLAN = "length long, first long, last long, sequence long, each long, at long"
-REMEMBER = 1_200_000      # words whose ids a worker keeps, some 250 MB
 SLICE = 2_000
 
 
-class WordIds(dict):
-    """Ids of blank-free words as little-endian bytes; a word is tokenized when first met."""
-
-    def __init__(self, tokenizer: str):
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.model = Tokenizer.from_file(public_tokenizers.path(tokenizer))
-        self.model.no_truncation()
-        self.model.no_padding()
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self) > REMEMBER:
-            self.clear()
-        new = [w for w in words if w not in self]
-        for at in range(0, len(new), 10_000):
-            some = new[at:at + 10_000]
-            for w, e in zip(some, self.model.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-
-
-@lru_cache(maxsize=2)
-def word_ids(tokenizer: str) -> WordIds:
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return WordIds(tokenizer)
-
-
 def pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096, end_id: int = 1,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of every row: place in the document, ids (little-endian, four bytes each) and a checksum of them.
-
-    The tokenizer drops white space and never joins over it, so ids are kept per word.
-    """
-    end = end_id.to_bytes(4, "little")
-
+    """The pieces of every row: place in the document and ids (little-endian, four bytes each)."""
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known = word_ids(tokenizer)
-        out: list[list] = [[], [], [], [], [], []]
-        docs_words = [t.split() for t in values(batch, "text")]
-        known.learn(set().union(*docs_words))
-        for doc, words in zip(values(batch, "doc_id"), docs_words):
-            ids = b"".join(map(known.__getitem__, words)) + end
-            for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[at:at + 4 * capacity]
-                for column, v in zip(out, (doc, k, at // 4, len(part) // 4, part, zlib.crc32(part))):
-                    column.append(v)
+        ids, ends = token_ids(tokenizer).encode(batch.column(1), end_id)
+        begins = np.concatenate([[0], ends[:-1]])
+        n = -(-(ends - begins) // capacity)
+        doc = np.repeat(np.arange(len(n)), n)
+        nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        start = nth * capacity
+        length = np.minimum(capacity, (ends - begins)[doc] - start)
+        data, at = ids.astype("<u4").tobytes(), (begins[doc] + start) * 4
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))],
-            names=["doc_id", "piece", "start", "length", "ids", "ids_crc32"])
+            [batch.column(0).take(pa.array(doc)), pa.array(nth, pa.int32()), pa.array(start), pa.array(length),
+             pa.array([data[b:e] for b, e in zip(at, at + 4 * length)], pa.binary())],
+            names=["doc_id", "piece", "start", "length", "ids"])
 
-    return per_batch(docs.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("text")), cut, PIECES)
+    return per_batch(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), cut, PIECES)
 
 
 class Tightest:
@@ -160,7 +122,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 
 def placed(cut: DataFrame, capacity: int) -> DataFrame:
-    """Every piece with its ids, sequence and offset. ``cut`` is a stored table."""
+    """Sequence and offset of every piece. ``cut`` is a stored table of (doc_id, piece, length, tie) and other columns."""
     spark = cut.sparkSession
     # At most ``capacity`` rows, whatever the input.
     counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -168,24 +130,31 @@ def placed(cut: DataFrame, capacity: int) -> DataFrame:
     slices = spark.createDataFrame([(s, max(1, n // SLICE)) for s, n in counts.items()], "length long, slices long")
 
     # Ranks within a length: within slices of it, plus the rows in the slices before.
-    dealt = cut.join(F.broadcast(slices), "length").withColumn(
-        "slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "slices")).drop("slices")
+    dealt = cut.join(F.broadcast(slices), "length").withColumn("slice", F.pmod("tie", "slices")).drop("slices")
     before = dealt.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "before", F.sum("n").over(Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)))
-    order = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32")
+    order = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "tie")
     ranked = (dealt.withColumn("_r", F.row_number().over(order) - 1)
               .join(before.select("length", "slice", "before"), ["length", "slice"])
               .withColumn("rank", F.col("_r") + F.coalesce("before", F.lit(0))))
-    # The plan is bounded by the capacity, not by the input.
+    # The plan has at most ``capacity`` rows for each length.
     found = ranked.join(F.broadcast(table.withColumnRenamed("length", "_length")),
                         (F.col("length") == F.col("_length")) & F.col("rank").between(F.col("first"), F.col("last")))
     nth = F.col("rank") - F.col("first")
-    return found.select("doc_id", "piece", "start", "length", "ids_crc32",
-                        (F.col("sequence") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"),
-                        (F.col("at") + F.pmod(nth, "each") * F.col("length")).cast("long").alias("offset"), "ids")
+    return found.select(*cut.columns, (F.col("sequence") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"),
+                        (F.col("at") + F.pmod(nth, "each") * F.col("length")).cast("long").alias("offset"))
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 4096, end_id: int = 1,
-                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pack all rows of ``docs`` into sequences of at most ``capacity`` tokens; each piece has its ids."""
-    return placed(stage(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces"), capacity)
+                     id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """Pack all rows of ``docs`` into sequences of at most ``capacity`` tokens; each piece has its ids and their checksum.
+
+    Places are found on narrow rows; ids are joined to them at the end, and only if asked for.
+    """
+    cut = pieces(docs, tokenizer, capacity, end_id, id_col, text_col)
+    cut = stage(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    checksum = F.crc32("ids")
+    narrow = cut.select("row", "doc_id", "piece", "start", "length", checksum.alias("ids_crc32"),
+                        F.xxhash64("row").alias("tie"))
+    out = placed(stage(narrow, "narrow-pieces"), capacity).drop("tie")
+    return (out.join(cut.select("row", "ids"), "row") if with_ids else out).drop("row")

@@ -170,7 +170,7 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Documents packed into sequences of at most 4096 tokens."""
-    return packing.best_fit_packing(documents(spark, folder)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.best_fit_packing(documents(spark, folder), with_ids=False)
 
 
 @query
