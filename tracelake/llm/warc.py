@@ -19,27 +19,21 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import parts, utf8
-from tracelake.session import stage, staging_root
+from tracelake.llm.common import filesystem, parts, utf8
+from tracelake.session import stage, stage_counted, staging_root
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 READ = 1 << 18
-MAX_HEADERS = 1 << 20
 NIL = -1
 RECORDS = ("path string, offset long, page_id long, uri string, record_type string, refers_to long, payload_digest string, "
            "payload_bytes long, payload binary")
 WRITTEN = "path string, records long, bytes long"
 
 
-def filesystem(path: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(path)
-
-
 def record(page_id: int | None, url: str, payload: bytes, digest: str, response_id: int | None, size: int) -> bytes:
     """One record as a compressed member; ``response_id`` makes it a revisit, whose payload is left out."""
     revisit = response_id is not None
@@ -94,7 +88,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, max_bytes: i
             done.append((f"{folder}/{name}", n, size))
             out, number, size, n = None, number + 1, 0, 0
 
-        for batch in (p for b in batches for p in parts(b, "payload")):
+        for batch in (p for b in batches for p in parts(b, "payload", "url")):
             for row in batch.to_pylist():
                 data = record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"], row["size"])
                 if out is None:
@@ -122,7 +116,7 @@ class Member:
     def __init__(self, file: pa.NativeFile, offset: int):
         self.file, self.at = file, offset
         self.unpack = zlib.decompressobj(31)
-        self.rest = b""
+        self.rest = bytearray()
 
     def more(self) -> bytes:
         """The next decoded bytes; none at the member's end. At most a few times ``READ`` are held."""
@@ -138,22 +132,27 @@ class Member:
         return b""
 
     def head(self) -> dict[str, str] | None:
-        """The record's headers, or None if this is no record."""
+        """The record's headers, however long, or None if this is no record; a record that breaks off is an error."""
+        end, searched = -1, 0
         try:
-            while b"\r\n\r\n" not in self.rest:
-                if len(self.rest) >= len(VERSION) and not self.rest.startswith(b"WARC/") or len(self.rest) > MAX_HEADERS:
+            while end < 0:
+                if len(self.rest) >= len(VERSION) and not self.rest.startswith(b"WARC/"):
                     return None
                 if not (out := self.more()):
-                    return None
+                    raise zlib.error("no end of headers")
                 self.rest += out
-        except zlib.error:
+                end = self.rest.find(b"\r\n\r\n", searched)
+                searched = max(0, len(self.rest) - 3)
+        except zlib.error as e:
+            if self.rest.startswith(b"WARC/"):
+                raise ValueError(f"damaged record: {e}") from e
             return None
-        head, _, self.rest = self.rest.partition(b"\r\n\r\n")
+        head, self.rest = bytes(self.rest[:end]), bytes(self.rest[end + 4:])
         return headers(head) if head.startswith(b"WARC/") else None
 
     def block(self) -> Iterator[bytes]:
         if self.rest:
-            yield self.rest
+            yield bytes(self.rest)
         while out := self.more():
             yield out
 
@@ -249,8 +248,10 @@ def read_archives(spark: SparkSession, folder: str, split_bytes: int = 16 << 20,
                         rows, size = [], 0
         yield packed(rows)
 
-    # A range is little to send and much to read: deal ranges out evenly, by what they are.
-    return ranges.repartition(F.col("path"), F.col("begin")).mapInArrow(read, RECORDS)
+    # A range is little to send and much to read: a few of them to a task, and enough tasks for all cores.
+    ranges, n = stage_counted(ranges, "ranges")
+    tasks = max(1, min(n, max(4 * spark.sparkContext.defaultParallelism, n // 16)))
+    return ranges.repartition(tasks, F.col("path"), F.col("begin")).mapInArrow(read, RECORDS)
 
 
 def archived_pages(pages: DataFrame, split_bytes: int = 16 << 20, least: int = 100) -> DataFrame:
