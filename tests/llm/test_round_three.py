@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import ROWS, SCHEMA, docs, empty, with_clashes  # noqa: F401 -- fixtures
-from tracelake.llm import filter_audit, hard_negatives, token_files
+from tracelake.llm import filter_audit, hard_negatives, repeats, token_files, warc
 from tracelake.llm.token_ids import MARK, TokenIds
 
 
@@ -177,3 +177,37 @@ def test_coder_round_trips_and_comes_near_the_entropy():
 def test_checksums_of_ids_are_unsigned(spark, docs):  # noqa: F811
     got = token_files.token_files(docs.where("doc_id = 106")).withColumn("c", F.crc32("ids")).first()
     assert got.c == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in whole_ids(["one"], 2)[0]))
+
+
+def test_headers_of_any_length_are_read(spark, monkeypatch):
+    monkeypatch.setattr(warc, "READ", 1 << 16)
+    rng = random.Random(2)
+    long = "https://x.example/" + "".join(rng.choice("abcdefgh0123456789") for _ in range(3_500_000))
+    pages = spark.createDataFrame([(1, long, "p" * 200), (2, "https://y.example/", "p" * 200), (3, None, "q")], "page_id long, url string, html string")
+    got = {r.page_id: (r.uri, r.record_type, r.refers_to) for r in warc.archived_pages(pages, split_bytes=1 << 20).collect()}
+    assert got == {1: (long, "response", None), 2: ("https://y.example/", "revisit", 1), 3: ("", "response", None)}
+
+
+def test_a_record_that_breaks_off_is_an_error(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "https://x.example/" + "ab1c" * 9, "p" * 200)], "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(pages, f"file://{tmp_path}/w").first().path.removeprefix("file://")
+    data = open(path, "rb").read()
+    open(path, "wb").write(data[:120])
+    with pytest.raises(ValueError, match="damaged"):
+        list(warc.records_in(f"file://{path}", 0, 120, False))
+
+
+def test_ranges_of_an_archive_go_to_many_tasks(spark, tmp_path):
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.sha2(F.col("id").cast("string"), 512).alias("html"))
+    warc.write_archives(pages.coalesce(1), f"file://{tmp_path}/w").collect()
+    records = warc.read_archives(spark, f"file://{tmp_path}/w", 4096)
+    assert records.select("page_id").distinct().count() == 400
+    assert records.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 4
+
+
+def test_ids_of_any_size_are_returned(spark):
+    passage = "".join(f"a passage {k} " for k in range(20))
+    top = (1 << 63) - 1
+    rows = [(1 << 62, passage), (top, passage), (None, passage), (-5, "x" + passage)]
+    got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {-5: 0, 1 << 62: len(passage), top: len(passage), None: len(passage)}

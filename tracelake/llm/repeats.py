@@ -333,9 +333,9 @@ def cut_out(batch: pa.RecordBatch) -> pa.RecordBatch:
         upto = [*(r["begin"] for r in runs), len(text)]
         rows.append((len(text), b"".join(text[b:e] for b, e in zip(past, upto)), runs))
     kinds = (pa.int64(), pa.binary(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
-    return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("node")),
+    return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")),
                                        *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))],
-                                      names=["node", "n_bytes", "kept", "spans"])
+                                      names=["doc_id", "n_bytes", "kept", "spans"])
 
 
 def node(id_col: str, text_col: str) -> Column:
@@ -385,14 +385,13 @@ def by_string(around: DataFrame) -> DataFrame:
 
 def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row: its bytes, those that are kept (a cut may divide a character), and the runs that are removed."""
-    texts = docs.select(node(id_col, text_col).alias("node"), text_key(text_col).bitwiseAND(0xFFFF).cast("int").alias("tie"),
-                        utf8(text_col).alias("text"))
-    spans = covered(texts).groupBy(F.col("node").alias("_node"), F.col("tie").alias("_tie")).agg(
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), node(id_col, text_col).alias("node"),
+                        text_key(text_col).bitwiseAND(0xFFFF).cast("int").alias("tie"), utf8(text_col).alias("text"))
+    spans = covered(texts.drop("doc_id")).groupBy(F.col("node").alias("_node"), F.col("tie").alias("_tie")).agg(
         F.collect_list(F.struct("begin", "end")).alias("spans"))
     joined = texts.join(spans, (F.col("node") == F.col("_node")) & (F.col("tie") == F.col("_tie")), "left")
-    out = per_batch(joined.select("node", "text", "spans"), cut_out,
-                    "node long, n_bytes long, kept binary, spans array<struct<begin:long,end:long>>")
-    return out.select(F.when(F.col("node") < F.lit(1 << 62), F.col("node")).alias("doc_id"), "n_bytes", "kept", "spans")
+    return per_batch(joined.select("doc_id", "text", "spans"), cut_out,
+                     "doc_id long, n_bytes long, kept binary, spans array<struct<begin:long,end:long>>")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
