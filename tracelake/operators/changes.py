@@ -16,9 +16,9 @@ from tracelake.functions.refs import canonical_refs, parse_refs
 from tracelake.functions.text import bad_tags, clean_tags, rename_problem, strip
 from tracelake.functions.times import HOLD_FOREVER, as_iso
 from tracelake.operators.items import SESSION, appendable, orphan_files
-from tracelake.operators.lineage import (
-    NODE, collections_reached, direct_dependents, inbound_references, rename_referrers)
-from tracelake.operators.skew import rank_in_groups
+from tracelake.operators.graphs import cyclic_groups
+from tracelake.operators.lineage import NODE, direct_dependents, inbound_references, rename_referrers
+from tracelake.operators.skew import fold_in_order, rank_in_groups
 from tracelake.operators.transfer import resolve_names
 from tracelake.session import stage
 
@@ -34,17 +34,8 @@ def split_writable(changes: DataFrame, archives: DataFrame) -> tuple[DataFrame,
     return judged.where("refused is null").drop("refused"), judged.where("refused is not null")
 
 
-def once_each(changes: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """One change per target, and those refused.
-
-    With a column ``ord`` the last change of a target counts; without it, nobody
-    can say which does, and all changes of the target are refused.
-    """
-    if "ord" in changes.columns:
-        whole = F.struct("ord", *[c for c in changes.columns if c != "ord"])
-        last = changes.groupBy(*key).agg(F.max(whole).alias("_last"))
-        return (last.select(*[F.col("_last")[c].alias(c) for c in changes.columns]),
-                changes.limit(0).withColumn("refused", no_text()))
+def unrepeated(changes: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Changes that are alone with their key, and the others, all refused."""
     count = changes.groupBy(*key).agg(F.count("*").alias("_n"))
     same = F.lit(True)
     for k in key:
@@ -54,6 +45,20 @@ def once_each(changes: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]
             counted.where("_n > 1").drop("_n").withColumn("refused", F.lit("changed twice")))
 
 
+def once_each(changes: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One change per target, and those refused.
+
+    With a column ``ord`` the last change of a target counts; without it, nobody
+    can say which does, and all changes of the target are refused.
+    """
+    if "ord" not in changes.columns:
+        return unrepeated(changes, key)
+    whole = F.struct("ord", *[c for c in changes.columns if c != "ord"])
+    last = changes.groupBy(*key).agg(F.max(whole).alias("_last"))
+    return (last.select(*[F.col("_last")[c].alias(c) for c in changes.columns]),
+            changes.limit(0).withColumn("refused", no_text()))
+
+
 def history_rows(done: DataFrame, action: str, file: str, note: Column, at: str, by: str | None = None) -> DataFrame:
     """Entries that changed rows add to their sessions' histories, one per row."""
     return done.select(*SESSION, F.lit(action).alias("action"), F.lit(at).alias("at"), F.lit(by).cast("string").alias("by"),
@@ -80,31 +85,72 @@ def rename_history(done: DataFrame, at: str, by: str | None = None) -> DataFrame
 
 # -- M1 ---------------------------------------------------------------------------
 
+#: What any sequence of changes does to notes: new tags or none, tags taken off, tags put behind, a new comment or none,
+#: lines put behind it.
+NOTED = "struct<tags:array<string>,removed:array<string>,added:array<string>,comment:string,lines:array<string>>"
+
+
+def _noted() -> Column:
+    """One change as a value that can be combined; null leaves a field alone, empty clears it."""
+    empty = F.array().cast("array<string>")
+    added, removed = F.coalesce(clean_tags(F.col("add_tags")), empty), F.coalesce(clean_tags(F.col("remove_tags")), empty)
+    put = F.array_except(F.array_distinct(added), removed)
+    line = strip(F.col("append_comment"))
+    return F.when(F.col("set_tags").isNotNull(), F.struct(
+        F.array_except(F.array_distinct(F.concat(clean_tags(F.col("set_tags")), added)), removed).alias("tags"),
+        empty.alias("removed"), empty.alias("added"))).otherwise(F.struct(
+            F.lit(None).cast("array<string>").alias("tags"), removed.alias("removed"), put.alias("added"))), strip(
+        F.col("set_comment")), F.when(line != "", F.array(line)).otherwise(empty)
+
+
+def _then(first: Column, second: Column) -> Column:
+    """Two changes as one: what ``second`` does to what ``first`` leaves."""
+    empty = F.array().cast("array<string>")
+    behind = lambda tags: F.array_union(F.array_except(tags, second["removed"]), second["added"])
+    anew = second["tags"].isNotNull() | first["tags"].isNotNull()
+    return F.struct(
+        F.when(second["tags"].isNotNull(), second["tags"]).when(first["tags"].isNotNull(), behind(first["tags"])).alias("tags"),
+        F.when(anew, empty).otherwise(F.array_union(first["removed"], second["removed"])).alias("removed"),
+        F.when(anew, empty).otherwise(behind(first["added"])).alias("added"),
+        F.coalesce(second["comment"], first["comment"]).alias("comment"),
+        F.when(second["comment"].isNotNull(), second["lines"]).otherwise(F.concat(first["lines"], second["lines"])).alias("lines"))
+
+
 def annotate(annotations: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add, remove or set tags; append to or set comments.
 
     ``changes``: archive, run_id, filename (null: the session), add_tags,
     remove_tags, set_tags, append_comment, set_comment; null leaves a field
-    alone, empty clears it. A target with an unusable tag is refused whole.
+    alone, empty clears it. With a column ``ord`` all changes of a target are
+    applied in its order; without it, or where two changes of a target share
+    their place, these are refused. A change with an unusable tag is refused
+    whole, and the others of its target are not.
     """
     empty = F.array().cast("array<string>")
-    changes, twice = once_each(changes, [*SESSION, "filename"])
+    ordered = "ord" in changes.columns
+    changes, twice = unrepeated(changes, [*SESSION, "filename", *(["ord"] if ordered else [])])
     wrong = F.concat(bad_tags(F.coalesce("add_tags", empty)), bad_tags(F.coalesce("set_tags", empty)))
     judged = changes.withColumn("refused", F.when(F.size(wrong) > 0, F.concat(
         F.lit("unusable tag: "), F.get(wrong, F.lit(0)))))
-    good = judged.where("refused is null").withColumn("_file", F.coalesce("filename", F.lit("")))
-    old = annotations.withColumn("_file", F.coalesce("filename", F.lit("")))
     key = [*SESSION, "_file"]
-    both = old.select(*key, "tags", "comment").join(good.select(
-        *key, "add_tags", "remove_tags", "set_tags", "append_comment", "set_comment"), key, "full_outer")
-    base = F.coalesce(clean_tags(F.col("set_tags")), "tags", empty)
-    tags = F.array_except(F.array_distinct(F.concat(base, F.coalesce(clean_tags(F.col("add_tags")), empty))),
-                          F.coalesce(clean_tags(F.col("remove_tags")), empty))
-    said = F.coalesce(strip(F.col("set_comment")), "comment", F.lit(""))
-    line = strip(F.col("append_comment"))
-    comment = F.concat_ws("\n", F.when(said != "", said), F.when(line != "", line))
+    tags, comment, lines = _noted()
+    good = judged.where("refused is null").withColumn("_file", F.coalesce("filename", F.lit(""))).select(
+        *key, (F.col("ord") if ordered else F.lit(0)).alias("ord"), tags.alias("_t"), comment.alias("_c"), lines.alias("_l"))
+    good = good.select(*key, "ord", F.struct("_t.tags", "_t.removed", "_t.added", F.col("_c").alias("comment"), F.col("_l").alias("lines")).alias("change"))
+    none = F.lit(None)
+    nothing = F.struct(none.cast("array<string>").alias("tags"), empty.alias("removed"), empty.alias("added"),
+                       none.cast("string").alias("comment"), empty.alias("lines")).cast(NOTED)
+    change = fold_in_order(good, key, "ord", "change", nothing, lambda x, y: _then(x, y).cast(NOTED))
+
+    old = annotations.withColumn("_file", F.coalesce("filename", F.lit(""))).select(*key, "tags", "comment")
+    both = old.join(change, key, "full_outer")
+    c = F.col("change")
+    kept = F.array_except(F.coalesce("tags", empty), F.coalesce(c["removed"], empty))
+    tags = F.coalesce(c["tags"], F.array_distinct(F.concat(kept, F.coalesce(c["added"], empty))))
+    said = F.coalesce(c["comment"], "comment", F.lit(""))
+    lines = F.concat(F.when(said != "", F.array(said)).otherwise(empty), F.coalesce(c["lines"], empty))
     out = both.select(*SESSION, F.when(F.col("_file") != "", F.col("_file")).alias("filename"),
-                      tags.alias("tags"), comment.alias("comment"))
+                      tags.alias("tags"), F.array_join(lines, "\n").alias("comment"))
     return (out.where((F.size("tags") > 0) | (F.col("comment") != "")),
             judged.where("refused is not null").unionByName(twice))
 
@@ -366,7 +412,7 @@ def add_entries(entries: DataFrame, additions: DataFrame) -> tuple[DataFrame, Da
 
     Both tables have archive, collection and ref. Nesting is judged against the
     collections as they will be, so additions that only together close a cycle
-    are all refused.
+    are all refused: those whose two ends then lead to each other.
     """
     parsed = canonical_refs(parse_refs(additions, "ref"), "ref")
     old = canonical_refs(entries, "ref").where("canonical is not null").select("archive", "collection", "canonical")
@@ -375,13 +421,14 @@ def add_entries(entries: DataFrame, additions: DataFrame) -> tuple[DataFrame, Da
                                                               F.col("ref_collection").alias("child"))
     nested_new = parsed.where(local & (F.col("ref_collection") != F.col("collection"))).select(
         "archive", F.col("collection").alias("parent"), F.col("ref_collection").alias("child"))
-    reach = collections_reached(nested_old.unionByName(nested_new).distinct()).select(
-        "archive", F.col("start").alias("ref_collection"), F.col("target").alias("collection"), F.lit(True).alias("_cycle"))
+    groups = cyclic_groups(nested_old.unionByName(nested_new), ["archive"], "parent", "child")
+    within = groups.select("archive", F.col("name").alias("collection"), F.col("component").alias("_own"))
+    nested = groups.select("archive", F.col("name").alias("ref_collection"), F.col("component").alias("_cycle"))
     judged = parsed.join(old.withColumn("_old", F.lit(True)).distinct(), ["archive", "collection", "canonical"], "left").join(
-        reach, ["archive", "collection", "ref_collection"], "left")
+        within, ["archive", "collection"], "left").join(nested, ["archive", "ref_collection"], "left")
     judged = judged.withColumn("refused", F.coalesce(
         F.col("ref_error"), F.when(local & (F.col("ref_collection") == F.col("collection")), "contains itself"),
-        F.when(local & F.col("_cycle"), "makes a cycle"), F.when(F.col("_old"), "already there")))
+        F.when(local & (F.col("_own") == F.col("_cycle")), "makes a cycle"), F.when(F.col("_old"), "already there")))
     good = judged.where("refused is null").dropDuplicates(["archive", "collection", "canonical"]).select(
         "archive", "collection", F.col("canonical").alias("ref"))
     return good, judged.where("refused is not null").select("archive", "collection", "ref", "refused")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.graphs import followed
 from tracelake.operators.items import SESSION
 from tracelake.session import stage, stage_counted
 
@@ -43,30 +44,13 @@ def current_names(renames: DataFrame) -> DataFrame:
     """What each logged name is called now.
 
     Follows old -> new, the last entry per old name counting, until a name no
-    entry changes; a cycle ends where it would repeat. One row per logged name.
+    entry changes; a cycle ends where it would repeat. One row per logged name that
+    is not its own. Chains are followed by doubling.
     """
-    step = (
-        renames.groupBy(*SESSION, "old_name")
-        .agg(F.max_by("new_name", "ord").alias("new_name"))
-    )
-    step = stage(step, "rename-steps")
-    walk = step.where(F.col("new_name") != F.col("old_name")).select(
-        *SESSION, "old_name", F.col("new_name").alias("now"),
-        F.array("old_name", "new_name").alias("path"))
-    following = step.select(*SESSION, F.col("old_name").alias("now"), F.col("new_name").alias("after"))
-    done = None
-    while True:
-        reached = walk.join(following, [*SESSION, "now"], "left")
-        goes_on = F.col("after").isNotNull() & ~F.array_contains("path", F.col("after"))
-        reached = stage(reached.withColumn("more", F.coalesce(goes_on, F.lit(False))), "renames")
-        ended = reached.where("not more").select(*SESSION, "old_name", "now")
-        done = ended if done is None else done.unionByName(ended)
-        walk = reached.where("more").select(
-            *SESSION, "old_name", F.col("after").alias("now"),
-            F.concat("path", F.array("after")).alias("path"))
-        if walk.isEmpty():
-            break
-    return done.select(*SESSION, "old_name", F.col("now").alias("current_name"))
+    step = renames.groupBy(*SESSION, "old_name").agg(F.max_by("new_name", "ord").alias("new_name"))
+    ends = followed(step, SESSION, "old_name", "new_name").withColumnRenamed("end", "current_name")
+    same = step.where("old_name = new_name").select(*SESSION, "old_name")
+    return ends.join(same, [*SESSION, "old_name"], "left_anti").select(*SESSION, "old_name", "current_name")
 
 
 # -- J5, G4: where a reference leads ---------------------------------------------

@@ -154,5 +154,7 @@ def write_changed_years(table: DataFrame, changes: DataFrame, path: str) -> None
     hadoop = spark._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)
     files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    named = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
     for row in emptied:
-        files.delete(hadoop.Path(root, f"archive={row.archive}/year={row.year}"), True)
+        below = [named(k, None if row[k] is None else str(row[k])) for k in ("archive", "year")]
+        files.delete(hadoop.Path(root, "/".join(below)), True)

@@ -8,9 +8,13 @@ the wanted order, such as the day of a timestamp.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.session import stage
+
 #: How many of the largest keys are treated as hot. Any other key holds less
 #: than 1/1000 of the rows, so it needs no splitting; and a table of at most
 #: this many keys is safe to broadcast whatever the data size.
@@ -18,6 +22,8 @@ HOT_KEYS = 1000
 #: A key below this many rows is never worth splitting.
 HOT_ROWS = 1_000_000
 SALTS = 64
+#: How many values of a group one row holds while they are folded.
+FOLD = 1024
 
 
 def rank_in_groups(df: DataFrame, keys: list[str], slice_by: Column, order: list[Column],
@@ -124,3 +130,24 @@ def multiset_hash(text: Column) -> list[Column]:
         F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")
               .cast("decimal(38,0)")) for i in range(2)
     ]
+
+
+def fold_in_order(df: DataFrame, keys: list[str], order: str, value: str, start: Column,
+                  combine: Callable[[Column, Column], Column]) -> DataFrame:
+    """One ``value`` per group: all of its values combined in ascending ``order``, which no two rows of a group share.
+
+    ``combine`` has to be associative, with ``start`` changing nothing. Runs of at most ``FOLD`` neighbours are
+    combined first, wherever they lie, then the results likewise, until every group is short enough: a group of a
+    billion rows takes three rounds, and no row ever holds more than ``FOLD`` values.
+    """
+    def folded() -> Column:
+        return F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_v"))), lambda x: x["_v"]), start, combine)
+
+    part = stage(df.select(*keys, F.col(order).alias("_at"), F.col(value).alias("_v")), "fold")
+    while (part.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > FOLD:
+        placed = part.repartitionByRange(*keys, "_at").sortWithinPartitions(*keys, "_at").withColumn(
+            "_block", F.floor(F.monotonically_increasing_id() / FOLD))
+        # Numbers of places are fixed by writing them down; a lost task gives the same ones again.
+        placed = stage(placed, "fold-places")
+        part = stage(placed.groupBy(*keys, "_block").agg(F.min("_at").alias("_at"), folded().alias("_v")).drop("_block"), "fold")
+    return part.groupBy(*keys).agg(folded().alias(value))

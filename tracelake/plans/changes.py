@@ -50,6 +50,32 @@ def refused_annotations(cat):
     return ch.annotate(annotations_of(cat), changes)[1].select(*NODE, "refused")
 
 
+@query("m01_ordered_changes", """
+with c as (select archive, run_id, filename, line, flag from @artifacts where has_sidecar and readable and not trashed),
+old as (select archive, run_id, filename, tag_a, tag_b, comment from @annotations where filename is not null)
+select coalesce(c.archive, o.archive) as archive, coalesce(c.run_id, o.run_id) as run_id, coalesce(c.filename, o.filename) as filename,
+  array_to_string(case when c.filename is null then list_filter([tag_a, case when tag_b <> tag_a then tag_b end], lambda x: x is not null)
+    when line = 4 then ['late'] when line = 3 and flag <> 'R' then ['one', 'two', 'late']
+    else list_filter([tag_a, case when tag_b <> tag_a then tag_b end, 'two', 'late'], lambda x: x is not null) end, '|') as tags,
+  case when c.filename is null then comment when line = 4 then 'anew~third' else array_to_string(list_filter([comment, 'first', case when flag <> 'R' then 'second' end, 'third'], lambda x: x is not null), '~') end as comment
+from c full outer join old o on c.archive = o.archive and c.run_id = o.run_id and c.filename = o.filename""")
+def ordered_changes(cat):
+    """Three changes of every recorded file, each built on the one before; one that is refused leaves the others."""
+    none, tags = F.lit(None), lambda *x: F.array(*[F.lit(t) for t in x]).cast("array<string>")
+    rows = cat.artifacts.where("has_sidecar and readable and not trashed").select(*NODE, "line", "flag")
+    change = lambda n, add=none, remove=none, put=none, append=none, anew=none: F.struct(
+        F.lit(n).alias("ord"), add.cast("array<string>").alias("add_tags"), remove.cast("array<string>").alias("remove_tags"),
+        put.cast("array<string>").alias("set_tags"), append.cast("string").alias("append_comment"), anew.cast("string").alias("set_comment"))
+    three = F.array(
+        change(1, tags("one", "two"), append=F.lit("first")),
+        change(2, F.when(F.col("flag") == "R", tags("a,b")).otherwise(tags("two")), F.when(F.col("line") != 3, tags("one")),
+               F.when(F.col("line") == 3, tags("one")), F.lit("second")),
+        change(3, tags("late"), F.when(F.col("flag") == "R", tags("one")), F.when(F.col("line") == 4, tags()), F.lit("third"),
+               F.when(F.col("line") == 4, "anew")))
+    table, _refused = ch.annotate(annotations_of(cat).where("filename is not null"), rows.select(*NODE, F.inline(three)))
+    return table.select(*NODE, F.array_join("tags", "|").alias("tags"), F.replace("comment", F.lit("\n"), F.lit("~")).alias("comment"))
+
+
 @query("m02_reseal", """select c.archive, c.run_id, c.filename, 'reseal' as action, c.sha256 as old_sha256, f.sha256 as new_sha256 from (select * from @sidecars where readable and not trashed) c
 join @files f on c.archive = f.archive and c.run_id = f.run_id and c.filename = f.name where c.sha256 is distinct from f.sha256""")
 def reseal(cat):
@@ -324,6 +350,66 @@ def renamed_collections(cat):
     return ch.rename_collections(cat.collection_entries, changes)
 
 
+# Links between brands of one archive: circles of two and of three, and chains that close none.
+CIRCLES = """links as (select distinct cal_archive as archive, p_brand as collection, cast(substr(p_brand, 7) as integer) as n from part join @calibrations on p_partkey = cal_part),
+adds as (select archive, collection, 'collections/Brand#' || cast(case when n <= 2 then 3 - n when n <= 5 then 3 + (n - 2) % 3 when n <= 9 then n + 1 when n = 11 then 11
+    when n <= 14 and n >= 12 then 12 + (n - 11) % 3 when n = 15 then 12 end as string) as ref from links),
+nested as (select archive, collection as parent, replace(ref, 'collections/', '') as child from adds where ref is not null and ref <> 'collections/' || collection
+  union select archive, collection, replace(ref, 'collections/', '') from @collection_entries where ref like 'collections/%'),
+reach as (select archive, parent as start, child as target from nested union select r.archive, r.start, n.child from reach r join nested n on r.archive = n.archive and r.target = n.parent),
+judged as (select a.archive, a.collection, a.ref, case when 'collections/' || a.collection = a.ref then 'contains itself' when r.start is not null then 'makes a cycle' end as refused
+  from adds a left join reach r on a.archive = r.archive and r.start = replace(a.ref, 'collections/', '') and r.target = a.collection where a.ref is not null)"""
+
+
+def circles_of(cat):
+    brands = cat.part.join(cat.calibrations, F.col("p_partkey") == F.col("cal_part")).select(
+        F.col("cal_archive").alias("archive"), F.col("p_brand").alias("collection")).distinct()
+    n = F.substring("collection", 7, 2).cast("int")
+    to = (F.when(n <= 2, 3 - n).when(n <= 5, 3 + (n - 2) % 3).when(n <= 9, n + 1).when(n == 11, 11)
+          .when((n >= 12) & (n <= 14), 12 + (n - 11) % 3).when(n == 15, 12))
+    return brands.withColumn("ref", F.concat(F.lit("collections/Brand#"), to.cast("string"))).where("ref is not null")
+
+
+@query("u06_refused_circles", f"with recursive {CIRCLES} select * from judged where refused is not null")
+def refused_circles(cat):
+    """Links that would close a circle, of two, three or more collections."""
+    return ch.add_entries(cat.collection_entries, circles_of(cat))[1]
+
+
+@query("u06_added_links", f"with recursive {CIRCLES} select archive, collection, ref from judged where refused is null")
+def added_links(cat):
+    return ch.add_entries(cat.collection_entries, circles_of(cat))[0]
+
+
+MOVING = """moved as (select distinct e.archive, e.collection, e.ref, 'Brand#' || cast(cast(substr(e.collection, 7) as integer) % 25 + 1 as string) as target
+  from @collection_entries e where e.collection like 'Brand#%' and e.ref not like 'prov:%' and e.ref not like 'collections/%' and e.ref not like '%|%' and e.ord % 3 = 0),
+refused as (select m.*, 'already there' as refused from moved m semi join @collection_entries o on m.archive = o.archive and m.target = o.collection and m.ref = o.ref),
+done as (select m.* from moved m anti join refused r on m.archive = r.archive and m.target = r.target and m.ref = r.ref),
+last as (select archive, collection, max(ord) as top from @collection_entries group by 1, 2),
+arriving as (select d.archive, d.target, d.ref, arg_min(e.note, d.collection) as note from done d join @collection_entries e on d.archive = e.archive and d.collection = e.collection and d.ref = e.ref group by 1, 2, 3),
+after as (select e.archive, e.collection, e.ord, e.ref, e.note from @collection_entries e anti join done d on e.archive = d.archive and e.collection = d.collection and e.ref = d.ref
+  union all select a.archive, a.target, coalesce(top, -1) + row_number() over (partition by a.archive, a.target order by a.ref), a.ref, a.note
+  from arriving a left join last l on a.archive = l.archive and a.target = l.collection)"""
+
+
+def moved_of(cat):
+    entries = cat.collection_entries.where(
+        "collection like 'Brand#%' and ref not like 'prov:%' and ref not like 'collections/%' and ref not like '%|%' and ord % 3 = 0")
+    to = F.concat(F.lit("Brand#"), (F.substring("collection", 7, 2).cast("int") % 25 + 1).cast("string"))
+    return ch.move_entries(cat.collection_entries, entries.select("archive", "collection", to.alias("target"), "ref").distinct())
+
+
+@query("u06_moved_entries", f"with {MOVING} select archive, collection, cast(ord as bigint) as ord, ref, note from after")
+def moved_entries(cat):
+    """A third of the brands' entries moved one brand on, behind the entries there."""
+    return moved_of(cat)[0].withColumn("ord", F.col("ord").cast("bigint"))
+
+
+@query("u06_refused_moves", f"with {MOVING} select distinct archive, target as collection, ref, refused from refused")
+def refused_moves(cat):
+    return moved_of(cat)[1].distinct()
+
+
 # -- people ----------------------------------------------------------------------------
 
 @query("w09_current_identities", "select petname, arg_max(id, ord) as current, count(*) as n_ids from @trail group by 1")

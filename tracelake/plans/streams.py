@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tracelake.plans.registry import CHECKS, query
-from tracelake.plans.store import LIVE, capped_of
+from tracelake.plans.store import INDEXED, LIVE, capped_of
 from tracelake.session import stage, staging_root
 from tracelake.streaming import snapshots, sweep
 
@@ -36,14 +36,19 @@ def streaming_snapshots(cat):
 CHECKS["n02_streaming_snapshots"] = CHECKS["n02_rate_limited_snapshots"]
 
 
-@query("n01_streaming_sweep", f"with {LIVE} select archive, year, run_id, sig from live")
+@query("n01_streaming_sweep", f"""with {LIVE}, {INDEXED} select 1 as sweep, archive, year, run_id, sig from indexed
+union all select 2, archive, year, run_id, sig from live where archive <> 'AFRICA' and year <> 1996
+union all select 3, archive, year, run_id, sig from live""")
 def streaming_sweep(cat):
-    """Listings as a stream: an empty index, then all that changed since."""
+    """Three sweeps on one checkpoint: the index as it was, a listing that lacks an archive and a year, and all of it again."""
+    spark = cat.spark
     out, checkpoint = _places(cat, "sweep")
-    sweep.refresh(cat.indexed_stats, out)
     listings, gathered = _places(cat, "listings")
-    # Many small files, so that the sessions' files come in several batches.
-    stage(cat.live_stats, "listings").repartition(6).write.parquet(listings)
-    stream = cat.spark.readStream.schema(cat.live_stats.schema).option("maxFilesPerTrigger", 2).parquet(listings)
-    sweep.sweep(stream, out, gathered, checkpoint)
-    return cat.spark.read.parquet(out).select("archive", F.col("year").cast("int").alias("year"), "run_id", "sig")
+    archives, seen = cat.archives.select("archive"), []
+    for number, listing in enumerate((cat.indexed_stats, cat.live_stats.where("archive <> 'AFRICA' and year <> 1996"), cat.live_stats), 1):
+        sweep.stamped(listing, number, archives).repartition(4).write.mode("append").parquet(listings)
+        # Many small files, so that a listing comes in several batches.
+        stream = spark.readStream.schema(sweep.ROW).option("maxFilesPerTrigger", 2).parquet(listings)
+        sweep.sweep(stream, out, gathered, checkpoint)
+        seen.append(stage(sweep.read_index(spark, out), "swept").select(F.lit(number).alias("sweep"), *sweep.KEY, "sig"))
+    return seen[0].unionByName(seen[1]).unionByName(seen[2])
