@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import ROWS, SCHEMA, docs, empty, with_clashes  # noqa: F401 -- fixtures
-from tracelake.llm import filter_audit, hard_negatives, repeats, token_files, warc
+from tracelake.llm import filter_audit, hard_negatives, near_dups, repeats, token_files, warc
 from tracelake.llm.token_ids import MARK, TokenIds
 
 
@@ -211,3 +211,56 @@ def test_ids_of_any_size_are_returned(spark):
     rows = [(1 << 62, passage), (top, passage), (None, passage), (-5, "x" + passage)]
     got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {-5: 0, 1 << 62: len(passage), top: len(passage), None: len(passage)}
+
+
+def plain_groups(texts, words, percent):
+    """Components of the documents, every pair compared."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i:i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    parent = list(range(len(texts)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and both and 100 * both >= percent * (len(a) + len(sets[j]) - both):
+                parent[top(i)] = top(j)
+    return [top(i) for i in range(len(texts))]
+
+
+def test_buckets_of_unlike_documents_are_settled_by_rare_shingles(spark, monkeypatch):
+    """Many documents that share a passage of four fifths: all share buckets, few are similar enough."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    passage = [word() for _ in range(110)]
+    texts = [" ".join([*passage, *(word() for _ in range(rng.choice([14, 18, 26])))]) for _ in range(60)]
+    texts += [" ".join([*t.split()[:-3], word()]) for t in texts[:12]]
+    made = []
+    rare = near_dups.rare_pairs
+    monkeypatch.setattr(near_dups, "rare_pairs", lambda *a: made.append(rare(*a).cache()) or made[-1])
+    monkeypatch.setattr(near_dups, "TRIES", 1)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(rows, words=2).collect()}
+    tops, first = plain_groups(texts, 2, 80), {}
+    for i, t in enumerate(tops):
+        first.setdefault(t, i)
+    assert got == {i: first[t] for i, t in enumerate(tops)}
+    assert made and made[0].count() < 60 * 59 / 4, "far fewer than all pairs of the bucket"
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark, tmp_path):
+    import corpus_pipeline
+
+    one, two = " ".join(f"first{i}" for i in range(60)), " ".join(f"second{i}" for i in range(60))
+    rows = [(1, one), (1, two), (2, two), (3, one + " more"), (None, two), (None, None), (1, one), (4, "")]
+    made = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id or -1, r.text_key, r.component_id) for r in near_dups.near_duplicates(made).collect())
+    assert len(got) == len(rows) and {c for _, _, c in got if c > 0} == {1, 4}
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.without_near_duplicates(spark, made, str(tmp_path)).collect()]
+    assert sorted(t or "" for _, t in kept) == ["", "", one, two] and len(kept) == 4

@@ -53,24 +53,24 @@ def text_key(name: str) -> Column:
 BATCH_BYTES = 4 << 20
 
 
-def parts(batch: pa.RecordBatch, *names: str) -> Iterator[pa.RecordBatch]:
-    """Runs of a batch's rows with at most ``BATCH_BYTES`` in the named columns, or one row."""
+def parts(batch: pa.RecordBatch, *names: str, limit: int = 0) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with at most ``limit`` (``BATCH_BYTES``) bytes in the named columns, or one row."""
     held = np.zeros(batch.num_rows, np.int64)
     for n in names:
         held += pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(n))), 0).to_numpy(zero_copy_only=False)
     ends, begin = np.cumsum(held), 0
     while begin < batch.num_rows:
-        limit = (ends[begin - 1] if begin else 0) + BATCH_BYTES
-        end = max(begin + 1, int(np.searchsorted(ends, limit, "right")))
+        upto = (ends[begin - 1] if begin else 0) + (limit or BATCH_BYTES)
+        end = max(begin + 1, int(np.searchsorted(ends, upto, "right")))
         yield batch.slice(begin, end - begin)
         begin = end
 
 
-def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = 0) -> DataFrame:
     """Apply ``fn`` to all rows of ``df``, which has a column ``text``, a few at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, "text"):
+            for part in parts(batch, "text", limit=limit):
                 yield fn(part)
     return df.mapInArrow(run, schema)
 

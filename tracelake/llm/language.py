@@ -155,7 +155,7 @@ def scored(rows: DataFrame, model: np.ndarray, usual: np.ndarray) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(letters), *lists],
                                           names=[*names, "n_letters", "likelihood", "share"])
 
-    return per_batch(rows.select("doc_id", "text_key", "host", F.col("lang").alias("declared"), "text"), score, SCORED)
+    return per_batch(rows.select("doc_id", "text_key", "host", F.col("lang").alias("declared"), "text"), score, SCORED, limit=1 << 20)
 
 
 def softmax(logs: np.ndarray) -> np.ndarray:

@@ -6,11 +6,15 @@ each minimum the low bits are kept, packed into bit planes, and the share of equ
 collisions, estimates the similarity. What may be similar is compared on the full sets.
 
 Each class is first compared with the first one that it shares a bucket with, then, as long as that joins many, with a
-few members of its buckets' largest components. What is left outside a bucket's largest component is compared with all of
-the bucket's other components, so every two classes of a bucket are either joined or compared; no bucket is capped. A pair as similar as the threshold of 0.8 shares no bucket with probability (1 - 0.8^5)^38 = 3e-7.
+few members of its buckets' largest components. Classes still outside a bucket's largest component are joined with all
+classes of unsettled buckets by their rare shingles: of two sets as similar as the threshold, the smaller one's rarest
+ninth and the larger one's rarest fifth have a shingle in common. That finds every similar pair, whatever a bucket
+holds; no bucket is capped. A pair as similar as the threshold of 0.8 shares no bucket with probability
+(1 - 0.8^5)^38 = 3e-7.
 
 Null and empty texts, and those without words, have no shingles and are linked with nothing. A null id is replaced by a
-negative number made from the text. Rows that share an id are one document. Other columns are not looked at.
+negative number made from the text. Rows equal in id and text are one document; where several texts share an id, each is
+a document, those but one named by a number behind the ids. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import parts, per_batch, text_key, utf8, values
@@ -34,7 +38,8 @@ MARGIN = 0.14             # over four and a half standard deviations of the esti
 TRIES = 8                 # members of the largest component that a class outside it is compared with in a round
 REMEMBER = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SIGNED = "doc_id long, node long, n_shingles long, s1 long, s2 long, bands array<long>, planes array<long>"
+SIGN_BYTES = 1 << 20      # of text at a time: bands and planes of many short texts are larger than these
+SIGNED = "doc_id long, text_key long, node long, n_shingles long, s1 long, s2 long, bands array<long>, planes array<long>"
 
 
 class WordHashes(dict):
@@ -80,8 +85,8 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return low
 
 
-def signed(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Sizes, set digests, band keys and bit planes of every row."""
+def signed(named: DataFrame, words: int) -> DataFrame:
+    """Sizes, set digests, band keys and bit planes of every row of (doc_id, text_key, node, text)."""
     salt = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -105,15 +110,25 @@ def signed(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
                                             pa.array(a.ravel().view(np.int64)))
 
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
-             lists(bands), lists(planes)], names=["doc_id", "node", "n_shingles", "s1", "s2", "bands", "planes"])
+            [*batch.columns[:3], pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
+             lists(bands), lists(planes)], names=["doc_id", "text_key", "node", "n_shingles", "s1", "s2", "bands", "planes"])
 
-    return per_batch(docs.select(F.col(id_col).cast("long").alias("doc_id"), node(id_col, text_col).alias("node"),
-                                 utf8(text_col).alias("text")), sign, SIGNED)
+    return per_batch(named, sign, SIGNED, limit=SIGN_BYTES)
 
 
-def node(id_col: str, text_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), -1 - F.shiftrightunsigned(text_key(text_col), 1))
+def with_nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, node, text) of every row, one node for each document."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), utf8(text_col).alias("text"))
+    # Ids of several texts are few or none, and stored, so that Spark knows it.
+    several = rows.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(
+        F.min("text_key").alias("first_key"), F.max("text_key").alias("last_key")).where("first_key < last_key")
+    several = stage(several.select("_id", "first_key"), "ids-of-several")
+    joined = rows.join(several, F.col("doc_id") == F.col("_id"), "left")
+    plain = F.col("doc_id").isNotNull() & (F.col("first_key").isNull() | (F.col("first_key") == F.col("text_key")))
+    # Behind the ids, so that a document of its own id is the smaller one.
+    made = F.shiftrightunsigned(F.xxhash64("doc_id", "text_key"), 2).bitwiseOR(F.lit(1 << 62).cast("long"))
+    nameless = -1 - F.shiftrightunsigned("text_key", 1)
+    return joined.select("doc_id", "text_key", F.when(F.col("doc_id").isNull(), nameless).when(plain, F.col("doc_id")).otherwise(made).alias("node"), "text")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -138,7 +153,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     """The pairs (a, b) of classes whose full sets are similar. ``texts`` has (node, text)."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
-        for batch in (p for b in batches for p in parts(b, "x", "y")):
+        for batch in (p for b in batches for p in parts(b, "x", "y", limit=2 * SIGN_BYTES)):
             keep = []
             for x, y in zip(values(batch, "x"), values(batch, "y")):
                 if known[0] != x:
@@ -181,24 +196,88 @@ def components(edges: DataFrame) -> DataFrame:
     return stage(out, "components")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """Every row with its set size, component (its smallest id), and whether it is the one of its component to keep."""
-    rows = stage(signed(docs, words, id_col, text_col), "signed")
+def classes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal sets, named by their smallest node, and the signed row of each of these."""
     key = ["n_shingles", "s1", "s2"]
-    classes = rows.where("n_shingles > 0").groupBy(*key).agg(F.min("node").alias("rep"))
-    own = rows.where("n_shingles > 0").join(classes, key).where("node = rep")
+    some = rows.where("n_shingles > 0")
+    classes = some.groupBy(*key).agg(F.min("node").alias("rep"), F.min(F.coalesce("doc_id", "node")).alias("name"))
     short = F.transform("bands", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
-    own = own.select("rep", F.struct(F.col("n_shingles").alias("n"), "planes", short.alias("bands")).alias("class"), "bands")
+    own = some.join(classes, key).where("node = rep").dropDuplicates(["rep"])
+    return classes, own.select("rep", F.struct(F.col("n_shingles").alias("n"), "planes", short.alias("bands")).alias("class"), "bands")
+
 
-    # Buckets that two classes or more share, and all that is needed of those classes.
+def buckets(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Buckets (rep, place, band, first) that two classes or more share, and the classes in them with what they need."""
     banded = own.select("rep", F.posexplode("bands").alias("place", "band"))
     leaders = banded.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last")
     shared = stage(banded.join(leaders.select("band", "first"), "band"), "buckets")
-    members = shared.select("rep").distinct()
-    signs = stage(own.select("rep", "class").join(members, "rep", "left_semi"), "classes")
-    texts = docs.select(node(id_col, text_col).alias("node"), utf8(text_col).alias("text"))
-    texts = stage(texts.join(members.withColumnRenamed("rep", "node"), "node", "left_semi").dropDuplicates(["node", "text"]), "texts")
+    return shared, stage(own.select("rep", "class").join(shared.select("rep").distinct(), "rep", "left_semi"), "classes")
+
+
+def copy_labels(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key, copy): documents that look like copies by bands and bit planes mostly have one label.
+
+    A class has the label of the first class that it shares a bucket with, if the estimate allows it. Nothing is
+    confirmed, so the labels count copies and decide nothing about a document.
+    """
+    rows = stage(signed(with_nodes(docs, id_col, text_col), words), "signed")
+    classes, own = classes_of(rows)
+    shared, signs = buckets(own)
+    pairs = shared.groupBy("rep").agg(F.min("first").alias("a")).where("a <> rep")
+    a = signs.select(F.col("rep").alias("a"), F.col("class").alias("class_a"))
+    b = signs.select("rep", F.col("class").alias("class_b"))
+    alike = pairs.join(a, "a").join(b, "rep").where(may_link("class_a", "class_b", percent)).select("rep", "a")
+    named = classes.join(alike, "rep", "left").withColumn("copy", F.coalesce("a", "rep"))
+    key = ["n_shingles", "s1", "s2"]
+    named = named.select(*(F.col(k).alias(f"_{k}") for k in key), "copy")
+    out = rows.select("doc_id", "text_key", "node", *key).join(named, [F.col(k) == F.col(f"_{k}") for k in key], "left")
+    return out.select("doc_id", "text_key", F.coalesce("copy", "node").alias("copy"))
+
+
+def rare_pairs(rest: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) among the classes of ``rest`` (rep, part, largest) of which one is outside a largest component.
+
+    Every pair as similar as the threshold is there, unless its classes are in one component.
+    """
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p for b in batches for p in parts(b, "text", limit=SIGN_BYTES)):
+            found = [shingles(t, words) for t in values(batch, "text")]
+            lens = np.array([len(x) for x in found], np.int64)
+            flat = np.concatenate([np.zeros(0, np.uint64), *found])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(lens)), lens))), pa.array(np.repeat(lens, lens)),
+                                              pa.array(flat.view(np.int64))], names=["rep", "size", "shingle"])
+
+    members = rest.groupBy("rep").agg(F.max(F.col("part") != F.col("largest")).alias("outside"), F.first("part").alias("part"))
+    posts = texts.withColumnRenamed("node", "rep").join(members.select("rep"), "rep", "left_semi").select("rep", "text")
+    posts = stage(posts.mapInArrow(each, "rep long, size long, shingle long"), "shingles")
+    # A shingle of one class alone takes its place among the rarest, and meets nothing.
+    often = posts.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("often", "shingle"))
+    ranked = posts.join(often, "shingle").withColumn("rank", rank).where("often > 1")
+    left_out = lambda share: F.col("size") - F.ceil(F.col("size") * share[0] / share[1]) + 1
+    ranked = ranked.where(F.col("rank") <= left_out((percent, 100)))
+    ranked = stage(ranked.join(members, "rep").select("rep", "size", "shingle", "rank", "outside", "part"), "rare")
+    small = ranked.where(F.col("rank") <= left_out((2 * percent, 100 + percent)))
+    one = small.select("shingle", F.struct("size", "rep").alias("x"), F.col("outside").alias("out_x"), F.col("part").alias("part_x"))
+    two = ranked.select("shingle", F.struct("size", "rep").alias("y"), F.col("outside").alias("out_y"), F.col("part").alias("part_y"))
+    fits = (F.col("x") < F.col("y")) & (F.col("x.size") * 100 >= F.col("y.size") * percent)
+    met = one.join(two, "shingle").where(fits & (F.col("part_x") != F.col("part_y")) & (F.col("out_x") | F.col("out_y")))
+    return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """Every row with its set size, its component (named by the smallest id), and whether it has that id (``kept``).
+
+    ``first`` is true for one document of each component, also where ids are missing or shared.
+    """
+    named = with_nodes(docs, id_col, text_col)
+    rows = stage(signed(named, words), "signed")
+    key = ["n_shingles", "s1", "s2"]
+    classes, own = classes_of(rows)
+    shared, signs = buckets(own)
+    members = shared.select(F.col("rep").alias("node")).distinct()
+    texts = stage(named.select("node", "text").join(members, "node", "left_semi").dropDuplicates(["node"]), "texts")
 
     def sign(c: str) -> DataFrame:
         return signs.select(F.col("rep").alias(c), F.col("class").alias(f"class_{c}"))
@@ -214,7 +293,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     turn = 0
     while True:
         places = shared.join(labels.select(F.col("v").alias("rep"), "to"), "rep", "left").select(
-            "band", "place", "rep", F.coalesce("to", "rep").alias("part"))
+            "band", "rep", F.coalesce("to", "rep").alias("part"))
         any_of = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep"))["rep"].alias("one")
         sizes = places.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"), any_of)
         top = sizes.groupBy("band").agg(F.max(F.struct("n", "part", "one")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
@@ -230,27 +309,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         turn += 1
         if m * 10 < left:
             break
-    # Every class that is still outside, with all of the bucket's other components, once for each pair.
+    # Every class that is still outside, with all classes of such buckets, by rare shingles.
     if left:
-        places = rest.select("band", "place", "rep").join(labels.select(F.col("v").alias("rep"), "to"), "rep", "left").select(
-            "band", "place", "rep", F.coalesce("to", "rep").alias("part"))
-        sizes = places.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
-        top = sizes.groupBy("band").agg(F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        rest = stage(places.join(top.select("band", F.col("top.part").alias("largest")), "band"), "rest")
-        one = rest.where("part <> largest").select("band", "place", F.col("rep").alias("a"), F.col("part").alias("part_a")).join(sign("a"), "a")
-        two = rest.select("band", F.col("rep").alias("b"), F.col("part").alias("part_b"), "largest").join(sign("b"), "b")
-        apart = (F.col("part_a") < F.col("part_b")) | ((F.col("part_a") > F.col("part_b")) & (F.col("part_b") == F.col("largest")))
-        same = F.zip_with("class_a.bands", "class_b.bands", lambda x, y: x == y)
-        pairs = one.join(two, "band").where(apart & may_link("class_a", "class_b", percent)
-                                            & (F.array_position(same, F.lit(True)) == F.col("place") + 1)).select("a", "b")
-        new, m = stage_counted(confirmed(stage(pairs.distinct(), "pairs"), texts, words, percent), "links")
+        parts_now = rest.drop("part").join(labels.select(F.col("v").alias("rep"), "to"), "rep", "left").withColumn("part", F.coalesce("to", "rep"))
+        one_now = labels.select(F.col("v").alias("one"), F.col("to").alias("_one_to"))
+        parts_now = parts_now.join(one_now, "one", "left").withColumn("largest", F.coalesce("_one_to", "one"))
+        new, m = linked(rare_pairs(parts_now, texts, words, percent))
         if m:
             labels = components(links.unionByName(new))
 
-    # From classes back to rows, each component named by its smallest node.
+    # From classes back to rows, each component named by its smallest id.
     named = classes.join(labels.select(F.col("v").alias("rep"), "to"), "rep", "left").withColumn("part", F.coalesce("to", "rep"))
-    smallest = named.groupBy("part").agg(F.min("rep").alias("component_id"))
-    named = named.join(smallest, "part").select(*(F.col(k).alias(f"_{k}") for k in key), "component_id")
-    out = rows.select("doc_id", "node", *key).join(named, [F.col(k) == F.col(f"_{k}") for k in key], "left")
-    component = F.coalesce("component_id", "node")
-    return out.select("doc_id", "node", "n_shingles", component.alias("component_id"), (F.col("node") == component).alias("kept"))
+    smallest = named.groupBy("part").agg(F.min("name").alias("component_id"), F.min("rep").alias("chosen"))
+    named = named.join(smallest, "part").select(*(F.col(k).alias(f"_{k}") for k in key), "component_id", "chosen")
+    out = rows.select("doc_id", "text_key", "node", *key).join(named, [F.col(k) == F.col(f"_{k}") for k in key], "left")
+    own_name = F.coalesce("doc_id", "node")
+    component = F.coalesce("component_id", own_name)
+    return out.select("doc_id", "text_key", "node", "n_shingles", component.alias("component_id"), (own_name == component).alias("kept"),
+                      (F.col("node") == F.coalesce("chosen", "node")).alias("first"))
