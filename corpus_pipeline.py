@@ -26,20 +26,22 @@ def in_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that their source repeats.
 
-    The near duplicates of the next stage count as one document here: what only they share is their content, which is
-    left for that stage to compare.
+    What looks like copies of one document counts as one document here: what only copies share is their content, which is
+    left for the next stage to compare.
     """
-    copies = near_dups.near_duplicates(docs, words=5, percent=80).groupBy(F.col("node").alias("_n")).agg(F.min("component_id").alias("_copy"))
-    named = docs.join(copies, near_dups.node("doc_id", "text") == F.col("_n"))
+    copies = near_dups.copy_labels(docs).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("copy").alias("_copy")).distinct()
+    named = docs.join(copies, docs.doc_id.cast("long").eqNullSafe(copies._d) & (text_key("text") == copies._k)).drop("_d", "_k")
     done = lines.site_line_dedup(stage(named, "copies"), copy_col="_copy", may_empty=False)
     return done.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, by five-word shingles similar to 0.8 or more."""
-    kept = near_dups.near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("node").alias("_n")).distinct()
-    named = docs.withColumn("_node", near_dups.node("doc_id", "text"))
-    return named.join(kept, named._node == kept._n, "left_semi").dropDuplicates(["_node"]).select(*COLUMNS)
+    found = near_dups.near_duplicates(docs, words=5, percent=80).where("first")
+    kept = found.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
+    named = docs.withColumn("_key", text_key("text"))
+    named = named.join(kept, named.doc_id.cast("long").eqNullSafe(kept._d) & (named._key == kept._k), "left_semi")
+    return named.dropDuplicates(["doc_id", "_key"]).select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
