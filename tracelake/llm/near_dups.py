@@ -8,8 +8,8 @@ collisions, estimates the similarity. What may be similar is compared on the ful
 Each class is first compared with the first one that it shares a bucket with, then, as long as that joins many, with a
 few members of its buckets' largest components. Classes still outside a bucket's largest component are joined with all
 classes of unsettled buckets by their rare shingles: of two sets as similar as the threshold, the smaller one's rarest
-ninth and the larger one's rarest fifth have a shingle in common. That finds every similar pair, whatever a bucket
-holds; no bucket is capped. A pair as similar as the threshold of 0.8 shares no bucket with probability
+ninth and the larger one's rarest fifth have a shingle in common, and two if each part is one shingle longer. That finds
+every similar pair, whatever a bucket holds; no bucket is capped. A pair as similar as the threshold of 0.8 shares no bucket with probability
 (1 - 0.8^5)^38 = 3e-7.
 
 Null and empty texts, and those without words, have no shingles and are linked with nothing. A null id is replaced by a
@@ -36,6 +36,7 @@ HASHES = 192              # the first BANDS * ROWS make the bands, all of them t
 BITS = 4
 MARGIN = 0.14             # over four and a half standard deviations of the estimate
 TRIES = 8                 # members of the largest component that a class outside it is compared with in a round
+SHORT = 150               # shingles up to which sets meet on two rare ones instead of one
 REMEMBER = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SIGN_BYTES = 1 << 20      # of text at a time: bands and planes of many short texts are larger than these
@@ -253,15 +254,28 @@ def rare_pairs(rest: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     # A shingle of one class alone takes its place among the rarest, and meets nothing.
     often = posts.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("often", "shingle"))
-    ranked = posts.join(often, "shingle").withColumn("rank", rank).where("often > 1")
-    left_out = lambda share: F.col("size") - F.ceil(F.col("size") * share[0] / share[1]) + 1
-    ranked = ranked.where(F.col("rank") <= left_out((percent, 100)))
-    ranked = stage(ranked.join(members, "rep").select("rep", "size", "shingle", "rank", "outside", "part"), "rare")
-    small = ranked.where(F.col("rank") <= left_out((2 * percent, 100 + percent)))
-    one = small.select("shingle", F.struct("size", "rep").alias("x"), F.col("outside").alias("out_x"), F.col("part").alias("part_x"))
-    two = ranked.select("shingle", F.struct("size", "rep").alias("y"), F.col("outside").alias("out_y"), F.col("part").alias("part_y"))
-    fits = (F.col("x") < F.col("y")) & (F.col("x.size") * 100 >= F.col("y.size") * percent)
-    met = one.join(two, "shingle").where(fits & (F.col("part_x") != F.col("part_y")) & (F.col("out_x") | F.col("out_y")))
+    ranked = posts.join(often, "shingle").withColumn("rank", rank).where("often > 1").select("rep", "size", "rank", "shingle")
+    # Two sets share at least ``least`` shingles if they are similar: one of a larger set's ``size - least + 1`` rarest, and
+    # two of its ``size - least + 2`` rarest. The shingles of short texts are common ones, so these meet on two.
+    at_least = lambda size, share: F.ceil(size * share[0] / share[1]).cast("long")
+    larger, smaller = (percent, 100), (2 * percent, 100 + percent)
+    kept = ranked.where(F.col("rank") <= F.col("size") - at_least(F.col("size"), larger) + 2)
+    short = kept.where(F.col("size") * percent <= SHORT * 100).groupBy("rep", "size").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "shingle"))).alias("rare"))
+    two = F.flatten(F.transform("rare", lambda p, i: F.transform(F.slice("rare", i + 2, F.size("rare")), lambda q: F.struct(
+        F.xxhash64(p["shingle"], q["shingle"]).alias("key"), q["rank"].alias("rank")))))
+    keys = short.select("rep", "size", F.lit(2).alias("of"), F.inline(two)).unionByName(
+        kept.where(F.col("size") > SHORT).where(F.col("rank") <= F.col("size") - at_least(F.col("size"), larger) + 1)
+        .select("rep", "size", F.lit(1).alias("of"), F.col("shingle").alias("key"), "rank"))
+    keys = stage(keys.join(members, "rep"), "rare")
+    first = F.when(F.col("size") <= SHORT, F.col("of") == 2).otherwise(F.col("of") == 1)
+    small = keys.where(first & (F.col("rank") <= F.col("size") - at_least(F.col("size"), smaller) + F.col("of")))
+    named = lambda df, c: df.select("key", "of", F.struct("size", "rep").alias(c), F.col("rank").alias(f"rank_{c}"),
+                                    F.col("outside").alias(f"out_{c}"), F.col("part").alias(f"part_{c}"))
+    x, y = F.col("x.size"), F.col("y.size")
+    room = F.col("of") + F.least(x - F.col("rank_x"), y - F.col("rank_y")) >= at_least(x + y, (percent, 100 + percent))
+    fits = (F.col("x") < F.col("y")) & (x * 100 >= y * percent) & room
+    met = named(small, "x").join(named(keys, "y"), ["key", "of"]).where(fits & (F.col("part_x") != F.col("part_y")) & (F.col("out_x") | F.col("out_y")))
     return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
 
 
