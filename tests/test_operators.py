@@ -138,6 +138,34 @@ def test_repairs_match_brute_force(spark, monkeypatch):
     assert exact == {(w, k) for w in wanted for k in difflib.get_close_matches(w, known, 3, 0.6)}
 
 
+def test_letters_find_the_nearest_among_many(spark):
+    """Most of the names of an archive are alike; few of them are ever compared."""
+    rng = random.Random(11)
+    known = sorted({f"S-24-{rng.randrange(10 ** 6):06}" for _ in range(500)} | {"".join(rng.choice("abcde-") for _ in range(rng.randrange(1, 14))) for _ in range(200)})
+    wanted = [f"S-42-{rng.randrange(10 ** 6):06}" for _ in range(6)] + ["abcab-d", "eeeee", "x", "", "S24", "a-b-c-d-e-a", "zzzzzzzz"]
+    broken = spark.createDataFrame([("A", w) for w in wanted] + [("B", wanted[0])], "archive string, w string")
+    have = spark.createDataFrame([("A", k) for k in known], "archive string, c string")
+    got = {(r.w, r.c) for r in tr.closest_by_matching(broken, have, ["archive"], "w", "c").where("archive = 'A'").collect()}
+    assert got == {(w, k) for w in wanted for k in difflib.get_close_matches(w, known, 3, 0.6)}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            above, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+        return row[-1]
+
+    found = tr.nearest_by_letters(broken, have, ["archive"], "w", "c", tr.EDITS).where("archive = 'A'").collect()
+    assert len(found) < len(wanted) * len(known) / 4
+    near = {}
+    for r in found:
+        near.setdefault(r.w, []).append((-r.score, r.c))
+    for w in filter(None, wanted):
+        want = sorted((-(1 - distance(w, k) / max(len(w), len(k))), k) for k in known)
+        assert sorted(near.get(w, []))[:3] == [(s, k) for s, k in want[:3] if -s >= 0.6]
+
+
 def test_diff_of_a_catalog_with_itself_is_empty_and_order_does_not_count(spark):
     rows = [("A", 2024, "S1", "session.yaml", 10, "t"), ("A", 2024, "S1", "a.meta.json", 5, "u"), ("A", 2024, "S1", "a.csv", 9, "v")]
     schema = "archive string, year int, run_id string, name string, size bigint, mtime string"

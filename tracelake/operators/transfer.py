@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -319,8 +322,6 @@ def stamp_history(sessions: DataFrame, notes: DataFrame, action: str, at: str, b
 # How close a suggestion must be, and how many are made.
 CUTOFF = 0.6
 SUGGESTIONS = 3
-#: Into how many parts the candidates of one block are split for comparison.
-SHARES = 32
 #: A block of at most this many candidates is compared without an index.
 FEW = 500
 
@@ -348,7 +349,7 @@ def closest(broken: DataFrame, known: DataFrame, block: list[str], wanted: str,
     by name; at most ``SUGGESTIONS`` are kept. Texts within ``deletions`` edits
     meet on a shared shortened form, an equality join whose size follows the
     number of near pairs. Where that already gives enough suggestions no farther
-    text can matter. Only the others are compared by length band.
+    text can matter. The others are looked up by their letters.
     """
     # A block of few candidates is compared outright: a bounded number of pairs
     # per wanted text. Only larger blocks go through the shortened forms.
@@ -373,17 +374,8 @@ def closest(broken: DataFrame, known: DataFrame, block: list[str], wanted: str,
         found = near.join(enough, [*block, wanted], "left_semi")
         settled = settled.unionByName(found)
         rest = stage(rest.join(enough, [*block, wanted], "left_anti"), f"rest-{edits}")
-    shortest = F.ceil(F.length(wanted) * CUTOFF).cast("int")
-    longest = F.floor(F.length(wanted) / CUTOFF).cast("int")
-    # The texts left over are few; each is compared by every share of its band,
-    # so a block holding most of the candidates is scanned by many tasks.
-    share = F.pmod(F.xxhash64(candidate), F.lit(SHARES)).cast("int")
-    banded = rest.withColumn("_len", F.explode(F.sequence(shortest, longest))).withColumn(
-        "_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    shared = known.select(*block, candidate, F.length(candidate).alias("_len"), share.alias("_share"))
-    far = banded.join(shared, [*block, "_len", "_share"]).select(
-        *block, wanted, candidate).where(_closeness(F.col(wanted), F.col(candidate)) >= CUTOFF)
-    scored = settled.unionByName(far.distinct()).withColumn("score", _closeness(F.col(wanted), F.col(candidate)))
+    far = nearest_by_letters(rest, known.join(rest.select(*block).distinct(), block, "left_semi"), block, wanted, candidate, EDITS)
+    scored = settled.withColumn("score", _closeness(F.col(wanted), F.col(candidate))).unionByName(far)
     best = Window.partitionBy(*block, wanted).orderBy(F.desc("score"), candidate)
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= SUGGESTIONS)
 
@@ -398,19 +390,82 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b)])
 
 
-def closest_by_matching(broken: DataFrame, known: DataFrame, block: list[str], wanted: str,
-                        candidate: str) -> DataFrame:
-    """As :func:`closest`, scored by matching blocks, for exact agreement.
+@dataclass(frozen=True)
+class Measure:
+    """A similarity that shared letters bound from above.
 
-    Compares within a length band per block, so it suits reviews of one archive.
+    Two texts that reach ``CUTOFF`` share at least ``least`` of either one's letters; ``bound`` is the highest score that
+    (shared letters, letters of one, letters of the other) allow.
     """
-    low = F.ceil(F.length(wanted) * (CUTOFF / (2 - CUTOFF))).cast("int")
-    high = F.floor(F.length(wanted) * ((2 - CUTOFF) / CUTOFF)).cast("int")
-    banded = broken.select(*block, wanted).distinct().withColumn("_len", F.explode(F.sequence(low, high)))
-    pairs = banded.join(known.select(*block, candidate, F.length(candidate).alias("_len")), [*block, "_len"])
-    scored = pairs.withColumn("score", matching_ratio(F.col(wanted), F.col(candidate))).where(F.col("score") >= CUTOFF)
+
+    least: float
+    bound: Callable[[Column, Column, Column], Column]
+    score: Callable[[Column, Column], Column]
+
+
+#: One edit takes away at most one shared letter of the longer text.
+EDITS = Measure(CUTOFF, lambda n, a, b: n / F.greatest(a, b), _closeness)
+#: Matching blocks are shared letters, and a text's partner has at least 3/7 of its length.
+MATCHING = Measure(CUTOFF / (2 - CUTOFF), lambda n, a, b: 2 * n / (a + b), lambda a, b: matching_ratio(a, b))
+#: Pairs are compared in this order of their bounds.
+BOUNDS = (0.9, 0.8, 0.7, CUTOFF)
+SLACK = 1e-9
+
+
+def _numbered(text: Column) -> Column:
+    """The letters of a text, each with how often it has come so far: equal multisets have equal sets."""
+    letters = F.filter(F.split(text, ""), lambda x: x != "")
+    return F.array_sort(F.transform(letters, lambda x, i: F.concat(
+        x, F.size(F.filter(F.slice(letters, 1, i + 1), lambda y: y == x)).cast("string"))))
+
+
+def nearest_by_letters(asked: DataFrame, known: DataFrame, block: list[str], wanted: str, candidate: str, measure: Measure) -> DataFrame:
+    """(block, wanted, candidate, score): at least the ``SUGGESTIONS`` best of every wanted text, exactly scored.
+
+    Candidates with the same letters are one class, however many they are. Classes are indexed by their rarest letters,
+    of which two texts that are near enough must share one; lengths, and then the number of shared letters, leave out
+    more. The classes left are opened in descending order of the score they can reach at most, and not at all once
+    a wanted text has enough candidates no other can beat.
+    """
+    asked = stage(asked.select(*block, wanted).distinct().withColumn("_a", _numbered(F.col(wanted))), "asked")
+    texts = known.select(*block, candidate).distinct().withColumn("_b", _numbered(F.col(candidate)))
+    texts = stage(texts.withColumn("_class", F.array_join("_b", "\x01")), "letters")
+    classes = stage(texts.groupBy(*block, "_class").agg(F.first("_b").alias("_b")), "letter-classes")
+    often = classes.select(*block, F.explode("_b").alias("_letter")).groupBy(*block, "_letter").agg(F.count("*").alias("_often"))
+
+    def rare(df: DataFrame, key: str, letters: str, size: str) -> DataFrame:
+        each = df.select(*block, key, F.size(letters).alias(size), F.explode(letters).alias("_letter"))
+        order = Window.partitionBy(*block, key).orderBy(F.coalesce("_often", F.lit(0)), "_letter")
+        ranked = each.join(often, [*block, "_letter"], "left").withColumn("_rank", F.row_number().over(order))
+        return ranked.where(F.col("_rank") <= F.col(size) - F.ceil(F.col(size) * measure.least - SLACK) + 1).select(*block, "_letter", key, size)
+
+    near_enough = (F.least("_n", "_m") >= F.greatest("_n", "_m") * measure.least - SLACK)
+    met = rare(asked, wanted, "_a", "_n").join(rare(classes, "_class", "_b", "_m"), [*block, "_letter"]).where(near_enough).select(
+        *block, wanted, "_class").distinct()
+    both = met.join(asked, [*block, wanted]).join(classes, [*block, "_class"])
+    bound = measure.bound(F.size(F.array_intersect("_a", "_b")), F.size("_a"), F.size("_b"))
+    pairs = stage(both.withColumn("_bound", bound).where(F.col("_bound") >= CUTOFF - SLACK).select(*block, wanted, "_class", "_bound"), "letter-pairs")
+
+    members = texts.select(*block, "_class", candidate)
+    open_ones, found, above = asked.select(*block, wanted), None, 2.0
+    for least in BOUNDS:
+        now = pairs.where((F.col("_bound") >= least - SLACK) & (F.col("_bound") < above)).join(open_ones, [*block, wanted], "left_semi")
+        scored = now.join(members, [*block, "_class"]).withColumn("score", measure.score(F.col(wanted), F.col(candidate)))
+        scored = stage(scored.where(F.col("score") >= CUTOFF).select(*block, wanted, candidate, "score"), "scored")
+        found = scored if found is None else found.unionByName(scored)
+        # What is not compared yet stays below ``least``, so texts at or above it are settled.
+        settled = found.where(F.col("score") >= least).groupBy(*block, wanted).agg(F.count("*").alias("_k")).where(F.col("_k") >= SUGGESTIONS)
+        open_ones = stage(open_ones.join(settled, [*block, wanted], "left_anti"), "open")
+        above = least - SLACK
+    return found
+
+
+def closest_by_matching(broken: DataFrame, known: DataFrame, block: list[str], wanted: str,
+                        candidate: str) -> DataFrame:
+    """As :func:`closest`, scored by matching blocks, for exact agreement; ties go to the later name."""
+    scored = nearest_by_letters(broken, known, block, wanted, candidate, MATCHING)
     best = Window.partitionBy(*block, wanted).orderBy(F.desc("score"), F.desc(candidate))
-    return scored.drop("_len").withColumn("place", F.row_number().over(best)).where(F.col("place") <= SUGGESTIONS)
+    return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= SUGGESTIONS)
 
 
 def plan_repairs(refs: DataFrame, sessions: DataFrame, files: DataFrame, match=closest) -> DataFrame:

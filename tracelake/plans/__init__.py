@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bindings", "columns", "items", "lineage", "store", "audit", "transfer", "changes", "documents", "streams")
+MODULES = ("bindings", "columns", "items", "lineage", "store", "audit", "transfer", "changes", "documents", "trees", "streams")
 
 
 def load_all() -> None:

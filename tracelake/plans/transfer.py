@@ -158,6 +158,25 @@ def repair_candidates(cat):
     return repairs_of(cat).withColumn("place", F.col("place").cast("int"))
 
 
+# Names with a letter out, with another start, or with other digits, in one archive that holds them all.
+CLOSEST = """known as (select distinct c_name as candidate from customer),
+asked as (select distinct case c_custkey % 30 when 0 then 'Custmer#' || substr(c_name, 10) || 'x' when 10 then 'Kunde-' || substr(c_name, 12) else substr(c_name, 1, 12) || '9x7' || substr(c_name, 16) end as wanted
+  from customer where c_custkey % 10 = 0),
+scored as (select wanted, candidate, 1 - levenshtein(wanted, candidate) / greatest(length(wanted), length(candidate)) as score from asked, known),
+best as (select *, row_number() over (partition by wanted order by score desc, candidate) as place from scored where score >= 0.6)"""
+
+
+@query("j14_closest_names", f"with {CLOSEST} select wanted, candidate, cast(place as integer) as place from best where place <= 3")
+def closest_names(cat):
+    """The three nearest of all customers' names to names that are not quite theirs."""
+    one, name, kind = F.lit("all").alias("archive"), F.col("c_name"), F.col("c_custkey") % 30
+    asked = cat.customer.where("c_custkey % 10 = 0").select(one, F.when(kind == 0, F.concat(F.lit("Custmer#"), F.substring(name, 10, 99), F.lit("x")))
+        .when(kind == 10, F.concat(F.lit("Kunde-"), F.substring(name, 12, 99)))
+        .otherwise(F.concat(F.substring(name, 1, 12), F.lit("9x7"), F.substring(name, 16, 99))).alias("wanted"))
+    got = tr.closest(asked, cat.customer.select(one, name.alias("candidate")), ["archive"], "wanted", "candidate")
+    return got.select("wanted", "candidate", F.col("place").cast("int").alias("place"))
+
+
 @query("t08_accepted_repairs", f"with {REPAIRS} select * from accepted")
 def accepted_repairs(cat):
     return tr.accept_unambiguous(repairs_of(cat))
