@@ -226,6 +226,13 @@ def test_a_name_of_full_length_gets_a_free_one(spark):
     assert [r.new_name for r in got] == ["x" * 111 + "-intake-2"]
 
 
+def test_a_source_name_of_any_length_leaves_room_for_the_number(spark):
+    new = spark.createDataFrame([("set",)], "collection string")
+    taken = [("set",), ("s-" + "q" * 118,), ("s-" + "q" * 116 + "-2",)]
+    got = tr.carry_collections(new, spark.createDataFrame(taken, "collection string"), "q" * 130).collect()
+    assert [r.new_name for r in got] == ["s-" + "q" * 116 + "-3"]
+
+
 def test_entries_move_between_collections(spark):
     from tracelake.operators import changes as ch
 

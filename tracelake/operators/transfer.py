@@ -273,8 +273,9 @@ def carry_collections(incoming: DataFrame, existing: DataFrame, source: str) ->
     waiting = first.join(taken, "new_name", "left_semi").select("collection")
     attempt = 1
     while not waiting.isEmpty():
-        tail = f"-{source}" if attempt == 1 else f"-{source}-{attempt}"
-        # The tail stays whole where the name would be too long: the base is cut for it.
+        number = "" if attempt == 1 else f"-{attempt}"
+        # The number stays whole, then the source's name, where the name would be too long: the base is cut for them.
+        tail = f"-{source[:COLLECTION_MAX_LENGTH - len(number) - 2]}{number}"
         base = F.rtrim(F.substring("collection", 1, max(COLLECTION_MAX_LENGTH - len(tail), 1)))
         tried = waiting.withColumn("new_name", slugify(F.concat(base, F.lit(tail))))
         # Two incoming names may shorten to one slug; the first of them gets it.
