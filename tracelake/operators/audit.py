@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import identity
 from tracelake.functions.times import hold_garbled
-from tracelake.operators.items import ITEM, SESSION, orphan_files
+from tracelake.operators.items import ITEM, SESSION
 from tracelake.operators.lineage import NODE
 
 # States a session may have, and what to do about each finding.
@@ -69,95 +69,120 @@ def issues(df: DataFrame, kind: str | Column, session: str | None = None, file:
         (none if detail is None else detail).alias("detail"), fix.alias("fix"))
 
 
+def tagged(**tables: DataFrame) -> DataFrame:
+    """Rows of several tables under each other, each with a true column named after its table."""
+    out = None
+    for tag, table in tables.items():
+        marked = table.withColumn(tag, F.lit(True))
+        out = marked if out is None else out.unionByName(marked, allowMissingColumns=True)
+    return out
+
+
+def any_of(*tags: str) -> list[Column]:
+    return [F.coalesce(F.bool_or(t), F.lit(False)).alias(t) for t in tags]
+
+
 # -- sessions (C1-C6) ---------------------------------------------------------
 
-def session_issues(folders: DataFrame, sessions: DataFrame) -> DataFrame:
-    state = F.col("record_state")
-    path = F.col("path")
+def session_issues(folders: DataFrame, records: DataFrame, rejects: DataFrame, sessions: DataFrame) -> DataFrame:
+    """What is wrong with session folders and with what their records say.
+
+    ``folders`` are the folders listed, ``records`` and ``rejects`` those whose
+    record could and could not be read, each with ``path``; a folder in neither
+    has no record. ``sessions`` are the readable records.
+    """
+    place = [*SESSION, "path"]
+    paths = tagged(_listed=folders.select(*place), _read=records.select(*place), _bad=rejects.select(*place)).groupBy(
+        *place).agg(*any_of("_listed", "_read", "_bad"))
+    state = F.when(F.col("_bad"), "unreadable_session_yaml").when(F.col("_listed") & ~F.col("_read"), "missing_session_yaml")
+    by_folder = paths.withColumn("_kind", state)
     twice = folders.groupBy(*SESSION).agg(F.countDistinct("path").alias("n")).where("n > 1")
-    recorded = sessions.select(*SESSION, "record_id", "status", "hold_until")
+    # One look at a record finds all that is wrong with it.
+    status, hold = F.col("status"), F.col("hold_until")
+    says = lambda kind, what: F.struct(F.lit(kind).alias("_kind"), what.alias("said"))
+    wrong = F.array(
+        F.when(F.col("record_id") != F.col("run_id"), says("id_mismatch", F.col("record_id"))),
+        F.when(~status.isin(*STATUSES), says("invalid_status", status)),
+        F.when(hold_garbled(hold), says("garbled_hold_until", hold)))
+    recorded = sessions.select(*SESSION, F.inline(F.filter(wrong, lambda x: x.isNotNull())))
     return (
-        issues(folders.where(state == "missing"), "missing_session_yaml", "run_id", None, path)
-        .unionByName(issues(twice, "duplicate_id", "run_id", None,
-                            F.concat(F.col("n").cast("string"), F.lit(" folders"))))
-        .unionByName(issues(folders.where(state == "unreadable"), "unreadable_session_yaml", "run_id", None, path))
-        .unionByName(issues(recorded.where("record_id <> run_id"), "id_mismatch", "run_id", None, F.col("record_id")))
-        .unionByName(issues(recorded.where(~F.col("status").isin(*STATUSES)), "invalid_status", "run_id", None, F.col("status")))
-        .unionByName(issues(recorded.where(hold_garbled(F.col("hold_until"))), "garbled_hold_until", "run_id", None, F.col("hold_until")))
+        issues(by_folder.where("_kind is not null"), F.col("_kind"), "run_id", None, F.col("path"))
+        .unionByName(issues(twice, "duplicate_id", "run_id", None, F.concat(F.col("n").cast("string"), F.lit(" folders"))))
+        .unionByName(issues(recorded, F.col("_kind"), "run_id", None, F.col("said")))
     )
 
 
 # -- files and sidecars (C7-C10) ----------------------------------------------
 
-def checkable(sidecars: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Sidecars of recorded sessions that are in place."""
-    return sidecars.where(~F.col("trashed")).join(sessions.select(*SESSION), SESSION, "left_semi")
+def paired(files: DataFrame, sidecars: DataFrame, rejects: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Every name in sessions with a record: its file, its sidecar, and ``found``, what is wrong with the two.
 
-
-def present(sidecars: DataFrame, files: DataFrame) -> DataFrame:
-    """Readable sidecars whose file exists: only these are checked further."""
-    there = files.select(*SESSION, F.col("name").alias("filename"), F.col("sha256").alias("actual_sha256"))
-    return sidecars.where("readable").join(there, NODE)
+    ``sidecars`` are the readable ones, ``rejects`` the others; neither holds any
+    from the trash. A name counts as ``checked`` if both are in place: only such
+    sidecars are looked into further. One exchange brings the three together.
+    """
+    rows = tagged(
+        _file=files.select(*SESSION, F.col("name").alias("filename"), F.col("sha256").alias("actual_sha256")),
+        _car=sidecars.select(*NODE, "sha256", "code"), _bad=rejects.select(*NODE))
+    names = rows.groupBy(*NODE).agg(F.max("actual_sha256").alias("actual_sha256"), F.max("sha256").alias("sha256"),
+                                    F.max("code").alias("code"), *any_of("_file", "_car", "_bad"))
+    found = (F.when(F.col("_bad"), "unreadable_sidecar").when(~F.col("_car"), "orphan").when(~F.col("_file"), "missing_artifact")
+             .when(F.col("sha256") != F.col("actual_sha256"), "checksum_mismatch"))
+    return names.join(recorded.select(*SESSION), SESSION, "left_semi").select(
+        *NODE, "sha256", "actual_sha256", "code", found.alias("found"), F.col("_file").alias("in_place"),
+        (F.col("_file") & F.col("_car") & ~F.col("_bad")).alias("checked"))
 
 
-def artifact_issues(files: DataFrame, sidecars: DataFrame, sessions: DataFrame) -> DataFrame:
-    mine = files.join(sessions.select(*SESSION), SESSION, "left_semi")
-    cars = checkable(sidecars, sessions)
-    gone = cars.where("readable").join(
-        files.select(*SESSION, F.col("name").alias("filename")), NODE, "left_anti")
-    drift = present(cars, files).where("sha256 <> actual_sha256")
-    return (
-        issues(orphan_files(mine, sidecars), "orphan", "run_id", "name")
-        .unionByName(issues(cars.where("not readable"), "unreadable_sidecar", "run_id", "filename"))
-        .unionByName(issues(gone, "missing_artifact", "run_id", "filename"))
-        .unionByName(issues(drift, "checksum_mismatch", "run_id", "filename", F.concat(
-            F.substring("actual_sha256", 1, 12), F.lit(" is not "), F.substring("sha256", 1, 12))))
-    )
+def artifact_issues(pairs: DataFrame) -> DataFrame:
+    drift = F.when(F.col("found") == "checksum_mismatch", F.concat(
+        F.substring("actual_sha256", 1, 12), F.lit(" is not "), F.substring("sha256", 1, 12)))
+    return issues(pairs.where("found is not null"), F.col("found"), "run_id", "filename", drift)
 
 
 # -- references (C11-C15, C21) --------------------------------------------------
 
-def reference_issues(edges: DataFrame, related: DataFrame, archives: DataFrame, sessions: DataFrame,
-                     files: DataFrame, names: DataFrame) -> DataFrame:
+def reference_targets(pairs: DataFrame, recorded: DataFrame, files: DataFrame, names: DataFrame) -> DataFrame:
+    """All a local reference can lead to, one row per (archive, to_session, to_file).
+
+    A session that is meant whole has the empty file name. ``current_name`` is
+    what a file that was renamed is called now, if that is there.
+    """
+    renamed = names.join(files.select(*SESSION, F.col("name").alias("current_name")), [*SESSION, "current_name"], "left_semi")
+    rows = tagged(
+        there=recorded.select(*SESSION, F.lit("").alias("to_file")).unionByName(
+            pairs.where("in_place").select(*SESSION, F.col("filename").alias("to_file"))),
+        _moved=renamed.select(*SESSION, F.col("old_name").alias("to_file"), "current_name"))
+    return rows.groupBy("archive", F.col("run_id").alias("to_session"), "to_file").agg(
+        *any_of("there"), F.max("current_name").alias("current_name"))
+
+
+def reference_issues(edges: DataFrame, related: DataFrame, archives: DataFrame, targets: DataFrame) -> DataFrame:
     """Dangling, renamed, self and unreachable references.
 
     Asset edges are judged elsewhere, and only by their own rules. A reference
     into another archive is never verified, only reported when that archive is
-    out of reach. ``names`` is the rename log followed to the end.
+    out of reach. Every reference is resolved once; at most one kind is true of
+    it. Keys are never null, so that no task gets all references of one sort.
     """
     derived = edges.where("ref_asset is null").select(
-        *SESSION, "filename", "ref_archive", "ref_session", "ref_file", F.lit("dangling_derived_from").alias("_kind"))
+        *SESSION, "filename", "ref_archive", "ref_session", "ref_file", F.lit("dangling_derived_from").alias("_gone"))
     runs = related.select(
         *SESSION, F.lit(None).cast("string").alias("filename"), "ref_archive", "ref_session", "ref_file",
-        F.lit("dangling_related_run").alias("_kind"))
-    refs = derived.unionByName(runs)
-    reachable = archives.where("reachable").select(F.col("archive").alias("ref_archive"))
-    foreign = refs.where("ref_archive is not null").join(reachable, "ref_archive", "left_anti")
-    local = refs.where("ref_archive is null").withColumn("to_session", F.coalesce("ref_session", "run_id"))
+        F.lit("dangling_related_run").alias("_gone"))
+    refs = derived.unionByName(runs).withColumns({
+        "to_archive": F.coalesce("ref_archive", "archive"), "to_session": F.coalesce("ref_session", "run_id"),
+        "to_file": F.coalesce("ref_file", F.lit(""))})
+    reach = archives.groupBy(F.col("archive").alias("to_archive")).agg(F.bool_or("reachable").alias("reachable"))
+    got = refs.join(targets, ["archive", "to_session", "to_file"], "left").join(reach, "to_archive", "left")
+    foreign = F.col("ref_archive").isNotNull()
     itself = (F.col("ref_file") == F.col("filename")) & (F.col("to_session") == F.col("run_id"))
-    itself = F.coalesce(itself, F.lit(False))
+    kind = (F.when(foreign, F.when(~F.coalesce("reachable", F.lit(False)), "unresolved_cross_archive_ref"))
+            .when(itself, "self_reference").when(F.coalesce("there", F.lit(False)), None)
+            .when(F.col("current_name").isNotNull() & F.col("ref_file").isNotNull(), "renamed_ref").otherwise(F.col("_gone")))
     target = F.concat_ws("/", "to_session", "ref_file")
-    known_session = sessions.select("archive", F.col("run_id").alias("to_session"))
-    known_file = (files.join(sessions.select(*SESSION), SESSION, "left_semi")
-                  .select("archive", F.col("run_id").alias("to_session"), F.col("name").alias("ref_file")))
-    whole = local.where("ref_file is null").join(known_session, ["archive", "to_session"], "left_anti")
-    gone = local.where(~itself & F.col("ref_file").isNotNull()).join(
-        known_file, ["archive", "to_session", "ref_file"], "left_anti")
-    moved = (
-        names.join(files.select(*SESSION, F.col("name").alias("current_name")),
-                                    [*SESSION, "current_name"], "left_semi")
-        .select("archive", F.col("run_id").alias("to_session"), F.col("old_name").alias("ref_file"), "current_name")
-    )
-    judged = gone.join(moved, ["archive", "to_session", "ref_file"], "left")
-    renamed = judged.where("current_name is not null")
-    return (
-        issues(foreign, "unresolved_cross_archive_ref", "run_id", "filename", F.col("ref_archive"))
-        .unionByName(issues(local.where(itself), "self_reference", "run_id", "filename"))
-        .unionByName(issues(whole, F.col("_kind"), "run_id", "filename", target))
-        .unionByName(issues(judged.where("current_name is null"), F.col("_kind"), "run_id", "filename", target))
-        .unionByName(issues(renamed, "renamed_ref", "run_id", "filename",
-                            F.concat(target, F.lit(" -> "), F.col("current_name"))))
-    )
+    detail = (F.when(foreign, F.col("ref_archive")).when(F.col("_kind") == "renamed_ref", F.concat(target, F.lit(" -> "), "current_name"))
+              .when(F.col("_kind") != "self_reference", target))
+    return issues(got.withColumn("_kind", kind).where("_kind is not null"), F.col("_kind"), "run_id", "filename", detail)
 
 
 # -- captured code (C16, C17) ----------------------------------------------------
@@ -188,37 +213,42 @@ def code_issues(sidecars: DataFrame, manifests: DataFrame, manifest_files: DataF
 
 # -- assets (C18-C20, C22-C26) ----------------------------------------------------
 
-def asset_ref_issues(edges: DataFrame, assets: DataFrame, blobs: DataFrame) -> DataFrame:
-    refs = edges.where("ref_asset is not null").withColumnRenamed("ref_asset", "asset_id")
-    known = assets.where("record_state = 'ok'").select("archive", "asset_id")
-    dangling = refs.join(known, ["archive", "asset_id"], "left_anti")
-    good = refs.join(known, ["archive", "asset_id"], "left_semi")
-    pinned = good.where("ref_fidelity = 'pinned' and ref_sha256 is not null")
-    lost = pinned.join(blobs.select(F.col("digest").alias("ref_sha256")), "ref_sha256", "left_anti")
-    return (
-        issues(dangling, "dangling_asset_ref", "run_id", "filename", F.col("asset_id"))
-        .unionByName(issues(lost, "missing_asset_blob", "run_id", "filename", F.concat(
-            F.col("asset_id"), F.lit(" @ "), F.substring("ref_sha256", 1, 12))))
-        .unionByName(issues(good.where("ref_sha256 is null"), "unpinned_asset_ref", "run_id", "filename", F.col("asset_id")))
-    )
-
-
-def asset_issues(assets: DataFrame, snapshots: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Drift is never a finding: being edited is what assets are for."""
-    good = assets.where("record_state = 'ok'")
-    retained = snapshots.where("not pending_gc").join(
-        good.select("archive", "asset_id"), ["archive", "asset_id"], "left_semi")
+def asset_ref_issues(edges: DataFrame, records: DataFrame, blobs: DataFrame) -> DataFrame:
+    """References to assets without a readable record, to lost bytes, and to no bytes at all."""
+    known = records.select("archive", F.col("asset_id").alias("ref_asset"), F.lit(True).alias("_known")).distinct()
+    stored = blobs.select(F.col("digest").alias("_sought"), F.lit(True).alias("_stored")).distinct()
+    refs = edges.where("ref_asset is not null").select(*NODE, "ref_asset", "ref_sha256", "ref_fidelity")
+    sha = F.col("ref_sha256")
+    # References without bytes get keys of their own, which spreads them.
+    got = refs.withColumn("_sought", F.coalesce(sha, F.concat_ws("/", *NODE))).join(
+        known, ["archive", "ref_asset"], "left").join(stored, "_sought", "left")
+    kind = (F.when(F.col("_known").isNull(), "dangling_asset_ref").when(sha.isNull(), "unpinned_asset_ref")
+            .when((F.col("ref_fidelity") == "pinned") & F.col("_stored").isNull(), "missing_asset_blob"))
+    detail = F.when(F.col("_kind") == "missing_asset_blob", F.concat("ref_asset", F.lit(" @ "), F.substring("ref_sha256", 1, 12))).otherwise(
+        F.col("ref_asset"))
+    return issues(got.withColumn("_kind", kind).where("_kind is not null"), F.col("_kind"), "run_id", "filename", detail)
+
+
+def asset_issues(folders: DataFrame, records: DataFrame, rejects: DataFrame, live: DataFrame, snapshots: DataFrame,
+                 blobs: DataFrame) -> DataFrame:
+    """What is wrong with the folders of assets; drift is never a finding, being edited is what assets are for.
+
+    ``folders`` are those listed, ``records`` and ``rejects`` what could and could
+    not be read, ``live`` the (archive, asset_id, live_name) of the files in them.
+    """
+    key = ["archive", "asset_id"]
+    one = tagged(_listed=folders.select(*key), _read=records.select(*key, "name"), _bad=rejects.select(*key),
+                 _live=live.select(*key, "live_name")).groupBy(*key).agg(
+        F.max("name").alias("name"), F.max("live_name").alias("live_name"), *any_of("_listed", "_read", "_bad"))
+    kind = (F.when(F.col("_bad"), "unreadable_asset").when(~F.col("_read"), F.when(F.col("_listed"), "orphan_asset_dir"))
+            .when(F.col("live_name").isNull(), "missing_asset_file")
+            .when((F.col("name") != "") & (F.col("live_name") != F.col("name")), "unscanned_asset_rename"))
+    detail = F.when(F.col("_kind") == "missing_asset_file", F.col("name")).when(
+        F.col("_kind") == "unscanned_asset_rename", F.concat("name", F.lit(" -> "), "live_name"))
+    retained = snapshots.where("not pending_gc").join(records.select(*key), key, "left_semi")
     lost = retained.join(blobs.select(F.col("digest").alias("sha256")), "sha256", "left_anti")
-    renamed = good.where("live_name is not null and name <> '' and live_name <> name")
-    return (
-        issues(assets.where("record_state = 'missing'"), "orphan_asset_dir", None, "asset_id")
-        .unionByName(issues(assets.where("record_state = 'unreadable'"), "unreadable_asset", None, "asset_id"))
-        .unionByName(issues(good.where("live_name is null"), "missing_asset_file", None, "asset_id", F.col("name")))
-        .unionByName(issues(lost, "missing_asset_blob", None, "asset_id", F.concat_ws(
-            " ", F.substring("sha256", 1, 12), F.col("ord").cast("string"))))
-        .unionByName(issues(renamed, "unscanned_asset_rename", None, "asset_id",
-                            F.concat(F.col("name"), F.lit(" -> "), F.col("live_name"))))
-    )
+    return issues(one.withColumn("_kind", kind).where("_kind is not null"), F.col("_kind"), None, "asset_id", detail).unionByName(
+        issues(lost, "missing_asset_blob", None, "asset_id", F.concat_ws(" ", F.substring("sha256", 1, 12), F.col("ord").cast("string"))))
 
 
 # -- notes, collections, seals, owners (C27-C30) -----------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import refs
 from tracelake.operators import audit as au
 from tracelake.operators import refresh as rf
+from tracelake.operators.items import SESSION
 from tracelake.operators.lineage import current_names
 from tracelake.plans.lineage import NAMES
 from tracelake.plans.registry import query
@@ -16,19 +17,20 @@ NO = "cast(null as string)"
 SHOWN = ["kind", "severity", "archive", "session", "file", "detail"]
 
 
-def existing(cat):
-    """Folders with a record, readable or not."""
-    return cat.folders.where("record_state <> 'missing'")
+def recorded(cat):
+    """Sessions with a record, readable or not."""
+    return cat.session_records.unionByName(cat.session_rejects).select(*SESSION).distinct()
 
 
-def checked_edges(cat):
-    """Edges of sidecars whose file is there; the others are reported once, as gone."""
-    there = au.present(au.checkable(cat.sidecars, existing(cat)), cat.files).select(*au.NODE)
-    return cat.edges.join(there, au.NODE, "left_semi")
+def pairs_of(cat):
+    """Files and sidecars brought together once, for all who ask about them."""
+    return cat.shared("audit-pairs", lambda: au.paired(
+        cat.files, cat.sidecars.where("readable and not trashed"), cat.sidecar_rejects.where("not trashed"), recorded(cat)))
 
 
-def checked_sidecars(cat):
-    return au.present(au.checkable(cat.sidecars, existing(cat)), cat.files)
+def checked_edges(cat):
+    """Edges of sidecars whose file is there; the others are reported once, as gone."""
+    return cat.shared("audit-edges", lambda: cat.edges.join(pairs_of(cat).where("checked").select(*au.NODE), au.NODE, "left_semi"))
 
 
 def entries_of(cat):
@@ -38,28 +40,30 @@ def entries_of(cat):
 
 
 def _sessions(cat):
-    return au.session_issues(cat.folders, cat.sessions)
+    return au.session_issues(cat.folders, cat.session_records, cat.session_rejects, cat.sessions)
 
 
 def _artifacts(cat):
-    return au.artifact_issues(cat.files, cat.sidecars, existing(cat))
+    return au.artifact_issues(pairs_of(cat))
 
 
 def _references(cat):
-    return au.reference_issues(checked_edges(cat), cat.related_runs, cat.archives, existing(cat), cat.files,
-                               cat.shared("current-names", lambda: current_names(cat.renames)))
+    names = cat.shared("current-names", lambda: current_names(cat.renames))
+    targets = au.reference_targets(pairs_of(cat), recorded(cat), cat.files, names)
+    return au.reference_issues(checked_edges(cat), cat.related_runs, cat.archives, targets)
 
 
 def _code(cat):
-    return au.code_issues(checked_sidecars(cat), cat.manifests, cat.manifest_files, cat.code_blobs)
+    return au.code_issues(pairs_of(cat).where("checked"), cat.manifests, cat.manifest_files, cat.code_blobs)
 
 
 def _asset_refs(cat):
-    return au.asset_ref_issues(checked_edges(cat), cat.assets, cat.asset_blobs)
+    return au.asset_ref_issues(checked_edges(cat), cat.asset_records, cat.asset_blobs)
 
 
 def _assets(cat):
-    return au.asset_issues(cat.assets, cat.asset_snapshots, cat.asset_blobs)
+    return au.asset_issues(cat.asset_folders, cat.asset_records, cat.asset_rejects, cat.asset_files, cat.asset_snapshots,
+                           cat.asset_blobs)
 
 
 def _annotations(cat):
@@ -176,11 +180,18 @@ for _row in CHECKED:
     _register(*_row)
 
 
-@query("c21_asset_edges_apart", f"with {REFS} select count(*) as n from refs where filename is not null and ref_file = 'figure.svg'")
+@query("c21_asset_edges_apart", f"""with {KNOWN_ASSETS}, {REFS[len(BASE) + 2:]}, holders as (select distinct archive, run_id, filename from arefs),
+found as (select archive, run_id, filename, case when itself then 'self_reference' when ref_file is null and has_session then null when has_file then null
+    when ref_file is not null and moved_to is not null then 'renamed_ref' else k end as kind from judged
+  union all select archive, run_id, filename, 'unresolved_cross_archive_ref' from refs where ref_archive is not null and ref_archive not in (select archive from @archives where reachable)
+  union all select archive, run_id, filename, case when not known then 'dangling_asset_ref' when ref_sha256 is null then 'unpinned_asset_ref'
+    when ref_fidelity = 'pinned' and ref_sha256 not in (select digest from @asset_blobs) then 'missing_asset_blob' end from arefs)
+select kind, count(*) as n from found f semi join holders h on f.archive = h.archive and f.run_id = h.run_id and f.filename = h.filename where kind is not null group by kind""")
 def asset_edges_apart(cat):
-    """Edges to assets that were judged as file references: there must be none."""
-    as_files = checked_edges(cat).where("ref_asset is null and ref_file = 'figure.svg'")
-    return as_files.agg(F.count("*").alias("n"))
+    """What is found in files that refer to assets: asset edges by their own rules only, the other edges by theirs."""
+    holders = checked_edges(cat).where("ref_asset is not null").select("archive", F.col("run_id").alias("session"), F.col("filename").alias("file"))
+    found = _references(cat).unionByName(_asset_refs(cat))
+    return found.join(holders, ["archive", "session", "file"], "left_semi").groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def _all_kinds() -> str:

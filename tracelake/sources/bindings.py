@@ -96,6 +96,10 @@ select archive, run_id, year, created, status, tag_a, tag_b, description, hold_u
 from {session_rows} where record_state = 'ok'
 """
 
+# What listing the folders and reading their records gives, with no verdict in it.
+TABLES["session_records"] = "select archive, run_id, path from {folders} where record_state = 'ok'"
+TABLES["session_rejects"] = "select archive, run_id, path from {folders} where record_state = 'unreadable'"
+
 TABLES["related_runs"] = """
 select archive, run_id, related_archive as ref_archive, related_session as ref_session,
   cast(null as string) as ref_file, cast(null as string) as ref_user
@@ -168,6 +172,10 @@ select archive, run_id, year, filename, readable, trashed,
 from {artifacts} where has_sidecar
 """
 
+TABLES["sidecar_rejects"] = """
+select archive, run_id, filename, trashed from {artifacts} where has_sidecar and not readable
+"""
+
 # The earliest artifact of each part: what external files were calibrated with.
 TABLES["calibrations"] = """
 select partkey as cal_part, archive as cal_archive, run_id as cal_session, filename as cal_file, n_part
@@ -246,6 +254,11 @@ select r_name as archive, 'AF-24-' || {digits('c_custkey', 4)} as asset_id, c_cu
 from {{customer}} join {{nation}} on c_nationkey = n_nationkey join {{region}} on n_regionkey = r_regionkey
 """
 
+TABLES["asset_folders"] = "select archive, asset_id from {assets}"
+TABLES["asset_records"] = "select archive, asset_id, name from {assets} where record_state = 'ok'"
+TABLES["asset_rejects"] = "select archive, asset_id from {assets} where record_state = 'unreadable'"
+TABLES["asset_files"] = "select archive, asset_id, live_name from {assets} where live_name is not null"
+
 TABLES["snapshot_rows"] = f"""
 select a.archive, a.asset_id, {{sha}}(e.props) as sha256, cast(floor(e.value) as bigint) as bytes,
   {day('e.ts')} as at_day, e.ts as ts, e.event_id as event_id, e.event_type as trigger,
