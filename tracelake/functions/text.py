@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What counts as white space; characters a tag may not hold; characters a collection name may
@@ -222,3 +222,41 @@ def manifest_id(entry: Column, files: Column) -> Column:
         F.lit('{"entry":'), F.coalesce(json_string(entry), F.lit("null")),
         F.lit(',"files":{'), F.array_join(pairs, ","), F.lit("}}"))
     return F.sha2(text, 256)
+
+
+def manifest_rows(files: DataFrame) -> DataFrame:
+    """(manifest, id) of manifests given as rows of manifest, entry, path and blob.
+
+    A manifest of any size needs no array: its rows are sorted by path outside
+    memory and one running hash goes over them. Rows that are alike in manifest
+    and path count once, with the least blob; a null path counts as no file, so
+    that a manifest without files can be given by its entry alone.
+    """
+    import hashlib
+
+    def hashed(batches):
+        import pandas as pd
+
+        at, digest = None, None
+        for batch in batches:
+            done = []
+            for manifest, head, pair in zip(batch["manifest"], batch["head"], batch["pair"]):
+                if digest is None or manifest != at:
+                    if digest is not None:
+                        digest.update(b"}}")
+                        done.append((at, digest.hexdigest()))
+                    at, digest, first = manifest, hashlib.sha256(head.encode()), True
+                if pair is not None:
+                    digest.update(pair.encode() if first else b"," + pair.encode())
+                    first = False
+            yield pd.DataFrame(done, columns=["manifest", "id"])
+        if digest is not None:
+            digest.update(b"}}")
+            yield pd.DataFrame([(at, digest.hexdigest())], columns=["manifest", "id"])
+
+    one = files.where("manifest is not null").groupBy("manifest", "path").agg(F.min("entry").alias("entry"), F.min("blob").alias("blob"))
+    head = F.concat(F.lit('{"entry":'), F.coalesce(json_string(F.col("entry")), F.lit("null")), F.lit(',"files":{'))
+    pair = F.concat(json_string(F.col("path")), F.lit(":"), F.coalesce(json_string(F.col("blob")), F.lit("null")))
+    ordered = one.select("manifest", "path", head.alias("head"), F.when(F.col("path").isNotNull(), pair).alias("pair")).repartition(
+        "manifest").sortWithinPartitions("manifest", "path")
+    return ordered.select("manifest", "head", "pair").mapInPandas(hashed, "manifest string, id string")

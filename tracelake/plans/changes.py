@@ -412,9 +412,9 @@ def refused_moves(cat):
 
 # -- people ----------------------------------------------------------------------------
 
-@query("w09_current_identities", "select petname, arg_max(id, ord) as current, count(*) as n_ids from @trail group by 1")
+@query("w09_current_identities", "select petname, arg_max(id, ord) as current, arg_min(display, ord) filter (where display is not null) as display, count(*) as n_ids from @trail group by 1")
 def current_identities(cat):
-    return pe.current_identities(cat.trail).drop("display")
+    return pe.current_identities(cat.trail)
 
 
 @query("a14_shared_identities", "select id, count(distinct petname) as n_contacts, min(petname) as first_contact from @trail group by 1 having count(distinct petname) > 1")

@@ -354,6 +354,14 @@ def manifest_id(cat):
         F.concat("source", F.lit("/main.py")), files).alias("manifest"))
 
 
+@query("p20_manifest_rows", """
+select m.manifest, sha256('{"entry":"' || any_value(entry) || '","files":{' || string_agg('"' || path || '":' || coalesce('"' || blob || '"', 'null'), ',' order by path) || '}}') as id
+from @manifests m join @manifest_files f on m.manifest = f.manifest group by m.manifest""")
+def manifest_rows(cat):
+    """Ids of whole manifests, however many files they list."""
+    return text.manifest_rows(cat.manifest_files.join(cat.manifests.select("manifest", "entry"), "manifest"))
+
+
 @query("p21_source_facet", """
 select archive, run_id, filename, coalesce(source, 'unrecorded') as facet from @sidecars where not trashed""")
 def source_facet(cat):

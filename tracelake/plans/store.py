@@ -222,12 +222,12 @@ def latest_snapshots(cat):
     return st.latest_snapshots(cat.asset_snapshots).select("archive", "asset_id", "ord", "sha256", "bytes")
 
 
-@query("w07_changed_versions", """with v as (select archive, asset_id, ord, trigger, lag(trigger) over (partition by archive, asset_id order by ord) as before from @asset_snapshots)
-select archive, asset_id, ord, trigger from v where before is distinct from trigger""")
+@query("w07_changed_versions", """with v as (select archive, asset_id, ord, trigger, sha256, lag(sha256) over (partition by archive, asset_id order by ord) as before from @asset_snapshots)
+select archive, asset_id, ord, trigger, sha256 from v where before is distinct from sha256""")
 def changed_versions(cat):
     """Looks at each asset where the content is not that of the look before."""
-    looks = cat.asset_snapshots.select("archive", "asset_id", "ord", "at_day", "trigger").withColumn("sha256", F.col("trigger"))
-    return st.changed_versions(looks).select("archive", "asset_id", "ord", "trigger")
+    looks = cat.asset_snapshots.select("archive", "asset_id", "ord", "at_day", "trigger", "sha256")
+    return st.changed_versions(looks).select("archive", "asset_id", "ord", "trigger", "sha256")
 
 
 @query("a15_snapshot_counts", "select archive, asset_id, count(*) filter (where not pending_gc) as retained, count(*) as total from @asset_snapshots group by 1, 2")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import SIDECAR_SUFFIX
+from tracelake.operators import audit as au
 from tracelake.plans.registry import query
 from tracelake.session import staging_root
 from tracelake.sources import documents as dc
@@ -47,6 +48,16 @@ def session_texts(cat) -> DataFrame:
     return rows.select(F.concat(folder(F.col("year")), name).alias("path"), text.alias("content")).unionByName(again)
 
 
+def asset_texts(cat) -> DataFrame:
+    """Asset records, broken ones too, a hidden file where there is none, and the files themselves."""
+    folder, state = F.concat_ws("/", "archive", F.lit(trees.ASSETS), "asset_id"), F.col("record_state")
+    record = F.when(state == "ok", F.to_json(F.struct(F.col("asset_id").alias("id"), "created", "name", "policy", "size", "sha256")))
+    name = F.when(state == "missing", "/.keep").otherwise(f"/{trees.ASSET_FILE}")
+    text = record.when(state == "unreadable", "{").otherwise("")
+    live = cat.assets.where("live_name is not null").select(F.concat_ws("/", folder, "live_name").alias("path"), F.lit("").alias("content"))
+    return cat.assets.select(F.concat(folder, name).alias("path"), text.alias("content")).unionByName(live)
+
+
 def other_texts(cat) -> DataFrame:
     """Data files by name alone, seals of the years, and the code store."""
     folder = F.concat_ws("/", "archive", F.lit("data"), F.col("year").cast("string"))
@@ -69,7 +80,8 @@ def tree_of(cat) -> DataFrame:
     """The whole catalog as files below the shared folder, written once, with the content of its records."""
     def build() -> DataFrame:
         path = f"{staging_root(cat.spark)}/tracelake-tree-{uuid.uuid4().hex}"
-        trees.write_documents(sidecar_texts(cat).unionByName(session_texts(cat)).unionByName(other_texts(cat)), path)
+        trees.write_documents(sidecar_texts(cat).unionByName(session_texts(cat)).unionByName(
+            asset_texts(cat)).unionByName(other_texts(cat)), path)
         return trees.read_tree(cat.spark, path, content=True)
     return cat.shared("tree", build)
 
@@ -148,3 +160,50 @@ def tree_rejects(cat):
     sessions = dc.parse_sessions(trees.session_documents(tree))[1].select("archive", F.col("folder").alias("run_id"), F.lit("session.yaml").alias("name"))
     return sessions.unionByName(dc.parse_sidecars(trees.sidecar_documents(tree))[1].select(
         "archive", "run_id", F.concat("filename", F.lit(SIDECAR_SUFFIX)).alias("name")))
+
+
+def tree_recorded(cat) -> tuple[DataFrame, DataFrame]:
+    """Folders whose record could and could not be read, by their place below the archive."""
+    place = ["archive", F.col("folder").alias("run_id"), F.concat_ws("/", F.lit("data"), F.col("year").cast("string"), "folder").alias("path")]
+    good, bad = dc.parse_sessions(trees.session_documents(tree_of(cat)))
+    return good.select(*place, "record_id", "status", "hold_until"), bad.select(*place)
+
+
+TREE_FINDINGS = """places as (select archive, run_id, year, record_state from @session_rows union all select archive, run_id, year + 1, 'missing' from @session_rows where twice
+  union select archive, run_id, year, 'missing' from @artifacts a where (has_sidecar or (has_file and not trashed)) and not exists (select 1 from @session_rows s where s.archive = a.archive and s.run_id = a.run_id and s.year = a.year)),
+recorded as (select distinct archive, run_id from places where record_state <> 'missing'),
+cars as (select * from @sidecars where not trashed),
+both_of as (select coalesce(f.archive, c.archive) as archive, coalesce(f.run_id, c.run_id) as run_id, coalesce(f.name, c.filename) as name, f.name is not null as has_file, c.filename is not null as has_car, readable
+  from @files f full join cars c on f.archive = c.archive and f.run_id = c.run_id and f.name = c.filename)
+select case record_state when 'missing' then 'missing_session_yaml' else 'unreadable_session_yaml' end as kind, archive, run_id as session, cast(null as string) as file,
+  'data/' || cast(year as string) || '/' || run_id as detail from places where record_state <> 'ok'
+union all select 'id_mismatch', archive, run_id, null, record_id from @sessions where record_id <> run_id
+union all select 'invalid_status', archive, run_id, null, status from @sessions where status not in ('open', 'closed', 'crashed')
+union all select 'garbled_hold_until', archive, run_id, null, hold_until from @sessions where hold_until <> 'forever' and try_cast(hold_until as timestamptz) is null
+union all select 'duplicate_id', archive, run_id, null, cast(count(*) as string) || ' folders' from places group by archive, run_id having count(*) > 1
+union all select case when not has_car then 'orphan' when not readable then 'unreadable_sidecar' else 'missing_artifact' end, b.archive, b.run_id, name, null
+  from both_of b semi join recorded r on b.archive = r.archive and b.run_id = r.run_id where not (has_file and has_car and readable)
+union all select case record_state when 'missing' then 'orphan_asset_dir' when 'unreadable' then 'unreadable_asset' else 'missing_asset_file' end, archive, null, asset_id,
+  case when record_state = 'ok' then name end from @assets where (record_state = 'ok' and live_name is null) or record_state <> 'ok'
+union all select 'unscanned_asset_rename', archive, null, asset_id, name || ' -> ' || live_name from @assets where record_state = 'ok' and live_name <> name"""
+
+
+@query("c00_tree_findings", f"with {TREE_FINDINGS}")
+def tree_findings(cat):
+    """The audit over files: what listing the folders and reading their documents finds wrong."""
+    tree = tree_of(cat)
+    files = trees.session_files(tree)
+    folders = trees.session_folders(tree).withColumn("path", F.concat_ws("/", F.lit("data"), F.col("year").cast("string"), "run_id"))
+    read, unread = tree_recorded(cat)
+    cars, bad_cars = dc.parse_sidecars(trees.sidecar_documents(tree))
+    assets, bad_assets = dc.parse_assets(trees.asset_documents(tree))
+    nothing = F.lit(None).cast("string")
+    pairs = au.paired(
+        files.where("role = 'data' and not trashed").withColumn("sha256", nothing),
+        cars.where("not trashed"), bad_cars.where("not trashed"), read.select("archive", "run_id").unionByName(unread.select("archive", "run_id")))
+    snapshots = dc.asset_snapshots(assets)
+    found = au.session_issues(folders, read, unread, read)
+    found = found.unionByName(au.artifact_issues(pairs)).unionByName(au.asset_issues(
+        trees.asset_folders(tree), assets.select("archive", F.col("folder").alias("asset_id"), "name"),
+        bad_assets.select("archive", F.col("folder").alias("asset_id")), trees.asset_files(tree), snapshots, cat.asset_blobs))
+    return found.select("kind", "archive", "session", "file", "detail")

@@ -272,6 +272,18 @@ def asset_documents(tree: DataFrame) -> DataFrame:
     return _records(tree, ASSETS, F.col("name") == ASSET_FILE, F.col("owner").alias("folder"))
 
 
+def asset_folders(tree: DataFrame) -> DataFrame:
+    """Folders of assets, with or without a record."""
+    return tree.where((F.col("area") == ASSETS) & F.col("owner").isNotNull()).select("archive", F.col("owner").alias("asset_id")).distinct()
+
+
+def asset_files(tree: DataFrame) -> DataFrame:
+    """The file each asset stands for: whatever is shown in its folder besides the record."""
+    shown = F.col("name").isNotNull() & ~F.col("name").startswith(".") & (F.col("name") != ASSET_FILE)
+    return tree.where((F.col("area") == ASSETS) & F.col("owner").isNotNull() & shown).select(
+        "archive", F.col("owner").alias("asset_id"), F.col("name").alias("live_name"))
+
+
 def manifest_documents(tree: DataFrame) -> DataFrame:
     """Manifests of the code store by the id their file is named after."""
     shown = F.col("name").endswith(".json") & ~F.col("name").startswith(".") & (F.col("owner") == MANIFESTS)
