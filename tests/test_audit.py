@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import text
 from tracelake.operators import audit as au
+from tracelake.operators import transfer as tr
 
 
 def table(spark, columns, *rows):
@@ -109,3 +110,13 @@ def test_a_manifest_of_any_size_has_the_id_of_its_text(spark):
     assert got == {"big": said("run.py", {f"dir/ü{i}": str(i) for i in range(size)}), "none": said(None, {}), "twice": said("e", {'a"b': "x"}),
                    "null blob": said("e", {"p": None})}
     assert text.manifest_rows(odd.limit(0)).count() == 0
+
+
+def test_exports_that_are_not_made_say_why(spark):
+    asked = table(spark, "archive string, request string", ("A", "r1"), ("A", "r1"), ("A", "r2"), ("I", "r1"), ("X", "r1"), ("A", "r3"))
+    picked = table(spark, "archive string, request string, run_id string", ("A", "r1", "S1"), ("A", "r1", "S1"), ("A", "r1", "S2"), ("I", "r1", "I1"), ("A", "r3", None))
+    archives = table(spark, "archive string, kind string", ("A", "standard"), ("I", "intake"))
+    got = {(r.archive, r.request): (r.n_sessions, r.refused) for r in tr.export_requests(asked, picked, archives).collect()}
+    assert got == {("A", "r1"): (2, None), ("A", "r2"): (0, "empty selection"), ("A", "r3"): (0, "empty selection"),
+                   ("I", "r1"): (1, "intake ids are provisional, merge first"), ("X", "r1"): (0, "unknown archive")}
+    assert tr.export_requests(asked.limit(0), picked, archives).count() == 0

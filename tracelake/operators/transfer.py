@@ -538,6 +538,23 @@ def expand_selection(sessions: DataFrame | None, refs: DataFrame | None) -> Data
         whole.withColumn("filename", F.lit(None).cast("string")))
 
 
+def export_requests(requests: DataFrame, picked: DataFrame, archives: DataFrame) -> DataFrame:
+    """Which exports are not made at all, and why.
+
+    ``requests`` has (archive, request), ``picked`` the same with the sessions each
+    takes, one row or more. Ids of an intake archive are provisional, so nothing
+    cut from one could be cited; an unknown archive and an empty selection are
+    refused as well. ``refused`` is null where the export may go on.
+    """
+    asked = requests.select("archive", "request").distinct()
+    some = picked.where("run_id is not null").groupBy("archive", "request").agg(F.count_distinct("run_id").alias("n_sessions"))
+    kinds = archives.groupBy("archive").agg(F.max("kind").alias("_kind"))
+    got = asked.join(some, ["archive", "request"], "left").join(kinds, "archive", "left")
+    refused = (F.when(F.col("_kind").isNull(), "unknown archive").when(F.col("_kind") == "intake", "intake ids are provisional, merge first")
+               .when(F.col("n_sessions").isNull(), "empty selection"))
+    return got.select("archive", "request", F.coalesce("n_sessions", F.lit(0)).alias("n_sessions"), refused.alias("refused"))
+
+
 def selection_closure(picked: DataFrame, files: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A selection with everything it was derived from, and references elsewhere.
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelake.functions import refs as rf
+from tracelake.functions.refs import parse_refs
 from tracelake.operators import transfer as tr
 from tracelake.operators.items import SESSION
+from tracelake.plans.audit import ENTRIES
 from tracelake.plans.registry import NOW, THIS_YEAR, query
 from tracelake.plans.store import seals_of
 
@@ -525,3 +527,15 @@ def received_files(cat):
   case when kind <> 'fragment' then 'not a fragment but ' || kind end as refused from @sessions s join @archives a on s.archive = a.archive""")
 def receive_routing(cat):
     return tr.receive_routing(cat.sessions.select(*SESSION), cat.archives).select(*SESSION, "destination", "refused")
+
+
+@query("t01_export_requests", f"""with {ENTRIES}, picks as (select archive, collection, case when bad is null and ta = archive and ses <> '' then ses end as ses from e)
+select p.archive, p.collection as request, count(distinct ses) as n_sessions, case when max(kind) = 'intake' then 'intake ids are provisional, merge first' when count(ses) = 0 then 'empty selection' end as refused
+from picks p join @archives a on p.archive = a.archive group by p.archive, p.collection""")
+def export_requests(cat):
+    """Every collection asked for as an export: those that are refused, and the number of sessions of the others."""
+    entries = parse_refs(cat.collection_entries, "ref")
+    at_home = F.coalesce("ref_archive", "archive") == F.col("archive")
+    requests = entries.withColumn("request", F.col("collection"))
+    picked = requests.where(at_home & F.col("ref_error").isNull()).select("archive", "request", F.col("ref_session").alias("run_id"))
+    return tr.export_requests(requests, picked, cat.archives)
