@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tracelake.functions.refs import parse_refs
 from tracelake.operators import items as it
 from tracelake.operators import lineage as li
 from tracelake.operators import search as se
@@ -244,3 +245,54 @@ def test_entries_move_between_collections(spark):
     assert sorted((r.collection, r.ord, r.ref, r.note) for r in after.collect()) == [
         ("one", 1, "collections/two", ""), ("two", 4, "S-24-0002", ""), ("two", 5, "S-24-0001/a.csv", "kept note")]
     assert [r.refused for r in refused.collect()] == ["contains itself"]
+
+
+def test_whole_merge_holds_back_sealed_years(spark):
+    entry = "struct<action:string, at:string, by:string, file:string, note:string>"
+    sessions = spark.createDataFrame(
+        [("IN", "I-99-0001", "1999", "closed", []), ("IN", "I-98-0001", "1998", "closed", []), ("M", "S-99-0001", "1999", "closed", [])],
+        f"archive string, run_id string, created string, status string, history array<{entry}>")
+    files = spark.createDataFrame([("IN", "I-99-0001", "a.csv", 5), ("IN", "I-98-0001", "b.csv", 7), ("M", "S-99-0001", "c.csv", 1)],
+                                  "archive string, run_id string, name string, size long")
+    archives = spark.createDataFrame([("IN", None), ("M", None)], "archive string, merged_at string")
+    entries = spark.createDataFrame(
+        [("IN", "set", 1, "I-99-0001/a.csv", None), ("IN", "set", 2, "I-98-0001", None), ("IN", "set", 3, "a|b|c", "x"),
+         ("IN", "own", 1, "collections/set", None), ("M", "set", 1, "S-99-0001", None)],
+        "archive string, collection string, ord int, ref string, note string")
+    plan = spark.createDataFrame([("IN", "I-99-0001", 1999, "S-99-0002"), ("IN", "I-98-0001", 1998, "S-98-0001")],
+                                 "archive string, run_id string, id_year int, new_run_id string")
+    tables = {"sessions": sessions, "files": files, "archives": archives, "collection_entries": parse_refs(entries, "ref")}
+
+    def done(years):
+        return tr.merge_catalog(plan, spark.createDataFrame([(y,) for y in years], "year int"), tables, "IN", "M", "now")
+
+    def rows(df, *names):
+        return sorted(tuple(r) for r in df.select(*names).collect())
+
+    held = done([1998])
+    assert rows(held["files"], "archive", "run_id", "name") == [("M", "S-99-0001", "c.csv"), ("M", "S-99-0002", "a.csv")]
+    assert rows(held["refused"], "run_id", "refused") == [("I-98-0001", "sealed year")]
+    assert [r.run_id for r in held["source_sessions"].where(F.size("history") > 0).collect()] == ["I-99-0001"]
+    assert rows(held["sessions"], "run_id") == [("S-99-0001",), ("S-99-0002",)]
+    assert rows(held["archives"].where("merged_at is not null"), "archive") == []
+    assert rows(held["collection_entries"], "archive", "collection", "ord", "ref") == [
+        ("M", "own", 1, "collections/set-IN"), ("M", "set", 1, "S-99-0001"), ("M", "set-IN", 1, "S-99-0002/a.csv"), ("M", "set-IN", 2, "I-98-0001")]
+    assert rows(held["entries_left"], "collection", "ord") == [("set", 3)]
+    assert rows(done([])["archives"].where("merged_at is not null"), "archive", "merged_to") == [("IN", "M")]
+    nothing = done([1998, 1999])
+    assert nothing["files"].count() == 1 and nothing["plan"].isEmpty()
+    assert rows(nothing["archives"].where("merged_at is not null"), "archive") == []
+
+
+def test_code_that_arrives_with_a_merge(spark):
+    plan = spark.createDataFrame([("IN", "I-99-0001")], "archive string, run_id string")
+    sidecars = spark.createDataFrame(
+        [("IN", "I-99-0001", "m1", False), ("IN", "I-99-0001", "m2", False), ("IN", "I-99-0001", "m3", False), ("IN", "I-99-0001", "m4", True),
+         ("IN", "I-98-0001", "m5", False)], "archive string, run_id string, code string, trashed boolean")
+    manifests = spark.createDataFrame([(f"m{k}", "main.py", 10) for k in (1, 2, 4, 5)], "manifest string, entry string, bytes long")
+    held = manifests.where("manifest = 'm1'")
+    listed = spark.createDataFrame([("m1", "x"), ("m2", "x"), ("m2", "y"), ("m2", "z"), ("m5", "w")], "manifest string, blob string")
+    blobs = spark.createDataFrame([("x", 1), ("y", 2), ("w", 3)], "digest string, bytes long")
+    after, moves = tr.merge_code(plan, sidecars, manifests, listed, blobs, held, blobs.where("digest = 'x'"))
+    assert sorted((r.manifest, r.arrived, r.missing) for r in after.collect()) == [("m1", False, False), ("m2", True, False), ("m3", True, True)]
+    assert sorted((r.digest, r.action) for r in moves.collect()) == [("x", "present"), ("y", "copy"), ("z", "missing")]

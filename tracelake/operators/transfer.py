@@ -759,6 +759,59 @@ def merge_tables(plan: DataFrame, tables: dict[str, DataFrame], dest: str,
     return out
 
 
+def merge_entries(entries: DataFrame, plan: DataFrame, source: str, dest: str) -> tuple[DataFrame, DataFrame]:
+    """The destination's collection entries after a merge, and the source's entries left behind.
+
+    ``entries`` is parsed. Incoming collections whose name is taken get a name of
+    their own; malformed entries of the source do not move.
+    """
+    mine, theirs = entries.where(F.col("archive") == source), entries.where(F.col("archive") == dest)
+    names = carry_collections(mine, theirs, source)
+    columns = ["archive", "collection", "ord", "ref", "note"]
+    moved = remap_entries(mine, plan, names, dest).select(
+        F.lit(dest).alias("archive"), F.col("new_name").alias("collection"), "ord", F.col("new_ref").alias("ref"), "note")
+    return theirs.select(*columns).unionByName(moved), mine.where("ref_error is not null").select(*columns, "ref_error")
+
+
+def merge_code(plan: DataFrame, sidecars: DataFrame, manifests: DataFrame, manifest_files: DataFrame, blobs: DataFrame,
+               dest_manifests: DataFrame, dest_blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The destination's manifests after a merge, and what becomes of their blobs.
+
+    Manifests that files of moved sessions claim arrive unless the destination's
+    store holds them already; one that the source's store lacks is missing. Each
+    blob of the manifests that arrive is present, to copy, or missing.
+    """
+    here = dest_manifests.select("manifest").distinct()
+    claimed = sidecars.where("code is not null and not trashed").select(*SESSION, F.col("code").alias("manifest"))
+    arriving = claimed.join(plan.select(*SESSION), SESSION, "left_semi").select("manifest").distinct().join(here, "manifest", "left_anti")
+    known = here.withColumn("arrived", F.lit(False)).unionByName(arriving.withColumn("arrived", F.lit(True)))
+    after = known.join(manifests, "manifest", "left").withColumn("missing", F.col("entry").isNull())
+    return after, blob_transfer(arriving, manifest_files, blobs, dest_blobs)
+
+
+def merge_catalog(plan: DataFrame, seals: DataFrame, tables: dict[str, DataFrame], source: str, dest: str, at: str,
+                  repairs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A whole merge: every table of the destination, and the source's, as they are afterwards.
+
+    Sessions of years that are sealed at the destination are refused first; all
+    else follows the sessions that are free to move, so nothing of a refused one
+    arrives, nor is it marked, and the source is locked only if none is refused.
+    ``tables`` holds sessions (with their history), archives, collection_entries
+    (parsed) and any of the tables of :func:`merge_tables`.
+    """
+    free, refused = unsealed(plan, seals)
+    free, refused = stage(free, "merge-free"), stage(refused, "merge-refused")
+    sessions, archives, entries = (tables[n] for n in ("sessions", "archives", "collection_entries"))
+    mine, theirs = sessions.where(F.col("archive") == source), sessions.where(F.col("archive") == dest)
+    arrived, marked = apply_merge(free, mine, theirs, source, dest, at)
+    rest = {n: t for n, t in tables.items() if n not in ("sessions", "archives", "collection_entries")}
+    out = merge_tables(free, rest, dest, repairs)
+    out["collection_entries"], out["entries_left"] = merge_entries(entries, free, source, dest)
+    locks = not free.isEmpty() and refused.isEmpty()
+    out["archives"] = lock_archive(archives, source, dest, at) if locks else archives
+    return out | {"sessions": arrived, "source_sessions": marked, "refused": refused, "plan": free}
+
+
 def lock_archive(archives: DataFrame, source: str, dest: str, at: str) -> DataFrame:
     """Refuse further writes to a merged archive."""
     mine = F.col("archive") == source

@@ -319,6 +319,91 @@ def locked_archives(cat):
     return tr.lock_archive(cat.archives, SRC, DEST, NOW).select("archive", "merged_at", "merged_to")
 
 
+# -- the merge as a whole: sealed years refused, collections and code carried ---------------
+
+FREE = f"""{MERGE}, free as (select * from plan where id_year - 100 not in (select year from @session_rows where archive = '{DEST}' and year <= 1997))"""
+
+
+def free_of(cat):
+    """The planned sessions that no sealed year refuses."""
+    def plan():
+        seals = seals_of(cat).where(f"archive = '{DEST}'").select((F.col("year") + 100).alias("year"))
+        return tr.unsealed(merge_of(cat)[0], seals)[0]
+    return cat.shared("merge-free", plan)
+
+
+def whole_merge(cat, *names):
+    """The applied merge, with the tables asked for beside sessions, archives and collections."""
+    seals = seals_of(cat).where(f"archive = '{DEST}'").select((F.col("year") + 100).alias("year"))
+    tables = {n: getattr(cat, n) for n in names} | {"sessions": tr.history_of(cat), "archives": cat.archives, "collection_entries": entries_of(cat)}
+    return tr.merge_catalog(merge_of(cat)[0], seals, tables, SRC, DEST, NOW)
+
+
+@query("t16_applied_files", f"""with {FREE} select '{DEST}' as archive, p.new_run_id as run_id, t.name, t.size, t.sha256 from @files t join free p on t.archive = p.archive and t.run_id = p.run_id
+union all select archive, run_id, t.name, t.size, t.sha256 from @files t where archive = '{DEST}'""")
+def applied_files(cat):
+    """The destination's files after a merge that sealed years have held back in part."""
+    return whole_merge(cat, "files")["files"].select(*SESSION, "name", "size", "sha256")
+
+
+@query("t16_applied_source", f"""with {FREE} select s.archive, s.run_id, coalesce('{DEST}|' || p.new_run_id, merged_note) as merged_to from @sessions s
+left join free p on s.archive = p.archive and s.run_id = p.run_id where s.archive = '{SRC}'""")
+def applied_source(cat):
+    """The source's sessions: those that a seal refused are not marked."""
+    done = whole_merge(cat)["source_sessions"]
+    return done.select(*SESSION, tr.merged_note(F.col("history")).alias("merged_to"))
+
+
+@query("t16_applied_lock", f"""with {FREE}, n as (select (select count(*) from free) as moved, (select count(*) from plan) as planned)
+select archive, case when archive = '{SRC}' and moved > 0 and moved = planned then '{NOW}' else merged_at end as merged_at from @archives, n""")
+def applied_lock(cat):
+    """The source is locked only if nothing of the plan was refused."""
+    return whole_merge(cat)["archives"].select("archive", "merged_at")
+
+
+@query("t16_merged_entries", f"""with {FREE}, {NAMES}, e as (select *, regexp_extract(ref, '([SI]-[0-9]+-[0-9]+)', 1) as ses from @collection_entries where archive = '{SRC}' and ref <> 'a|b|c')
+select '{DEST}' as archive, n.new_name as collection, e.ord, case when ref like 'prov://%' or ref like '{SRC}|%' then ref when p.new_run_id is not null then replace(ref, ses, new_run_id)
+  when ref like 'collections/%' then 'collections/' || coalesce(k.new_name, replace(ref, 'collections/', '')) else ref end as ref, note
+from e join cnames n on e.collection = n.collection left join free p on e.ses = p.run_id left join cnames k on replace(ref, 'collections/', '') = k.collection
+union all select archive, collection, ord, ref, note from @collection_entries where archive = '{DEST}'""")
+def merged_entries(cat):
+    """Every entry of the destination's collections after the merge."""
+    return tr.merge_entries(entries_of(cat), free_of(cat), SRC, DEST)[0]
+
+
+@query("t16_entries_left", f"select collection, ord, ref, note from @collection_entries where archive = '{SRC}' and ref = 'a|b|c'")
+def entries_left(cat):
+    """Malformed entries of the source's collections, which do not move."""
+    return tr.merge_entries(entries_of(cat), free_of(cat), SRC, DEST)[1].select("collection", "ord", "ref", "note")
+
+
+CODE = FREE + """, claimed as (select archive, run_id, code as manifest from @sidecars where code is not null and not trashed),
+here as (select distinct manifest from @manifests where manifest < 'src2'),
+arriving as (select distinct manifest from claimed c semi join free p on c.archive = p.archive and c.run_id = p.run_id where manifest not in (select manifest from here))"""
+
+
+def code_after(cat):
+    dest = cat.manifest_files.where("lang = 'fr'").select(F.col("blob").alias("digest"))
+    held = cat.manifests.where("manifest < 'src2'")
+    return tr.merge_code(free_of(cat), cat.sidecars, cat.manifests, cat.manifest_files, cat.code_blobs, held, dest)
+
+
+@query("t16_merged_manifests", f"""with {CODE} select k.manifest, arrived, entry, bytes, entry is null as missing
+from (select manifest, false as arrived from here union all select manifest, true from arriving) k left join @manifests m on k.manifest = m.manifest""")
+def merged_manifests(cat):
+    """Manifests after the merge, at a destination that held those before src2; one that no store holds is missing."""
+    return code_after(cat)[0].select("manifest", "arrived", "entry", "bytes", "missing")
+
+
+@query("t16_merged_blobs", f"""with {CODE}, need as (select distinct m.blob as digest from @manifest_files m semi join arriving a on m.manifest = a.manifest),
+dst as (select distinct sha256(text) as digest from documents where lang = 'fr')
+select n.digest, case when d.digest is not null then 'present' when s.digest is not null then 'copy' else 'missing' end as action, s.bytes
+from need n left join dst d on n.digest = d.digest left join (select digest, max(bytes) as bytes from @code_blobs group by 1) s on n.digest = s.digest""")
+def merged_blobs(cat):
+    """Blobs that the arriving manifests need, at a destination that holds the French documents."""
+    return code_after(cat)[1]
+
+
 @query("t14_safe_to_delete", f"select archive, count(*) filter (where merged_note is null) as unmerged, count(*) filter (where merged_note is null) = 0 as safe from @sessions where archive = '{SRC}' group by 1")
 def safe_to_delete(cat):
     return tr.safe_to_delete(tr.history_of(cat), cat.archives)
