@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import ROWS, SCHEMA, docs, empty, with_clashes  # noqa: F401 -- fixtures
-from tracelake.llm import filter_audit, hard_negatives, near_dups, repeats, token_files, warc
+from tracelake.llm import decontaminate, filter_audit, hard_negatives, lines, near_dups, repeats, token_files, warc
 from tracelake.llm.token_ids import MARK, TokenIds
 
 
@@ -264,3 +264,33 @@ def test_texts_that_share_an_id_are_documents_of_their_own(spark, tmp_path):
     assert len(got) == len(rows) and {c for _, _, c in got if c > 0} == {1, 4}
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.without_near_duplicates(spark, made, str(tmp_path)).collect()]
     assert sorted(t or "" for _, t in kept) == ["", "", one, two] and len(kept) == 4
+
+
+def test_windows_beyond_a_broadcast_give_the_same_hits(spark, docs, monkeypatch):  # noqa: F811
+    words = re.findall(r"[a-z0-9]+", (ROWS[1][1] or "").lower())
+    items = [(1, " ".join(words[5:30])), (2, " ".join(words[8:20])), (3, "one!"), (4, None), (None, "another text of")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    columns = ["doc_id", "text_key", "n_words", "windows", "items"]
+    some = sorted(map(str, decontaminate.hits(docs, bench).select(*columns).collect()))
+    for name, bound in (("BROADCAST_WINDOWS", 0), ("BROADCAST_BYTES", 1)):
+        with monkeypatch.context() as m:
+            m.setattr(decontaminate, name, bound)
+            got = decontaminate.hits(docs, bench)
+            assert sorted(map(str, got.select(*columns).collect())) == some
+            assert decontaminate.hits(docs.limit(0), bench).count() == 0
+    assert any("i=" in x for x in some)
+
+
+def test_columns_of_any_names_pass_through(spark):
+    names = ["_d", "_k", "_w", "__d", "__k", "__w", "__host", "__dropped", "__kept", "host", "dropped", "row", "kept", "whole", "n_lines"]
+    line = "one two three four five six seven eight nine ten"
+    rows = [(i, f"{line}\nown {i}", "h", *names) for i in range(8)] + [(9, None, None, *names)]
+    table = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", *(f"{n} string" for n in names)]))
+    done = lines.site_line_dedup(table).orderBy("doc_id").collect()
+    assert [r.text for r in done] == [f"own {i}" for i in range(8)] + [None]
+    assert [(r.n_lines, r.n_dropped) for r in done] == [(2, 1)] * 8 + [(0, 0)]
+    assert all(r[n] == n for r in done for n in names if n != "n_lines")
+    found = decontaminate.hits(table, spark.createDataFrame([(1, line)], "item_id long, text string"))
+    assert [r.doc_id for r in decontaminate.clean_documents(table, found).collect()] == [9]
+    cut = decontaminate.without_spans(table, found)
+    assert cut.columns == table.columns and {r.text for r in cut.collect()} == {f"\nown {i}" for i in range(8)} | {None}

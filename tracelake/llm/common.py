@@ -44,9 +44,9 @@ def utf8(name: str) -> Column:
     return F.coalesce(F.col(name).cast("binary"), F.lit(b"").cast("binary"))
 
 
-def text_key(name: str) -> Column:
+def text_key(text: str | Column) -> Column:
     """With the document id, what tells rows apart: rows equal in both are the same document."""
-    return F.xxhash64(F.coalesce(F.col(name), F.lit("")))
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
 #: Bytes of text that a task works on at a time; a longer text comes alone.

@@ -19,8 +19,8 @@ from tracelake.session import stage_counted
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Windows that are broadcast; beyond them the lookup is a join that shuffles both sides.
-BROADCAST_WINDOWS = 1_000_000
+#: Windows that are broadcast, and their bytes; beyond either, places and hashes alone are shuffled to look them up.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 1_000_000, 256 << 20
 
 
 def lowered(text: Column) -> Column:
@@ -54,14 +54,42 @@ def windows_of(benchmark: DataFrame, size: int, id_col: str, text_col: str) -> D
     return each.groupBy("len", "window").agg(F.collect_set("item").alias("items")).withColumn("hash", key)
 
 
+def looked_up(at: DataFrame, windows: DataFrame) -> DataFrame:
+    """The rows of documents themselves, and the places where a window of a small table is found."""
+    # Not written as an equality, which would make the words a join key and cut them out for every row.
+    verified = F.when(F.slice("w", F.greatest(F.col("i") + 1, F.lit(1)), F.col("len")) == F.col("window"), True).otherwise(False)
+    same = (F.col("hash") == F.col("_hash")) & (F.col("len") == F.col("_len")) & verified
+    return at.join(F.broadcast(windows), same, "left").where("i = -1 or items is not null").select(
+        "doc_id", "text_key", "n", "i", "len", "items")
+
+
+def looked_up_apart(at: DataFrame, rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """As :func:`looked_up`, for a table of any size: places and hashes travel without words, those found are then
+    brought back to the words of their document, and only the words of these windows travel on."""
+    key = (F.col("hash") == F.col("_hash")) & (F.col("len") == F.col("_len"))
+    places = at.where("i >= 0").select("doc_id", "text_key", "i", "len", "hash")
+    places = places.join(windows.select("_hash", "_len"), key, "left_semi").groupBy("doc_id", "text_key").agg(
+        F.collect_set(F.struct("i", "len", "hash")).alias("places"))
+    places = places.withColumnsRenamed({"doc_id": "_d", "text_key": "_k"})
+    met = rows.join(places, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")))
+    said = F.transform("places", lambda p: F.struct(p["i"].alias("i"), p["len"].alias("len"), p["hash"].alias("hash"),
+                                                    F.slice("w", p["i"] + 1, p["len"]).alias("said")))
+    found = met.select("doc_id", "text_key", "n", F.inline(said)).join(windows, key & (F.col("said") == F.col("window")))
+    columns = ["doc_id", "text_key", "n", "i", "len", "items"]
+    themselves = rows.select("doc_id", "text_key", "n", F.lit(-1).alias("i"), F.lit(None).cast("int").alias("len"),
+                             F.lit(None).cast("array<string>").alias("items"))
+    return themselves.unionByName(found.select(*columns))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text",
          item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """For every row of ``docs``: n_words, the windows found as (first word, length), and the items found."""
     windows, n = stage_counted(windows_of(benchmark, size, item_col, item_text_col), "windows")
     windows = windows.select(F.col("len").alias("_len"), F.col("hash").alias("_hash"), "window", "items")
-    lengths = sorted(r[0] for r in windows.select("_len").distinct().collect()) or [size]  # ``size`` numbers at most
-    if n <= BROADCAST_WINDOWS:
-        windows = F.broadcast(windows)
+    held = F.sum(F.octet_length(F.to_json(F.struct("window", "items"))))
+    sizes = windows.agg(F.collect_set("_len").alias("lengths"), held.alias("bytes")).first()  # ``size`` numbers at most
+    lengths = sorted(sizes.lengths) or [size]
+    small = n <= BROADCAST_WINDOWS and (sizes.bytes or 0) <= BROADCAST_BYTES
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"),
                        words_of(F.col(text_col)).alias("w"))
@@ -76,11 +104,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "d
     else:
         at = at.withColumn("v", F.explode(F.array(*(F.struct(F.lit(k).alias("len"), found(k).alias("hash")) for k in lengths))))
         at = at.where((F.col("i") >= 0) | (F.col("v.len") == lengths[0])).select("*", "v.len", "v.hash").drop("v")
-    # Not written as an equality, which would make the words a join key and cut them out for every row.
-    verified = F.when(F.slice("w", F.greatest(F.col("i") + 1, F.lit(1)), F.col("len")) == F.col("window"), True).otherwise(False)
-    same = (F.col("hash") == F.col("_hash")) & (F.col("len") == F.col("_len")) & verified
-    got = at.join(windows, same, "left").where("i = -1 or items is not null").select(
-        "doc_id", "text_key", "n", "i", "len", "items")
+    got = looked_up(at, windows) if small else looked_up_apart(at, rows, windows)
     whole = got.groupBy("doc_id", "text_key").agg(
         F.sum(F.when(F.col("i") == -1, 1)).alias("copies"), F.max("n").cast("long").alias("n_words"),
         F.array_sort(F.collect_set(F.when(F.col("i") >= 0, F.struct("i", "len")))).alias("windows"),
@@ -102,18 +126,20 @@ def n_hit(windows: str = "windows") -> Column:
 
 def without_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the hit words, and the gaps before them, cut from the text."""
-    spans = found.where(F.size("windows") > 0).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"),
-                                                      F.col("windows").alias("__w")).dropDuplicates(["__d", "__k"])
-    joined = docs.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (text_key(text_col) == F.col("__k")), "left")
-    units = F.regexp_extract_all(F.col(text_col), F.lit(f"({GAP}*{WORD}+)"), F.lit(1))
-    tail = F.regexp_extract(F.col(text_col), f"({GAP}*)\\z", 1)
-    hit = lambda i: F.exists("__w", lambda s: (i >= s["i"]) & (i < s["i"] + s["len"]))
+    spans = found.where(F.size("windows") > 0).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"),
+                                                      F.col("windows").alias("_w")).dropDuplicates(["_d", "_k"])
+    # Columns are named by their table, so that ``docs`` may have any others.
+    text, windows = docs[text_col], spans["_w"]
+    joined = docs.join(spans, docs[id_col].cast("long").eqNullSafe(spans["_d"]) & (text_key(text) == spans["_k"]), "left")
+    units = F.regexp_extract_all(text, F.lit(f"({GAP}*{WORD}+)"), F.lit(1))
+    tail = F.regexp_extract(text, f"({GAP}*)\\z", 1)
+    hit = lambda i: F.exists(windows, lambda s: (i >= s["i"]) & (i < s["i"] + s["len"]))
     cut = F.concat(F.array_join(F.filter(units, lambda x, i: ~hit(i)), ""), tail)
-    return joined.select(*(F.when(F.col("__w").isNull(), F.col(c)).otherwise(cut).alias(c) if c == text_col else F.col(c)
+    return joined.select(*(F.when(windows.isNull(), text).otherwise(cut).alias(c) if c == text_col else docs[c].alias(c)
                            for c in docs.columns))
 
 
 def clean_documents(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no window was found."""
-    bad = found.where(F.size("windows") > 0).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"))
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (text_key(text_col) == F.col("__k")), "left_anti")
+    bad = found.where(F.size("windows") > 0).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"))
+    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["_d"]) & (text_key(docs[text_col]) == bad["_k"]), "left_anti")

@@ -57,20 +57,20 @@ def site_line_dedup(docs: DataFrame, max_ratio: float = 0.05, min_pages: int = 5
     The host's list is small and stored first, so Spark knows its size and sends it to all tasks only where it fits;
     otherwise the join splits hosts with many documents.
     """
-    # Names of our own, so that the input may have any others.
-    lists = stage(boilerplate(docs, max_ratio, min_pages, text_col, host_col, copy_col), "boilerplate").select(
-        F.col("host").alias("__host"), F.col("dropped").alias("__dropped"))
-    names = docs.columns
-    lines = F.split(F.col(text_col), "\n", -1)
-    is_boiler = lambda x: F.array_contains("__dropped", F.xxhash64(bare(x)))
-    joined = docs.join(lists, F.col(host_col).cast("string").eqNullSafe(F.col("__host")), "left")
-    kept = F.when(F.col("__dropped").isNull(), lines).otherwise(F.filter(lines, lambda x: ~is_boiler(x) | (bare(x) == "")))
+    lists = stage(boilerplate(docs, max_ratio, min_pages, text_col, host_col, copy_col), "boilerplate")
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    text, host, dropped = docs[text_col], lists["host"], lists["dropped"]
+    lines = F.split(text, "\n", -1)
+    is_boiler = lambda x: F.array_contains(dropped, F.xxhash64(bare(x)))
+    kept = F.when(dropped.isNull(), lines).otherwise(F.filter(lines, lambda x: ~is_boiler(x) | (bare(x) == "")))
     if not may_empty:
         kept = F.when(F.exists(kept, lambda x: bare(x) != ""), kept).otherwise(lines)
-    joined = joined.withColumn("__kept", kept)
-    whole = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    left = F.coalesce(F.size("__kept"), F.lit(0)).cast("long")
-    return joined.select(*(F.array_join("__kept", "\n").alias(c) if c == text_col else F.col(c) for c in names
-                           if c not in ("n_lines", "n_dropped")),
-                         F.when(F.col(text_col).isNull(), 0).otherwise(whole).alias("n_lines"),
-                         F.when(F.col(text_col).isNull(), 0).otherwise(whole - left).alias("n_dropped"))
+    # The row as one column, so that it may have columns of any names.
+    done = docs.join(lists, docs[host_col].cast("string").eqNullSafe(host), "left").select(
+        F.struct(*(docs[c].alias(c) for c in names)).alias("row"), kept.alias("kept"), F.size(lines).cast("long").alias("whole"))
+    of = F.col("row").getField
+    none = of(text_col).isNull()
+    left = F.coalesce(F.size("kept"), F.lit(0)).cast("long")
+    return done.select(*((F.array_join("kept", "\n") if c == text_col else of(c)).alias(c) for c in names),
+                       F.when(none, 0).otherwise(F.col("whole")).alias("n_lines"),
+                       F.when(none, 0).otherwise(F.col("whole") - left).alias("n_dropped"))
