@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_operators import ROWS, SCHEMA, docs, empty, with_clashes  # noqa: F401 -- fixtures
-from tracelake.llm import decontaminate, filter_audit, hard_negatives, lines, near_dups, repeats, token_files, warc
+from tracelake.llm import decontaminate, filter_audit, hard_negatives, lines, mixing, near_dups, repeats, token_files, warc
 from tracelake.llm.token_ids import MARK, TokenIds
 
 
@@ -294,3 +294,23 @@ def test_columns_of_any_names_pass_through(spark):
     assert [r.doc_id for r in decontaminate.clean_documents(table, found).collect()] == [9]
     cut = decontaminate.without_spans(table, found)
     assert cut.columns == table.columns and {r.text for r in cut.collect()} == {f"\nown {i}" for i in range(8)} | {None}
+
+
+def test_slots_are_counted_over_all_training_texts(spark):
+    rng = random.Random(5)
+    texts = [(" ".join(rng.choice(("red", "green", "blue", "x1")) for _ in range(rng.randrange(30))),) for _ in range(40)]
+    code = mixing.huffman(np.arange(256))
+    table = spark.createDataFrame(texts, "text string").selectExpr("cast(text as binary) as text")
+    parts = table.where("length(text) % 3 = 0"), table.where("length(text) % 3 <> 0")
+    got = mixing.slot_counts(parts[1], code, mixing.slot_counts(parts[0], code))
+    want = [np.zeros(2 << s, np.uint32) for s in mixing.SIZES]
+    for t, in texts:
+        bits = mixing.Bits([mixing.coded(t.lower().encode().split())], code)
+        for j, counts in enumerate(want):
+            for slot, bit in zip(bits.slots(j, bits.byte, bits.node).tolist(), bits.bit.tolist()):
+                counts[2 * slot + bit] += 1
+    blocks = dict(enumerate(np.concatenate([w.reshape(-1, 2 * mixing.BLOCK) for w in want])))
+    found = {r.block: mixing.unpacked(r.counts) for r in got.collect()}
+    assert sorted(found) == [k for k, b in blocks.items() if b.any()]
+    assert all((found[k] == blocks[k]).all() for k in found)
+    assert all((x == mixing.inputs(w)).all() for x, w in zip(mixing.trained_tables(got), want))
