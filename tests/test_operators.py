@@ -86,6 +86,36 @@ def test_hot_keys_are_split_without_losing_rows(spark, monkeypatch):
     assert {(r["k"], r["n"], r["count"]) for r in got} == {("hot", 300, 300), ("cold", 1, 1), ("odd", 1, 1)}
 
 
+def test_lines_of_heavy_and_light_keys_are_numbered_alike(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 1, 1, 2, 3, 4, None]), rng.choice("ab"), rng.randrange(9), i) for i in range(400)]
+    lines = spark.createDataFrame(rows, "l_key int, name string, day int, n int")
+    owners = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (3, "z"), (5, "y")], "key int, owner string")
+
+    def build(some):
+        return some.join(owners, some.l_key == owners.key).select("key", "owner", "name", "day", "n")
+
+    owned = [(k, o, name, day, n) for k, name, day, n in rows for key, o in ((1, "x"), (2, "x"), (3, "y"), (3, "z")) if k == key]
+    want = {(k, o, n): sum((d2, n2) <= (day, n) for k2, o2, name2, d2, n2 in owned if (k2, o2, name2) == (k, o, name))
+            for k, o, name, day, n in owned}
+    for limit in (10**6, 100, 1):
+        monkeypatch.setattr(skew, "HOT_ROWS", limit)
+        got = skew.rank_by_key(lines, "l_key", build, "key", ["owner", "name"], F.col("day"), [F.col("day"), F.col("n")], "pos").collect()
+        assert len(got) == len(owned) and {(r.key, r.owner, r.n): r.pos for r in got} == want
+
+
+def test_lines_are_ranked_without_a_shuffle_of_their_own(spark):
+    lines = spark.range(1000).select((F.col("id") % 50).alias("l_key"), "id")
+    owners = spark.range(50).select(F.col("id").alias("key"), F.lit("x").alias("owner"))
+
+    def build(some):
+        return some.join(owners.hint("merge"), some.l_key == owners.key).select("key", "owner", "id")
+
+    ranked = skew.rank_by_key(lines, "l_key", build, "key", ["owner"], F.col("id"), [F.col("id")], "pos")
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Window" in plan
+
+
 def test_names_skip_numbers_in_use(spark):
     key = "archive string, run_id string, requested string, at string"
     asked = spark.createDataFrame([("A", "S", "raw.csv", str(i)) for i in range(4)] + [("A", "S", "raw-004.csv", "9")], key)
@@ -139,6 +169,41 @@ def test_repairs_match_brute_force(spark, monkeypatch):
     assert exact == {(w, k) for w in wanted for k in difflib.get_close_matches(w, known, 3, 0.6)}
 
 
+def _edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_variants_meet_for_near_texts_only(spark):
+    rng = random.Random(11)
+    texts = lambda n: sorted({"".join(rng.choice("aab") for _ in range(rng.randrange(0, 7))) for _ in range(n)})
+    asked, known = texts(40), texts(40) + ["bbbbbbbbbbb"]
+    left = spark.createDataFrame([(t,) for t in asked] + [(None,)], "wanted string")
+    right = spark.createDataFrame([(t,) for t in known] + [(None,)], "candidate string")
+    for k in (1, 2, 3):
+        a = tr._variants(left, "wanted", k, tr._lengths(right, "candidate")).withColumnRenamed("_edits", "_gone")
+        b = tr._variants(right, "candidate", k, tr._lengths(left, "wanted")).drop("_marks")
+        met = a.join(b, "_variant").where(F.col("_gone") + F.col("_edits") + F.col("_marks") <= k)
+        got = {(r.wanted, r.candidate) for r in met.select("wanted", "candidate").distinct().collect()}
+        assert got == {(x, y) for x in asked for y in known if _edit_distance(x, y) <= k}
+
+
+def test_variants_of_names_are_never_sent_whole_to_every_task(spark, monkeypatch):
+    monkeypatch.setattr(tr, "FEW", 5)
+    plans, keep = [], tr.stage
+    monkeypatch.setattr(tr, "stage", lambda df, label: plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or keep(df, label))
+    names = spark.range(300).select(F.lit("A").alias("archive"), F.format_string("name-%05d", "id").alias("candidate"))
+    asked = spark.range(300).select(F.lit("A").alias("archive"), F.format_string("nome-%05d", "id").alias("wanted"))
+    best = {r.wanted: r.candidate for r in tr.closest(asked, names, ["archive"], "wanted", "candidate").where("place = 1").collect()}
+    assert best == {f"nome-{i:05d}": f"name-{i:05d}" for i in range(300)}
+    near = [plan for label, plan in plans if label.startswith("near-")]
+    assert len(near) == 3 and not any("_variant" in line and "BroadcastHashJoin" in line for plan in near for line in plan.split("\n"))
+
+
 def test_letters_find_the_nearest_among_many(spark):
     """Most of the names of an archive are alike; few of them are ever compared."""
     rng = random.Random(11)

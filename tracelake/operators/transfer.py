@@ -331,26 +331,59 @@ def _closeness(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
 
-def _shortened(df: DataFrame, column: str, deletions: int) -> DataFrame:
-    """``df`` with one row per variant of ``column`` with up to that many letters out."""
-    out = df.withColumn("_variant", F.col(column))
-    for _ in range(deletions):
-        text = F.col("_variant")
-        dropped = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.concat(
-            F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
-        out = out.withColumn("_variant", F.explode(F.array_append(dropped, text))).distinct()
-    return out
+def _lengths(df: DataFrame, column: str) -> list[int]:
+    return [r[0] for r in df.where(F.col(column).isNotNull()).select(F.length(column)).distinct().collect()]
+
+
+def _variants(df: DataFrame, column: str, edits: int, lengths: list[int]) -> DataFrame:
+    """``df`` with one row per way in which its text can be one side of a pair that ``edits`` edits set apart.
+
+    On the side of a text an edit either leaves a letter out or puts a mark in its place. Two texts are within ``edits``
+    edits if some of their variants are equal, with one ``_edits`` for each mark and each letter left out of either. Letters
+    change from left to right, and of equal neighbours the first goes out. Variants that no text of one of the other
+    side's ``lengths`` can meet are not made. ``_variant`` is a hash, so pairs have to be confirmed.
+    """
+    text, at, out_, marks = F.col("_text"), F.col("_at"), F.col("_out"), F.col("_marks")
+    others = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
+
+    def can_meet(gone: Column, marked: Column, last: bool) -> Column:
+        def with_length(n: Column) -> Column:
+            more = F.col("_length") - n
+            at_last = gone if last else F.greatest(gone, more)
+            return (at_last >= more) & (2 * at_last - more + marked <= edits)
+        return F.exists(others, with_length)
+
+    out = df.where(F.col(column).isNotNull()).withColumns({"_text": F.col(column), "_at": F.lit(1), "_out": F.lit(0), "_marks": F.lit(0),
+                                                           "_length": F.length(column)})
+    for _ in range(edits):
+        none = F.array().cast("array<int>")
+        places = F.when(at <= F.length(text), F.sequence(at, F.length(text))).otherwise(none)
+        first = F.filter(places, lambda i: (i == at) | (F.substring(text, i, F.lit(1)) != F.substring(text, i - 1, F.lit(1))))
+
+        def changed(i: Column, put: str) -> Column:
+            gone, marked = (out_, marks + 1) if put else (out_ + 1, marks)
+            return F.struct(F.concat(F.substring(text, F.lit(1), i - 1), F.lit(put), F.substring(text, i + 1, F.length(text))).alias("text"),
+                            (i + len(put)).alias("at"), gone.alias("out"), marked.alias("marks"))
+
+        marked = F.transform(F.when(can_meet(out_, marks + 1, False), places).otherwise(none), lambda i: changed(i, "\x01"))
+        shorter = F.transform(F.when(can_meet(out_ + 1, marks, False), first).otherwise(none), lambda i: changed(i, ""))
+        whole = F.struct(text.alias("text"), (F.length(text) + 1).alias("at"), out_.alias("out"), marks.alias("marks"))
+        out = out.withColumn("_next", F.explode(F.concat(marked, shorter, F.array(whole)))).withColumns(
+            {f"_{c}": F.col(f"_next.{c}") for c in ("text", "at", "out", "marks")}).drop("_next")
+    out = out.where(can_meet(out_, marks, True))
+    return out.withColumns({"_variant": F.xxhash64("_text"), "_edits": out_.cast("tinyint")}).select(*df.columns, "_variant", "_edits", "_marks")
 
 
 def closest(broken: DataFrame, known: DataFrame, block: list[str], wanted: str, candidate: str,
-            deletions: int = 3) -> DataFrame:
+            edits: int = 3) -> DataFrame:
     """The nearest candidates of each wanted text in its block, best first.
 
     Similarity is 1 - edit distance / longer length, at least ``CUTOFF``; ties go
-    by name; at most ``SUGGESTIONS`` are kept. Texts within ``deletions`` edits
-    meet on a shared shortened form, an equality join whose size follows the
-    number of near pairs. Where that already gives enough suggestions no farther
-    text can matter. The others are looked up by their letters.
+    by name; at most ``SUGGESTIONS`` are kept. Texts within ``edits`` edits meet on a
+    shared variant, an equality join whose size follows the number of near pairs; it is
+    a join by sorting, since variants are many more than the texts a plan is sized by.
+    Where that already gives enough suggestions no farther text can matter. The others
+    are looked up by their letters.
     """
     # A block of few candidates is compared outright: a bounded number of pairs
     # per wanted text. Only larger blocks go through the shortened forms.
@@ -360,24 +393,29 @@ def closest(broken: DataFrame, known: DataFrame, block: list[str], wanted: str,
     settled = few.join(known.select(*block, candidate), block).where(
         _closeness(F.col(wanted), F.col(candidate)) >= CUTOFF).select(*block, wanted, candidate).distinct()
     rest = stage(asked.join(small, block, "left_anti"), "rest-0")
-    for edits in range(1, deletions + 1):
-        left = _shortened(rest, wanted, edits)
-        right = _shortened(known.select(*block, candidate).distinct().join(
-            rest.select(*block), block, "left_semi"), candidate, edits)
-        near = left.join(right, [*block, "_variant"]).select(*block, wanted, candidate).where(
-            F.levenshtein(wanted, candidate) <= edits).where(
-            _closeness(F.col(wanted), F.col(candidate)) >= CUTOFF).distinct()
-        near = stage(near, f"near-{edits}")
+    best = Window.partitionBy(*block, wanted).orderBy(F.desc("score"), candidate)
+    names = stage(known.select(*block, candidate).distinct().join(rest.select(*block).distinct(), block, "left_semi"), "names")
+    name_lengths = _lengths(names, candidate)
+    # The texts fit few tasks, their variants do not.
+    tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for k in range(1, edits + 1):
+        left = _variants(rest.repartition(tasks, wanted), wanted, k, name_lengths).withColumnRenamed("_edits", "_gone")
+        right = _variants(names.repartition(tasks, candidate), candidate, k, _lengths(rest, wanted)).drop("_marks")
+        pairs = left.join(right.hint("merge"), [*block, "_variant"]).where(F.col("_gone") + F.col("_edits") + F.col("_marks") <= k)
+        near = pairs.select(*block, wanted, candidate).where(F.levenshtein(wanted, candidate) <= k).withColumn(
+            "score", _closeness(F.col(wanted), F.col(candidate))).where(F.col("score") >= CUTOFF)
+        # Pairs may meet in several ways; the best are told before they are brought together.
+        near = near.withColumn("_r", F.dense_rank().over(best)).where(F.col("_r") <= SUGGESTIONS).select(*block, wanted, candidate).distinct()
+        near = stage(near, f"near-{k}")
         # A text within k edits scores at least 1 - k/w and any other at most
         # w/(w+k+1), for w letters wanted; the former wins once w > k(k+1).
         enough = near.groupBy(*block, wanted).agg(F.count("*").alias("n")).where(
-            (F.col("n") >= SUGGESTIONS) & (F.length(wanted) > edits * (edits + 1)))
+            (F.col("n") >= SUGGESTIONS) & (F.length(wanted) > k * (k + 1)))
         found = near.join(enough, [*block, wanted], "left_semi")
         settled = settled.unionByName(found)
-        rest = stage(rest.join(enough, [*block, wanted], "left_anti"), f"rest-{edits}")
+        rest = stage(rest.join(enough, [*block, wanted], "left_anti"), f"rest-{k}")
     far = nearest_by_letters(rest, known.join(rest.select(*block).distinct(), block, "left_semi"), block, wanted, candidate, EDITS)
     scored = settled.withColumn("score", _closeness(F.col(wanted), F.col(candidate))).unionByName(far)
-    best = Window.partitionBy(*block, wanted).orderBy(F.desc("score"), candidate)
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= SUGGESTIONS)
 
 
@@ -441,9 +479,10 @@ def nearest_by_letters(asked: DataFrame, known: DataFrame, block: list[str], wan
         return ranked.where(F.col("_rank") <= F.col(size) - F.ceil(F.col(size) * measure.least - SLACK) + 1).select(*block, "_letter", key, size)
 
     near_enough = (F.least("_n", "_m") >= F.greatest("_n", "_m") * measure.least - SLACK)
-    met = rare(asked, wanted, "_a", "_n").join(rare(classes, "_class", "_b", "_m"), [*block, "_letter"]).where(near_enough).select(
+    # Letters are many more rows, and wider ones, than the compressed tables they come from: nothing here is broadcast.
+    met = rare(asked, wanted, "_a", "_n").join(rare(classes, "_class", "_b", "_m").hint("merge"), [*block, "_letter"]).where(near_enough).select(
         *block, wanted, "_class").distinct()
-    both = met.join(asked, [*block, wanted]).join(classes, [*block, "_class"])
+    both = met.join(asked.hint("merge"), [*block, wanted]).join(classes.hint("merge"), [*block, "_class"])
     bound = measure.bound(F.size(F.array_intersect("_a", "_b")), F.size("_a"), F.size("_b"))
     pairs = stage(both.withColumn("_bound", bound).where(F.col("_bound") >= CUTOFF - SLACK).select(*block, wanted, "_class", "_bound"), "letter-pairs")
 
@@ -451,7 +490,7 @@ def nearest_by_letters(asked: DataFrame, known: DataFrame, block: list[str], wan
     open_ones, found, above = asked.select(*block, wanted), None, 2.0
     for least in BOUNDS:
         now = pairs.where((F.col("_bound") >= least - SLACK) & (F.col("_bound") < above)).join(open_ones, [*block, wanted], "left_semi")
-        scored = now.join(members, [*block, "_class"]).withColumn("score", measure.score(F.col(wanted), F.col(candidate)))
+        scored = now.join(members.hint("merge"), [*block, "_class"]).withColumn("score", measure.score(F.col(wanted), F.col(candidate)))
         scored = stage(scored.where(F.col("score") >= CUTOFF).select(*block, wanted, candidate, "score"), "scored")
         found = scored if found is None else found.unionByName(scored)
         # What is not compared yet stays below ``least``, so texts at or above it are settled.
