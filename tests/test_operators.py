@@ -89,19 +89,20 @@ def test_hot_keys_are_split_without_losing_rows(spark, monkeypatch):
 def test_lines_of_heavy_and_light_keys_are_numbered_alike(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(rng.choice([1, 1, 1, 1, 2, 3, 4, None]), rng.choice("ab"), rng.randrange(9), i) for i in range(400)]
-    lines = spark.createDataFrame(rows, "l_key int, name string, day int, n int")
+    nameless = [(1, None, 3, 900), (2, None, 4, 901), (1, "a", None, 902), (2, "b", None, 903)]
+    lines = spark.createDataFrame(rows + nameless, "l_key int, name string, day int, n int")
     owners = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (3, "z"), (5, "y")], "key int, owner string")
 
     def build(some):
         return some.join(owners, some.l_key == owners.key).select("key", "owner", "name", "day", "n")
 
-    owned = [(k, o, name, day, n) for k, name, day, n in rows for key, o in ((1, "x"), (2, "x"), (3, "y"), (3, "z")) if k == key]
+    owned = [(k, o, name, -1 if day is None else day, n) for k, name, day, n in rows + nameless if name for key, o in ((1, "x"), (2, "x"), (3, "y"), (3, "z")) if k == key]
     want = {(k, o, n): sum((d2, n2) <= (day, n) for k2, o2, name2, d2, n2 in owned if (k2, o2, name2) == (k, o, name))
-            for k, o, name, day, n in owned}
+            for k, o, name, day, n in owned if day >= 0}
     for limit in (10**6, 100, 1):
         monkeypatch.setattr(skew, "HOT_ROWS", limit)
         got = skew.rank_by_key(lines, "l_key", build, "key", ["owner", "name"], F.col("day"), [F.col("day"), F.col("n")], "pos").collect()
-        assert len(got) == len(owned) and {(r.key, r.owner, r.n): r.pos for r in got} == want
+        assert len(got) == len(want) and {(r.key, r.owner, r.n): r.pos for r in got} == want
 
 
 def test_lines_are_ranked_without_a_shuffle_of_their_own(spark):
