@@ -69,3 +69,48 @@ def test_a_job_that_fails_takes_its_documents_back(spark, tmp_path):
 
 def test_an_empty_root_has_no_rows(spark, tmp_path):
     assert trees.read_tree(spark, f"{tmp_path}/nowhere").count() == 0
+
+
+def read_names(spark, path, **asked):
+    return trees.read_tree(spark, str(path), shares=3, **asked)
+
+
+def test_packs_list_as_the_files_they_hold(spark, tree, tmp_path, tmp_path_factory):
+    packed = tmp_path_factory.mktemp("packed")
+    trees.write_documents(spark.createDataFrame(FILES, "path string, content string").repartition(3), str(packed), packed=True)
+    wanted = ("archive", "area", "year", "owner", "trashed", "name", "size", "content")
+    for asked in ({}, {"content": True}, {"content": True, "area": "data", "suffix": ".meta.json"}, {"area": "assets"}):
+        loose, got = ({tuple(r[c] for c in wanted) + (r.path.removeprefix(f"{root}/"),) for r in read_names(spark, root, **asked).collect()}
+                      for root in (tmp_path, packed))
+        assert loose == got and loose, asked
+    rows = read_names(spark, packed).where("name is not null").collect()
+    assert len(rows) == len({r.path for r in rows}) and all(r.mtime is not None for r in rows)
+    assert sorted(tuple(r) for r in trees.session_folders(read_names(spark, packed)).select("archive", "run_id").collect()) == sorted(
+        tuple(r) for r in trees.session_folders(tree).select("archive", "run_id").collect()), "a folder in several packs is one"
+
+
+def test_a_tree_of_many_records_takes_few_files(spark, tmp_path):
+    texts = spark.range(0, 20000, numPartitions=4).selectExpr(
+        "concat('A/data/', 2020 + id % 3, '/S-24-', lpad(id % 500, 4, '0'), '/f-', id, '.csv.meta.json') as path", "concat('{\"created\": \"', id, '\"}') as content")
+    trees.write_documents(texts, str(tmp_path), packed=True)
+    files = [f"{at}/{n}" for at, _, names in os.walk(tmp_path) for n in names]
+    assert len(files) == 12 and all("/.pack-" in f for f in files)
+    good, bad = dc.parse_sidecars(trees.sidecar_documents(trees.read_tree(spark, str(tmp_path), content=True, shares=2)))
+    assert bad.count() == 0 and good.selectExpr("count(*)", "sum(created)").first()[:] == (20000, sum(range(20000)))
+
+
+def test_packs_are_closed_and_opened_again_within_their_limits(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    for name, most in (("GROUP_BYTES", 200), ("HELD_BYTES", 400), ("PACK_BYTES", 500), ("OPEN_PACKS", 2)):
+        monkeypatch.setattr(trees, name, most)
+    writer = trees.PackWriter({"path": str(tmp_path)})
+    paths = [f"A/data/{2000 + i % 7}/S-24-0001/f{i}.csv" for i in range(300)] + [None, "A/notes.txt"]
+    message = writer.write(iter([pa.RecordBatch.from_pydict({"path": paths[k:k + 50], "content": ["x" * 9] * len(paths[k:k + 50])},
+                                                            pa.schema([("path", pa.string()), ("content", pa.string())])) for k in range(0, len(paths), 50)]))
+    assert len(message.drafts) > 8 and trees.read_tree(spark, str(tmp_path)).where("name like 'f%'").count() == 0, "nothing shows before the commit"
+    writer.commit([message, None])
+    assert {r.path.removeprefix(f"{tmp_path}/") for r in trees.read_tree(spark, str(tmp_path)).where("name like 'f%'").collect()} == set(paths[:300])
+    again = trees.PackWriter({"path": str(tmp_path)})
+    again.abort([again.write(iter([pa.RecordBatch.from_pydict({"path": ["A/data/2000/S-24-0002/g.csv"], "content": [None]}, pa.schema([("path", pa.string()), ("content", pa.string())]))])), None])
+    assert not [n for _, _, names in os.walk(tmp_path) for n in names if n.startswith(".draft-")]
