@@ -120,3 +120,17 @@ def test_exports_that_are_not_made_say_why(spark):
     assert got == {("A", "r1"): (2, None), ("A", "r2"): (0, "empty selection"), ("A", "r3"): (0, "empty selection"),
                    ("I", "r1"): (1, "intake ids are provisional, merge first"), ("X", "r1"): (0, "unknown archive")}
     assert tr.export_requests(asked.limit(0), picked, archives).count() == 0
+
+
+def test_names_meet_before_anything_is_grouped_and_hashes_only_travel_where_they_differ(spark, pairs, capsys):
+    _, both = pairs
+    assert {r.filename: (r.sha256, r.actual_sha256) for r in both.where("sha256 is not null or actual_sha256 is not null").collect()} == {
+        "edited.csv": ("abcdefghijklmn", "12345678901234")}
+    files = table(spark, FILES, ("A", "S1", "a.csv", "0" * 64), ("A", "S1", "b.csv", "0" * 63 + "1"))
+    cars = table(spark, CARS, ("A", "S1", "a.csv", "0" * 64, None), ("A", "S1", "b.csv", "f" * 64, None))
+    real = au.paired(files, cars, table(spark, BAD_CARS, ("A", "S1", "z")), table(spark, PLACES, ("A", "S1", "p1")))
+    assert found(au.artifact_issues(real))[0][-1] == "000000000000 is not ffffffffffff"
+    capsys.readouterr()
+    real.explain()
+    plan = capsys.readouterr().out
+    assert plan.index("partial_max") < plan.index("REPARTITION_BY_COL") and plan.rindex("partial_") < plan.index("REPARTITION_BY_COL")

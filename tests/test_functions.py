@@ -90,3 +90,11 @@ def test_hold_states(spark):
     rows = [("forever",), ("2026-01-01T00:30:00+01:00",), ("2026-01-02T00:00:00+00:00",), ("junk",), (None,)]
     got = values(spark, rows, "h string", times.hold_active(F.col("h"), now), times.hold_garbled(F.col("h")))
     assert got == [(True, False), (False, False), (True, False), (False, True), (False, False)]
+
+
+def test_hashes_as_bytes_are_told_apart_and_come_back(spark):
+    texts = [None, "", "ab", "é" * 3, "0123456789abcdef" * 4, "0123456789ABCDEF" * 4, "0" * 64, "g" * 64, "a" * 63, "a" * 64 + "\n"]
+    packed = text.hash_bytes(F.col("t"))
+    got = values(spark, [(t,) for t in texts], "t string", "t", text.hash_text(packed), packed)
+    assert [u for _, u, _ in got] == texts
+    assert len({bytes(b) for _, _, b in got if b is not None}) == len(texts) - 1 and len(got[4][2]) == 33
