@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators.refresh import session_signatures
+from tracelake.plans import streams
 from tracelake.streaming import sweep
 
 STATS = "archive string, year int, run_id string, name string, size bigint, mtime string"
@@ -82,3 +83,23 @@ def test_archives_are_swept_apart(place):
     assert place.sweep() == place.batch([FIRST[0], FIRST[4]])
     place.list([], 9, ["B c/d"])
     assert place.sweep() == place.batch(FIRST[:1])
+
+
+def test_a_listing_is_written_in_files_enough_for_all_cores_in_each_batch(spark, tmp_path):
+    rows = spark.range(4000).select(F.lit(1).cast("bigint").alias("generation"), F.col("id").cast("string").alias("run_id"))
+    streams.append_listing(rows, f"{tmp_path}/listings")
+    back = spark.read.parquet(f"{tmp_path}/listings")
+    files = back.select(F.col("_metadata.file_path").alias("f")).distinct().count()
+    assert files // 2 >= spark.sparkContext.defaultParallelism
+    assert back.select("run_id").distinct().count() == 4000
+
+
+def test_folders_of_gathered_files_are_named_once_a_file(spark, place, tmp_path):
+    place.put(FIRST, 1).write.partitionBy("archive").parquet(f"{tmp_path}/kept")
+    rows = spark.read.schema(sweep.ROW).parquet(f"{tmp_path}/kept")
+    found = sweep.folders_of(rows)
+    assert found.count() == rows.select("archive").distinct().count()
+    lines = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    # The cutting of names lies above the aggregate that leaves one row for each file.
+    cut = max(i for i, x in enumerate(lines) if "regexp_replace" in x)
+    assert any("Aggregate" in x for x in lines[cut + 1:])

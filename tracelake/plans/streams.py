@@ -33,6 +33,16 @@ def streaming_snapshots(cat):
                       F.split_part("asset_id", F.lit("|"), F.lit(2)).alias("asset_id"), "event_id")
 
 
+def files_of_listing(spark) -> int:
+    """How many files a listing is written in; half of them make a batch, so that each keeps all cores busy."""
+    return max(4, 2 * spark.sparkContext.defaultParallelism)
+
+
+def append_listing(rows, listings: str) -> None:
+    """Add a listing to the folder that is read as a stream, in files that come in several batches."""
+    rows.repartition(files_of_listing(rows.sparkSession)).write.mode("append").parquet(listings)
+
+
 CHECKS["n02_streaming_snapshots"] = CHECKS["n02_rate_limited_snapshots"]
 
 
@@ -46,9 +56,8 @@ def streaming_sweep(cat):
     listings, gathered = _places(cat, "listings")
     archives, seen = cat.archives.select("archive"), []
     for number, listing in enumerate((cat.indexed_stats, cat.live_stats.where("archive <> 'AFRICA' and year <> 1996"), cat.live_stats), 1):
-        sweep.stamped(listing, number, archives).repartition(4).write.mode("append").parquet(listings)
-        # Many small files, so that a listing comes in several batches.
-        stream = spark.readStream.schema(sweep.ROW).option("maxFilesPerTrigger", 2).parquet(listings)
+        append_listing(sweep.stamped(listing, number, archives), listings)
+        stream = spark.readStream.schema(sweep.ROW).option("maxFilesPerTrigger", files_of_listing(spark) // 2).parquet(listings)
         sweep.sweep(stream, out, gathered, checkpoint)
         seen.append(stage(sweep.read_index(spark, out), "swept").select(F.lit(number).alias("sweep"), *sweep.KEY, "sig"))
     return seen[0].unionByName(seen[1]).unionByName(seen[2])

@@ -93,11 +93,16 @@ def whole(rows: DataFrame, applied: DataFrame) -> DataFrame:
     return newest.join(last, "archive", "left").where("_last is null or generation > _last").select("archive", "generation")
 
 
+def folders_of(rows: DataFrame) -> DataFrame:
+    """One row for each folder of a batch, archive and generation, not for the rows in it; names are cut once a file."""
+    # Counted and not only made distinct, which Spark would merge with the distinct below and cut the names of all rows.
+    files = rows.groupBy("archive", "generation", F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    return files.select("archive", "generation", F.regexp_replace("file", "/[^/]*$", "").alias("folder")).distinct()
+
+
 def forget(rows: DataFrame, taken: DataFrame) -> None:
     """Remove the folders of listings that are as old as the ones taken."""
-    # One row for each folder of a batch, archive and generation, not for the rows in it.
-    held = rows.select("archive", "generation", F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")).distinct()
-    old = held.join(taken.withColumnRenamed("generation", "_taken"), "archive").where("generation <= _taken")
+    old = folders_of(rows).join(taken.withColumnRenamed("generation", "_taken"), "archive").where("generation <= _taken")
     folders = old.select("folder").toLocalIterator()
     spark = rows.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
