@@ -362,3 +362,19 @@ def test_code_that_arrives_with_a_merge(spark):
     after, moves = tr.merge_code(plan, sidecars, manifests, listed, blobs, held, blobs.where("digest = 'x'"))
     assert sorted((r.manifest, r.arrived, r.missing) for r in after.collect()) == [("m1", False, False), ("m2", True, False), ("m3", True, True)]
     assert sorted((r.digest, r.action) for r in moves.collect()) == [("x", "present"), ("y", "copy"), ("z", "missing")]
+
+
+def test_a_closure_walks_and_keeps_only_its_own_archives(spark, monkeypatch):
+    written = {}
+    stage = li.stage
+    monkeypatch.setattr(li, "stage", lambda df, label, *a: written.setdefault(label, stage(df, label, *a)))
+    edge = "archive string, run_id string, filename string, ref_user string, ref_archive string, ref_session string, ref_file string, ref_collection string, ref_asset string"
+    rows = [(a, "S", "c", None, None, None, "b", None, None) for a in ("A", "B", "C", None)]
+    rows += [("A", "S", "b", None, "A", "T", "x", None, None), ("A", "T", "x", None, "B", "S", "c", None, None), ("A", "S", "c", None, None, "U", None, None, None)]
+    files = [(a, r, n) for a in ("A", "B", None) for r, n in (("S", "b"), ("S", "c"), ("T", "x"), ("V", "v"))]
+    picked = [("A", "S", "c"), ("A", "V", None), (None, "S", "c"), ("D", "S", "c")]
+    closed, elsewhere = tr.selection_closure(spark.createDataFrame(picked, "archive string, run_id string, filename string"),
+                                             spark.createDataFrame(files, "archive string, run_id string, name string"), spark.createDataFrame(rows, edge))
+    assert set(map(tuple, closed.collect())) == {("A", "S", "c"), ("A", "S", "b"), ("A", "T", "x"), ("A", "U", None), ("A", "V", None), (None, "S", "c"), ("D", "S", "c")}
+    assert [(r.filename, r.ref_archive) for r in elsewhere.collect()] == [("x", "B")]
+    assert {r._sarchive for r in written["walk-edges"].collect()} == {"A"}, "edges of archives the walk cannot enter are dealt out"

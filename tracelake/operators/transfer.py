@@ -594,14 +594,22 @@ def export_requests(requests: DataFrame, picked: DataFrame, archives: DataFrame)
     return got.select("archive", "request", F.coalesce("n_sessions", F.lit(0)).alias("n_sessions"), refused.alias("refused"))
 
 
+def in_archives_of(rows: DataFrame, *tables: DataFrame) -> list[DataFrame]:
+    """What of each table lies in the archives of ``rows``; their list is written, so that Spark knows how short it is."""
+    here = stage(rows.select("archive").distinct(), "archives-of")
+    return [t.join(here, "archive", "left_semi") for t in tables]
+
+
 def selection_closure(picked: DataFrame, files: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A selection with everything it was derived from, and references elsewhere.
 
     The walk keeps one set for the whole selection, linear in what it reaches. A
     whole-session reference brings in a session not yet selected, is not followed
-    further, and never widens a subset somebody chose.
+    further, and never widens a subset somebody chose. References to other archives
+    are not followed, so only edges of the selection's own archives are dealt out.
     """
     picked = stage(picked, "picked")
+    files, edges = in_archives_of(picked, files, edges)
     whole = picked.where("filename is null").select(*SESSION)
     chosen = picked.where("filename is not null")
     start = chosen.unionByName(files.join(whole, SESSION, "left_semi").select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelake.plans.registry import query
-from tracelake.plans.transfer import CLOSURE, closure_of, entries_of, wanted_of
+from tracelake.plans.transfer import CLOSURE, entries_of, exported_of, wanted_of
 from tracelake.operators import transfer as tr
 from tracelake.session import staging_root
 from tracelake.sources import documents as dc
@@ -155,9 +155,9 @@ def fragment(cat):
     """A fragment written to the shared folder and read back, rows per table."""
     import uuid
 
-    closed = closure_of(cat)[0]
-    plan, _ = tr.plan_export(closed, cat.sessions, cat.files)
-    want = wanted_of(cat, closed)
+    closed, sessions, files = exported_of(cat)
+    plan, _ = tr.plan_export(closed, sessions, files)
+    want = wanted_of(closed, sessions, files)
     tables = {n: getattr(cat, n) for n in ("sessions", "related_runs", "files", "sidecars", "edges", "manifest_files", "archives")}
     chosen = sinks.fragment_tables(tables, plan, want, tr.manifests_for(want, cat.sidecars), tr.export_collections(entries_of(cat), plan, want))
     path = f"{staging_root(cat.spark)}/tracelake-fragment-{uuid.uuid4().hex}"

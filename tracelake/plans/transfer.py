@@ -488,8 +488,14 @@ def closure_of(cat):
     return cat.shared("closure", lambda: None), elsewhere
 
 
-def wanted_of(cat, closed):
-    return tr.wanted_files(closed, cat.files).join(cat.sessions.select(*SESSION), SESSION, "left_semi")
+def exported_of(cat):
+    """The closure with the sessions and files of its archives."""
+    closed = closure_of(cat)[0]
+    return closed, *cat.once("closure-tables", lambda: tr.in_archives_of(closed, cat.sessions, cat.files))
+
+
+def wanted_of(closed, sessions, files):
+    return tr.wanted_files(closed, files).join(sessions.select(*SESSION), SESSION, "left_semi")
 
 
 @query("g05_selection_closure", f"with recursive {CLOSURE} select * from closed")
@@ -504,13 +510,13 @@ def foreign_refs(cat):
 
 @query("t01_export_plan", f"with recursive {CLOSURE} select *, false as foreign from plan")
 def export_plan(cat):
-    return tr.plan_export(closure_of(cat)[0], cat.sessions, cat.files)[0]
+    return tr.plan_export(*exported_of(cat))[0]
 
 
 @query("t01_export_dangling", f"""with recursive {CLOSURE} select distinct c.archive, c.run_id, {NO} as name, 'session not found' as note from closed c anti join @sessions s on c.archive = s.archive and c.run_id = s.run_id
 union all select w.archive, w.run_id, name, 'file is missing' from want w semi join @sessions s on w.archive = s.archive and w.run_id = s.run_id where size is null""")
 def export_dangling(cat):
-    return tr.plan_export(closure_of(cat)[0], cat.sessions, cat.files)[1]
+    return tr.plan_export(*exported_of(cat))[1]
 
 
 FOREIGN = CLOSURE + """, held as (select s.archive, s.run_id from @sessions s semi join (select * from @archives where reachable) a on s.archive = a.archive),
@@ -532,7 +538,8 @@ def foreign_dangling(cat):
 
 @query("t03_needed_manifests", f"with recursive {CLOSURE} select distinct c.code as manifest from @sidecars c semi join want w on c.archive = w.archive and c.run_id = w.run_id and c.filename = w.name where code is not null and not trashed")
 def needed_manifests(cat):
-    return tr.manifests_for(tr.wanted_files(closure_of(cat)[0], cat.files), cat.sidecars)
+    closed, _, files = exported_of(cat)
+    return tr.manifests_for(tr.wanted_files(closed, files), cat.sidecars)
 
 
 @query("t04_export_collections", f"""with recursive {CLOSURE}, taken as (select w.* from want w semi join @sessions s on w.archive = s.archive and w.run_id = s.run_id where size is not null),
@@ -542,9 +549,9 @@ j as (select e.archive, e.collection, e.ord, e.ref, nested or (not away and case
   from e left join plan p on e.archive = p.archive and e.ses = p.run_id left join taken t on e.archive = t.archive and e.ses = t.run_id and e.fil = t.name)
 select archive, collection, ord, ref, dropped from (select *, count(*) filter (where not keep) over (partition by archive, collection) as dropped from j) x where keep""")
 def export_collections(cat):
-    closed = closure_of(cat)[0]
-    plan, _ = tr.plan_export(closed, cat.sessions, cat.files)
-    return tr.export_collections(entries_of(cat), plan, wanted_of(cat, closed))
+    closed, sessions, files = exported_of(cat)
+    plan, _ = tr.plan_export(closed, sessions, files)
+    return tr.export_collections(entries_of(cat), plan, wanted_of(closed, sessions, files))
 
 
 @query("t11_blob_transfer", """with need as (select distinct m.blob as digest from @manifest_files m semi join (select code from @sidecars where code is not null and not trashed) c on m.manifest = c.code),
