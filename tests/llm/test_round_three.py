@@ -314,3 +314,20 @@ def test_slots_are_counted_over_all_training_texts(spark):
     assert sorted(found) == [k for k, b in blocks.items() if b.any()]
     assert all((found[k] == blocks[k]).all() for k in found)
     assert all((x == mixing.inputs(w)).all() for x, w in zip(mixing.trained_tables(got), want))
+
+
+def test_python_gets_texts_in_batches_bounded_by_bytes(spark):
+    from tracelake.llm import common
+
+    sizes = []
+    rows = spark.range(0, 6000, 1, 1).selectExpr("id as doc_id", "repeat('x', 4000) as text")
+
+    def size(batch):
+        return pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    seen = common.per_batch(rows, size, "n long", limit=1 << 30)
+    sizes = [r.n for r in seen.collect()]
+    spark.conf.unset(name)
+    assert sum(sizes) == 6000 and max(sizes) * 4000 < 2 * common.BATCH_BYTES

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import parts, per_batch, text_key, utf8, values
+from tracelake.llm.common import in_small_batches, parts, per_batch, text_key, utf8, values
 from tracelake.session import stage, stage_counted
 
 BANDS, ROWS = 38, 5
@@ -37,7 +37,7 @@ BITS = 4
 MARGIN = 0.14             # over four and a half standard deviations of the estimate
 TRIES = 8                 # members of the largest component that a class outside it is compared with in a round
 SHORT = 150               # shingles up to which sets meet on two rare ones instead of one
-REMEMBER = 400_000
+REMEMBER = 100_000        # words whose hashes a worker keeps, some 20 MB
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SIGN_BYTES = 1 << 20      # of text at a time: bands and planes of many short texts are larger than these
 SIGNED = "doc_id long, text_key long, node long, n_shingles long, s1 long, s2 long, bands array<long>, planes array<long>"
@@ -168,7 +168,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     # members, which are many different keys, decide where the rows go.
     firsts = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     seconds = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return pairs.join(firsts, "a").join(seconds, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    met = pairs.join(firsts, "a").join(seconds, "b").select("a", "b", "x", "y")
+    return in_small_batches(met).mapInArrow(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -250,7 +251,7 @@ def rare_pairs(rest: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
     members = rest.groupBy("rep").agg(F.max(F.col("part") != F.col("largest")).alias("outside"), F.first("part").alias("part"))
     posts = texts.withColumnRenamed("node", "rep").join(members.select("rep"), "rep", "left_semi").select("rep", "text")
-    posts = stage(posts.mapInArrow(each, "rep long, size long, shingle long"), "shingles")
+    posts = stage(in_small_batches(posts).mapInArrow(each, "rep long, size long, shingle long"), "shingles")
     # A shingle of one class alone takes its place among the rarest, and meets nothing.
     often = posts.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"))
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("often", "shingle"))
