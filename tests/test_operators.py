@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions.refs import parse_refs
@@ -378,3 +379,39 @@ def test_a_closure_walks_and_keeps_only_its_own_archives(spark, monkeypatch):
     assert set(map(tuple, closed.collect())) == {("A", "S", "c"), ("A", "S", "b"), ("A", "T", "x"), ("A", "U", None), ("A", "V", None), (None, "S", "c"), ("D", "S", "c")}
     assert [(r.filename, r.ref_archive) for r in elsewhere.collect()] == [("x", "B")]
     assert {r._sarchive for r in written["walk-edges"].collect()} == {"A"}, "edges of archives the walk cannot enter are dealt out"
+
+
+def test_near_texts_are_found_whatever_their_distance_and_wherever_they_are_held(spark, monkeypatch):
+    """Parts of a few names, a few places at a time, letters beyond ASCII, and pairs of more than three edits."""
+    from tracelake.functions import nearest as ne
+
+    rng = random.Random(7)
+    word = lambda most: "".join(rng.choice("ab1é\U0001f600") for _ in range(rng.randrange(most)))
+    known = {a: sorted({word(13) for _ in range(70)} | {f"{a}-{'x' * n}" for n in range(12, 20)}) for a in "AB"}
+    wanted = {a: sorted({word(13) for _ in range(12)} | {f"{a}-{'x' * 12}yyyyyy", "zzzzz"}) for a in "AB"}
+    want = set()
+    for a in "AB":
+        for w in filter(None, wanted[a]):
+            scored = sorted((-(1 - _edit_distance(w, c) / max(len(w), len(c))), c) for c in known[a])
+            want |= {(a, w, c) for s, c in scored[:3] if -s >= 0.6}
+    assert any(_edit_distance(w, c) > 3 for _a, w, c in want)
+    rows = lambda texts: [(a, t) for a in "AB" for t in texts[a]] + [("A", None), (None, "ab1")]
+    asked, have = spark.createDataFrame(rows(wanted), "archive string, w string"), spark.createDataFrame(rows(known), "archive string, c string")
+    for name, value in (("FEW", 1), ("PART", 40), ("ASKED", 9), ("TOGETHER", 5)):
+        monkeypatch.setattr(tr, name, value)
+    got = {(r.archive, r.w, r.c) for r in tr.closest(asked, have, ["archive"], "w", "c").collect()}
+    assert {r for r in got if r[1]} == want
+    tree = ne.Tree(known["A"])
+    whole = ne.nearest(wanted["A"], tree, 7, 0.6, 3)
+    monkeypatch.setattr(ne, "PLACES", 5)
+    assert [x.tolist() for x in ne.nearest(wanted["A"], tree, 7, 0.6, 3)] == [x.tolist() for x in whole]
+
+
+def test_names_asked_are_not_written_in_all_their_variants(spark, monkeypatch):
+    """What is looked up is the names themselves; their variants within three edits are a thousand times as many."""
+    monkeypatch.setattr(tr, "FEW", 5)
+    monkeypatch.setattr(tr, "_variants", lambda *_: pytest.fail("variants are written"))
+    names = spark.range(2000).select(F.lit("A").alias("archive"), F.format_string("Customer#%09d", "id").alias("candidate"))
+    asked = spark.range(0, 2000, 100).select(F.lit("A").alias("archive"), F.format_string("Custmer#%09dx", "id").alias("wanted"))
+    best = {r.wanted: r.candidate for r in tr.closest(asked, names, ["archive"], "wanted", "candidate").where("place = 1").collect()}
+    assert best == {f"Custmer#{i:09d}x": f"Customer#{i:09d}" for i in range(0, 2000, 100)}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.functions import ids
+from tracelake.functions.nearest import Tree, nearest
 from tracelake.functions.refs import format_ref
 from tracelake.functions.text import COLLECTION_MAX_LENGTH, slugify
 from tracelake.operators.items import ITEM, SESSION
@@ -325,6 +326,8 @@ CUTOFF = 0.6
 SUGGESTIONS = 3
 #: A block of at most this many candidates is compared without an index.
 FEW = 500
+#: How many candidates and how many texts asked a task holds at once, and how many of these it looks up together.
+PART, ASKED, TOGETHER = 250_000, 100_000, 5_000
 
 
 def _closeness(a: Column, b: Column) -> Column:
@@ -342,6 +345,8 @@ def _variants(df: DataFrame, column: str, edits: int, lengths: list[int]) -> Dat
     edits if some of their variants are equal, with one ``_edits`` for each mark and each letter left out of either. Letters
     change from left to right, and of equal neighbours the first goes out. Variants that no text of one of the other
     side's ``lengths`` can meet are not made. ``_variant`` is a hash, so pairs have to be confirmed.
+
+    A text of 18 letters has some 1,300 variants within three edits: this is for few texts, :func:`closest` searches.
     """
     text, at, out_, marks = F.col("_text"), F.col("_at"), F.col("_out"), F.col("_marks")
     others = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
@@ -374,48 +379,94 @@ def _variants(df: DataFrame, column: str, edits: int, lengths: list[int]) -> Dat
     return out.withColumns({"_variant": F.xxhash64("_text"), "_edits": out_.cast("tinyint")}).select(*df.columns, "_variant", "_edits", "_marks")
 
 
+def _searched(asked: DataFrame, names: DataFrame, places: DataFrame, block: list[str], wanted: str, candidate: str, edits: int, slices: int) -> DataFrame:
+    """(block, wanted, candidate): for each wanted text the best of every part of its block, within ``edits`` edits.
+
+    ``names`` has the ``_part`` of each candidate, ``places`` the parts of each block. A part meets the texts asked
+    of its blocks in ``slices``, each group by itself; a task holds one part and one slice at a time.
+    """
+    import pyarrow as pa
+
+    out = T.StructType([asked.schema[c] for c in [*block, wanted]] + [names.schema[candidate]])
+    columns = out.fieldNames()
+    salt = F.pmod(F.xxhash64(wanted), F.lit(slices)).cast("int")
+    left = asked.join(places, block).select("_part", salt.alias("_slice"), *block, wanted)
+    right = names.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).select("_part", "_slice", *block, candidate)
+    # Groups are few and heavy: tasks are counted, not made from bytes.
+    tasks = min(2000, 2 * slices * places.select("_part").distinct().count())
+    key = ["_part", "_slice"]
+
+    def met(ours: pa.Table, theirs: pa.Table) -> pa.Table:
+        found: dict[str, list] = {c: [] for c in columns}
+
+        def by_block(table: pa.Table, text: str) -> dict[tuple, list[str]]:
+            rows: dict[tuple, list[str]] = {}
+            for *at, value in zip(*(table.column(c).to_pylist() for c in [*block, text])):
+                rows.setdefault(tuple(at), []).append(value)
+            return rows
+
+        have = by_block(theirs, candidate)
+        for at, texts in by_block(ours, wanted).items():
+            there = sorted(have.get(at, ()))
+            tree = Tree(there)
+            for i in range(0, len(texts), TOGETHER):
+                some = texts[i:i + TOGETHER]
+                a, b = nearest(some, tree, edits, CUTOFF, SUGGESTIONS)
+                for c, value in zip(block, at):
+                    found[c] += [value] * len(a)
+                found[wanted] += [some[x] for x in a]
+                found[candidate] += [there[x] for x in b]
+        types = [*(ours.schema.field(c).type for c in columns[:-1]), theirs.schema.field(candidate).type]
+        return pa.table([pa.array(found[c], t) for c, t in zip(columns, types)], names=columns)
+
+    return left.repartition(tasks, *key).groupBy(*key).cogroup(right.repartition(tasks, *key).groupBy(*key)).applyInArrow(met, out)
+
+
 def closest(broken: DataFrame, known: DataFrame, block: list[str], wanted: str, candidate: str,
             edits: int = 3) -> DataFrame:
     """The nearest candidates of each wanted text in its block, best first.
 
     Similarity is 1 - edit distance / longer length, at least ``CUTOFF``; ties go
-    by name; at most ``SUGGESTIONS`` are kept. Texts within ``edits`` edits meet on a
-    shared variant, an equality join whose size follows the number of near pairs; it is
-    a join by sorting, since variants are many more than the texts a plan is sized by.
-    Where that already gives enough suggestions no farther text can matter. The others
-    are looked up by their letters.
+    by name; at most ``SUGGESTIONS`` are kept. Candidates are sorted and cut into parts, each of which is
+    searched as a tree of prefixes, with one edit, with two and so on. A wanted text goes on to more edits only
+    while a text with more of them could still be among its best. ``edits`` says from where on edits are
+    added in larger steps; texts of any distance that the similarity allows are found.
     """
     # A block of few candidates is compared outright: a bounded number of pairs
-    # per wanted text. Only larger blocks go through the shortened forms.
+    # per wanted text. Only larger blocks are searched.
     small = known.groupBy(*block).agg(F.count("*").alias("_n")).where(F.col("_n") <= FEW).select(*block)
-    asked = stage(broken.select(*block, wanted).distinct(), "wanted")
+    asked = stage(broken.where(F.col(wanted).isNotNull()).select(*block, wanted).distinct(), "wanted")
     few = asked.join(small, block, "left_semi")
     settled = few.join(known.select(*block, candidate), block).where(
         _closeness(F.col(wanted), F.col(candidate)) >= CUTOFF).select(*block, wanted, candidate).distinct()
     rest = stage(asked.join(small, block, "left_anti"), "rest-0")
     best = Window.partitionBy(*block, wanted).orderBy(F.desc("score"), candidate)
-    names = stage(known.select(*block, candidate).distinct().join(rest.select(*block).distinct(), block, "left_semi"), "names")
-    name_lengths = _lengths(names, candidate)
-    # The texts fit few tasks, their variants do not.
-    tasks = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for k in range(1, edits + 1):
-        left = _variants(rest.repartition(tasks, wanted), wanted, k, name_lengths).withColumnRenamed("_edits", "_gone")
-        right = _variants(names.repartition(tasks, candidate), candidate, k, _lengths(rest, wanted)).drop("_marks")
-        pairs = left.join(right.hint("merge"), [*block, "_variant"]).where(F.col("_gone") + F.col("_edits") + F.col("_marks") <= k)
-        near = pairs.select(*block, wanted, candidate).where(F.levenshtein(wanted, candidate) <= k).withColumn(
-            "score", _closeness(F.col(wanted), F.col(candidate))).where(F.col("score") >= CUTOFF)
-        # Pairs may meet in several ways; the best are told before they are brought together.
-        near = near.withColumn("_r", F.dense_rank().over(best)).where(F.col("_r") <= SUGGESTIONS).select(*block, wanted, candidate).distinct()
+    names = stage(known.where(F.col(candidate).isNotNull()).select(*block, candidate).distinct().join(
+        rest.select(*block).distinct(), block, "left_semi"), "names")
+    n_names, longest = names.agg(F.count("*"), F.max(F.length(candidate))).first()
+    if n_names:
+        parts = -(-n_names // PART)
+        names = stage(names.repartitionByRange(parts, *block, candidate).withColumn("_part", F.spark_partition_id()), "name-parts")
+        places = stage(names.select(*block, "_part").distinct(), "places")
+    k = 1
+    while n_names:
+        n_asked = rest.count()
+        if k > edits and not n_asked:
+            break
+        slices = max(1, -(-n_asked // ASKED), min(-(-n_asked // 500), -(-4 * rest.sparkSession.sparkContext.defaultParallelism // parts)))
+        near = _searched(rest, names, places, block, wanted, candidate, k, slices).withColumn("score", _closeness(F.col(wanted), F.col(candidate)))
+        near = near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= SUGGESTIONS).select(*block, wanted, candidate, "score")
         near = stage(near, f"near-{k}")
-        # A text within k edits scores at least 1 - k/w and any other at most
-        # w/(w+k+1), for w letters wanted; the former wins once w > k(k+1).
-        enough = near.groupBy(*block, wanted).agg(F.count("*").alias("n")).where(
-            (F.col("n") >= SUGGESTIONS) & (F.length(wanted) > k * (k + 1)))
-        found = near.join(enough, [*block, wanted], "left_semi")
-        settled = settled.unionByName(found)
-        rest = stage(rest.join(enough, [*block, wanted], "left_anti"), f"rest-{k}")
-    far = nearest_by_letters(rest, known.join(rest.select(*block).distinct(), block, "left_semi"), block, wanted, candidate, EDITS)
-    scored = settled.withColumn("score", _closeness(F.col(wanted), F.col(candidate))).unionByName(far)
+        # No text with more than k edits scores higher than this.
+        size = F.length(wanted)
+        limit = 1 - F.lit(k + 1) / F.greatest(size, F.least(size + k + 1, F.lit(longest)))
+        last = near.groupBy(*block, wanted).agg(F.count("*").alias("_n"), F.min("score").alias("_least"))
+        more = rest.join(last, [*block, wanted], "left").where(
+            (limit >= CUTOFF - SLACK) & ((F.coalesce("_n", F.lit(0)) < SUGGESTIONS) | (F.col("_least") <= limit + SLACK)))
+        rest = stage(more.select(*block, wanted), f"rest-{k}")
+        settled = settled.unionByName(near.join(rest, [*block, wanted], "left_anti").select(*block, wanted, candidate))
+        k = k + 1 if k < edits else k + max(1, k // 2)
+    scored = settled.withColumn("score", _closeness(F.col(wanted), F.col(candidate)))
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= SUGGESTIONS)
 
 
