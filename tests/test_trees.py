@@ -1,12 +1,15 @@
 """Archives written as files and read back."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from tracelake.session import stage, tune
 from tracelake.sources import documents as dc
 from tracelake.sources import trees
+from tracelake.sources.bindings import Catalog
 
 FILES = [
     ("A/data/2024/S-24-0001/session.yaml", "run_id: S-24-0001\ncreated: '2024'\nstatus: open\n"), ("A/data/2024/S-24-0001/a.csv", "12345"),
@@ -114,3 +117,37 @@ def test_packs_are_closed_and_opened_again_within_their_limits(spark, tmp_path,
     again = trees.PackWriter({"path": str(tmp_path)})
     again.abort([again.write(iter([pa.RecordBatch.from_pydict({"path": ["A/data/2000/S-24-0002/g.csv"], "content": [None]}, pa.schema([("path", pa.string()), ("content", pa.string())]))])), None])
     assert not [n for _, _, names in os.walk(tmp_path) for n in names if n.startswith(".draft-")]
+
+
+def test_sidecars_meet_their_references_before_hashes_are_made(spark):
+    """What is shuffled is what hashes are made from; the rows are those of a join with finished sidecars."""
+    node = ["archive", "run_id", "filename"]
+    named = spark.createDataFrame(
+        [("A", "S-1", 1994, i, 1, 10 + i, 20 + i, 1 + i % 3, f"line-{i % 3}.csv", float(q), d, 0.01, f, "1994-01-02", p) for i, (q, d, f, p) in enumerate((
+            (1, 0.1, "N", 1), (25, 0.02, "R", 2), (49, 0.1, "A", 1), (50, 0.1, "N", 3), (5, 0.0, "N", 1), (7, 0.1, "R", 1)))] + [
+            (None, "S-2", 1995, 9, 1, 3, 4, 2, "line-2.csv", 3.0, 0.1, 0.01, None, "1995-01-02", 1)],
+        "archive string, run_id string, year int, orderkey bigint, custkey bigint, partkey bigint, suppkey bigint, line int, requested string, "
+        "quantity double, discount double, tax double, flag string, ship_day string, pos bigint")
+    cat = Catalog(spark, "nowhere")
+    cat._frames["named"] = named
+    more = cat.sidecars.select(*node).limit(4).withColumn("refs", F.lit("x")).localCheckpoint()
+    got, want = cat.sidecars_with(more), cat.sidecars.join(more, node, "left")
+    columns = want.columns
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.collect())) and got.count() == 6
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan.split("Join")[0] and "sha2" not in plan.split("Join", 1)[1]
+
+
+def test_what_a_job_shuffled_goes_when_it_ends(spark):
+    tune(spark)
+    blocks = lambda: {str(b) for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if str(b).startswith("shuffle_")}
+    before = blocks()
+    table = stage(spark.range(1000).repartition(3, "id"), "shuffled")
+    until = time.time() + 20
+    while blocks() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not blocks() - before and table.count() == 1000
+    # A plan whose shuffles are gone can still be run again.
+    again = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, again.collect()))

@@ -24,6 +24,9 @@ RUNTIME_CONF = {
     "spark.sql.files.maxPartitionBytes": "16m",
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "200",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    # What a job shuffled goes when the job ends, not when the driver next
+    # happens to collect garbage: plans here are many jobs on staged tables.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
 _local_folders: dict[str, tempfile.TemporaryDirectory] = {}
